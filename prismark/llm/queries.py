@@ -4,20 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismark.llm import packing, token_counts
+from prismark.llm import decontamination, near_duplicates, packing, token_counts
 from prismark.llm.common import table, tuned
 from prismark.llm.tokenizing import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(tuned(spark), sf_dir, "documents"), percent=85)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_best_fit_packing, op7_near_duplicates, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
