@@ -4,12 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismark.llm import decontamination, near_duplicates, packing, token_counts
-from prismark.llm.common import table, tuned
+from prismark.llm import decontamination, near_duplicates, packing, token_counts, url_filter, warc
+from prismark.llm.common import materialise, scratch, table, tuned
 from prismark.llm.tokenizing import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
+# The rules that the filter is asked to apply, and the words that put a host on its list.
+URL_RULES = [
+    url_filter.Rule("org/", "allow"),
+    url_filter.Rule("example.org/es/", "block"),
+    url_filter.Rule("example.org/en/1", "block"),
+    url_filter.Rule("com/fr/", "allow"),
+    url_filter.Rule("com/de/", "block"),
+]
+LISTED_HOSTS = "(^|[.-])(ads|adult|casino|spam)([.-]|$)"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, URL_RULES, lambda host: host.rlike(LISTED_HOSTS)).drop("listed")
+
+
+OP1_SQL = f"""
+with a as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+b as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^?#]*') as upto from a),
+c as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(upto, length(raw) + 1) as path from b),
+d as (select *, case
+    when ('.' || host) like '%.example.org' and starts_with(path, '/en/1') then 'example.org/en/1'
+    when ('.' || host) like '%.example.org' and starts_with(path, '/es/') then 'example.org/es/'
+    when ('.' || host) like '%.com' and starts_with(path, '/fr/') then 'com/fr/'
+    when ('.' || host) like '%.com' and starts_with(path, '/de/') then 'com/de/'
+    when ('.' || host) like '%.org' and starts_with(path, '/') then 'org/' end as rule from c)
+select page_id, host, path, rule, case
+    when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+    when regexp_matches(host, '{LISTED_HOSTS}') then 'block' else 'allow' end as verdict
+from d
+"""
+
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
@@ -20,6 +52,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(tuned(spark), "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = materialise(warc.read_archives(spark, path).drop("payload"), "records")
+    return warc.resolve_read(records)
+
+
+OP6_SQL = """
+with a as (select page_id, coalesce(html, '') as payload from pages),
+b as (select page_id, octet_length(encode(payload)) as payload_bytes, sha1(payload) as hex from a),
+c as (select *, list_transform(range(8), lambda i: ('0x' || substr(hex, 1 + 5 * i, 5))::bigint) as v from b),
+d as (select page_id, payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') as payload_digest from c),
+e as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id != first then first end as refers_to
+from e
+"""
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(tuned(spark), sf_dir, "documents"), percent=85)
 
@@ -28,5 +80,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_best_fit_packing, op7_near_duplicates, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_best_fit_packing, op6_warc, op7_near_duplicates, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_warc": OP6_SQL}
