@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismark.llm import decontamination, near_duplicates, packing, token_counts, url_filter, warc
+from prismark.llm import decontamination, language_id, licences, near_duplicates, nearest_neighbours, packing, quality, token_counts, url_filter, warc
 from prismark.llm.common import materialise, scratch, table, tuned
 from prismark.llm.tokenizing import public_path
 
@@ -43,6 +44,11 @@ from d
 """
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(tuned(spark), sf_dir, "embeddings")
+    return nearest_neighbours.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +58,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(tuned(spark), "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -76,9 +87,64 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(tuned(spark), sf_dir, "documents"), percent=85)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
+    rules = ", ".join(f"({i}, '{r.licence}', {r.restricts}, ',{','.join(r.sentences)},')" for i, r in enumerate(licences.RULES))
+    return f"""
+with known(name, sentence) as (values {known}), rules(k, licence, restricts, run) as (values {rules}),
+cut as (select doc_id, unnest(l) as s, generate_subscripts(l, 1) as i
+    from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1\n', 'g'), chr(10)) as l from documents)),
+norm as (select doc_id, i, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as sentence from cut),
+found as (select doc_id, string_agg(name, ',' order by i) as sentences, count(*) as n_sentences from norm join known using (sentence) group by doc_id),
+met as (select distinct doc_id, licence, restricts from found, rules where contains(',' || sentences || ',', run)),
+named as (select doc_id, string_agg(distinct licence, ',' order by licence) as licences, max(restricts) as level from met group by doc_id)
+select doc_id, coalesce(sentences, '') as sentences, coalesce(licences, '') as licences,
+    case level when 0 then 'permissive' when 1 then 'copyleft' when 2 then 'non-commercial' when 3 then 'proprietary' else 'none' end as licence_class,
+    coalesce(n_sentences, 0) as n_sentences
+from documents left join found using (doc_id) left join named using (doc_id)
+"""
+
+
+#: Languages of the corpus; a row of another one is recognised as none of them only by its low likelihood.
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """(doc_id, declared, address_language, host) of documents whose number ends a page's path; of several pages that with the smallest id."""
+    number = F.regexp_extract("url", r"://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:[./?#]|$)", 1)
+    url, found = F.col("url"), F.when(number != "", number.cast("long"))
+    said = F.struct("page_id", language_id.markup_language(F.col("html")).alias("declared"), language_id.address_language(url, LANGUAGES).alias("address_language"), language_id.page_host(url).alias("host"))
+    pages = pages.select(found.alias("doc_id"), said.alias("e")).where("doc_id is not null")
+    return pages.groupBy("doc_id").agg(F.min("e").alias("e")).select("doc_id", "e.declared", "e.address_language", "e.host")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents")
+    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.col("source").alias("host"))
+    return language_id.identify(rows, LANGUAGES, evidence=page_evidence(table(spark, sf_dir, "pages")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_best_fit_packing, op6_warc, op7_near_duplicates, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_warc": OP6_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_nearest_neighbours,
+        op3_decontamination,
+        op4_best_fit_packing,
+        op5_quality_classifier,
+        op6_warc,
+        op7_near_duplicates,
+        op8_licences,
+        op9_language_id,
+        op10_token_counts,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_warc": OP6_SQL, "op8_licences": _op8_sql()}
