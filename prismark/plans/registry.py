@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = None
+from prismark.plans import queries
+
+QUERIES = queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL
+FLAGSHIP = queries.screening
