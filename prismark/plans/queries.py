@@ -120,11 +120,11 @@ LINE = "f as (select id, regr_slope(v, pos) as m, regr_intercept(v, pos) as c fr
 stage("poly_detrend_1", baseline.PolynomialCorrection(), each("v - (c + m * pos)", LINE, source="e join f using (id)"))
 
 
-def _coefficients(matrix: np.ndarray) -> str:
-    """x @ matrix in SQL, the matrix given by value."""
+def _coefficients(matrix: np.ndarray, value: str = "v - b") -> str:
+    """A value of v and b = x @ matrix in SQL, the matrix given by value."""
     i, j = np.nonzero(np.abs(matrix) > 1e-15)
     rows = ", ".join(f"({a}, {b}, {float(matrix[a, b])!r})" for a, b in zip(i, j, strict=True))
-    return f"{E_CTE}, k(pos, o, c) as (values {rows}), b as (select id, o as pos, sum(v * c) as b from e join k using (pos) group by id, o) select id, pos::bigint as pos, {V.format('v - b')} from e join b using (id, pos)"
+    return f"{E_CTE}, k(pos, o, c) as (values {rows}), b as (select id, o as pos, sum(v * c) as b from e join k using (pos) group by id, o) select id, pos::bigint as pos, {V.format(value)} from e join b using (id, pos)"
 
 
 def _quadratic() -> np.ndarray:
@@ -134,8 +134,45 @@ def _quadratic() -> np.ndarray:
 
 
 stage("poly_detrend_2", baseline.PolynomialCorrection(2), _coefficients(_quadratic()))
-stage("cubic_spline_knots", baseline.CubicSplineCorrection([0, 9, 20, 33, 47, 63]))
+KNOTS = [0, 9, 20, 33, 47, 63]
+
+
+def _truncated_powers() -> np.ndarray:
+    """The not-a-knot spline through KNOTS written in truncated powers: its inner break points are all knots but the second and the last but one."""
+    t, at = np.array(KNOTS) / N, np.arange(N) / N
+    basis = lambda u: np.column_stack([u[:, None] ** np.arange(4), np.maximum(u[:, None] - t[2:-2], 0) ** 3])
+    out = np.zeros((N, N))
+    out[KNOTS] = (basis(at) @ np.linalg.inv(basis(t))).T
+    return out
+
+
+stage("cubic_spline_knots", baseline.CubicSplineCorrection(KNOTS), _coefficients(_truncated_powers()))
 stage("airpls", baseline.AirPls(), source=series)
+
+
+def _solved(name: str, source: str) -> str:
+    """CTEs up to `name`(id, pos, z): (W + 100 D'D) z = W v for `source`(id, pos, v, w), by elimination from the left and substitution from the right."""
+    ends = f"case when s.pos = {N - 1} then 100.0 else 200.0 end"
+    return f"""{name}_up(id, pos, c, d) as (
+    select id, pos, -100.0::double / (w + 100.0), w * v / (w + 100.0) from {source} where pos = 0
+    union all
+    select s.id, s.pos, -100.0::double / (s.w + {ends} + 100.0 * u.c), (s.w * s.v + 100.0 * u.d) / (s.w + {ends} + 100.0 * u.c)
+    from {name}_up u join {source} s on s.id = u.id and s.pos = u.pos + 1),
+{name}(id, pos, z) as (
+    select id, pos, d from {name}_up where pos = {N - 1}
+    union all
+    select u.id, u.pos, u.d - u.c * n.z from {name} n join {name}_up u on u.id = n.id and u.pos = n.pos - 1)"""
+
+
+# Two solves: the second with weights from the first, unless that has converged.
+AIR = f"""with recursive a as (select vec_id as id, generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding)::double as v, 1.0::double as w from embeddings),
+{_solved("z1", "a")},
+d as (select id, pos, v, z, v - z as d from a join z1 using (id, pos)),
+t as (select id, abs(sum(case when d < 0 then d end)) as s, max(case when d < 0 then d end) as m, 0.001 * sum(abs(v)) as small from d group by id),
+b as (select id, pos, v, case when pos in (0, {N - 1}) then exp(m / s) when d >= 0 then 0.0 else exp(abs(d) / s) end as w from d join t using (id)),
+{_solved("z2", "b")}
+select id, pos::bigint as pos, {V.format("d.v - case when t.s < t.small then d.z else z2.z end")} from d join t using (id) join z2 using (id, pos)"""
+stage("airpls_two_solves", baseline.AirPls(nr_iterations=3), AIR)
 stage("arpls", baseline.ArPls(lam=1e2, ratio=1e-2), source=series)
 
 # --- selection -----------------------------------------------------------------------------------------------------
@@ -164,7 +201,20 @@ stage("median_filter", smooth.MedianFilter(5), MEDIAN)
 stage("savgol_smooth", smooth.SavitzkyGolayFilter(5, 2), stencil([c / 35 for c in (-3, 12, 17, 12, -3)], 2))
 stage("savgol_derivative", derivative.SavitzkyGolay(5, 2, 1), stencil([c / 10 for c in (-2, -1, 0, 1, 2)], 2))
 stage("savgol_second", derivative.SavitzkyGolay(5, 2, 2), stencil([c / 7 for c in (2, -1, -2, -1, 2)], 2))
-stage("savgol_interp", derivative.SavitzkyGolay(7, 2, 1, "interp"))
+
+
+def _edge_fits() -> np.ndarray:
+    """Derivative of the parabola through the seven points around each place, or the seven at the end."""
+    out = np.zeros((N, N))
+    for i in range(N):
+        first = min(max(i - 3, 0), N - 7)
+        for k in range(7):
+            c = np.polyfit(np.arange(7.0), np.eye(7)[k], 2)
+            out[first + k, i] = np.polyval(np.polyder(c), i - first)
+    return out
+
+
+stage("savgol_interp", derivative.SavitzkyGolay(7, 2, 1, "interp"), _coefficients(_edge_fits(), "b"))
 
 
 def _norris(weights: str) -> str:
@@ -191,7 +241,8 @@ down(id, pos, z) as (
     select up.id, up.pos, up.d - up.c * down.z from down join up on up.id = down.id and up.pos = down.pos - 1)
 select id, pos::bigint as pos, {V.format("z")} from down""",
 )
-stage("whittaker_second", smooth.WhittakerSmooth(50.0, 2))
+SECOND = np.diff(np.eye(N), 2, axis=0)
+stage("whittaker_second", smooth.WhittakerSmooth(50.0, 2), _coefficients(np.linalg.solve(np.eye(N) + 50.0 * SECOND.T @ SECOND, np.eye(N)), "b"))
 
 # --- augmentation --------------------------------------------------------------------------------------------------
 
