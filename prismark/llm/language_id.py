@@ -127,12 +127,12 @@ def identify(
     least: float = 0.5,
     evidence: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per row of rows: id_col, language, confidence, text_language, letters, accepted.
+    """One row per row of rows: id_col, language, confidence, text_language, letters, kept.
 
     language is the one with the largest posterior (ties: the first of `languages`), confidence its probability. A row is
-    accepted if its text has letters, its trigrams are likelier than chance under that language, and confidence >= least.
+    kept if its text has letters, its trigrams are likelier than chance under that language, and confidence >= least.
     Declared or address languages that are null or not among `languages` say nothing, nor does a null host. A null or
-    empty text is decided by the other evidence, has text_language null and is not accepted. Null ids stay, repeated rows
+    empty text is decided by the other evidence, has text_language null and is not kept. Null ids stay, repeated rows
     give repeated results, an empty table gives none, other columns are not read.
 
     evidence: (id_col, declared, address_language, host) of another table, one row per id; where not null it stands in
@@ -179,7 +179,7 @@ def identify(
         "confidence",
         F.when(F.col("letters") > 0, F.get(names, text_k)).alias("text_language"),
         "letters",
-        ((F.col("letters") > 0) & (F.get("text_score", F.col("k")) > chance) & (F.col("confidence") >= least)).alias("accepted"),
+        ((F.col("letters") > 0) & (F.get("text_score", F.col("k")) > chance) & (F.col("confidence") >= least)).alias("kept"),
     )
 
 

@@ -88,10 +88,10 @@ def _with_margin(model, df: DataFrame, name: str) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
-    """One row per row of docs: id_col, text_margin, metadata_margin, quality_score (probability of good), accepted (score >= threshold).
+    """One row per row of docs: id_col, text_margin, metadata_margin, quality_score (probability of good), kept (score >= threshold).
 
     labels: (id_col, label_col 0/1), some of them; null labels are left out, of several for one document the mean decides (good
-    from a half on). Without labels of both kinds nothing can be learnt: all scores are null and all documents accepted. A null
+    from a half on). Without labels of both kinds nothing can be learnt: all scores are null and all documents kept. A null
     text counts as empty, null metadata as unknown. Null ids are scored and take no label; repeated rows give repeated
     results; an empty table gives none; other columns are not read.
     """
@@ -109,7 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kinds = [r[0] for r in seen.where("y is not null").select("y").distinct().collect()]  # two numbers at most
     none = F.lit(None).cast("double")
     if len(kinds) < 2:
-        return seen.select(F.col("id").alias(id_col), none.alias("text_margin"), none.alias("metadata_margin"), none.alias("quality_score"), F.lit(True).alias("accepted"))
+        return seen.select(F.col("id").alias(id_col), none.alias("text_margin"), none.alias("metadata_margin"), none.alias("quality_score"), F.lit(True).alias("kept"))
     seen = seen.withColumn("text_view", array_to_vector("features"))
     seen = FeatureHasher(inputCols=["source", "lang"], outputCol="hashed", numFeatures=HASHED).transform(seen)
     seen = VectorAssembler(inputCols=["hashed", "chars"], outputCol="metadata_view").transform(seen)
@@ -130,4 +130,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     last = _classifier("both").fit(held)
     out = last.transform(both.transform(scored.select("id", "text_margin", "metadata_margin")))
     p = F.get(vector_to_array(F.col("prob")), 1)
-    return out.select(F.col("id").alias(id_col), "text_margin", "metadata_margin", p.alias("quality_score"), (p >= threshold).alias("accepted"))
+    return out.select(F.col("id").alias(id_col), "text_margin", "metadata_margin", p.alias("quality_score"), (p >= threshold).alias("kept"))

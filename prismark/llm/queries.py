@@ -54,6 +54,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP3_SQL = f"""
+with dw as (select doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+bw as (select item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+items as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as s
+    from (select item_id, w, least(10, len(w)) as n from bw where len(w) > 0)),
+spans as (select distinct n from items),
+starts as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from dw, spans where len(w) >= n),
+met as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as s from starts),
+hits as (select doc_id, i, n, s from met where s in (select s from items)),
+words as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names
+    from (select distinct doc_id, item_id from hits join items using (s)) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join words using (doc_id) left join named using (doc_id)
+"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
@@ -87,6 +106,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(tuned(spark), sf_dir, "documents"), percent=85)
 
 
+OP7_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 85 * (na.n + nb.n - k)),
+ways as (select a, b from links union all select b, a from links),
+reached(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, ways.b from reached r join ways on ways.a = r.other),
+lowest as (select doc_id, min(other) as component_id from reached group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from lowest left join n using (doc_id)
+"""
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -147,4 +180,4 @@ QUERIES = {
         op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op6_warc": OP6_SQL, "op8_licences": _op8_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_warc": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op8_licences": _op8_sql()}

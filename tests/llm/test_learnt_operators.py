@@ -1,0 +1,154 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from prismark.llm import language_id, licences, nearest_neighbours, quality
+from prismark.llm.common import table, tuned
+from prismark.llm.queries import LANGUAGES, op2_nearest_neighbours, op9_language_id, page_evidence
+from tests.llm import brute
+
+VECTORS = "vec_id long, embedding array<float>, label string, score double"
+
+
+def searched(df, k=5):
+    out = {}
+    for r in nearest_neighbours.search(df, F.col("vec_id") % 50 == 0, k).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: [(i, s) for _, i, s in sorted(v)] for q, v in out.items()}
+
+
+def test_recall_against_brute_force(spark):
+    rows = table(tuned(spark), "/root/testdata/sf0.1", "embeddings").collect()
+    vectors = {r.vec_id: r.embedding for r in rows}
+    want = brute.nearest(vectors, [i for i in vectors if i % 50 == 0])
+    found = op2_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(want)
+    hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9
+    for q, rows in got.items():
+        assert [r for r, *_ in sorted(rows)] == [1, 2, 3, 4, 5]
+        a = np.array(vectors[q], float)
+        for _, i, s in rows:
+            b = np.array(vectors[i], float)
+            assert s == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
+
+
+def test_odd_vectors_ties_and_few_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8).tolist()
+    rows = [(0, base), (1, base), (2, None), (3, [0.0] * 8), (4, [None] * 8), (5, [float("nan")] * 8), (6, [float("inf")] * 8), (7, base[:4]), (50, base), (None, base), (9, (-np.array(base)).tolist())]
+    df = tuned(spark).createDataFrame([(i, v, "x", 1.0) for i, v in rows], VECTORS)
+    got = searched(df)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [1, 50, None, 9], 50: [0, 1, None, 9]}
+    assert got[0][-1][1] == pytest.approx(-1)
+    assert searched(df.limit(0)) == {} and searched(df.where("vec_id = 0")) == {}
+    many = [(i, (base if i % 3 == 0 else rng.normal(size=8).tolist()), "x", 0.0) for i in range(600)]
+    got = searched(spark.createDataFrame(many, VECTORS).repartition(7))
+    for q, v in got.items():
+        if q % 3 == 0:
+            assert [i for i, _ in v] == [i for i in range(0, 30, 3) if i != q][:5]
+
+
+def test_widening_finds_the_nearest_of_a_spread_table(spark, monkeypatch):
+    monkeypatch.setattr(nearest_neighbours, "REACH", 0.0)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist(), None, None) for i in range(300)]
+    got = searched(tuned(spark).createDataFrame(rows, VECTORS))
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 6
+
+
+def test_pigeonhole_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 2**63, 3000, np.uint64)
+    for i in range(500):
+        codes[i + 1] = codes[i] ^ np.uint64(1 << int(rng.integers(63)))
+    block = nearest_neighbours.Block(np.ones((3000, 2)), codes)
+    for radius in (0, 1, 2, 3, 5, 9, 14, 26):
+        for q in codes[:20]:
+            assert block.within(q, radius).tolist() == np.flatnonzero(nearest_neighbours.hamming(codes, q) <= radius).tolist()
+
+
+def test_language_evidence(spark, sf_dir):
+    docs = table(tuned(spark), sf_dir, "documents")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    got = op9_language_id(spark, sf_dir).collect()
+    assert len(got) == len(truth) and all(r.kept and r.language == truth[r.doc_id] for r in got)
+    odd = [(900, None, "de", None, "h"), (901, "", None, None, None), (902, "12 + 34 %", "en", "en", "h"), (903, "ﬁ 汉字 漢字 " * 50, None, None, None), (None, "the and of that", "en", None, "src1"), (905, "x", "zz", "fr", "a.b.fr"), (905, "x", "zz", "fr", "a.b.fr")]
+    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.col("source").alias("host"))
+    more = spark.createDataFrame(odd, "doc_id long, text string, declared string, address_language string, host string")
+    got = language_id.identify(rows.unionByName(more).withColumn("letters", F.lit("?")), LANGUAGES).where("doc_id is null or doc_id >= 900").collect()
+    assert len(got) == len(odd)
+    by = {r.doc_id: r for r in got}
+    assert [by[i].kept for i in (900, 901, 902)] == [False] * 3 and by[900].language == "de" and by[900].text_language is None
+    assert by[None].language == "en" and by[None].kept and by[905].language == "fr"
+    assert not by[903].kept
+    assert language_id.identify(more.limit(0), LANGUAGES).count() == 0
+
+
+def test_text_decides_against_a_wrong_declaration(spark, sf_dir):
+    docs = table(tuned(spark), sf_dir, "documents")
+    wrong = docs.where("lang = 'en' and n_chars > 800").limit(5).select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("de").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.lit("other").alias("host"))
+    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.col("source").alias("host")).unionByName(wrong)
+    got = language_id.identify(rows, LANGUAGES).where("doc_id >= 10000").collect()
+    assert len(got) == 5 and {r.language for r in got} == {"en"}
+
+
+def test_page_evidence(spark):
+    pages = [(1, "http://a.de/en/12.html", '<HTML class=x lang="fr-CA">'), (0, "http://a.de/en/12#x", "<html>"), (2, "http://b.example.fr/13?q", "<html lang='en'>"), (3, "nothing", None), (4, None, None)]
+    got = {r.doc_id: tuple(r)[1:] for r in page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {12: (None, "en", "a.de"), 13: ("en", "fr", "b.example.fr")}
+
+
+def test_trigrams_see_letters_only():
+    assert len(language_id.trigrams("")) == 0 and len(language_id.trigrams("12 ,.-")) == 0
+    assert language_id.trigrams("AbC").tolist() == language_id.trigrams("abc").tolist()
+    assert len(language_id.trigrams("ab1c 汉𝒜")) == 5
+
+
+def test_quality_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(tuned(spark), d, "documents"), table(spark, d, "labels")
+    held = {r.doc_id: r.quality for r in labels.where("doc_id % 4 = 1").collect()}
+    got = {r.doc_id: r.kept for r in quality.score(docs, labels.where("doc_id % 4 != 1")).collect()}
+    assert len(got) == docs.count()
+    right = sum(got[i] == bool(q) for i, q in held.items())
+    clean = [got[i] for i, q in held.items() if q]
+    assert right / len(held) > 0.95 and sum(clean) / len(clean) > 0.97
+
+
+def test_quality_odd_input(spark, sf_dir):
+    docs, labels = table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    more = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", -5), (None, "a b", "en", "s", 3), (9002, "long " * 50_000, "en", "s", 1), (9002, "long " * 50_000, "en", "s", 1)], docs.schema)
+    both = docs.unionByName(more).withColumn("features", F.lit(1)).withColumn("y", F.lit("z"))
+    got = quality.score(both, labels.unionByName(spark.createDataFrame([(9001, None, None), (None, 1, 0)], labels.schema))).collect()
+    assert len(got) == docs.count() + 5 and all(r.quality_score is not None for r in got)
+    none = quality.score(docs, labels.limit(0))
+    assert none.where("kept and quality_score is null").count() == docs.count()
+    assert quality.score(docs.limit(0), labels).count() == 0
+
+
+def test_licences(spark):
+    rng = random.Random(0)
+    mit = licences.SENTENCES["mit-grant"].upper() + ". The software is provided “as is”, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
+    texts = {
+        0: "Some text. Released under the MIT License. More.",
+        1: "Licensed under the Apache License, Version 2.0.\nAll rights reserved.",
+        2: mit,
+        3: ". ".join(reversed(mit.split(". "))),
+        4: None,
+        5: "",
+        6: "x " * 200_000 + "\nLicensed under CC BY-NC 4.0.",
+        7: "We do not use the MIT license",
+        8: "".join(rng.choices(".! \n?aZ", k=500)),
+    }
+    df = spark.createDataFrame([(i, t, "q") for i, t in texts.items()] + [(0, texts[0], "q"), (None, texts[1], "q")], "doc_id long, text string, licences string")
+    got = {r.doc_id: (r.licences, r.licence_class, r.n_sentences) for r in licences.scan_licences(df).collect()}
+    assert got[0] == ("MIT", "permissive", 1) and got[1] == got[None] == ("Apache-2.0,proprietary", "proprietary", 2)
+    assert got[2] == ("MIT", "permissive", 2) and got[3][:2] == ("", "none") and got[6] == ("CC-BY-NC-4.0", "non-commercial", 1)
+    assert [got[i] for i in (4, 5, 7, 8)] == [("", "none", 0)] * 4
+    assert licences.scan_licences(df).count() == 11 and licences.scan_licences(df.limit(0)).count() == 0
