@@ -17,20 +17,20 @@ from prismark.llm.tokenizing import public_path
 def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among those of decided, null among null."""
     ids = decided.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in none of the languages, or without any letter. The declared language is `lang`, the host `source`."""
     tuned(spark)
     rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.col("source").alias("host"))
-    return _only(docs, language_id.identify(rows, LANGUAGES).where("accepted"))
+    return _only(docs, language_id.identify(rows, LANGUAGES).where("kept"))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the co-trained classifier scores as bad."""
     tuned(spark)
-    return _only(docs, quality.score(docs, table(spark, sf_dir, "labels")).where("accepted"))
+    return _only(docs, quality.score(docs, table(spark, sf_dir, "labels")).where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
