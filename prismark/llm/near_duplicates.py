@@ -4,22 +4,25 @@ Each permutation gives two values of a document's signature, the minimum and the
 signature of 2p values costs p hash evaluations. Bands of four values (two permutations) make the candidates.
 
 1. Documents with the same set of shingles are one class; from here on a class is one node (its smallest doc_id).
-2. Classes that share a bucket of a band are candidates. Buckets are never expanded into all pairs: first all members are
-   held against the bucket's smallest and largest member, and what is confirmed is joined to components.
+2. Classes that share a bucket of a band are candidates. Buckets are never expanded into all pairs: their members are held
+   against a hub, the one with the fewest shingles of its own, and what is confirmed is joined to components.
 3. Only buckets whose members still lie in several components are looked at again, with other hubs, and at last pair by
-   pair across components. There, pairs whose sizes or whose one-bit sketches rule the similarity out are passed over.
+   pair across components. Two members share at most the smaller of what each shares with the hub, and the smaller of
+   what each shares with others besides; in a group of edited copies that alone, exactly, rules out nearly all pairs.
+   Sizes and one-bit sketches rule out more.
 4. Every link is confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,20 +87,24 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, set_key binary, sig binary, s1 long, s2 long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |intersection| >= percent * |union|, counted on the full sets."""
+def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both) for pairs (a, b): sizes of the full sets and of their intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            sizes = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            n = np.array(sizes, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(n[:, i]) for i in range(3))], ["a", "b", "n_a", "n_b", "both"])
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in "ab"]))
+    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, both long")
+
+
+def _links(counted: DataFrame, percent: int) -> DataFrame:
+    return counted.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def sketch_limit(percent: int) -> int:
@@ -123,51 +130,65 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     width = 4 * BAND_VALUES
     slices = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
     bands = classes.select("id", F.explode(slices).alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi")
-    members = materialise(bands.join(hubs, "bucket").select("bucket", "id", "lo", "hi"), "members")
+    several = bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
+    members = materialise(bands.join(several, "bucket", "left_semi"), "members")
 
     # Sets of all that share a bucket with another class, once for all rounds.
     shared = members.select("id").distinct().join(classes.select("id", "set_key"), "id")
     made = _sets(rows.join(shared.select("id").distinct(), "id", "left_semi"), words)
     sets = materialise(made.join(shared, ["id", "set_key"], "left_semi").dropDuplicates(["id"]), "sets")
 
-    sizes = classes.select("id", "n", "s1", "s2").dropDuplicates(["id"])
-    at_least = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        x, y = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").where(at_least(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    # common: shingles that another candidate has too. With less than the threshold's share of them a class has no link.
+    sizes = classes.select("id", "n", "s1", "s2", slices.alias("bands")).dropDuplicates(["id"]).join(sets.select("id"), "id", "left_semi")
+    sizes = sizes.join(_own(sets), "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    sizes = materialise(sizes.where(100 * F.col("common") >= percent * F.col("n")), "sizes")
+    members = materialise(members.join(sizes.select("id", "n", "common"), "id"), "candidates")
+
+    # Each member against its bucket's hub: how much they share (met), and what it shares with others besides (apart).
+    hub = F.struct(F.floor(20 * (F.col("n") - F.col("common")) / F.col("n")).alias("own"), F.xxhash64("id"), F.col("id").alias("hub"))
+    hubs = members.groupBy("bucket").agg(F.min(hub)["hub"].alias("hub"), F.count("*").alias("k")).where("k > 1").select("bucket", "hub")
+    members = materialise(members.join(hubs, "bucket"), "members")
+    tested = [materialise(members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "tested")]
+    counted = materialise(_counted(tested[0], sets), "counted")
+    labels = components(_links(counted, percent))
+    met = counted.select(F.col("a").alias("id"), F.col("b").alias("hub"), "both")
+    members = members.join(met, ["id", "hub"], "left").withColumn("met", F.coalesce("both", "n")).drop("both", "hub")
+    members = materialise(members.withColumn("apart", F.greatest(F.lit(0), F.col("common") - F.col("met"))), "members")
+
+    def possible(x: str, y: str) -> Column:
+        """Whether a link between two members of a bucket is possible."""
+        least = lambda c: F.least(f"{c}_{x}", f"{c}_{y}")
+        most = F.least(least("common"), least("met") + least("apart"))
+        return 100 * most >= percent * (F.col(f"n_{x}") + F.col(f"n_{y}") - most)
 
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    pairs = members.where("id != lo").select(*pair("id", "lo")).union(members.where("id != hi").select(*pair("id", "hi"))).distinct()
-    tested = [materialise(pairs, "tested")]
-    edges = [materialise(_confirmed(sized(tested[0]), sets, percent), "links")]
-    labels = components(edges[0])
-    for turn in range(HUB_ROUNDS + 1):
-        inside = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        several = inside.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), F.col("id").alias("hub"), "c")).alias("h")).where("c0 != c1")
-        if turn < HUB_ROUNDS:  # another hub of each bucket, against the members of other components
-            several = several.select("bucket", "h.hub", F.col("h.c").alias("hub_c"))
-            pairs = inside.join(several, "bucket").where("c != hub_c").select(*pair("id", "hub")).distinct()
-        else:  # whatever is left, pair by pair across components, as far as sizes and sketches allow a link
-            left = materialise(inside.join(several.select("bucket"), "bucket", "left_semi").join(sizes, "id"), "left")
-            x, y = (left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "s1", "s2")]) for s in "xy")
-            apart = F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1_y"))) + F.bit_count(F.col("s2_x").bitwiseXOR(F.col("s2_y")))
-            near = (x["bucket"] == y["bucket"]) & F.expr("c_x < c_y") & at_least(F.col("n_x"), F.col("n_y")) & (apart <= sketch_limit(percent))
+    known_of = ("n", "common", "met", "apart")
+    for turn in range(1, HUB_ROUNDS + 1):
+        inside = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        hub = F.struct(F.xxhash64("id", F.lit(turn)).alias("_"), F.col("id").alias("hub"), F.col("c").alias("c_y"), *[F.col(k).alias(f"{k}_y") for k in known_of])
+        several = inside.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(hub).alias("h")).where("c0 != c1")
+        if turn < HUB_ROUNDS:  # another hub of each bucket against the members of other components
+            several = several.select("bucket", "h.hub", "h.c_y", *[f"h.{k}_y" for k in known_of])
+            faced = inside.select("bucket", "id", "c", *[F.col(k).alias(f"{k}_x") for k in known_of]).join(several, "bucket")
+            pairs = faced.where((F.col("c") != F.col("c_y")) & possible("x", "y")).select(*pair("id", "hub")).distinct()
+        else:  # whatever is left, pair by pair across components; a pair in the first bucket that it shares
+            left = inside.join(several.select("bucket"), "bucket", "left_semi").join(sizes.select("id", "s1", "s2", "bands"), "id")
+            left = materialise(left, "left")
+            x, y = (left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "s1", "s2", "bands", *known_of)]) for s in "xy")
+            bits = F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1_y"))) + F.bit_count(F.col("s2_x").bitwiseXOR(F.col("s2_y")))
+            first = F.get(F.array_compact(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p))), 0)
+            near = (x["bucket"] == y["bucket"]) & F.expr("c_x < c_y") & possible("x", "y") & (bits <= sketch_limit(percent)) & (first == x["bucket"])
             pairs = x.join(y, near).select(*pair("id_x", "id_y")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "tested")
+        old = functools.reduce(DataFrame.unionByName, [t.select(*pair("a", "b")) for t in tested])
+        pairs = materialise(pairs.join(old, ["a", "b"], "left_anti"), "tested")
         if pairs.isEmpty():
             continue
         tested.append(pairs)
-        found = materialise(_confirmed(sized(pairs), sets, percent), "links")
+        found = materialise(_links(_counted(pairs, sets), percent), "links")
         if not found.isEmpty():
-            edges.append(found)
-            joined = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
-            labels = components(joined)
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     known = classes.select("set_key", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left")
     known = known.select("set_key", F.coalesce("component", "first").alias("component"))
@@ -176,6 +197,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """(id, own): shingles of each set that no other set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, value in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
+                s = np.frombuffer(value.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), key, np.int64))], ["shingle", "id"])
+
+    flat = sets.select("id", "shingles").mapInArrow(run, "shingle long, id long")
+    alone = flat.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def _sets(rows: DataFrame, k: int) -> DataFrame:
     """(id, set_key, shingles): the full sets."""
 
