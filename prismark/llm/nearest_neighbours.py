@@ -85,31 +85,34 @@ class Block:
         for j in range(SUBSTRINGS):
             part = self.part(codes, j)
             order = np.argsort(part, kind="stable")
-            values, starts = np.unique(part[order], return_index=True)
-            self.tables.append((order, values, np.append(starts, len(order))))
+            values, counts = np.unique(part, return_counts=True)
+            self.tables.append((order, values, counts))
 
     @staticmethod
     def part(codes: np.ndarray, j: int) -> np.ndarray:
-        return (codes >> np.uint64(j * PART)) & np.uint64((1 << PART) - 1)
+        return ((codes >> np.uint64(j * PART)) & np.uint64((1 << PART) - 1)).astype(np.uint16)
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """Rows whose code is within the radius: a substring differs in radius // m bits at most, or, behind the first radius % m + 1 substrings, in one less."""
         found = np.zeros(len(self.codes), bool)
-        for j, (order, values, starts) in enumerate(self.tables):
-            least = radius // SUBSTRINGS - (j > radius % SUBSTRINGS)
-            for v in np.flatnonzero(hamming(values, self.part(code, j)) <= least):
-                found[order[starts[v] : starts[v + 1]]] = True
+        for j, (order, values, counts) in enumerate(self.tables):
+            near = hamming(values, self.part(code, j)) <= radius // SUBSTRINGS - (j > radius % SUBSTRINGS)
+            found[order[np.repeat(near, counts)]] = True
         rows = np.flatnonzero(found)
         return rows[hamming(self.codes[rows], code) <= radius]
 
     def nearest(self, vector: np.ndarray, code: np.uint64, radius: int, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the candidates; the radius widens until k are found or the block has no more."""
+        """Rows and cosines of the best k candidates and their ties; the radius widens until k are found or the block has no more."""
         while True:
             rows = self.within(code, radius)
             rows = rows[rows != own]
             if len(rows) >= k or radius >= BITS:
                 break
             radius += 4
+        rough = (self.vectors[rows] @ vector) / self.norms[rows]
+        if len(rows) > k:  # sums in another order may differ in the last places; those within 1e-9 are summed anew
+            least = np.partition(rough, len(rough) - k)[len(rough) - k]
+            rows = rows[rough >= least - 1e-9 * abs(least)]
         score = (self.vectors[rows] * vector).sum(axis=1) / (self.norms[rows] * np.sqrt((vector * vector).sum()))
         return rows, score
 
