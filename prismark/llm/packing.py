@@ -1,13 +1,15 @@
 """Best-fit packing by hierarchical residual packing.
 
 Level 0: each input partition tokenises its documents, cuts those longer than a sequence and packs the pieces best fit,
-longest first. Full bins are done. Level 1 and up: the underfull bins of `fan_in` neighbouring groups meet in one task
-and are packed as items, best fit, until one group is left; a bin that moves into another carries its offset along.
-Only bins move between levels (an id and a fill each), never texts or pieces.
+longest first. Full bins are done. Level 1 and up: the underfull bins of `fan_in` groups meet in one task, opened, so that
+their pieces are the items of another round of best fit, until one group is left. Opened, because two bins over half full
+can't be merged: with whole bins as items many small partitions would keep a few per cent more sequences.
+Only (number, length) of pieces move between levels, never texts.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from prismark.llm.common import materialise
 
 #: Pieces that a task packs at once; a larger partition is packed in turns.
 CHUNK = 200_000
-#: Bins of a partition are numbered from partition << SHIFT.
+#: Pieces of a partition are numbered from partition << SHIFT; a bin has the number of its first piece.
 SHIFT = 36
 
 
@@ -53,6 +55,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return where, offset, fills
 
 
+def placed(number: np.ndarray, length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece its bin, named by the bin's first piece, its offset there and the bin's fill."""
+    where, offset, fills = best_fit(length, capacity)
+    names = np.zeros(len(fills), np.int64)
+    names[where[offset == 0]] = number[offset == 0]
+    return names[where], offset, np.array(fills, np.int64)[where]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole up to capacity, else pieces of capacity with what is over in front."""
     if n <= capacity:
@@ -64,11 +74,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _local(tokenizer: str, eos: int, capacity: int, id_type: pa.DataType):
     def packed(ids: list, rows: list[tuple[int, int, int, int]], base: int) -> pa.RecordBatch:
         piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        where, offset, fills = best_fit(length, capacity)
-        fill = np.array(fills, np.int64)[where]
+        number = base + np.arange(len(rows))
+        owner, offset, fill = placed(number, length, capacity)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, id_type), *(pa.array(x) for x in (piece, start, length, crc, base + where, offset, fill))],
-            ["id", "piece", "start", "length", "ids_crc32", "bin", "bin_offset", "bin_fill"],
+            [pa.array(ids, id_type), *(pa.array(x) for x in (piece, start, length, crc, number, owner, offset, fill))],
+            ["id", "piece", "start", "length", "ids_crc32", "number", "bin", "offset", "fill"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,25 +102,20 @@ def _local(tokenizer: str, eos: int, capacity: int, id_type: pa.DataType):
     return run
 
 
-def _merge(capacity: int, climb: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Bins as items: each gets the bin that it moves into (itself for the first), its shift there, and on that one the new fill."""
-        pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
-        where, offset, fills = best_fit(pdf["fill"].to_numpy(), capacity)
-        first = np.full(len(fills), -1, np.int64)
-        for i, b in enumerate(where):
-            if first[b] < 0:
-                first[b] = i
-        bins, fill = pdf["bin"].to_numpy(), np.array(fills, np.int64)
-        into = bins[first[where]]
-        own = into == bins
-        now = np.where(own, fill[where], 0)
-        # Goes up: still underfull, and among the `climb` with most space of this task; the others stay sequences as they are.
-        up = own & (now < capacity)
-        if up.sum() > climb:
-            order = np.flatnonzero(up)[np.argsort(now[up], kind="stable")]
-            up[order[climb:]] = False
-        return pd.DataFrame({"bin": bins, "into": into, "shift": offset, "fill": now, "up": up})
+def _again(capacity: int, climb: int, last: bool):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """One more round over the pieces of underfull bins; up: goes on to the next round."""
+        pdf = pdf.sort_values("number", ignore_index=True)
+        owner, offset, fill = placed(pdf["number"].to_numpy(), pdf["length"].to_numpy(), capacity)
+        up = np.zeros(len(pdf), bool)
+        if not last:
+            # The emptiest bins first, as many as hold `climb` pieces; the others stay sequences as they are.
+            order = np.lexsort((owner, fill))
+            taken = np.zeros(len(pdf), bool)
+            taken[order[:climb]] = True
+            whole = pd.Series(taken).groupby(owner).transform("all").to_numpy()
+            up = whole & (fill < capacity)
+        return pd.DataFrame({"number": pdf["number"], "length": pdf["length"], "bin": owner, "offset": offset, "up": up})
 
     return run
 
@@ -123,7 +128,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     fan_in: int = 8,
-    climb: int = 50_000,
+    climb: int = 250_000,
 ) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -131,42 +136,28 @@ def pack(
     documents longer than `capacity` are cut. Sequences are gapless from offset 0 and hold `capacity` at most. A null id
     stays null; repeated rows are packed each for itself; an empty table gives no rows; other columns are not read.
 
-    `climb` bounds what a task hands up, not what is packed: a bin that stays below is a finished sequence.
+    `climb` bounds the pieces that a task hands up, not what is packed: a bin that stays below is a finished sequence.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = rows.schema["id"]
-    longs = ["piece", "start", "length", "ids_crc32", "bin", "bin_offset", "bin_fill"]
+    longs = ["piece", "start", "length", "ids_crc32", "number", "bin", "offset", "fill"]
     schema = T.StructType([T.StructField("id", key.dataType), *(T.StructField(c, T.LongType()) for c in longs)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     pieces = materialise(rows.mapInArrow(_local(tokenizer, eos, capacity, to_arrow_type(key.dataType)), schema), "pieces")
-    bins = pieces.where((F.col("bin_offset") == 0) & (F.col("bin_fill") < capacity)).select("bin", F.col("bin_fill").alias("fill"))
-    groups = (pieces.agg(F.max(F.shiftright("bin", SHIFT))).first()[0] or 0) + 1
-    moved, level = None, 0
-    schema = "bin long, into long, shift long, fill long, up boolean"
-    while True:
-        level += 1
+    items = pieces.where(F.col("fill") < capacity).select("number", "length")
+    groups = (pieces.agg(F.max(F.shiftright("number", SHIFT))).first()[0] or 0) + 1
+    settled, last = [], groups == 1
+    while not last:
         groups = -(-groups // fan_in)
-        group = F.shiftright("bin", SHIFT) % groups
-        step = materialise(bins.groupBy(group.alias("g")).applyInPandas(_merge(capacity, climb), schema), f"bins{level}")
-        hop = step.where("bin != into").select("bin", "into", "shift")
-        if moved is None:
-            moved = hop
-        else:  # what moved before may move on with its bin
-            on = hop.select(F.col("bin").alias("via"), F.col("into").alias("next"), F.col("shift").alias("further"))
-            kept = moved.join(on, moved["into"] == on["via"], "left")
-            kept = kept.select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("further", F.lit(0))).alias("shift"))
-            moved = kept.unionByName(hop)
-        bins = step.where("up").select("bin", "fill")
-        if groups == 1:
-            break
-    out = pieces.join(moved, "bin", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
-        F.coalesce("into", "bin").alias("sequence_id"),
-        (F.col("bin_offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-    )
+        last = groups == 1
+        group = (F.shiftright("number", SHIFT) % groups).alias("g")
+        step = items.groupBy(group).applyInPandas(_again(capacity, climb, last), "number long, length long, bin long, offset long, up boolean")
+        step = materialise(step, "round")
+        settled.append(step.where("not up").select("number", F.col("bin").alias("late_bin"), F.col("offset").alias("late_offset")))
+        items = step.where("up").select("number", "length")
+    out = pieces
+    if settled:
+        out = pieces.join(functools.reduce(DataFrame.unionByName, settled), "number", "left")
+        out = out.withColumn("bin", F.coalesce("late_bin", "bin")).withColumn("offset", F.coalesce("late_offset", "offset"))
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
