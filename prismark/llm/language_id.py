@@ -26,6 +26,8 @@ EFFECTIVE = 60
 DECLARED_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 #: Rows that the prior of the level above counts as.
 PRIOR_ROWS = 10.0
+#: Share of a text's trigrams that must be likelier than chance under its language: names and codes are not, foreign scripts aren't at all.
+LEAST_LIKELY = 0.25
 _letters = None
 
 
@@ -77,21 +79,24 @@ def text_model(counts: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def text_scores(rows: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep, letters (trigrams seen) and text_score (mean log-likelihood of a trigram by language) of each row."""
+    """keep, letters (trigrams seen), text_score (mean log-likelihood of a trigram by language) and likely (share of them likelier than chance) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, chance = shared.value, -np.log(BUCKETS)
         for batch in batches:
-            seen, scores = [], []
+            seen, scores, likely = [], [], []
             for text in batch.column("text").to_pylist():
                 t = trigrams(text)
                 seen.append(len(t))
-                scores.append([float(x[t].mean(dtype=np.float64)) for x in m] if len(t) else [0.0] * len(m))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seen, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], [*keep, "letters", "text_score"])
+                each = [x[t] for x in m] if len(t) else [np.zeros(1)] * len(m)
+                scores.append([float(v.mean(dtype=np.float64)) for v in each])
+                likely.append([float((v > chance).mean()) for v in each])
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (scores, likely)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seen, pa.int64()), *lists], [*keep, "letters", "text_score", "likely"])
 
-    return rows.select(*keep, "text").mapInArrow(run, f"{fields}, letters long, text_score array<double>")
+    return rows.select(*keep, "text").mapInArrow(run, f"{fields}, letters long, text_score array<double>, likely array<double>")
 
 
 def domain_of(host: Column) -> Column:
@@ -130,7 +135,7 @@ def identify(
     """One row per row of rows: id_col, language, confidence, text_language, letters, kept.
 
     language is the one with the largest posterior (ties: the first of `languages`), confidence its probability. A row is
-    kept if its text has letters, its trigrams are likelier than chance under that language, and confidence >= least.
+    kept if its text has letters, LEAST_LIKELY of its trigrams are likelier than chance under that language, and confidence >= least.
     Declared or address languages that are null or not among `languages` say nothing, nor does a null host. A null or
     empty text is decided by the other evidence, has text_language null and is not kept. Null ids stay, repeated rows
     give repeated results, an empty table gives none, other columns are not read.
@@ -150,7 +155,7 @@ def identify(
     if evidence is not None:
         more = evidence.select(F.col(id_col).alias("e_id"), F.col("declared").alias("e_declared"), F.col("address_language").alias("e_address"), F.col("host").alias("e_host"))
         own = {c: F.coalesce(f"e_{c}", c).alias(c) for c in ("declared", "address", "host")}
-        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", "letters", "text_score", *own.values())
+        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", "letters", "text_score", "likely", *own.values())
         scored = materialise(scored.withColumn("domain", domain_of(F.col("host"))), "evidence")
     by_host, everywhere = priors(scored, languages)
     joined = scored.join(by_host.withColumnRenamed("host", "prior_host"), F.col("host") == F.col("prior_host"), "left")
@@ -166,12 +171,11 @@ def identify(
         F.get("text_score", i) * effective + F.log(d) + F.log(a) + F.log(F.get(prior, i))
         for i, (d, a) in enumerate(zip(stated("declared", DECLARED_RIGHT), stated("address", ADDRESS_RIGHT), strict=True))
     ]
-    fused = joined.select("id", "letters", "text_score", F.array(*logs).alias("logs")).withColumn("best", F.array_max("logs"))
-    chance = -float(np.log(BUCKETS))
+    fused = joined.select("id", "letters", "text_score", "likely", F.array(*logs).alias("logs")).withColumn("best", F.array_max("logs"))
     names = F.array(*map(F.lit, languages))
     place = lambda values, top: F.array_position(values, top).cast("int") - 1
     confidence = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
-    out = fused.select("id", "letters", "text_score", place(F.col("logs"), F.col("best")).alias("k"), confidence.alias("confidence"))
+    out = fused.select("id", "letters", "text_score", "likely", place(F.col("logs"), F.col("best")).alias("k"), confidence.alias("confidence"))
     text_k = place(F.col("text_score"), F.array_max("text_score"))
     return out.select(
         F.col("id").alias(id_col),
@@ -179,7 +183,7 @@ def identify(
         "confidence",
         F.when(F.col("letters") > 0, F.get(names, text_k)).alias("text_language"),
         "letters",
-        ((F.col("letters") > 0) & (F.get("text_score", F.col("k")) > chance) & (F.col("confidence") >= least)).alias("kept"),
+        ((F.col("letters") > 0) & (F.get("likely", F.col("k")) >= LEAST_LIKELY) & (F.col("confidence") >= least)).alias("kept"),
     )
 
 
