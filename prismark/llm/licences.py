@@ -1,12 +1,13 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences; the sequence of the
-identifiers found is then matched against licence rules, each an ordered run of identifiers. All of it is one projection
-over whole texts: no shuffle, no Python.
+A text is cut into pieces, which are normalised; known licence sentences are found wherever they are one piece or several in
+a row, so also wrapped over lines, in comments and across paragraphs. The sequence of the identifiers found is then matched
+against licence rules, each an ordered run of identifiers. All of it is one projection over whole texts: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,13 @@ SENTENCES = {
     "cc-by-nc-4.0-notice": "licensed under cc by nc 4 0",
     "rights-reserved": "all rights reserved",
 }
+# Other wordings of these sentences.
+WORDINGS = {"you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-2.0-copy"}
+
+#: Sentences of so many words are unmistakable: they may follow words that nothing cuts off, as a holder's name.
+LONG = 12
+#: A piece ends where white space follows a sentence end or its closing quotes, a list mark or an address, and at every newline.
+PIECE_END = r"([.!?;:]+[\"'”’)\]]*|\n[ \t]*\(?[0-9A-Za-z]{1,3}\)|://[^\s]+)[ \t\r]+"
 
 
 @dataclass(frozen=True)
@@ -54,14 +62,21 @@ RULES = [
 CLASSES = ("permissive", "copyleft", "non-commercial", "proprietary")
 
 
-def sentences_of(text: Column) -> Column:
-    """Lines, cut behind . ! and ? where white space follows; sentences that are wrapped over lines must be joined before."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
+def pieces_of(text: Column) -> Column:
+    """The text's pieces, each a-z and 0-9 of the lower-cased piece with all else as single spaces, between bars; "rem" and "dnl" before one are comment marks."""
+    cut = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), PIECE_END, "$1\n")
+    words = F.regexp_replace(ascii_lower(cut), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(words, " ?\n[ \n]*(?:(?:rem|dnl)(?=[ \n]) ?)?", "|")
 
 
-def normalised(sentence: Column) -> Column:
-    """a-z and 0-9 of the lower-cased sentence, all else as single spaces."""
-    return F.trim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
+def sentences_in(text: Column, known: list[str]) -> Column:
+    """The known sentences, in order, that begin and end where pieces of the text do, long ones also beginning within one; of several from one place the longest."""
+    longest = sorted(known, key=len, reverse=True)
+    of = lambda s: "[ |]+".join(map(re.escape, s.split()))
+    long, short = ([of(s) for s in longest if (len(s.split()) >= LONG) == x] for x in (True, False))
+    ways = [start + "(?:" + "|".join(x) + ")" for start, x in (("[ |]", long), (r"\|", short)) if x]
+    found = F.regexp_extract_all(pieces_of(text), F.lit("(?:" + "|".join(ways) + r")(?=\|)"), 0)
+    return F.transform(found, lambda s: F.trim(F.regexp_replace(s, "[ |]+", " ")))
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[LicenceRule] | None = None) -> DataFrame:
@@ -71,9 +86,10 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows give repeated results, an empty table gives none, other columns are not read.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
-    known = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    cut = sentences_of(F.coalesce(F.col(text_col), F.lit("")))
-    names = F.array_compact(F.transform(cut, lambda s: F.try_element_at(known, normalised(s))))
+    names_of = {s: name for s, name in WORDINGS.items() if name in sentences} | {s: name for name, s in sentences.items()}
+    known = F.create_map(*[F.lit(x) for pair in names_of.items() for x in pair])
+    met = sentences_in(F.coalesce(F.col(text_col), F.lit("")), list(names_of))
+    names = F.transform(met, lambda s: F.element_at(known, s))
     rows = df.select(F.col(id_col), names.alias("names"))
     rows = rows.select(id_col, F.array_join("names", ",").alias("sentences"), F.size("names").cast("long").alias("n_sentences"))
     line = F.concat(F.lit(","), "sentences", F.lit(","))

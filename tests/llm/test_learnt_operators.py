@@ -152,3 +152,63 @@ def test_licences(spark):
     assert got[2] == ("MIT", "permissive", 2) and got[3][:2] == ("", "none") and got[6] == ("CC-BY-NC-4.0", "non-commercial", 1)
     assert [got[i] for i in (4, 5, 7, 8)] == [("", "none", 0)] * 4
     assert licences.scan_licences(df).count() == 11 and licences.scan_licences(df.limit(0)).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+
+
+def test_wrapped_and_reflowed_licences(spark):
+    ways = {
+        "wrapped": lambda t: t,
+        "crlf": lambda t: t.replace("\n", "\r\n"),
+        "reflowed": lambda t: " ".join(t.split()),
+        "paragraphs": lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+        "narrow": lambda t: t.replace(" ", "\n"),
+        "stars": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;",
+        "slashes": lambda t: "int x; // y\n" + "".join(f"  // {x}\n" for x in t.split("\n")),
+        "dnl": lambda t: "".join(f"dnl {x}".rstrip() + "\n" for x in t.split("\n")),
+        "listed": lambda t: "Terms\n (a) " + t[t.index("Permission") :] if t is MIT else t,
+        "https": lambda t: t.replace("http:", "https:"),
+    }
+    texts = [(f"{name} {k}", way(t)) for name, way in ways.items() for k, t in (("Apache-2.0", APACHE), ("GPL-3.0", GPL), ("MIT", MIT))]
+    odd = [("cut ", APACHE[:-300]), ("not ", "Not all\nrights reserved here.\nWe do not say: released under the\nMIT license plates."), ("lines MIT", "Released under\nthe MIT License.")]
+    rows = spark.createDataFrame(texts + odd, "doc_id string, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(rows).collect()}
+    assert {i: x for i, x in got.items() if x != i.split(" ")[1]} == {}
+    whole = {r.doc_id: r.sentences for r in licences.scan_licences(rows.where("doc_id like 'wrapped%'")).collect()}
+    assert whole == {"wrapped Apache-2.0": "apache-2.0-comply,apache-2.0-copy,apache-2.0-basis", "wrapped GPL-3.0": "gpl-grant,gpl-hope", "wrapped MIT": "mit-grant,as-is"}
