@@ -3,7 +3,8 @@
 Four kinds of evidence are multiplied: the likelihood of the text's letter trigrams, the declared markup language, the
 language that the address names (top-level domain or first part of the path), and a prior of the host, smoothed towards
 that of its domain, which is smoothed towards that of all rows. Trigram and prior counts are grouped aggregates over all
-rows, with the declared language as the label.
+rows, with the declared language as the label. That a text is in none of the languages has a likelihood of its own: that of
+its characters, counted over all rows, in any order.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ DECLARED_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 PRIOR_ROWS = 10.0
 #: Share of a text's trigrams that must be likelier than chance under its language: names and codes are not, foreign scripts aren't at all.
 LEAST_LIKELY = 0.25
+#: Log odds that a text has for its language beforehand: what unlike trigrams (a code, a notice) may cost a short text; a long one must be likelier than its characters.
+AGAINST_NONE = 100.0
+#: Code points that are told apart; those beyond count as 0.
+CHARACTERS = 0x10000
 _letters = None
 
 
@@ -44,59 +49,80 @@ def _folded() -> np.ndarray:
     return _letters
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of all three consecutive characters with a letter in the middle, other characters counting as spaces; whole text."""
+def _characters(text: str) -> np.ndarray:
     c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    c = np.where(c < 0x10000, _folded()[np.minimum(c, 0xFFFF)], c).astype(np.uint32)
+    return np.where(c < 0x10000, _folded()[np.minimum(c, 0xFFFF)], c).astype(np.uint32)
+
+
+def _buckets(c: np.ndarray) -> np.ndarray:
     h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     return ((h >> np.uint32(17)) & np.uint32(BUCKETS - 1))[c[1:-1] != 32].astype(np.int32)
 
 
+def trigrams(text: str) -> np.ndarray:
+    """Buckets of all three consecutive characters with a letter in the middle, other characters counting as spaces; whole text."""
+    return _buckets(_characters(text))
+
+
 def trigram_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(language, bucket, n) over all rows (text, declared) that declare one of the languages."""
+    """(language, bucket, n) over all rows (text, declared) that declare one of the languages; with language -1, characters of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total, all_ = np.zeros((len(languages), BUCKETS), np.int64), np.zeros(CHARACTERS, np.int64)
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             for text, name in zip(batch.column("text").to_pylist(), batch.column("declared").to_pylist(), strict=True):
-                total[place[name]] += np.bincount(trigrams(text), minlength=BUCKETS)
+                c = _characters(text)
+                n = np.bincount(np.where(c < CHARACTERS, c, 0))
+                all_[: len(n)] += n
+                if name in place:
+                    total[place[name]] += np.bincount(_buckets(c), minlength=BUCKETS)
         at, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[at, bucket])], ["language", "bucket", "n"])
+        (seen,) = np.nonzero(all_)
+        columns = ((at, np.full(len(seen), -1)), (bucket, seen), (total[at, bucket], all_[seen]))
+        kinds = (np.int32, np.int32, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(columns, kinds, strict=True)], ["language", "bucket", "n"])
 
-    known = rows.where(F.col("declared").isin(languages)).select("text", "declared")
-    return known.mapInArrow(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    return rows.select("text", "declared").mapInArrow(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 
-def text_model(counts: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log-likelihood of each bucket under each language; len(languages) x BUCKETS numbers at most come to the driver."""
-    n = np.zeros((len(languages), BUCKETS))
+def text_model(counts: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods of each bucket under each language, and of each character; len(languages) x BUCKETS + CHARACTERS numbers at most come to the driver."""
+    n, characters = np.zeros((len(languages), BUCKETS)), np.zeros(CHARACTERS)
     found = counts.toArrow()
-    n[found.column("language").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    at, bucket, k = (found.column(c).to_numpy() for c in ("language", "bucket", "n"))
+    n[at[at >= 0], bucket[at >= 0]] = k[at >= 0]
+    characters[bucket[at < 0]] = k[at < 0]
     spread = 0.5
-    return np.log((n + spread) / (n.sum(axis=1, keepdims=True) + spread * BUCKETS)).astype(np.float32)
+    logs = [np.log((x + spread) / (x.sum(axis=-1, keepdims=True) + spread * x.shape[-1])).astype(np.float32) for x in (n, characters)]
+    return logs[0], logs[1]
 
 
-def text_scores(rows: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep, letters (trigrams seen), text_score (mean log-likelihood of a trigram by language) and likely (share of them likelier than chance) of each row."""
+def text_scores(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
+    """keep, letters (trigrams seen), text_score (mean log-likelihood of a trigram by language), likely (share of them likelier than chance) and background (mean log-likelihood of a trigram's characters, chance at least) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, chance = shared.value, -np.log(BUCKETS)
+        (m, characters), chance = shared.value, -np.log(BUCKETS)
         for batch in batches:
-            seen, scores, likely = [], [], []
+            seen, scores, likely, background = [], [], [], []
             for text in batch.column("text").to_pylist():
-                t = trigrams(text)
+                c = _characters(text)
+                t = _buckets(c)
                 seen.append(len(t))
                 each = [x[t] for x in m] if len(t) else [np.zeros(1)] * len(m)
                 scores.append([float(v.mean(dtype=np.float64)) for v in each])
                 likely.append([float((v > chance).mean()) for v in each])
+                one = characters[np.where(c < CHARACTERS, c, 0)]
+                three = (one[:-2] + one[1:-1] + one[2:])[c[1:-1] != 32]
+                background.append(float(np.maximum(three, chance).mean(dtype=np.float64)) if len(t) else 0.0)
             lists = [pa.array(x, pa.list_(pa.float64())) for x in (scores, likely)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seen, pa.int64()), *lists], [*keep, "letters", "text_score", "likely"])
+            columns = [*(batch.column(c) for c in keep), pa.array(seen, pa.int64()), *lists, pa.array(background, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "letters", "text_score", "likely", "background"])
 
-    return rows.select(*keep, "text").mapInArrow(run, f"{fields}, letters long, text_score array<double>, likely array<double>")
+    return rows.select(*keep, "text").mapInArrow(run, f"{fields}, letters long, text_score array<double>, likely array<double>, background double")
 
 
 def domain_of(host: Column) -> Column:
@@ -134,8 +160,8 @@ def identify(
 ) -> DataFrame:
     """One row per row of rows: id_col, language, confidence, text_language, letters, kept.
 
-    language is the one with the largest posterior (ties: the first of `languages`), confidence its probability. A row is
-    kept if its text has letters, LEAST_LIKELY of its trigrams are likelier than chance under that language, and confidence >= least.
+    language is the one with the largest posterior (ties: the first of `languages`), confidence its probability, that of none
+    of them included. A row is kept if its text has letters, LEAST_LIKELY of its trigrams are likelier than chance under that language, and confidence >= least.
     Declared or address languages that are null or not among `languages` say nothing, nor does a null host. A null or
     empty text is decided by the other evidence, has text_language null and is not kept. Null ids stay, repeated rows
     give repeated results, an empty table gives none, other columns are not read.
@@ -155,7 +181,7 @@ def identify(
     if evidence is not None:
         more = evidence.select(F.col(id_col).alias("e_id"), F.col("declared").alias("e_declared"), F.col("address_language").alias("e_address"), F.col("host").alias("e_host"))
         own = {c: F.coalesce(f"e_{c}", c).alias(c) for c in ("declared", "address", "host")}
-        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", "letters", "text_score", "likely", *own.values())
+        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", "letters", "text_score", "likely", "background", *own.values())
         scored = materialise(scored.withColumn("domain", domain_of(F.col("host"))), "evidence")
     by_host, everywhere = priors(scored, languages)
     joined = scored.join(by_host.withColumnRenamed("host", "prior_host"), F.col("host") == F.col("prior_host"), "left")
@@ -171,11 +197,13 @@ def identify(
         F.get("text_score", i) * effective + F.log(d) + F.log(a) + F.log(F.get(prior, i))
         for i, (d, a) in enumerate(zip(stated("declared", DECLARED_RIGHT), stated("address", ADDRESS_RIGHT), strict=True))
     ]
-    fused = joined.select("id", "letters", "text_score", "likely", F.array(*logs).alias("logs")).withColumn("best", F.array_max("logs"))
+    fused = joined.select("id", "letters", "text_score", "likely", "background", F.array(*logs).alias("logs")).withColumn("best", F.array_max("logs"))
     names = F.array(*map(F.lit, languages))
     place = lambda values, top: F.array_position(values, top).cast("int") - 1
-    confidence = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
-    out = fused.select("id", "letters", "text_score", "likely", place(F.col("logs"), F.col("best")).alias("k"), confidence.alias("confidence"))
+    k = place(F.col("logs"), F.col("best"))
+    none = F.exp((F.col("background") - F.get("text_score", k)) * F.col("letters") - AGAINST_NONE)
+    confidence = 1 / F.aggregate("logs", none, lambda s, x: s + F.exp(x - F.col("best")))
+    out = fused.select("id", "letters", "text_score", "likely", k.alias("k"), confidence.alias("confidence"))
     text_k = place(F.col("text_score"), F.array_max("text_score"))
     return out.select(
         F.col("id").alias(id_col),
