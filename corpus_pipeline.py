@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismark.llm import decontamination, language_id, near_duplicates, packing, quality
 from prismark.llm.common import materialise, table, tuned
-from prismark.llm.queries import LANGUAGES, TOKENIZER
+from prismark.llm.queries import LANGUAGES, TOKENIZER, page_metadata
 from prismark.llm.tokenizing import public_path
 
 
@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the co-trained classifier scores as bad."""
     tuned(spark)
-    return _only(docs, quality.score(docs, table(spark, sf_dir, "labels")).where("kept"))
+    return _only(docs, quality.score(docs, table(spark, sf_dir, "labels"), evidence=page_metadata(table(spark, sf_dir, "pages"))).where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

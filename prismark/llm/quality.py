@@ -1,7 +1,8 @@
 """A quality classifier by co-training.
 
 Two views of a document are classified apart: its text (how its words, symbols and repetitions look) and its metadata
-(language, source, length). In each round each classifier labels the documents that it is sure of for the other one. In the
+(language, source, length, and what pages say of it). In each round each classifier labels for the other one the documents
+that it is sure of, and its surest of each class in any case, as a view may be right more often than not and never sure. In the
 end both views' margins are calibrated together on labelled documents that no round has seen, and every document is scored.
 """
 
@@ -23,8 +24,11 @@ from prismark.llm.common import materialise
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "bars", "capital_words", "distinct", "top_word", "lines", "repeated_lines", "stops", "ends", "longest")
 HASHED = 1 << 12
 ROUNDS = 2
-#: A view labels for the other one what it is at least this sure of; such labels weigh half.
-SURE, PSEUDO_WEIGHT = 0.99, 0.5
+#: A view labels for the other one what it is at least this sure of, and at least this share of the unlabelled documents, its
+#: surest of each class as the classes are among the labels; such labels weigh half.
+SURE, SHARE, PSEUDO_WEIGHT = 0.99, 0.1, 0.5
+#: What pages may say of a document: names, and counts in their markup.
+PAGE_NAMES, PAGE_COUNTS = ("host", "declared", "address_language"), ("tags", "links", "scripts")
 #: Of ten labelled documents so many are kept for calibration.
 CALIBRATION = 2
 
@@ -87,13 +91,24 @@ def _with_margin(model, df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.greatest(F.lit(-30.0), F.least(F.lit(30.0), _margin()))).drop("raw", "prob", "p")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
+def surest(scored: DataFrame, good: float) -> DataFrame:
+    """The rows of scored (m: margin; tie: in what order equal margins go, -1 to 1) that a view labels, with y: what it is SURE of, and SHARE of all at least, `good` of it good."""
+    rows = scored.withColumn("m", F.col("m") + F.lit(1e-6) * F.col("tie"))
+    low, high = rows.agg(F.percentile_approx("m", F.array(F.lit(SHARE * (1 - good)), F.lit(1 - SHARE * good)), 10_000)).first()[0] or (0.0, 0.0)
+    edge = float(np.log(SURE / (1 - SURE)))
+    is_good, is_bad = F.col("m") >= min(edge, high), F.col("m") <= max(-edge, low)
+    return rows.where(is_good != is_bad).withColumn("y", is_good.cast("double"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5, evidence: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: id_col, text_margin, metadata_margin, quality_score (probability of good), kept (score >= threshold).
 
     labels: (id_col, label_col 0/1), some of them; null labels are left out, of several for one document the mean decides (good
     from a half on). Without labels of both kinds nothing can be learnt: all scores are null and all documents kept. A null
     text counts as empty, null metadata as unknown. Null ids are scored and take no label; repeated rows give repeated
     results; an empty table gives none; other columns are not read.
+
+    evidence: (id_col, PAGE_NAMES, PAGE_COUNTS) of another table, one row per id; it meets the documents without their texts.
     """
     base = docs.select(
         F.col(id_col).alias("id"),
@@ -105,22 +120,29 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = features(base, ["id", "source", "lang", "chars"])
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
     known = known.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("y"))
-    seen = materialise(seen.join(known, F.col("id") == F.col("label_id"), "left").drop("label_id"), "features")
+    seen = seen.join(known, F.col("id") == F.col("label_id"), "left").drop("label_id")
+    if evidence is not None:
+        more = evidence.select(F.col(id_col).alias("page_of"), *PAGE_NAMES, *PAGE_COUNTS)
+        seen = seen.join(more, F.col("id") == F.col("page_of"), "left").drop("page_of")
+    names = [F.coalesce(F.col(c).cast("string") if evidence is not None else F.lit(None), F.lit("?")).alias(c) for c in PAGE_NAMES]
+    counts = [F.log1p(F.coalesce(F.col(c).cast("double") if evidence is not None else F.lit(None), F.lit(0.0))).alias(c) for c in PAGE_COUNTS]
+    seen = materialise(seen.select("id", "source", "lang", "chars", "features", "y", *names, *counts), "features")
     kinds = [r[0] for r in seen.where("y is not null").select("y").distinct().collect()]  # two numbers at most
     none = F.lit(None).cast("double")
     if len(kinds) < 2:
         return seen.select(F.col("id").alias(id_col), none.alias("text_margin"), none.alias("metadata_margin"), none.alias("quality_score"), F.lit(True).alias("kept"))
     seen = seen.withColumn("text_view", array_to_vector("features"))
-    seen = FeatureHasher(inputCols=["source", "lang"], outputCol="hashed", numFeatures=HASHED).transform(seen)
-    seen = VectorAssembler(inputCols=["hashed", "chars"], outputCol="metadata_view").transform(seen)
+    seen = FeatureHasher(inputCols=["source", "lang", *PAGE_NAMES], outputCol="hashed", numFeatures=HASHED).transform(seen)
+    seen = VectorAssembler(inputCols=["hashed", "chars", *PAGE_COUNTS], outputCol="metadata_view").transform(seen)
     seen = seen.withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(10)) < CALIBRATION)
     train = seen.where("y is not null and not held").select("text_view", "metadata_view", "y").withColumn("weight", F.lit(1.0))
-    open_ = seen.where("y is null").select("text_view", "metadata_view")
+    tie = F.xxhash64("id", "features") / F.lit(2.0**63)
+    open_ = seen.where("y is null").select("text_view", "metadata_view", tie.alias("tie"))
     views = ("text_view", "metadata_view")
     models = {v: _classifier(v).fit(train) for v in views}
-    edge = float(np.log(SURE / (1 - SURE)))
+    good = train.agg(F.avg("y")).first()[0] or 0.0
     for _ in range(ROUNDS):
-        sure = {v: _with_margin(models[v], open_, "m").where(F.abs("m") >= edge).select(*views, (F.col("m") > 0).cast("double").alias("y"), F.lit(PSEUDO_WEIGHT).alias("weight")) for v in views}
+        sure = {v: surest(_with_margin(models[v], open_, "m"), good).select(*views, "y", F.lit(PSEUDO_WEIGHT).alias("weight")) for v in views}
         models = {v: _classifier(v).fit(train.unionByName(sure[other])) for v, other in (views, views[::-1])}
     scored = _with_margin(models["metadata_view"], _with_margin(models["text_view"], seen, "text_margin"), "metadata_margin")
     both = VectorAssembler(inputCols=["text_margin", "metadata_margin"], outputCol="both")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismark.llm import decontamination, language_id, licences, near_duplicates, nearest_neighbours, packing, quality, token_counts, url_filter, warc
@@ -79,7 +79,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), evidence=page_metadata(table(spark, sf_dir, "pages")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +146,27 @@ from documents left join found using (doc_id) left join named using (doc_id)
 LANGUAGES = ["de", "en", "es", "fr"]
 
 
+def _of_documents(pages: DataFrame, *said: Column) -> DataFrame:
+    """doc_id and said of documents whose number ends a page's path; of several pages that with the smallest id."""
+    number = F.regexp_extract("url", r"://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:[./?#]|$)", 1)
+    pages = pages.select(F.when(number != "", number.cast("long")).alias("doc_id"), F.struct("page_id", *said).alias("e")).where("doc_id is not null")
+    return pages.groupBy("doc_id").agg(F.min("e").alias("e")).select("doc_id", "e.*").drop("page_id")
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(doc_id, declared, address_language, host) of documents whose number ends a page's path; of several pages that with the smallest id."""
-    number = F.regexp_extract("url", r"://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:[./?#]|$)", 1)
-    url, found = F.col("url"), F.when(number != "", number.cast("long"))
-    said = F.struct("page_id", language_id.markup_language(F.col("html")).alias("declared"), language_id.address_language(url, LANGUAGES).alias("address_language"), language_id.page_host(url).alias("host"))
-    pages = pages.select(found.alias("doc_id"), said.alias("e")).where("doc_id is not null")
-    return pages.groupBy("doc_id").agg(F.min("e").alias("e")).select("doc_id", "e.declared", "e.address_language", "e.host")
+    return _of_documents(pages, *_page_names())
+
+
+def _page_names() -> list[Column]:
+    url = F.col("url")
+    return [language_id.markup_language(F.col("html")).alias("declared"), language_id.address_language(url, LANGUAGES).alias("address_language"), language_id.page_host(url).alias("host")]
+
+
+def page_metadata(pages: DataFrame) -> DataFrame:
+    """page_evidence, and the tags, links and scripts in the page's markup."""
+    times = lambda x, name: ((F.length("html") - F.length(F.replace("html", F.lit(x)))) / len(x)).alias(name)
+    return _of_documents(pages, *_page_names(), times("<", "tags"), times("<a ", "links"), times("<script", "scripts"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prismark.llm import language_id, licences, nearest_neighbours, quality
 from prismark.llm.common import table, tuned
-from prismark.llm.queries import LANGUAGES, op2_nearest_neighbours, op9_language_id, page_evidence
+from prismark.llm.queries import LANGUAGES, op2_nearest_neighbours, op9_language_id, page_evidence, page_metadata
 from tests.llm import brute
 
 VECTORS = "vec_id long, embedding array<float>, label string, score double"
@@ -142,6 +142,30 @@ def test_quality_on_held_out_documents(spark):
     assert right / len(held) > 0.95 and sum(clean) / len(clean) > 0.97
 
 
+def test_both_views_label_for_each_other(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs, labels, pages = (table(tuned(spark), d, t) for t in ("documents", "labels", "pages"))
+    given, surest = [], quality.surest
+
+    def counted(scored, good):
+        out = surest(scored, good)
+        given.append((scored.count(), {r.y: r["count"] for r in out.groupBy("y").count().collect()}))
+        return out
+
+    monkeypatch.setattr(quality, "surest", counted)
+    assert quality.score(docs, labels, evidence=page_metadata(pages)).count() == docs.count()
+    assert len(given) == 2 * quality.ROUNDS
+    for n, found in given:
+        assert set(found) == {0.0, 1.0} and sum(found.values()) >= 0.9 * quality.SHARE * n
+
+
+def test_surest_with_equal_margins(spark):
+    same = spark.range(1000).select(F.lit(0.5).alias("m"), (F.col("id") / 500 - 1).alias("tie"))
+    got = {r.y: r["count"] for r in quality.surest(same, 0.8).groupBy("y").count().collect()}
+    assert got[1.0] == pytest.approx(80, abs=3) and got[0.0] == pytest.approx(20, abs=3)
+    assert quality.surest(same.limit(0), 0.8).count() == 0
+
+
 def test_quality_odd_input(spark, sf_dir):
     docs, labels = table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     more = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", -5), (None, "a b", "en", "s", 3), (9002, "long " * 50_000, "en", "s", 1), (9002, "long " * 50_000, "en", "s", 1)], docs.schema)
