@@ -37,8 +37,8 @@ def correlate(x: np.ndarray, weights: np.ndarray, left: int, mode: str, cval: fl
     if mode == "constant":
         full = np.where(at < 0, cval, full)
     out = np.zeros_like(x)
-    for k, c in enumerate(weights):
-        if c:
+    for k, c in enumerate(weights):  # a number each, or a column with a number for each row
+        if np.any(c):
             out += c * full[:, k : k + n]
     return out
 
@@ -172,6 +172,49 @@ def spline_basis(knots: np.ndarray, at: np.ndarray) -> np.ndarray:
     return curve + (right / w)[:, None] * eye[j] + (left / w)[:, None] * eye[j + 1]
 
 
+@functools.lru_cache(maxsize=16)
+def _unit_curvature(n: int) -> np.ndarray:
+    """M with x @ M the second derivatives, at all places 0 .. n - 1, of the not-a-knot spline through x there."""
+    a = np.zeros((n, n))
+    second = np.zeros((n, n))
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = 1, 4, 1
+        second[i, i - 1 : i + 2] = 6, -12, 6
+    a[0, :3] = a[-1, -3:] = 1, -2, 1
+    return np.linalg.solve(a, second).T
+
+
+def _swept_curvature(x: np.ndarray) -> np.ndarray:
+    """The same for long rows, by elimination along the places for all rows at once; the ends continue the line of the next two."""
+    rhs = 6 * (x[:, 2:] - 2 * x[:, 1:-1] + x[:, :-2]).T
+    k = len(rhs)
+    d, up, low = np.full(k, 4.0), np.ones(k), np.ones(k)
+    d[0] = d[-1] = 6.0
+    up[0] = low[-1] = 0.0
+    for i in range(1, k):
+        f = low[i] / d[i - 1]
+        d[i] -= f * up[i - 1]
+        rhs[i] -= f * rhs[i - 1]
+    m = np.empty((k + 2, len(x)))
+    m[k] = rhs[-1] / d[-1]
+    for i in range(k - 2, -1, -1):
+        m[i + 1] = (rhs[i] - up[i] * m[i + 2]) / d[i]
+    m[0], m[-1] = 2 * m[1] - m[2], 2 * m[-2] - m[-3]
+    return m.T
+
+
+def unit_spline(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The not-a-knot cubic spline through each row of x at places 0 .. n - 1, at the row's places `at`; end pieces go on outside."""
+    n = x.shape[1]
+    if n <= 3:
+        return np.stack([spline_basis(np.arange(float(n)), p) @ row for row, p in zip(x, at, strict=True)]) if len(x) else x
+    m = x @ _unit_curvature(n) if n <= 400 else _swept_curvature(x)
+    j = np.clip(np.floor(at).astype(int), 0, n - 2)
+    a, b = j + 1 - at, at - j
+    of = lambda v, k: np.take_along_axis(v, k, axis=1)
+    return a * of(x, j) + b * of(x, j + 1) + ((a**3 - a) * of(m, j) + (b**3 - b) * of(m, j + 1)) / 6
+
+
 @functools.lru_cache(maxsize=16)
 def spline_baseline(n: int, indices: tuple[int, ...]) -> np.ndarray:
     """M with x @ M the spline through x[indices] at all places."""
@@ -232,3 +275,30 @@ def normal_quantile(p: float) -> float:
 def nearest_index(axis: list[float], target: float) -> int:
     """The first place whose value is nearest."""
     return int(np.argmin(np.abs(np.asarray(axis, float) - target)))
+
+
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k!: exact sums for small k, Stirling's series beyond."""
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 200.0)))])
+    k = np.asarray(k, float)
+    z = np.maximum(k, 100.0) + 1
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(k < 200, small[np.minimum(k, 199).astype(int)], series)
+
+
+def poisson_quantile(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """How many k have a distribution function of u or less: Poisson draws from uniform ones. Means must not be negative or NaN."""
+    if not (mean >= 0).all():
+        raise ValueError("Poisson noise needs values of 0 or more")
+    reach = 12 * np.sqrt(mean) + 30
+    first = np.floor(np.maximum(mean - reach, 0))
+    last = np.ceil(mean + reach)
+    log_mean = np.log(np.maximum(mean, 1e-300))
+    below, k = np.zeros_like(mean), first.copy()
+    drawn, open_ = first.copy(), np.ones(mean.shape, bool)
+    while open_.any():
+        below = below + np.exp(k * log_mean - mean - log_factorial(k))
+        open_ &= (below <= u) & (k < last)
+        drawn[open_] += 1
+        k += 1
+    return np.where(mean == 0, 0.0, drawn)

@@ -46,12 +46,13 @@ class AddNoise(Augmenter):
         if kind == "exponential":
             return F.transform(x, lambda v, i: v + random_draws.exponential(*self.key(i)) * scale)
         if kind == "poisson":
-            return by_batch(functools.partial(_poisson, scale=float(self.value("scale"))), x, random_draws.seed_of(*self.key()))
+            draws = F.transform(x, lambda v, i: random_draws.uniform(F.lit("u"), *self.key(i)))
+            return by_batch(functools.partial(_poisson, scale=float(self.value("scale"))), x, draws)
         raise ValueError(f"distribution must be gaussian, poisson or exponential, not {kind!r}")
 
 
-def _poisson(x: np.ndarray, seeds: np.ndarray, scale: float) -> np.ndarray:
-    return np.stack([row + np.random.default_rng(int(s) & (2**63 - 1)).poisson(row) * scale for row, s in zip(x, seeds, strict=True)])
+def _poisson(x: np.ndarray, draws: np.ndarray, scale: float) -> np.ndarray:
+    return x + linear.poisson_quantile(draws, x) * scale
 
 
 class BaselineShift(Augmenter):
@@ -132,55 +133,32 @@ class FractionalShift(Augmenter):
 
 
 def fractional_shift(x: np.ndarray, shifts: np.ndarray, mode: str, pad: float) -> np.ndarray:
+    """All rows at once: the spline through each row at its shifted places, then what is padded at the end that was moved in."""
     n = x.shape[1]
-    at = np.arange(n)
-    out = np.empty_like(x)
-    for r, (row, shift) in enumerate(zip(x, shifts, strict=True)):
-        moved = at + shift
-        y = linear.spline_basis(at.astype(float), moved) @ row if n <= 400 else _local_spline(row, moved)
-        left, right = moved < 0, moved >= n - 1
-        gone = left if shift < 0 else right
-        m = int(gone.sum())
-        if mode in ("zeros", "constant"):
-            y[left | right] = pad if mode == "constant" else 0.0
-        elif mode == "extend":
-            y[gone] = row[0] if shift < 0 else row[-1]
-        elif mode == "mirror" and m:
-            y[gone] = row[:m][::-1] if shift < 0 else row[:-1][::-1][:m]
-        elif mode == "linear":
-            if shift >= 0:  # only what lies beyond the last place; up to one place the spline goes on
-                gone = moved >= n
-                m = int(gone.sum())
-            points = row[:5] if shift < 0 else row[-5:]
-            if m and len(points) > 1:
-                b, a = np.polyfit(np.arange(len(points)), points, 1)
-                y[gone] = a + b * (np.arange(-m, 0) if shift < 0 else np.arange(len(points), len(points) + m))
-        out[r] = y
-    return out
-
-
-def _local_spline(row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The same spline for long rows: its second derivatives from one banded system."""
-    n = len(row)
-    rhs = 6 * (row[2:] - 2 * row[1:-1] + row[:-2])
-    # Not-a-knot on even places: the ends' second derivatives continue the line of the next two.
-    m = np.empty(n)
-    d, u = np.full(n - 2, 4.0), np.ones(n - 2)
-    low = np.ones(n - 2)
-    d[0], u[0], d[-1], low[-1] = 6.0, 0.0, 6.0, 0.0
-    for i in range(1, n - 2):
-        f = low[i] / d[i - 1]
-        d[i] -= f * u[i - 1]
-        rhs[i] -= f * rhs[i - 1]
-    inner = np.empty(n - 2)
-    inner[-1] = rhs[-1] / d[-1]
-    for i in range(n - 4, -1, -1):
-        inner[i] = (rhs[i] - u[i] * inner[i + 1]) / d[i]
-    m[1:-1] = inner
-    m[0], m[-1] = 2 * m[1] - m[2], 2 * m[-2] - m[-3]
-    j = np.clip(np.floor(at).astype(int), 0, n - 2)
-    a, b = j + 1 - at, at - j
-    return a * row[j] + b * row[j + 1] + ((a**3 - a) * m[j] + (b**3 - b) * m[j + 1]) / 6
+    moved = np.arange(n) + shifts[:, None]
+    y = linear.unit_spline(x, moved)
+    leftwards = (shifts < 0)[:, None]
+    outside = np.where(leftwards, moved < 0, moved >= n - 1)
+    if mode in ("zeros", "constant"):
+        return np.where((moved < 0) | (moved >= n - 1), pad if mode == "constant" else 0.0, y)
+    if mode == "linear":  # beyond the last place only; up to one place the spline goes on
+        outside = np.where(leftwards, moved < 0, moved >= n)
+    m = outside.sum(axis=1, keepdims=True)
+    into = np.where(leftwards, np.arange(n) - m, np.arange(n) - (n - m))  # places before the first, or after those that stay
+    if mode == "extend":
+        padding = np.where(leftwards, x[:, :1], x[:, -1:])
+    elif mode == "mirror":
+        at = np.where(leftwards, -1 - into, n - 2 - into)
+        padding = np.take_along_axis(x, np.clip(at, 0, n - 1), axis=1)
+    else:
+        k = min(5, n)
+        edge = np.where(leftwards, x[:, :k], x[:, -k:])
+        i = np.arange(k) - (k - 1) / 2
+        slope = (edge @ i / max((i * i).sum(), 1e-300))[:, None]
+        place = np.where(leftwards, into, k + into)
+        padding = edge.mean(axis=1, keepdims=True) + slope * (place - (k - 1) / 2)
+        outside &= k > 1
+    return np.where(outside, padding, y)
 
 
 class GaussianBroadening(Augmenter):
@@ -199,10 +177,12 @@ class GaussianBroadening(Augmenter):
 
 
 def _broadened(x: np.ndarray, widths: np.ndarray, mode: str, pad: float, truncate: float) -> np.ndarray:
+    """One kernel per row; kernels of one radius are applied together."""
     out = np.empty_like(x)
-    for r, s in enumerate(widths):
-        radius = int(truncate * s + 0.5)
+    radii = (truncate * widths + 0.5).astype(int)
+    for radius in np.unique(radii):
+        rows = np.flatnonzero(radii == radius)
         places = np.arange(-radius, radius + 1)
-        weights = np.exp(-0.5 * (places / s) ** 2) if radius else np.ones(1)
-        out[r] = linear.correlate(x[r : r + 1], weights / weights.sum(), radius, mode, pad)[0]
+        weights = np.exp(-0.5 * (places / widths[rows, None]) ** 2) if radius else np.ones((len(rows), 1))
+        out[rows] = linear.correlate(x[rows], (weights / weights.sum(axis=1, keepdims=True)).T[:, :, None], radius, mode, pad)
     return out

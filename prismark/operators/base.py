@@ -60,6 +60,10 @@ class SpectralTransformer(_WithParams, Transformer):
     def column(self, x: Column) -> Column:
         raise NotImplementedError
 
+    def feature_names_out(self, names: list[str]) -> list[str]:
+        """What the features are called that come of features with these names."""
+        return list(names)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.value("outputCol"), self.column(F.col(self.value("inputCol"))))
 
@@ -68,12 +72,19 @@ class SpectralEstimator(_WithParams, Estimator):
     """Learns from all rows; _fit returns a SpectralTransformer."""
 
 
+def feature_names_out(stages: list, names: list[str]) -> list[str]:
+    """The names through several stages, as of a fitted pipeline."""
+    for s in stages:
+        names = s.feature_names_out(names)
+    return names
+
+
 class FittedTransformer(SpectralTransformer, Model):
     """What an estimator has learnt, as parameters."""
 
 
 def by_batch(kernel: Callable[..., np.ndarray], *columns: Column) -> Column:
-    """kernel(rows, ...) over Arrow batches: the first column's spectra as a matrix, one row each, the other columns as arrays.
+    """kernel(rows, ...) over Arrow batches: the first column's spectra as a matrix, one row each, the other columns as arrays, lists of the same length as matrices.
 
     Spectra of one length are worked on together; null spectra stay null. Spark fails to run a UDF whose argument
     holds a lambda within a lambda, so the argument must stay a column of its own: the UDF is declared not deterministic, which
@@ -82,7 +93,7 @@ def by_batch(kernel: Callable[..., np.ndarray], *columns: Column) -> Column:
 
     def run(x: pa.Array, *more: pa.Array) -> pa.Array:
         lengths = np.asarray(x.value_lengths().fill_null(-1))
-        others = [np.asarray(m) for m in more[:-1]]
+        others = [m if pa.types.is_list(m.type) else np.asarray(m) for m in more[:-1]]
         out: list = [None] * len(x)
         for n in np.unique(lengths):
             if n < 0:
@@ -91,7 +102,7 @@ def by_batch(kernel: Callable[..., np.ndarray], *columns: Column) -> Column:
             part = x if len(rows) == len(x) else x.take(pa.array(rows))
             matrix = np.asarray(part.flatten(), np.float64).reshape(len(rows), n)
             with np.errstate(all="ignore"):
-                done = np.ascontiguousarray(kernel(matrix, *(m[rows] for m in others)), np.float64)
+                done = np.ascontiguousarray(kernel(matrix, *(_of_rows(m, rows, n) for m in others)), np.float64)
             if len(rows) == len(x):
                 offsets = np.arange(0, done.size + 1, done.shape[1], dtype=np.int32) if done.shape[1] else np.zeros(len(x) + 1, np.int32)
                 return pa.ListArray.from_arrays(pa.array(offsets), pa.array(done.reshape(-1)))
@@ -100,3 +111,9 @@ def by_batch(kernel: Callable[..., np.ndarray], *columns: Column) -> Column:
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(run, "array<double>").asNondeterministic()(*columns, F.size(columns[0]))
+
+
+def _of_rows(values: np.ndarray | pa.Array, rows: np.ndarray, n: int) -> np.ndarray:
+    if isinstance(values, np.ndarray):
+        return values[rows]
+    return np.asarray(values.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), n)
