@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismark.functions import linear
+from prismark.functions.order_statistics import exact_quantiles
 from prismark.operators.base import FittedTransformer, SpectralEstimator, by_batch
 from prismark.operators.latent import LatentModel, moments
 
@@ -87,7 +88,7 @@ class _Detector(SpectralEstimator):
 
     def critical(self, scored: DataFrame, column: str) -> float:
         """The percentile of the training rows' statistic."""
-        return scored.agg(F.percentile(column, F.lit(self.value("confidence")))).first()[0]
+        return exact_quantiles(scored, column, [self.value("confidence")]).get(0, [float("nan")])[0]
 
     def _fit(self, df: DataFrame) -> OutlierModel | PipelineModel:
         df = self.prepared(df)
@@ -98,6 +99,10 @@ class _Detector(SpectralEstimator):
     def limit(self, df: DataFrame, model: OutlierModel) -> float:
         return self.critical(model.scored(df), "residual")
 
+    def fit_predict_residuals(self, df: DataFrame) -> DataFrame:
+        """df, the training rows, with the statistic of each as `residual`."""
+        return self.fit(df).transform(df).drop("outlier")
+
 
 class OutlierModel(FittedTransformer):
     """Adds outputCol (the statistic) and outlierCol (-1 or 1). Leverage and studentized residuals are of the scored rows themselves."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismark.functions.arrays import dot, ieee_div, let, mean, percentile, spread
+from prismark.functions.order_statistics import exact_quantiles
 from prismark.operators.base import FittedTransformer, SpectralEstimator, SpectralTransformer, by_batch
 
 
@@ -41,8 +42,9 @@ def column_centre(df: DataFrame, column: str, method: str) -> list[float]:
     if method not in ("mean", "median"):
         raise ValueError(f"method must be mean or median, not {method!r}")
     long = df.select(F.posexplode(column).alias("pos", "v"))
-    centre = F.avg("v") if method == "mean" else F.percentile("v", F.lit(0.5))
-    return [r[1] for r in long.groupBy("pos").agg(centre).orderBy("pos").collect()]
+    if method == "median":
+        return [m for _, (m,) in sorted(exact_quantiles(long, "v", [0.5], "pos").items())]
+    return [r[1] for r in long.groupBy("pos").agg(F.avg("v")).orderBy("pos").collect()]
 
 
 def _reference(stage: SpectralEstimator, df: DataFrame) -> list[float]:
