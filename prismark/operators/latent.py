@@ -23,13 +23,13 @@ class Moments:
     products: np.ndarray
 
 
-def moments(df: DataFrame, column: str, targets: tuple[str, ...] = ()) -> Moments:
-    """Each partition adds up its cross products, about the values of one row against cancellation; Spark sums them by place.
+def moments_by(df: DataFrame, column: str, targets: tuple[str, ...], by: str) -> dict[int, Moments]:
+    """Moments of the rows of each value of `by` (whole numbers): each partition adds up its cross products, about the values of one row against cancellation; Spark sums them by place.
 
-    To the driver come (features + targets + 1) squared numbers, whatever the number of rows.
+    To the driver come (features + targets + 1) squared numbers for each value, whatever the number of rows.
     """
     z = F.concat(F.col(column), F.array(*[F.col(t).cast("double") for t in targets])) if targets else F.col(column)
-    rows = df.select(z.alias("z"))
+    rows = df.select(z.alias("z"), F.col(by).cast("long").alias("g"))
     first = rows.first()
     if first is None:
         raise ValueError("there are no spectra to learn from")
@@ -37,20 +37,70 @@ def moments(df: DataFrame, column: str, targets: tuple[str, ...] = ()) -> Moment
     size = len(about) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, -1)
-            if batch.num_rows:
-                one = np.column_stack([np.ones(len(x)), x - about])
-                total += one.T @ one
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+            g = np.asarray(batch.column(1))
+            for k in np.unique(g).tolist():
+                part = x[g == k]
+                one = np.column_stack([np.ones(len(part)), part - about])
+                total[k] = total.get(k, 0.0) + one.T @ one
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k)), pa.array(np.arange(size, dtype=np.int32)), pa.array(list(t), pa.list_(pa.float64()))], ["g", "i", "row"])
+
+    parts = rows.mapInArrow(run, "g long, i int, row array<double>").select("g", "i", F.posexplode("row").alias("j", "v"))
+    sums = parts.groupBy("g", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    group, i, j, v = (sums.column(c).to_numpy() for c in ("g", "i", "j", "v"))
+    out = {}
+    for k in np.unique(group).tolist():
+        g = np.zeros((size, size))
+        mine = group == k
+        g[i[mine], j[mine]] = v[mine]
+        n, s = g[0, 0], g[0, 1:]
+        out[k] = Moments(int(n), about + s / n, g[1:, 1:] - np.outer(s, s) / n)
+    return out
+
 
-    parts = rows.mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
-    sums = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
-    g = np.zeros((size, size))
-    g[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("v").to_numpy()
-    n, s = g[0, 0], g[0, 1:]
-    return Moments(int(n), about + s / n, g[1:, 1:] - np.outer(s, s) / n)
+def moments(df: DataFrame, column: str, targets: tuple[str, ...] = ()) -> Moments:
+    """Moments of all rows."""
+    return moments_by(df.withColumn("_all", F.lit(0)), column, targets, "_all")[0]
+
+
+def sum_of(parts: list[Moments]) -> Moments:
+    """The moments of the rows of several parts together."""
+    n = sum(m.n for m in parts)
+    mean = sum(m.n * m.mean for m in parts) / n
+    return Moments(n, mean, sum(m.products + m.n * np.outer(m.mean - mean, m.mean - mean) for m in parts))
+
+
+def pls(m: Moments, q: int, a: int, scale: bool) -> dict[str, np.ndarray]:
+    """Partial least squares of the last q columns on the others, from cross products (kernel algorithm): spread, weights, loadings, rotations, inner coefficients and sizes of a components."""
+    p = len(m.mean) - q
+    if not 0 < a <= p:
+        raise ValueError(f"n_components must be 1 to {p}")
+    spread = np.sqrt(np.diag(m.products) / max(m.n - 1, 1))
+    spread[spread == 0] = 1.0
+    if not scale:
+        spread = np.ones(p + q)
+    g = m.products / np.outer(spread, spread)
+    xx, xy = g[:p, :p], g[:p, p:].copy()
+    weights, loadings, rotations, inner, size = (np.zeros((k, a)) for k in (p, p, p, q, 1))
+    for k in range(a):
+        u, _, _ = np.linalg.svd(xy, full_matrices=False)
+        w = u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0])
+        r = w - rotations[:, :k] @ (loadings[:, :k].T @ w)
+        tt = r @ xx @ r
+        weights[:, k], rotations[:, k] = w, r
+        loadings[:, k], inner[:, k], size[0, k] = xx @ r / tt, xy.T @ r / tt, tt
+        xy -= tt * np.outer(loadings[:, k], inner[:, k])
+    return {"spread": spread, "weights": weights, "loadings": loadings, "rotations": rotations, "inner": inner, "size": size[0]}
+
+
+def pls_path(m: Moments, q: int, a: int, scale: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(coefficients with 1 .. a components, means of the features, means of the targets)."""
+    f, p = pls(m, q, a, scale), len(m.mean) - q
+    by = f["spread"][p:] / f["spread"][:p, None]
+    return [f["rotations"][:, :k] @ f["inner"][:, :k].T * by for k in range(1, a + 1)], m.mean[:p], m.mean[p:]
 
 
 class StandardScaler(SpectralEstimator):
@@ -89,6 +139,9 @@ class LatentModel(FittedTransformer):
     def column(self, x: Column) -> Column:
         return by_batch(functools.partial(_scores, mean=self.matrix("mean"), scale=self.matrix("scale"), rotations=self.matrix("rotations")), x)
 
+    def feature_names_out(self, names: list[str]) -> list[str]:
+        return [f"component{i}" for i in range(self.n_components)]
+
     def prediction(self, x: Column) -> Column:
         """Of each target, in order."""
         if self.value("coefficients") is None:
@@ -130,26 +183,10 @@ class PLSRegression(SpectralEstimator):
         m, a = moments(df, self.value("inputCol"), targets), int(self.value("n_components"))
         q = len(targets)
         p = len(m.mean) - q
-        if not 0 < a <= p:
-            raise ValueError(f"n_components must be 1 to {p}")
-        spread = np.sqrt(np.diag(m.products) / max(m.n - 1, 1))
-        spread[spread == 0] = 1.0
-        if not self.value("scale"):
-            spread = np.ones(p + q)
-        g = m.products / np.outer(spread, spread)
-        xx, xy = g[:p, :p], g[:p, p:].copy()
-        weights, loadings, rotations, inner, size = (np.zeros((k, a)) for k in (p, p, p, q, 1))
-        for k in range(a):
-            u, _, _ = np.linalg.svd(xy, full_matrices=False)
-            w = u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0])
-            r = w - rotations[:, :k] @ (loadings[:, :k].T @ w)
-            tt = r @ xx @ r
-            weights[:, k], rotations[:, k] = w, r
-            loadings[:, k], inner[:, k], size[0, k] = xx @ r / tt, xy.T @ r / tt, tt
-            xy -= tt * np.outer(loadings[:, k], inner[:, k])
-        coefficients = rotations @ inner.T * spread[p:] / spread[:p, None]
+        f = pls(m, q, a, bool(self.value("scale")))
+        coefficients = f["rotations"] @ f["inner"].T * f["spread"][p:] / f["spread"][:p, None]
         return LatentModel(
-            mean=m.mean[:p], scale=spread[:p], rotations=rotations, loadings=loadings, variances=size[0] / m.n, n_samples=m.n,
+            mean=m.mean[:p], scale=f["spread"][:p], rotations=f["rotations"], loadings=f["loadings"], variances=f["size"] / m.n, n_samples=m.n,
             coefficients=coefficients, target_mean=m.mean[p:], inputCol=self.value("inputCol"), outputCol=_scores_col(self),
         )
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import functools
+
+import numpy as np
+from pyspark.ml import Estimator, Pipeline
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
+from prismark.functions.order_statistics import exact_quantiles
 from prismark.functions.random_draws import uniform
-from prismark.operators.latent import PLSRegression
+from prismark.operators.base import by_batch
+from prismark.operators.latent import moments, moments_by, pls_path, sum_of
 
 
 def split(df: DataFrame, test_share: float, seed: int = 42, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -35,35 +41,76 @@ def accuracy(df: DataFrame, actual: str, predicted: str) -> Column:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample standard deviation, minimum, exact quartiles and maximum."""
     c = F.col(column).cast("double")
-    quartile = {f"q{p}": F.percentile(c, F.lit(p / 100)) for p in (25, 50, 75)}
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *[q.alias(k) for k, q in quartile.items()], F.max(c).alias("high"))
+    quartiles = exact_quantiles(df, column, [0.25, 0.5, 0.75]).get(0, [None] * 3)
+    known = [F.lit(q).cast("double").alias(k) for k, q in zip(("q25", "q50", "q75"), quartiles, strict=True)]
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), *known, F.max(c).alias("high"))
+
+
+def folds_of(df: DataFrame, folds: int, id_col: str = "id") -> Column:
+    """The fold of each row: runs of ids of even size, in the order of ids."""
+    cuts = exact_quantiles(df, id_col, [k / folds for k in range(1, folds)]).get(0, [])
+    return sum(((F.col(id_col) > c).cast("int") for c in cuts), F.lit(0))
 
 
 def cross_validated_error(df: DataFrame, stages: list, components: list[int], target: str = "y", folds: int = 10, id_col: str = "id", scale: bool = False) -> dict[int, float]:
-    """Mean over unshuffled folds of the mean absolute error of PLS, by number of components; folds are runs of ids of even size."""
-    cuts = df.agg(F.percentile(id_col, F.array(*[F.lit(k / folds) for k in range(1, folds)]))).first()[0]
-    numbered = df.withColumn("_fold", sum(((F.col(id_col) > c).cast("int") for c in cuts), F.lit(0)))
-    numbered = numbered.persist()
-    out = {}
-    for a in components:
-        errors = []
+    """Mean over unshuffled folds of the mean absolute error of PLS, by number of components.
+
+    Stages that learn nothing are applied once, and one aggregate of cross products by fold gives the models of all folds;
+    stages that learn are fitted for each fold. Models of all numbers of components come out of the largest one's.
+    """
+    numbered = df.withColumn("_fold", folds_of(df, folds, id_col))
+    most = max(components)
+    errors: dict[int, list[float]] = {a: [] for a in components}
+
+    def judge(test: DataFrame, models: dict[int, list]) -> None:
+        """models: by fold the coefficients of each number of components, means and target's mean."""
+        predicted = by_batch(functools.partial(_all_predictions, models=models), F.col("x"), F.col("_fold"))
+        long = test.select("_fold", target, F.posexplode(predicted).alias("_a", "_p"))
+        found = long.groupBy("_a", "_fold").agg(F.avg(F.abs(F.col(target) - F.col("_p"))).alias("e")).collect()
+        for r in found:
+            if r["e"] is not None and r["_a"] + 1 in errors:
+                errors[r["_a"] + 1].append(r["e"])
+
+    if not any(isinstance(s, Estimator) for s in stages):
+        ready = numbered
+        for s in stages:
+            ready = s.transform(ready)
+        parts = moments_by(ready, "x", (target,), "_fold")
+        models = {k: pls_path(sum_of([m for f, m in parts.items() if f != k]), 1, most, scale) for k in parts if len(parts) > 1}
+        judge(ready, models)
+    else:
         for k in range(folds):
-            model = Pipeline(stages=[*stages, PLSRegression(a, scale, [target])]).fit(numbered.where(F.col("_fold") != k))
-            test = numbered.where(F.col("_fold") == k)
-            for stage in model.stages[:-1]:
-                test = stage.transform(test)
-            test = test.withColumn("_p", F.get(model.stages[-1].prediction(F.col("x")), 0))
-            errors.append(test.agg(F.avg(F.abs(F.col(target) - F.col("_p")))).first()[0])
-        found = [e for e in errors if e is not None]
-        out[a] = sum(found) / len(found)
-    numbered.unpersist()
+            fitted = Pipeline(stages=list(stages)).fit(numbered.where(F.col("_fold") != k))
+            ready = fitted.transform(numbered.where(F.col("_fold") != k))
+            judge(fitted.transform(numbered.where(F.col("_fold") == k)), {k: pls_path(moments(ready, "x", (target,)), 1, most, scale)})
+    return {a: sum(e) / len(e) for a, e in errors.items() if e}
+
+
+def _all_predictions(x: np.ndarray, fold: np.ndarray, models: dict) -> np.ndarray:
+    """One column for each number of components."""
+    out = np.full((len(x), len(next(iter(models.values()))[0])), np.nan)
+    for k in np.unique(fold):
+        if k in models:
+            coefficients, mean, level = models[k]
+            out[fold == k] = (x[fold == k] - mean) @ np.stack([c[:, 0] for c in coefficients], axis=1) + level[0]
     return out
 
 
-def latest_measurement(spectra: DataFrame, measured: DataFrame, ts: str, value: str, by: str) -> DataFrame:
-    """spectra with the last value measured at or before each row's time (as-of join): one union and one window, no range join."""
+def latest_measurement(spectra: DataFrame, measured: DataFrame, ts: str, value: str, by: str, span: float = 86_400.0) -> DataFrame:
+    """spectra with the last value measured at or before each row's time (as-of join): a union and windows, no range join.
+
+    Windows are those of one `by` in one span of seconds, so a key with many rows is no single task; what is known when a
+    span begins comes from the last value of each span before.
+    """
     s = spectra.withColumn("_measured", F.lit(None).cast("double")).withColumn("_is", F.lit(1))
-    m = measured.select(by, ts, F.col(value).cast("double").alias("_measured"), F.lit(0).alias("_is"))
+    m = measured.select(by, ts, F.col(value).cast("double").alias("_measured"), F.lit(0).alias("_is")).where("_measured is not null")
     both = s.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(ts, "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("_measured", ignorenulls=True).over(w)).where("_is = 1").drop("_measured", "_is")
+    time = F.col(ts).cast("timestamp") if isinstance(both.schema[ts].dataType, TimestampNTZType) else F.col(ts)
+    both = both.withColumn("_span", F.floor(time.cast("double") / span))
+    inside = Window.partitionBy(by, "_span").orderBy(ts, "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(by, "_span").agg(F.max(F.when(F.col("_is") == 0, F.struct(ts, "_measured")))["_measured"].alias("_end"))
+    before = ends.select(F.col(by).alias("_by"), F.col("_span").alias("_of"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    out = both.withColumn("_now", F.last("_measured", ignorenulls=True).over(inside)).where("_is = 1")
+    out = out.join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_of")), "left")
+    return out.withColumn(value, F.coalesce("_now", "_before")).drop("_measured", "_is", "_span", "_now", "_by", "_of", "_before")
