@@ -35,6 +35,10 @@ class IndexSelector(SpectralTransformer):
         return axis if axis is None or at is None else [axis[i] for i in at]
 
 
+    def feature_names_out(self, names: list[str]) -> list[str]:
+        return [n for n, kept in zip(names, support(len(names), self), strict=True) if kept]
+
+
 class RangeCut(SpectralTransformer):
     """Features start to end, the end excluded; with `wavenumbers` both are the places nearest to start and end."""
 
@@ -53,6 +57,9 @@ class RangeCut(SpectralTransformer):
         axis = self.value("wavenumbers")
         return axis and axis[slice(*self.bounds())]
 
+    def feature_names_out(self, names: list[str]) -> list[str]:
+        return list(names)[slice(*self.bounds())]
+
 
 def support(n: int, stage: IndexSelector | RangeCut) -> list[bool]:
     """Which of n features a selector keeps."""

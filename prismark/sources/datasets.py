@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismark.sources.frames import from_wide
 
-OUTPUTS = ("spark", "pandas", "arrow")
+OUTPUTS = ("spark", "pandas", "arrow", "polars")
 
 
 def given_out(df: DataFrame, set_output: str):
-    """As the container asked for: a Spark frame, or a pandas or Arrow table at the driver."""
+    """As the container asked for: a Spark frame, or a pandas, Arrow or polars table at the driver (polars must be installed)."""
     if set_output not in OUTPUTS:
         raise ValueError(f"set_output must be one of {OUTPUTS}, not {set_output!r}")
+    if set_output == "polars":
+        import polars
+
+        return polars.from_arrow(df.toArrow())
     return df if set_output == "spark" else df.toPandas() if set_output == "pandas" else df.toArrow()
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of text files with `id`, their places from 0 in the order of files and lines, whatever the splits that the files are read in.
+
+    Rows are counted by split (a pair of numbers for each comes to the driver) and numbered on from what is before their split.
+    """
+    file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    placed = rows.select("*", file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_order"))
+    counts = sorted(tuple(r) for r in placed.groupBy("_file", "_begin").count().collect())
+    ahead, known = 0, []
+    for f, b, n in counts:
+        known.append((f, b, ahead))
+        ahead += n
+    before = rows.sparkSession.createDataFrame(known, "_of string, _from long, _ahead long")
+    placed = placed.join(F.broadcast(before), (F.col("_file") == F.col("_of")) & (F.col("_begin") == F.col("_from")), "left")
+    inside = F.row_number().over(Window.partitionBy("_file", "_begin").orderBy("_order"))
+    lost = F.raise_error("the files' splits have changed between two reads").cast("long")
+    place = F.coalesce(F.col("_ahead"), lost) + inside - 1
+    return placed.select(place.alias("id"), *[F.col(f"`{c}`") for c in rows.columns])
+
+
 def read_spectra(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(id, x) of a CSV file with a header of axis positions, and the positions; ids follow the order of rows."""
+    """(id, x) of a CSV file with a header of axis positions, and the positions; ids are the places of rows."""
     wide = spark.read.csv(path, header=True)
-    wide = wide.select(F.monotonically_increasing_id().alias("id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns])
-    names = [c for c in wide.columns if c != "id"]
-    return from_wide(wide, names), names
+    names = wide.columns
+    return from_wide(numbered(wide), names), names
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema).select(F.monotonically_increasing_id().alias("id"), "*")
+    return numbered(spark.read.csv(path, header=True, schema=schema))
 
 
 def load_fermentation_train(spark: SparkSession, folder: str, set_output: str = "spark"):
