@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from prismark.functions import linear
 from prismark.operators import augment, baseline, derivative, latent, outliers, scale, scatter, select, smooth
-from prismark.operators.base import SpectralEstimator, SpectralTransformer
-from prismark.plans import evaluation
-from prismark.sources import frames
+from prismark.operators.base import SpectralEstimator, SpectralTransformer, feature_names_out
+from prismark.plans import evaluation, iterated_sql
+from prismark.sources import datasets, frames
+from prismark.sources.scratch import new_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,12 +36,12 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.from_long(t, "user_id", ["ts", "event_id"], "value").withColumnRenamed("user_id", "id")
 
 
-def rounded(c: Column) -> Column:
-    return F.round(c, 6) + F.lit(0.0)
+def rounded(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits) + F.lit(0.0)
 
 
-def long(df: DataFrame, name: str = "x") -> DataFrame:
-    return frames.to_long(df, "id", name).withColumn("value", rounded(F.col("value")))
+def long(df: DataFrame, name: str = "x", digits: int = 6) -> DataFrame:
+    return frames.to_long(df, "id", name).withColumn("value", rounded(F.col("value"), digits))
 
 
 def add(name: str, query, sql: str | None = None) -> None:
@@ -48,13 +50,13 @@ def add(name: str, query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-def stage(name: str, s: SpectralTransformer | SpectralEstimator, sql: str | None = None, source=spectra) -> None:
+def stage(name: str, s: SpectralTransformer | SpectralEstimator, sql: str | None = None, source=spectra, digits: int = 6) -> None:
     """Registers a stage, fitted on the table where it learns, over that table."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = source(spark, sf_dir)
         fitted = s.fit(df) if isinstance(s, SpectralEstimator) else s
-        return long(fitted.transform(df))
+        return long(fitted.transform(df), digits=digits)
 
     add(name, query, sql)
 
@@ -99,6 +101,21 @@ def _emsc_sql() -> str:
 
 stage("emsc_order1", scatter.ExtendedMultiplicativeScatterCorrection(order=1, reference=REFERENCE), _emsc_sql())
 
+
+def _emsc2_sql() -> str:
+    """The mean as reference, and powers up to 2: what is left of both beside the parabolas gives the factor, the parabola of the rest is taken out."""
+    basis, _ = np.linalg.qr(np.vander(np.linspace(-1, 1, N), 3))
+    parts = ", ".join(f"({i}, {k}, {float(basis[i, k])!r})" for i in range(N) for k in range(3))
+    more = f"""p(pos, k, c) as (values {parts}), r as (select pos, avg(v) as r from e group by pos),
+rk as (select k, sum(r * c) as a from r join p using (pos) group by k), ro as (select pos, r, any_value(r) - sum(a * c) as o from r join p using (pos) join rk using (k) group by pos, r),
+m as (select id, sum(v * o) / (select sum(o * o) from ro) as m from e join ro using (pos) group by id),
+ek as (select id, k, sum((v - m * r) * c) as a from e join r using (pos) join m using (id) join p using (pos) group by id, k),
+b as (select id, pos, sum(a * c) as b from ek join p using (k) group by id, pos)"""
+    return each("(v - b) / m", more, source="e join b using (id, pos) join m using (id)")
+
+
+stage("emsc", scatter.ExtendedMultiplicativeScatterCorrection(), _emsc2_sql())
+
 # --- baselines -----------------------------------------------------------------------------------------------------
 stage("constant_baseline", baseline.ConstantBaselineCorrection(7, 12), each("v - m", "m as (select id, avg(v) as m from e where pos between 7 and 12 group by id)", source="e join m using (id)"))
 ENDS = "g as (select id, max(pos) as n, arg_min(v, pos) as a, arg_max(v, pos) as b from e group by id)"
@@ -147,7 +164,7 @@ def _truncated_powers() -> np.ndarray:
 
 
 stage("cubic_spline_knots", baseline.CubicSplineCorrection(KNOTS), _coefficients(_truncated_powers()))
-stage("airpls", baseline.AirPls(), source=series)
+stage("airpls", baseline.AirPls(), iterated_sql.airpls(S_CTE, 100.0, 15), source=series)
 
 
 def _solved(name: str, source: str) -> str:
@@ -173,7 +190,7 @@ b as (select id, pos, v, case when pos in (0, {N - 1}) then exp(m / s) when d >=
 {_solved("z2", "b")}
 select id, pos::bigint as pos, {V.format("d.v - case when t.s < t.small then d.z else z2.z end")} from d join t using (id) join z2 using (id, pos)"""
 stage("airpls_two_solves", baseline.AirPls(nr_iterations=3), AIR)
-stage("arpls", baseline.ArPls(lam=1e2, ratio=1e-2), source=series)
+stage("arpls", baseline.ArPls(lam=1e2, ratio=1e-2), iterated_sql.arpls(S_CTE, 1e2, 1e-2, 100), source=series)
 
 # --- selection -----------------------------------------------------------------------------------------------------
 stage("index_select", select.IndexSelector([40, 3, 3, 17, 63]), each("v", "s as (select *, row_number() over (partition by id order by pos) - 1 as k from e where pos in (3, 17, 40, 63))", source="(select id, k as pos, v from s)"))
@@ -260,7 +277,12 @@ NORMAL = f"sqrt(-2.0 * ln(1.0 - {draw(chr(39) + 'u' + chr(39), '7', 'id', '0', '
 stage("noise_gaussian", augment.AddNoise("gaussian", 0.1, random_state=7), each(f"v + 0.1 * {NORMAL}"))
 EXPONENTIAL = f"-ln(1.0 - {draw(chr(39) + 'u' + chr(39), '7', 'id', '0', 'pos')})"
 stage("noise_exponential", augment.AddNoise("exponential", 0.1, random_state=7), each(f"v + 0.1 * {EXPONENTIAL}"))
-stage("noise_poisson", augment.AddNoise("poisson", 0.1, random_state=7), source=series)
+# Draws by inverse distribution function: how many counts have one of u or less.
+POISSON = f"""u as (select id, pos, v, {draw(chr(39) + 'u' + chr(39), '7', 'id', '0', 'pos')} as u, ceil(v + 12 * sqrt(v) + 30)::bigint as most from e),
+k as (select id, pos, v, u, unnest(range(0, most)) as k from u),
+f as (select id, pos, v, u, sum(exp(k * ln(v) - v - lgamma(k + 1))) over (partition by id, pos order by k) as f from k),
+d as (select id, pos, any_value(v) as v, count(*) filter (f <= u) as d from f group by id, pos)"""
+stage("noise_poisson", augment.AddNoise("poisson", 0.1, random_state=7), each("v + 0.1 * d", POISSON, cte=S_CTE, source="d"), source=series)
 BY = f"b as (select e.*, floor({U} * 7)::int - 3 as by from e)"
 
 
@@ -276,7 +298,49 @@ MIRROR = f"case when b.pos - b.by between 0 and {N - 1} then b.pos - b.by when b
 stage("index_shift_mirror", augment.IndexShift(3, "mirror", random_state=7), f"{E_CTE}, {BY} select b.id, b.pos::bigint as pos, {V.format('c.v')} from b join e c on c.id = b.id and c.pos = {MIRROR}")
 EDGE = f"{BY}, l as (select id, coalesce(regr_slope(v, pos), 0) as m, avg(v) - coalesce(regr_slope(v, pos), 0) * avg(pos) as c from b where (b.by > 0 and pos <= b.by) or (b.by < 0 and pos >= {N - 1} + b.by) group by id)"
 stage("index_shift_linear", augment.IndexShift(3, "linear", random_state=7), f"{E_CTE}, {EDGE} select b.id, b.pos::bigint as pos, {V.format('coalesce(c.v, l.c + l.m * (b.pos - b.by))')} from b left join e c on c.id = b.id and c.pos = b.pos - b.by left join l on l.id = b.id")
-stage("fractional_shift", augment.FractionalShift(1.5, "extend", random_state=7))
+
+
+def _curvature() -> str:
+    """VALUES (pos, o, c): second derivatives at o of the not-a-knot spline through places 0 .. N - 1, from its slopes."""
+    y = np.eye(N)
+    slopes, sides = np.zeros((N, N)), np.zeros((N, N))
+    for i in range(1, N - 1):
+        slopes[i, i - 1 : i + 2], sides[i] = (1, 4, 1), 3 * (y[i + 1] - y[i - 1])
+    slopes[0, [0, 2]], sides[0] = (1, -1), 2 * (2 * y[1] - y[0] - y[2])
+    slopes[-1, [-1, -3]], sides[-1] = (1, -1), -2 * (2 * y[-2] - y[-1] - y[-3])
+    s = np.linalg.solve(slopes, sides)
+    m = np.vstack([6 * (y[1:] - y[:-1]) - 4 * s[:-1] - 2 * s[1:], 2 * s[-2:-1] + 4 * s[-1:] - 6 * (y[-1:] - y[-2:-1])])
+    return ", ".join(f"({i}, {o}, {float(m[o, i])!r})" for o in range(N) for i in range(N) if abs(m[o, i]) > 1e-15)
+
+
+def _fractional_sql(mode: str, shift: float) -> str:
+    """The spline at shifted places; `outside` and `padding` as the mode has them. Leftward moves (s < 0) are padded at the start."""
+    n = N
+    outside = "case when s < 0 then p < 0 else p >= {} end"
+    last = outside.format(n if mode == "linear" else n - 1)
+    start, end = f"h.pos - m", f"h.pos - ({n} - m)"
+    padding = {
+        "zeros": "0.0", "constant": "2.5", "extend": "case when s < 0 then first else final end",
+        "mirror": f"(select v from e where e.id = h.id and e.pos = greatest(0, least({n - 1}, case when s < 0 then -1 - ({start}) else {n - 2} - ({end}) end)))",
+        "linear": f"case when s < 0 then a0 + b0 * ({start}) else a1 + b1 * (5 + {end}) end",
+    }[mode]
+    if mode in ("zeros", "constant"):
+        last = f"(p < 0 or p >= {n - 1})"
+    return f"""{E_CTE}, k(pos, o, c) as (values {_curvature()}), m as (select id, o as pos, sum(v * c) as m from e join k using (pos) group by id, o),
+q as (select id, pos, {-shift!r} + {U} * {2 * shift!r} as s, pos + {-shift!r} + {U} * {2 * shift!r} as p from e),
+j as (select *, greatest(0, least({n - 2}, floor(p)))::bigint as j from q),
+y as (select j.id, j.pos, s, p, (j + 1 - p) * e0.v + (p - j) * e1.v + (((j + 1 - p) ** 3 - (j + 1 - p)) * m0.m + ((p - j) ** 3 - (p - j)) * m1.m) / 6 as y
+    from j join e e0 on e0.id = j.id and e0.pos = j join e e1 on e1.id = j.id and e1.pos = j + 1 join m m0 on m0.id = j.id and m0.pos = j join m m1 on m1.id = j.id and m1.pos = j + 1),
+g as (select id, arg_min(v, pos) as first, arg_max(v, pos) as final,
+    regr_slope(v, pos) filter (pos < 5) as b0, regr_intercept(v, pos) filter (pos < 5) as a0,
+    regr_slope(v, pos - {n - 5}) filter (pos >= {n - 5}) as b1, regr_intercept(v, pos - {n - 5}) filter (pos >= {n - 5}) as a1 from e group by id),
+h as (select y.*, first, final, a0, b0, a1, b1, {last} as outside, count(*) filter ({last}) over (partition by y.id) as m from y join g using (id))
+select id, pos::bigint as pos, {V.format(f"case when outside then {padding} else y end")} from h"""
+
+
+for _mode in ("zeros", "constant", "extend", "mirror", "linear"):
+    _name = "fractional_shift" if _mode == "extend" else f"fractional_shift_{_mode}"
+    stage(_name, augment.FractionalShift(1.5, _mode, 2.5, random_state=7), _fractional_sql(_mode, 1.5))
 GAUSS = f"k as (select unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4]) as o), s as (select id, {draw('7', 'id', '0')} * 1.0 as s from (select distinct id from e)), w as (select id, o, exp(-0.5 * (o / s) ** 2) as w from s, k where abs(o) <= floor(4.0 * s + 0.5)), n as (select id, sum(w) as n from w group by id)"
 REFLECT = f"case when a.pos + o < 0 then -1 - a.pos - o when a.pos + o >= {N} then {2 * N - 1} - a.pos - o else a.pos + o end"
 stage("gaussian_broadening", augment.GaussianBroadening(1.0, random_state=7), f"{E_CTE}, {GAUSS} select a.id, a.pos::bigint as pos, {V.format('sum(b.v * w / n)')} from e a join w on w.id = a.id join n on n.id = a.id join e b on b.id = a.id and b.pos = {REFLECT} group by a.id, a.pos")
@@ -285,10 +349,11 @@ stage("gaussian_broadening", augment.GaussianBroadening(1.0, random_state=7), f"
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = augment.replicated(spectra(spark, sf_dir), 5)
     out = augment.BaselineShift(scale=0.5, random_state=7, replicateCol="replicate").transform(df)
-    return out.select("id", F.col("replicate").cast("long").alias("replicate"), rounded(F.get("x", 0)).alias("value"))
+    flat = out.select("id", F.col("replicate").cast("long").alias("replicate"), F.posexplode("x").alias("pos", "value"))
+    return flat.select("id", "replicate", F.col("pos").cast("long").alias("pos"), rounded(F.col("value")).alias("value"))
 
 
-add("augment_replicates", replicates, f"{E_CTE}, r as (select unnest([0, 1, 2, 3, 4]) as r) select id, r::bigint as replicate, {V.format(f'v + {draw("7", "id", "r")} * 0.5')} from e, r where pos = 0")
+add("augment_replicates", replicates, f"{E_CTE}, r as (select unnest([0, 1, 2, 3, 4]) as r) select id, r::bigint as replicate, pos::bigint as pos, {V.format(f'v + {draw("7", "id", "r")} * 0.5')} from e, r")
 
 # --- learnt over all rows ------------------------------------------------------------------------------------------
 stage("centre", latent.StandardScaler(with_std=False), each("v - m", "m as (select pos, avg(v) as m from e group by pos)", source="e join m using (pos)"))
@@ -312,7 +377,8 @@ def detector(name: str, make, sql: str, flags: bool = False) -> None:
 
 
 T2_LIMIT = linear.f_quantile(0.95, 2, 498) * 2 * 499 / 498
-detector("dmodx", lambda: outliers.DModX(FIXED), f"{E_CTE}, {SPE} select id, {V.format(f'sqrt(q / {N - 2})')} from q")
+DMODX_LIMIT = float(np.sqrt(linear.f_quantile(0.95, N - 2, N - 3)))
+detector("dmodx", lambda: outliers.DModX(FIXED), f"{E_CTE}, {SPE} select id, {V.format(f'sqrt(q / {N - 2})')}, (case when sqrt(q / {N - 2}) > {DMODX_LIMIT!r} then -1 else 1 end)::bigint as outlier from q", flags=True)
 detector("hotelling_t2", lambda: outliers.HotellingT2(FIXED), f"{E_CTE}, {BASIS}, s as (select id, t1 * t1 / 0.02 + t2 * t2 / 0.03 as s from t) select id, {V.format('s')}, (case when s > {T2_LIMIT!r} then -1 else 1 end)::bigint as outlier from s", flags=True)
 detector("q_residuals", lambda: outliers.QResiduals(FIXED), f"{E_CTE}, {SPE}, l as (select quantile_cont(q, 0.95) as l from q) select id, {V.format('q')}, (case when q > l then -1 else 1 end)::bigint as outlier from q, l", flags=True)
 GRAM = f"{BASIS}, g as (select sum(t1 * t1) as a, sum(t1 * t2) as b, sum(t2 * t2) as d from t), h as (select id, t1, t2, (d * t1 * t1 - 2 * b * t1 * t2 + a * t2 * t2) / (a * d - b * b) as h from t, g)"
@@ -364,8 +430,23 @@ def pls_one_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", rounded(F.get(model.prediction(F.col("x")), 0)).alias("prediction"))
 
 
-add("pca_reconstruction", pca_variances)
-add("pls_prediction", pls_prediction)
+CENTRED = "x as materialized (select id, pos, v - avg(v) over (partition by pos) as v from e)"
+SCORES = "t as (select id, k, sum(v * u) as t from x join b using (pos) group by id, k)"
+add(
+    "pca_reconstruction",
+    pca_variances,
+    f"""{E_CTE}, {CENTRED}, {iterated_sql.components("x", N, 3)}, {SCORES}, whole as (select id, sum(v * v) as s from x group by id)
+select id, round(sum(t * t / value), 6) + 0.0 as t2, round(any_value(s) - sum(t * t), 6) + 0.0 as spe from t join l using (k) join whole using (id) group by id""",
+)
+SCALED = """x0 as materialized (select id, pos, (v - avg(v) over (partition by pos)) / stddev_samp(v) over (partition by pos) as v from e),
+y0 as materialized (select vec_id as id, (label - avg(label) over ()) / stddev_samp(label) over () as y, true as train, avg(label) over () as level, stddev_samp(label) over () as spread from embeddings)"""
+PLS4 = " + ".join(f"t{k}.t * n{k}.q" for k in range(4))
+add(
+    "pls_prediction",
+    pls_prediction,
+    f"""{E_CTE}, {SCALED}, {iterated_sql.deflated(4)}
+select id, round(level + spread * ({PLS4}), 6) + 0.0 as prediction from y0 {" ".join(f"join t{k} using (id)" for k in range(4))}, n0, n1, n2, n3""",
+)
 add("pls_one_component", pls_one_component, _pls1_sql())
 
 # --- workflows -----------------------------------------------------------------------------------------------------
@@ -395,17 +476,50 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("confusion", confusion, f"{E_CTE}, {BASIS} select label::bigint as actual, round_even(4.5 + t1 + t2, 0)::bigint as predicted, count(*) as n from t join embeddings on vec_id = id group by 1, 2")
+
+
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = spectra(spark, sf_dir).withColumn("p", F.get(PREDICTS.prediction(F.col("x")), 0))
+    return predicted.groupBy((F.col("id") % 10).alias("part")).agg(F.round(evaluation.accuracy(predicted, "y", "p"), 6).alias("accuracy"))
+
+
+add("accuracy", accuracy, f"{E_CTE}, {BASIS} select id % 10 as part, round(avg((label = round_even(4.5 + t1 + t2, 0))::int), 6) as accuracy from t join embeddings on vec_id = id group by 1")
 add("describe_values", lambda spark, d: evaluation.describe(spark.read.parquet(f"{d}/events.parquet"), "value").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "q25", "q50", "q75", "high")]),
     "select count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, round(min(value), 6) as low, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.75), 6) as q75, round(max(value), 6) as high from events")
 add("value_counts", lambda spark, d: spectra(spark, d).groupBy(F.col("y").cast("long").alias("label")).agg(F.count("*").alias("n")), "select label::bigint as label, count(*) as n from embeddings group by 1")
 
 
-def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = evaluation.cross_validated_error(spectra(spark, sf_dir), [scatter.StandardNormalVariate()], [1, 2], folds=3)
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in errors.items()], "components long, error double")
+FOLDS, MOST = 10, 10
 
 
-add("cross_validation", cross_validation)
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten folds, 1 to 10 components, and which number is best."""
+    errors = evaluation.cross_validated_error(spectra(spark, sf_dir), [scatter.StandardNormalVariate()], list(range(1, MOST + 1)), folds=FOLDS)
+    best = min(errors, key=lambda a: (errors[a], a))
+    return spark.createDataFrame([(k, round(v, 6), k == best) for k, v in errors.items()], "components long, error double, best boolean")
+
+
+def _cross_validation_sql() -> str:
+    snv = "z as (select id, pos, (v - avg(v) over (partition by id)) / stddev_pop(v) over (partition by id) as v from e)"
+    cuts = ", ".join(f"quantile_cont(vec_id, {k / FOLDS!r}) as c{k}" for k in range(1, FOLDS))
+    fold = " + ".join(f"(vec_id > c{k})::int" for k in range(1, FOLDS))
+    sums = " + ".join
+    errors = " union all ".join(
+        f"select {a}::bigint as components, avg(e) as error from (select y0.fold, avg(abs(y - ({sums(f't{k}.t * n{k}.q' for k in range(a))}))) as e from y0 "
+        + " ".join(f"join t{k} on t{k}.fold = y0.fold and t{k}.id = y0.id join n{k} on n{k}.fold = y0.fold" for k in range(a))
+        + " where not train group by y0.fold)"
+        for a in range(1, MOST + 1)
+    )
+    return f"""{E_CTE}, {snv}, cuts as (select {cuts} from embeddings), f as (select vec_id as id, label, {fold} as own from embeddings, cuts),
+folds as (select unnest(range({FOLDS})) as fold), y1 as (select fold, id, label, own != fold as train from f, folds),
+y0 as materialized (select fold, id, label - avg(label) filter (train) over (partition by fold) as y, train from y1),
+joined as (select fold, id, pos, v, train from z join y1 using (id)),
+x0 as materialized (select fold, id, pos, v - avg(v) filter (train) over (partition by fold, pos) as v from joined), {iterated_sql.deflated(MOST, "fold, ")},
+errors as ({errors})
+select components, round(error, 6) as error, error = min(error) over () as best from errors"""
+
+
+add("cross_validation", cross_validation, _cross_validation_sql())
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,6 +534,104 @@ add("as_of_measurement", as_of, "select c.event_id, c.user_id, p.value from (sel
 add("wide_and_long", lambda spark, d: long(frames.from_wide(frames.to_wide(spectra(spark, d).drop("y"), [f"f{i}" for i in range(N)]), [f"f{i}" for i in range(N)])), each("v"))
 
 
+# --- sources and sinks ---------------------------------------------------------------------------------------------
+
+
+def _csv(df: DataFrame, folder: str, name: str) -> None:
+    """df in the order of its id, without it, as a CSV table that may have several files."""
+    df.orderBy("id").drop("id").write.csv(f"{folder}/{name}.csv", header=True)
+
+
+def loaded(load, spectra_name: str, table_name: str, columns: dict[str, str]):
+    """Both tables of a dataset, written as CSV from the embeddings, read by its loader and put together by the rows' places."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, folder = spectra(spark, sf_dir), new_folder(spark, "datasets")
+        _csv(frames.to_wide(df.drop("y"), [str(w) for w in AXIS]), folder, spectra_name)
+        _csv(df.select("id", *[F.expr(c).alias(k) for k, c in columns.items()]), folder, table_name)
+        x, table = load(spark, folder)
+        total = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+        both = x.select(F.col("id").alias("spectrum"), F.size("x").cast("long").alias("n"), rounded(total).alias("total")).join(table, F.col("id") == F.col("spectrum")).drop("spectrum")
+        return both.select("id", "n", "total", *[rounded(F.col(k)).alias(k) if isinstance(table.schema[k].dataType, DoubleType) else k for k in columns])
+
+    return query
+
+
+def _loaded_sql(columns: dict[str, str]) -> str:
+    said = ", ".join(f"{c} as {k}" for k, c in columns.items())
+    return f"{E_CTE}, s as (select id, count(*) as n, round(sum(v * (pos + 1)), 6) + 0.0 as total from e group by id) select row_number() over (order by vec_id) - 1 as id, n, total, {said} from embeddings join s on s.id = vec_id"
+
+
+add("load_fermentation_train", loaded(datasets.load_fermentation_train, "train_spectra", "train_hplc", {"glucose": "y * 1.5D"}), _loaded_sql({"glucose": "label * 1.5::double"}))
+MEASURED = {"time": 1.25, "glucose": 2.0, "xylose": 0.5, "acetic_acid": 3.0, "ethanol": 4.0, "furfural": 0.25}
+add(
+    "load_fermentation_test",
+    loaded(datasets.load_fermentation_test, "fermentation_spectra", "fermentation_hplc", {k: f"y * {c!r}D" for k, c in MEASURED.items()}),
+    _loaded_sql({k: f"label * {c!r}::double" for k, c in MEASURED.items()}),
+)
+add("load_coffee", loaded(datasets.load_coffee, "coffee_spectra", "coffee_labels", {"labels": "concat('origin ', int(y))"}), _loaded_sql({"labels": "'origin ' || label"}))
+
+
+def named_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two selectors in a row, as a wide table whose columns carry the names that are left, and back as (id, feature, value)."""
+    stages = [select.RangeCut(10, 40), select.IndexSelector([0, 7, 29])]
+    df = spectra(spark, sf_dir).drop("y")
+    for s in stages:
+        df = s.transform(df)
+    names = feature_names_out(stages, [f"wn{i}" for i in range(N)])
+    return frames.to_wide(df, names).unpivot("id", names, "feature", "value").withColumn("value", rounded(F.col("value")))
+
+
+add("named_features", named_features, f"{E_CTE} select id, 'wn' || pos as feature, {V.format('v')} from e where pos in (10, 17, 39)")
+
+
+def mask_and_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a selector leaves, put back where it was, zeros elsewhere."""
+    s = select.IndexSelector([5, 6, 50])
+    return long(spectra(spark, sf_dir).select("id", select.restored(s.column(F.col("x")), select.support(N, s)).alias("x")))
+
+
+add("mask_and_inverse", mask_and_inverse, each("case when pos in (5, 6, 50) then v else 0 end"))
+
+
+def saved_and_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline, saved, loaded and applied."""
+    df, folder = spectra(spark, sf_dir), new_folder(spark, "model")
+    Pipeline(stages=[scatter.StandardNormalVariate(), latent.StandardScaler(with_std=False)]).fit(df).save(folder)
+    return long(PipelineModel.load(folder).transform(df))
+
+
+SAVED = "z as (select id, pos, (v - avg(v) over (partition by id)) / stddev_pop(v) over (partition by id) as v from e), m as (select pos, avg(v) as m from z group by pos)"
+add("saved_pipeline", saved_and_loaded, each("v - m", SAVED, source="z join m using (pos)"))
+
+
+def training_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spectra(spark, sf_dir)
+    return outliers.QResiduals(FIXED).fit_predict_residuals(df).select("id", rounded(F.col("residual")).alias("value"))
+
+
+add("training_residuals", training_residuals, f"{E_CTE}, {SPE} select id, {V.format('q')} from q")
+
+
+# --- longer spectra: the prices of a supplier's lines, in order, cut into runs -----------------------------------------
+WIDE = 239
+
+
+def price_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x): runs of WIDE prices in hundreds; a supplier's last run may be shorter, but not of less than 8."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("price", F.col("l_extendedprice") / 100)
+    whole = frames.from_long(t, "l_suppkey", ["l_orderkey", "l_linenumber", "price"], "price")
+    cut = whole.select("l_suppkey", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / WIDE).cast("int")), lambda k: F.slice("x", (k * WIDE + 1).cast("int"), WIDE))).alias("k", "x"))
+    return cut.select((F.col("l_suppkey") * 10_000 + F.col("k")).alias("id"), "x").where(F.size("x") >= 8)
+
+
+RUNS = f"""with e as (select l_suppkey * 10000 + k // {WIDE} as id, k % {WIDE} as pos, v, count(*) over (partition by l_suppkey, k // {WIDE}) as size
+from (select l_suppkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice / 100) - 1 as k, l_extendedprice / 100 as v from lineitem) qualify size >= 8)"""
+stage("whittaker_239", smooth.WhittakerSmooth(), iterated_sql.whittaker(RUNS, 100.0, 4), source=price_runs, digits=4)
+stage("airpls_239", baseline.AirPls(), iterated_sql.airpls(RUNS, 100.0, 15, 4), source=price_runs, digits=4)
+stage("arpls_239", baseline.ArPls(), iterated_sql.arpls(RUNS, 1e4, 0.01, 100, 2), source=price_runs, digits=2)
+
+
 def screening_pipeline() -> Pipeline:
     return Pipeline(stages=[scatter.StandardNormalVariate(), derivative.SavitzkyGolay(7, 2, 1), select.RangeCut(3, -3), latent.StandardScaler(with_std=False), latent.PCA(4)])
 
@@ -432,4 +644,14 @@ def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", rounded(F.col("residual")).alias("value"), F.col("outlier").cast("long").alias("outlier"))
 
 
-add("outlier_screening", screening)
+_SG = "k(o, c) as (values (-3, -3), (-2, -2), (-1, -1), (0, 0), (1, 1), (2, 2), (3, 3))"
+add(
+    "outlier_screening",
+    screening,
+    f"""{E_CTE}, z as (select id, pos, (v - avg(v) over (partition by id)) / stddev_pop(v) over (partition by id) as v from e), {_SG},
+d as (select a.id, a.pos - 3 as pos, sum(b.v * c / 28.0) as v from z a cross join k join z b on b.id = a.id and b.pos = a.pos + o where a.pos between 3 and {N - 4} group by a.id, a.pos),
+x as materialized (select id, pos, v - avg(v) over (partition by pos) as v from d), {iterated_sql.components("x", N - 6, 4)}, {SCORES},
+whole as (select id, sum(v * v) as s from x group by id), q as (select id, any_value(s) - sum(t * t) as q from t join whole using (id) group by id),
+lim as (select quantile_cont(q, 0.95) as c from q)
+select id, {V.format("q")}, (case when q > c then -1 else 1 end)::bigint as outlier from q, lim""",
+)

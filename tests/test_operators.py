@@ -7,8 +7,9 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from prismark.functions import linear
+from prismark.functions import linear, order_statistics
 from prismark.operators import augment, baseline, derivative, latent, outliers, scale, scatter, select, smooth
+from prismark.plans import evaluation
 from prismark.sources import datasets, frames
 
 
@@ -181,10 +182,14 @@ def test_shifts(spark):
     np.testing.assert_allclose(right, [3.5, 4.5, 5.5, 6.5, 7.5, 8.5, 9.5, 10, 11], atol=1e-9)
     np.testing.assert_allclose(augment.fractional_shift(x, np.array([-2.5]), "linear", 0.0)[0][3:], x[0][3:] - 2.5, atol=1e-9)
     wave = np.sin(np.arange(500) / 7.0)[None, :]
-    near = augment._local_spline(wave[0], np.arange(5, 495) + 0.3)
+    near = linear.unit_spline(wave, np.arange(5, 495)[None, :] + 0.3)[0]
     np.testing.assert_allclose(near, np.sin((np.arange(5, 495) + 0.3) / 7.0), atol=1e-5)
     few = np.arange(12.0)
-    np.testing.assert_allclose(augment._local_spline(few**3, few + 0.25), linear.spline_basis(few, few + 0.25) @ few**3, atol=1e-8)
+    np.testing.assert_allclose(linear.unit_spline((few**3)[None, :], few[None, :] + 0.25)[0], linear.spline_basis(few, few + 0.25) @ few**3, atol=1e-8)
+    rows = np.random.default_rng(4).normal(size=(3, 30))
+    np.testing.assert_allclose(linear._swept_curvature(rows), rows @ linear._unit_curvature(30), atol=1e-9)
+    short = augment.fractional_shift(rows[:, :2], np.array([0.25, -0.25, 0.0]), "zeros", 0.0)
+    np.testing.assert_allclose(short[:, 0], [rows[0, 0] * 0.75 + rows[0, 1] * 0.25, 0, rows[2, 0]], atol=1e-12)
 
 
 def collinear():
@@ -275,3 +280,64 @@ def test_dataset_loaders(spark, tmp_path):
     assert datasets.load_coffee(spark, str(tmp_path), "pandas")[1].shape == (2, 2)
     with pytest.raises(ValueError):
         datasets.load_coffee(spark, str(tmp_path), "polar")
+
+
+def test_rows_of_split_files_keep_their_places(spark, tmp_path):
+    n = 4000
+    (tmp_path / "coffee_spectra.csv").write_text("100.5,101.5\n" + "".join(f"{i},{i * 2}.25\n" for i in range(n)))
+    (tmp_path / "coffee_labels.csv").write_text("labels\n" + "".join(f"label {i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        x, labels = datasets.load_coffee(spark, str(tmp_path))
+        assert spark.read.csv(str(tmp_path / "coffee_spectra.csv"), header=True).rdd.getNumPartitions() > 1
+        both = {r.id: (r.x[0], r.labels) for r in x.join(labels, "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert both == {i: (float(i), f"label {i}") for i in range(n)}
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    groups = {0: rng.normal(size=3000), 1: np.full(500, 2.5), 2: np.r_[np.zeros(900), rng.lognormal(3, 3, 800)], 3: np.array([7.0]), 4: np.array([-1e300, 0.0, 1e300, 5e-324])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (5, None), (1, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    for few, buckets in ((100_000, 1 << 16), (50, 1 << 16), (0, 256)):
+        monkeypatch.setattr(order_statistics, "COLLECTED", few)
+        monkeypatch.setattr(order_statistics, "BUCKETS", buckets)
+        got = order_statistics.exact_quantiles(df, "v", shares, "g")
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            np.testing.assert_allclose(got[g], np.quantile(vs, shares), rtol=1e-12, atol=1e-300)
+    assert order_statistics.exact_quantiles(df.where("g < 0"), "v", shares) == {}
+    plan = scatter.MultiplicativeScatterCorrection(method="median").fit(table(spark, [1, 2, 4], [2, 4, 9], [3, 5, 7]))
+    assert plan.value("reference") == [2, 4, 7]
+
+
+def test_poisson_quantiles():
+    rng = np.random.default_rng(12)
+    for mean in (0.0, 0.3, 4.0, 90.0, 3000.0):
+        u = rng.uniform(size=4000)
+        k = linear.poisson_quantile(u, np.full(4000, mean))
+        assert abs(k.mean() - mean) <= 5 * np.sqrt(mean / 4000) and abs(k.var() - mean) <= 0.12 * mean
+    p = np.cumsum([np.exp(-4.0) * 4.0**j / math.factorial(j) for j in range(60)])
+    u = rng.uniform(size=1000)
+    assert linear.poisson_quantile(u, np.full(1000, 4.0)).tolist() == np.searchsorted(p, u, side="right").tolist()
+    np.testing.assert_allclose(linear.log_factorial(np.arange(0, 1000, 7)), [math.lgamma(j + 1) for j in range(0, 1000, 7)], rtol=1e-13)
+    with pytest.raises(ValueError):
+        linear.poisson_quantile(np.array([0.5]), np.array([-1.0]))
+
+
+def test_cross_validation_is_fit_by_fit(spark, training):
+    stages = [latent.StandardScaler(with_std=False)]
+    one = evaluation.cross_validated_error(training, stages, [1, 2], folds=4)
+    other = evaluation.cross_validated_error(training, [], [1, 2], folds=4)
+    assert one.keys() == other.keys() and all(abs(one[a] - other[a]) < 1e-9 for a in one)
+    by_hand = []
+    for k in range(4):
+        inside = lambda df, k=k: (df.id >= 25 * k) & (df.id < 25 * (k + 1))
+        model = latent.PLSRegression(2, False).fit(training.where(~inside(training)))
+        rows = training.where(inside(training)).select("y", F.get(model.prediction(F.col("x")), 0).alias("p")).collect()
+        by_hand.append(np.mean([abs(r.y - r.p) for r in rows]))
+    assert abs(other[2] - np.mean(by_hand)) < 1e-9
