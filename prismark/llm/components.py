@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismark.llm.common import materialise
+from prismark.llm.common import discard, materialise
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         large = both.join(least, "n").where("x > n").select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = materialise(moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        before, e = e, materialise(moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(before)
         if (now := _mark(e)) == mark:
             break
         mark = now
