@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,11 +84,12 @@ def _bitmap(prints: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _doc_prints(words: int, k: int, short: list[int], bitmap):
+def _doc_prints(words: int, k: int, short: list[int], bitmap, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         bits = np.frombuffer(bitmap.value, np.uint64)
         mask = np.uint64(BITMAP_BITS - 1)
+        row = TaskContext.get().partitionId() << 36
 
         def listed(grams: np.ndarray) -> np.ndarray:
             low = grams & mask
@@ -110,17 +112,30 @@ def _doc_prints(words: int, k: int, short: list[int], bitmap):
                         found.append((int(_signed(grams[p : p + 1])[0]), n, p, doc[p : p + n]))
                 hits.append([{"fp": f, "span": n, "first": a, "around": [x.decode("utf-8", "surrogatepass") for x in ws]} for f, n, a, ws in found])
             kind = pa.list_(pa.struct([("fp", pa.int64()), ("span", pa.int32()), ("first", pa.int32()), ("around", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(hits, kind)], ["id", "n_words", "hits"])
+            rows = pa.array(np.arange(row, row + len(counts)))
+            row += len(counts)
+            yield pa.RecordBatch.from_arrays([rows, *(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(hits, kind)], ["row", *keep, "n_words", "hits"])
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, words: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    words: int = 10,
+    gram: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per document, spans, pairs).
 
-    Per row of docs: id_col, n_words, materialised. Spans: (id, first, span) of every place where a window of an item occurs,
-    distinct. Pairs: (id, item) distinct. A window is `words` consecutive words of an item; an item of fewer words, but not none,
-    is one window. Null or empty texts have no words and match nothing. Rows with a null id share one id; so do repeated rows.
+    Per row of docs: row (a number that spans and pairs refer to), id_col, keep, n_words; materialised. Spans: (row, first,
+    span) of every place where a window of an item occurs, distinct. Pairs: (row, item) distinct. A window is `words`
+    consecutive words of an item; an item of fewer words, but not none, is one window. Null or empty texts have no words and
+    match nothing. Rows are told apart whatever their ids.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -131,49 +146,47 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words: int = 10, g
     short = sorted(r[0] for r in items.where(F.col("span") < words).select("span").distinct().collect())  # at most words - 1 numbers
     bitmap = spark.sparkContext.broadcast(_bitmap(prints))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    doc_kind = rows.schema["id"].dataType
+    carried = [f"keep{i}" for i in range(1 + len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip((id_col, *keep), carried, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hit = "array<struct<fp:long,span:int,first:int,around:array<string>>>"
-    schema = T.StructType([T.StructField("id", doc_kind), T.StructField("n_words", T.LongType()), T.StructField("hits", T._parse_datatype_string(hit))])
-    scanned = materialise(rows.mapInArrow(_doc_prints(words, gram, short, bitmap), schema), "prints")
+    schema = T.StructType([T.StructField("row", T.LongType()), *rows.drop("text").schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T._parse_datatype_string(hit))])
+    scanned = materialise(rows.mapInArrow(_doc_prints(words, gram, short, bitmap, carried), schema), "prints")
+    bitmap.unpersist()
 
-    met = scanned.select("id", F.explode("hits").alias("h")).select("id", "h.*").join(prints, ["span", "fp"], "left_semi")
+    met = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(prints, ["span", "fp"], "left_semi")
     starts = F.expr("transform(sequence(0, size(around) - span), i -> struct(cast(first + i as int) as first, array_join(slice(around, i + 1, span), ' ') as window))")
-    around = met.where("size(around) >= span").select("id", "span", F.explode(starts).alias("s")).select("id", "span", "s.first", "s.window").distinct()
+    around = met.where("size(around) >= span").select("row", "span", F.explode(starts).alias("s")).select("row", "span", "s.first", "s.window").distinct()
     listed = items.select(F.col("id").alias("item"), F.explode("windows").alias("window"))
     spans = materialise(around.join(listed.select("window").distinct(), "window", "left_semi"), "spans")
-    pairs = spans.select("id", "window").distinct().join(listed, "window").select("id", "item").distinct()
-    return scanned.select(F.col("id").alias(id_col), "n_words"), spans.select("id", "first", "span").distinct(), pairs
+    pairs = spans.select("row", "window").distinct().join(listed, "window").select("row", "item").distinct()
+    counted = scanned.select("row", *[F.col(k).alias(c) for c, k in zip((id_col, *keep), carried, strict=True)], "n_words")
+    return counted, spans.select("row", "first", "span").distinct(), pairs
 
 
 def covered(spans: DataFrame) -> DataFrame:
-    """(id, n_hit): words of each id inside any of its spans."""
-    w = Window.partitionBy("id").orderBy("first", "span").rowsBetween(Window.unboundedPreceding, -1)
+    """(row, n_hit): words of each row inside any of its spans."""
+    w = Window.partitionBy("row").orderBy("first", "span").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("first") + F.col("span")
     before = F.coalesce(F.max(end).over(w), F.lit(0))
     new = F.greatest(F.lit(0), end - F.greatest("first", before))
-    return spans.select("id", new.cast("long").alias("new")).groupBy("id").agg(F.sum("new").alias("n_hit"))
+    return spans.select("row", new.cast("long").alias("new")).groupBy("row").agg(F.sum("new").alias("n_hit"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **kw) -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated; see find_contamination for the cases.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", keep: tuple[str, ...] = (), **kw) -> DataFrame:
+    """One row per row of docs: id_col, keep, n_words, n_hit, n_items, items_sha256, contaminated; see find_contamination for the cases.
 
     items_sha256: of the items' ids as strings, sorted and joined by commas (of the empty string if there are none).
     """
-    counted, spans, pairs = find_contamination(docs, benchmark, id_col=id_col, item_col=item_col, **kw)
-    names = pairs.groupBy("id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("names"))
-    found = _both(covered(spans), names)
-    out = counted.join(found.withColumnRenamed("id", "found_id"), F.col(id_col).eqNullSafe(F.col("found_id")), "left")
+    counted, spans, pairs = find_contamination(docs, benchmark, id_col=id_col, item_col=item_col, keep=keep, **kw)
+    names = pairs.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("names"))
+    found = covered(spans).join(names, "row", "left").withColumnRenamed("row", "found_row")
+    out = counted.join(found, F.col("row") == F.col("found_row"), "left")
     return out.select(
         id_col,
+        *keep,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
-
-
-def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    b = b.withColumnRenamed("id", "other")
-    return a.join(b, F.col("id").eqNullSafe(F.col("other")), "left").drop("other")

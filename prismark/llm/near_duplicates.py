@@ -3,7 +3,7 @@
 Each permutation gives two values of a document's signature, the minimum and the maximum over its shingles, so a
 signature of 2p values costs p hash evaluations. Bands of four values (two permutations) make the candidates.
 
-1. Documents with the same set of shingles are one class; from here on a class is one node (its smallest doc_id).
+1. Documents with the same set of shingles are one class; from here on a class is one node with a number of its own.
 2. Classes that share a bucket of a band are candidates. Buckets are never expanded into all pairs: their members are held
    against a hub, the one with the fewest shingles of its own, and what is confirmed is joined to components.
 3. Only buckets whose members still lie in several components are looked at again, with other hubs, and at last pair by
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,12 +65,14 @@ def min_max(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (both >> np.uint64(32)).astype("<u4")
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, set_key, sig, s1, s2): size and digest of the set, signature, and one bit of each value in two longs; null where there are no words."""
+def signatures(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """(row, id, keep, n, set_key, sig, s1, s2): a number for the row, size and digest of the set, signature, and one bit of each value in two longs; null where there are no words."""
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), _family()
         weights = (np.uint64(1) << np.arange(PERMUTATIONS, dtype=np.uint64))[None, :]
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             sizes, keys, sigs = [], [], []
             for text in batch.column("text").to_pylist():
@@ -79,12 +82,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sigs.append(min_max(s, a, b) if len(s) else np.zeros(2 * PERMUTATIONS, "<u4"))
             bits = (np.stack(sigs) & 1).astype(np.uint64) if sigs else np.zeros((0, 2 * PERMUTATIONS), np.uint64)
             s1, s2 = ((bits[:, i::2] * weights).sum(axis=1).astype(np.int64) for i in (0, 1))
+            rows = pa.array(np.arange(row, row + len(sizes)))
+            row += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array(s1), pa.array(s2)],
-                ["id", "n", "set_key", "sig", "s1", "s2"],
+                [rows, *(batch.column(c) for c in ["id", *keep]), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array(s1), pa.array(s2)],
+                ["row", "id", *keep, "n", "set_key", "sig", "s1", "s2"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, set_key binary, sig binary, s1 long, s2 long")
+    return docs.select("id", *keep, "text").mapInArrow(run, f"row long, id long, {fields}n long, set_key binary, sig binary, s1 long, s2 long")
 
 
 def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -107,25 +112,34 @@ def _links(counted: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def sketch_limit(percent: int) -> int:
-    """Differing bits of two sketches that a pair at the threshold stays below but for a chance of some 1e-8."""
+@functools.lru_cache
+def sketch_limit(percent: int, chance: float = 1e-8) -> int:
+    """Differing bits of two sketches that a pair at the threshold does not exceed but for the chance (the exact binomial tail)."""
     p, n = (1 - percent / 100) / 2, 2 * PERMUTATIONS
-    return math.ceil(n * p + 5.5 * math.sqrt(n * p * (1 - p)))
+    tail, d = 0.0, n
+    while d and tail + (one := math.comb(n, d) * p**d * (1 - p) ** (n - d)) <= chance:
+        tail += one
+        d -= 1
+    return d
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col (long), n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col (long), keep, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
 
     Linked are documents whose sets of shingles (runs of `words` words; fewer words are one shingle) have a similarity of
     `percent` or more. A null text, or one without words, has n_shingles 0 and links with nothing. Rows with a null id
-    link with nothing, have a null component_id and are kept. Repeated rows share an id and so are kept or not together.
-    Other columns are not read. An empty table gives no rows.
+    link with nothing, have a null component_id and are kept. Rows that share an id are one document: what links with one
+    of them is linked with all, and all are kept or none. Other columns are not read. An empty table gives no rows.
+
+    by_row: each row with an id is a document of its own. Rows are not linked by their ids, and of each component one row is
+    kept, of the smallest id.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sigs = materialise(signatures(rows, words), "signatures")
+    carried = [f"keep{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)])
+    sigs = materialise(signatures(rows, words, carried), "signatures")
     named = sigs.where("n > 0 and id is not null")
-    first = named.groupBy("set_key").agg(F.min(F.struct("id", "n", "s1", "s2", "sig")).alias("c"))
-    classes = materialise(first.select("set_key", "c.*"), "classes")
+    first = named.groupBy("set_key").agg(F.min(F.struct(F.col("id").alias("first_id"), "row", "n", "s1", "s2", "sig")).alias("c"))
+    classes = materialise(first.select("set_key", F.monotonically_increasing_id().alias("id"), "c.*"), "classes")
 
     width = 4 * BAND_VALUES
     slices = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
@@ -134,12 +148,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     members = materialise(bands.join(several, "bucket", "left_semi"), "members")
 
     # Sets of all that share a bucket with another class, once for all rounds.
-    shared = members.select("id").distinct().join(classes.select("id", "set_key"), "id")
-    made = _sets(rows.join(shared.select("id").distinct(), "id", "left_semi"), words)
-    sets = materialise(made.join(shared, ["id", "set_key"], "left_semi").dropDuplicates(["id"]), "sets")
+    shared = members.select("id").distinct().join(classes.select("id", "set_key", "first_id"), "id")
+    texts = shared.select(F.col("first_id").alias("wanted")).distinct()
+    made = _sets(rows.join(texts, F.col("id") == F.col("wanted"), "left_semi"), words)
+    sets = materialise(made.join(shared.select("set_key", "id"), "set_key").dropDuplicates(["id"]).select("id", "shingles"), "sets")
 
     # common: shingles that another candidate has too. With less than the threshold's share of them a class has no link.
-    sizes = classes.select("id", "n", "s1", "s2", slices.alias("bands")).dropDuplicates(["id"]).join(sets.select("id"), "id", "left_semi")
+    sizes = classes.select("id", "n", "s1", "s2", slices.alias("bands")).join(sets.select("id"), "id", "left_semi")
     sizes = sizes.join(_own(sets), "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     sizes = materialise(sizes.where(100 * F.col("common") >= percent * F.col("n")), "sizes")
     members = materialise(members.join(sizes.select("id", "n", "common"), "id"), "candidates")
@@ -150,7 +165,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     members = materialise(members.join(hubs, "bucket"), "members")
     tested = [materialise(members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "tested")]
     counted = materialise(_counted(tested[0], sets), "counted")
-    labels = components(_links(counted, percent))
+    links = _links(counted, percent)
+    labels = components(links if by_row else links.unionByName(_of_one_id(named, classes)))
     met = counted.select(F.col("a").alias("id"), F.col("b").alias("hub"), "both")
     members = members.join(met, ["id", "hub"], "left").withColumn("met", F.coalesce("both", "n")).drop("both", "hub")
     members = materialise(members.withColumn("apart", F.greatest(F.lit(0), F.col("common") - F.col("met"))), "members")
@@ -190,11 +206,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         if not found.isEmpty():
             labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
 
-    known = classes.select("set_key", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left")
-    known = known.select("set_key", F.coalesce("component", "first").alias("component"))
-    out = sigs.select("id", "n", "set_key").join(known, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # What a class has in common with its component: the first row of all.
+    head = F.struct(F.col("first_id").alias("component_id"), F.col("row").alias("first_row"))
+    own = classes.select("set_key", "id", head.alias("head")).join(labels, "id", "left")
+    best = own.where("component is not null").groupBy("component").agg(F.min("head").alias("best"))
+    known = own.join(best, "component", "left").select("set_key", F.coalesce("best", "head").alias("head")).select("set_key", "head.*")
+    out = sigs.select("row", "id", *carried, "n", "set_key").join(known, "set_key", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    stays = F.when(F.col("id").isNotNull(), F.col("row") == F.col("first_row") if by_row else F.col("id") == component)
+    return out.select(
+        F.col("id").alias(id_col),
+        *[F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)],
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(stays, F.lit(True)).alias("kept"),
+    )
+
+
+def _of_one_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of rows that share an id."""
+    several = named.groupBy("id").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 != k1").select("id")
+    held = named.select("id", "set_key").join(several, "id", "left_semi").distinct()
+    nodes = held.withColumnRenamed("id", "of").join(classes.select("set_key", "id"), "set_key")
+    return nodes.join(nodes.groupBy("of").agg(F.min("id").alias("b")), "of").where("id != b").select(F.col("id").alias("a"), "b")
 
 
 def _own(sets: DataFrame) -> DataFrame:
@@ -212,13 +246,13 @@ def _own(sets: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(id, set_key, shingles): the full sets."""
+    """(set_key, shingles): the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             found = [shingle_set(t, hashes, k).tobytes() for t in batch.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(s) for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["id", "set_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["set_key", "shingles"])
 
-    return rows.mapInArrow(run, "id long, set_key binary, shingles binary")
+    return rows.select("text").mapInArrow(run, "set_key binary, shingles binary")

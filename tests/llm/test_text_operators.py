@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismark.llm import decontamination, near_duplicates, packing, token_counts
@@ -134,3 +136,36 @@ def test_decontamination(spark, sf_dir):
         assert contaminated(frame, spark.createDataFrame(known, "item_id long, text string")) == brute.decontaminate(docs, known)
     assert contaminated(frame, bench.limit(0)) == brute.decontaminate(docs, [])
     assert contaminated(frame.limit(0), bench) == {}
+
+
+def test_decontamination_tells_rows_apart_whatever_their_ids(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x y z"), (1, f"so {item} so"), (None, "clean words"), (None, item), (2, item), (2, item)], "doc_id long, text string")
+    got = decontamination.decontaminate(tuned(spark).createDataFrame(docs.collect(), docs.schema), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    rows = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()), key=str)
+    assert rows == sorted([(1, 3, 0, 0, False), (1, 14, 12, 1, True), (None, 2, 0, 0, False), (None, 12, 12, 1, True), (2, 12, 12, 1, True), (2, 12, 12, 1, True)], key=str)
+
+
+def _two_texts_of_one_id():
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    return [(5, a), (5, b), (6, a + " a60"), (7, b + " b60"), (8, a), (9, b), (None, a + " a61"), (None, None), (10, "")]
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    df = tuned(spark).createDataFrame(_two_texts_of_one_id(), "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates.near_duplicates(df).collect()}
+    assert {i: got[i, n] for i, n in got if i in (5, 6, 7, 8, 9)} == {5: (5, True), 6: (5, False), 7: (5, False), 8: (5, False), 9: (5, False)}
+    assert got[None, 57] == (None, True) and got[None, 0] == (None, True) and got[10, 0] == (10, True)
+    got = near_duplicates.near_duplicates(df.unionByName(df.limit(1)).withColumn("n", F.lit("a")), by_row=True, keep=("text", "n")).collect()
+    of = {k: [(r.doc_id, r.component_id, r.kept) for r in got if (r.text or "-")[0] == k] for k in "ab-"}
+    kept = [(i, k) for i, _, k in of["a"]]
+    assert sorted(kept, key=str) == [(5, False), (5, True), (6, False), (8, False), (None, True)]
+    assert sorted(of["b"]) == [(5, 5, True), (7, 5, False), (9, 5, False)]
+    assert all(k for *_, k in of["-"]) and all(r.n == "a" for r in got)
+
+
+def test_sketch_limit_is_the_binomial_tail():
+    for percent in (80, 85):
+        d, p, n = near_duplicates.sketch_limit(percent), (1 - percent / 100) / 2, 2 * near_duplicates.PERMUTATIONS
+        tail = lambda k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert tail(d + 1) <= 1e-8 < tail(d)
