@@ -1,36 +1,45 @@
 """A quality classifier by co-training.
 
-Two views of a document are classified apart: its text (how its words, symbols and repetitions look) and its metadata
-(language, source, length, and what pages say of it). In each round each classifier labels for the other one the documents
-that it is sure of, and its surest of each class in any case, as a view may be right more often than not and never sure. In the
-end both views' margins are calibrated together on labelled documents that no round has seen, and every document is scored.
+Two views of a document are classified apart: its text (how its words, symbols and repetitions look, and which words and
+pairs of words occur) and its metadata (language, source, length, and what pages say of it). In each round each classifier
+labels for the other one the documents of a pool that it is sure of, and its surest of each class in any case, as a view may
+be right more often than not and never sure. In the end each view's margin is calibrated on labelled documents that no round
+has seen, both are combined, and every document is scored.
+
+Views of all documents are made in one pass over the texts and scored in one pass over the views. The classifiers are fitted
+on samples of bounded size, on the driver: labelled rows (FIT_ROWS) and the pool of rows to be pseudo-labelled (POOL_ROWS).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismark.llm.common import materialise
+from prismark.llm.wordhash import WordHashes, mixed
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "bars", "capital_words", "distinct", "top_word", "lines", "repeated_lines", "stops", "ends", "longest")
-HASHED = 1 << 12
+#: Buckets that words and pairs of words are hashed to, and those of metadata names.
+WORD_BUCKETS, NAME_BUCKETS = 128, 64
+#: About as many labelled rows the classifiers are fitted and calibrated on, and as many others are the pool, at most; of a
+#: rarer class more than its share are drawn, up to LEAST_ROWS, and weigh less.
+FIT_ROWS, POOL_ROWS, LEAST_ROWS = 20_000, 20_000, 1_000
 ROUNDS = 2
-#: A view labels for the other one what it is at least this sure of, and at least this share of the unlabelled documents, its
-#: surest of each class as the classes are among the labels; such labels weigh half.
+#: A view labels for the other one what it is at least this sure of, and at least this share of the pool, its surest of each
+#: class as the classes are among the labels; such labels weigh half.
 SURE, SHARE, PSEUDO_WEIGHT = 0.99, 0.1, 0.5
-#: What pages may say of a document: names, and counts in their markup.
-PAGE_NAMES, PAGE_COUNTS = ("host", "declared", "address_language"), ("tags", "links", "scripts")
 #: Of ten labelled documents so many are kept for calibration.
 CALIBRATION = 2
+#: What pages may say of a document: names, and counts in their markup.
+PAGE_NAMES, PAGE_COUNTS = ("host", "declared", "address_language"), ("tags", "links", "scripts")
+NAMES, COUNTS = ("source", "lang", *PAGE_NAMES), ("chars", *PAGE_COUNTS)
 
 
 def text_features(text: str) -> list[float]:
@@ -65,43 +74,137 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and `features` of each row (text)."""
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+def word_buckets(text: str, hashes: WordHashes) -> np.ndarray:
+    """Square roots of the shares of a text's words and pairs of words in each of WORD_BUCKETS buckets, in 255ths."""
+    h = hashes.of(text.encode("utf-8", "surrogatepass").split())
+    h = np.concatenate([mixed(h), mixed(h[:-1] * np.uint64(3) + h[1:])]) if len(h) else h
+    n = np.bincount((h % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
+    return np.round(255 * np.sqrt(n / max(1, len(h)))).astype(np.uint8)
+
+
+def text_view(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, surface (FEATURES) and buckets (word_buckets) of each row (text)."""
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            found = [text_features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], [*keep, "features"])
+            texts = batch.column("text").to_pylist()
+            surface = pa.array([text_features(t) for t in texts], pa.list_(pa.float32()))
+            buckets = pa.array([word_buckets(t, hashes).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), surface, buckets], [*keep, "surface", "buckets"])
+
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, surface array<float>, buckets binary")
+
+
+def text_matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    n = rows.num_rows
+    surface = np.array(rows.column("surface").to_pylist(), np.float64).reshape(n, len(FEATURES))
+    buckets = np.frombuffer(b"".join(rows.column("buckets").to_pylist()), np.uint8).reshape(n, WORD_BUCKETS)
+    return np.hstack([surface, buckets / 255.0])
+
+
+def metadata_matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Counts as they are, names as ones in the buckets of their hashes."""
+    n = rows.num_rows
+    out = np.zeros((n, len(COUNTS) + NAME_BUCKETS))
+    for i, c in enumerate(COUNTS):
+        out[:, i] = rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
+    for c in NAMES:
+        values = rows.column(c).to_pylist()
+        at = {v: len(COUNTS) + xxhash.xxh3_64_intdigest(f"{c}={v}".encode("utf-8", "surrogatepass")) % NAME_BUCKETS for v in set(values)}
+        out[np.arange(n), [at[v] for v in values]] += 1
+    return out
+
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features array<double>")
+VIEWS = (text_matrix, metadata_matrix)
 
 
-def _classifier(view: str) -> LogisticRegression:
-    return LogisticRegression(featuresCol=view, labelCol="y", weightCol="weight", predictionCol="p", rawPredictionCol="raw", probabilityCol="prob", regParam=1e-3, maxIter=30)
+@dataclass(frozen=True)
+class Linear:
+    """A logistic model: weights of the standardised columns, folded into weights and offset of the raw ones."""
 
+    weights: np.ndarray
+    offset: float
 
-def _margin(raw: str = "raw") -> Column:
-    return F.get(vector_to_array(F.col(raw)), 1)
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x @ self.weights + self.offset, -30, 30)
 
 
-def _with_margin(model, df: DataFrame, name: str) -> DataFrame:
-    out = model.transform(df)
-    # A model of one class has infinite margins.
-    return out.withColumn(name, F.greatest(F.lit(-30.0), F.least(F.lit(30.0), _margin()))).drop("raw", "prob", "p")
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2, steps: int = 40) -> Linear:
+    """Logistic regression by Newton's method; the offset isn't penalised."""
+    centre, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread < 1e-9] = np.inf
+    z = np.hstack([(x - centre) / spread, np.ones((len(x), 1))])
+    w, total = np.zeros(z.shape[1]), weight.sum()
+    ridge = np.diag(np.r_[np.full(x.shape[1], penalty), 1e-6])
 
+    def loss(w: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, -(2 * y - 1) * (z @ w)) / total + w @ ridge @ w / 2)
 
-def surest(scored: DataFrame, good: float) -> DataFrame:
-    """The rows of scored (m: margin; tie: in what order equal margins go, -1 to 1) that a view labels, with y: what it is SURE of, and SHARE of all at least, `good` of it good."""
-    rows = scored.withColumn("m", F.col("m") + F.lit(1e-6) * F.col("tie"))
-    low, high = rows.agg(F.percentile_approx("m", F.array(F.lit(SHARE * (1 - good)), F.lit(1 - SHARE * good)), 10_000)).first()[0] or (0.0, 0.0)
-    edge = float(np.log(SURE / (1 - SURE)))
-    is_good, is_bad = F.col("m") >= min(edge, high), F.col("m") <= max(-edge, low)
-    return rows.where(is_good != is_bad).withColumn("y", is_good.cast("double"))
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        slope = z.T @ (weight * (p - y)) / total + ridge @ w
+        bend = (z * (weight * p * (1 - p))[:, None]).T @ z / total + ridge
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-3:
+            size /= 2
+        if then > now:
+            break
+        w, done, now = w - size * step, now - then < 1e-10, then
+        if done:
+            break
+    weights = w[:-1] / spread
+    return Linear(weights, float(w[-1] - weights @ centre))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5, evidence: DataFrame | None = None) -> DataFrame:
-    """One row per row of docs: id_col, text_margin, metadata_margin, quality_score (probability of good), kept (score >= threshold).
+def surest(m: np.ndarray, good: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, y) that a view labels from the margins m: what it is SURE of, and SHARE of all at least, `good` of it good; equal margins go in the order of rows."""
+    n, edge = len(m), np.log(SURE / (1 - SURE))
+    order = np.argsort(m, kind="stable")
+    bad, fine = m <= -edge, m >= edge
+    bad[order[: round(n * SHARE * (1 - good))]] = True
+    fine[order[n - round(n * SHARE * good) :]] = True
+    rows = np.flatnonzero(bad != fine)
+    return rows, fine[rows].astype(float)
+
+
+def cotrain(train: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pool: list[np.ndarray]) -> list[Linear]:
+    """The classifiers of both views after ROUNDS of labelling the pool for each other."""
+    models = [fit(x, y, weight) for x in train]
+    for _ in range(ROUNDS):
+        given = [surest(m.margin(p), np.average(y, weights=weight)) for m, p in zip(models, pool, strict=True)]
+        now = []
+        for v in (0, 1):
+            rows, labels = given[1 - v]
+            x = np.vstack([train[v], pool[v][rows]])
+            now.append(fit(x, np.r_[y, labels], np.r_[weight, np.full(len(rows), PSEUDO_WEIGHT)]))
+        models = now
+    return models
+
+
+def calibrated(margins: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[list[Linear], Linear]:
+    """Each view's margin to its log odds, and both log odds to those of the document."""
+    each = [fit(m[:, None], y, weight, 1e-3) for m in margins]
+    odds = np.stack([c.margin(m[:, None]) for c, m in zip(each, margins, strict=True)], axis=1)
+    return each, fit(odds, y, weight, 1e-3)
+
+
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    chars_col: str = "n_chars",
+    threshold: float = 0.5,
+    evidence: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per row of docs: id_col, keep, text_margin, metadata_margin, quality_score (probability of good), kept (score >= threshold).
 
     labels: (id_col, label_col 0/1), some of them; null labels are left out, of several for one document the mean decides (good
     from a half on). Without labels of both kinds nothing can be learnt: all scores are null and all documents kept. A null
@@ -110,14 +213,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     evidence: (id_col, PAGE_NAMES, PAGE_COUNTS) of another table, one row per id; it meets the documents without their texts.
     """
+    carried = [f"keep{i}" for i in range(len(keep))]
     base = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("?")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"),
         F.log1p(F.greatest(F.coalesce(F.col(chars_col).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("chars"),
+        *[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)],
     )
-    seen = features(base, ["id", "source", "lang", "chars"])
+    seen = text_view(base, ["id", "source", "lang", "chars", *carried])
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
     known = known.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("y"))
     seen = seen.join(known, F.col("id") == F.col("label_id"), "left").drop("label_id")
@@ -126,30 +231,39 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen = seen.join(more, F.col("id") == F.col("page_of"), "left").drop("page_of")
     names = [F.coalesce(F.col(c).cast("string") if evidence is not None else F.lit(None), F.lit("?")).alias(c) for c in PAGE_NAMES]
     counts = [F.log1p(F.coalesce(F.col(c).cast("double") if evidence is not None else F.lit(None), F.lit(0.0))).alias(c) for c in PAGE_COUNTS]
-    seen = materialise(seen.select("id", "source", "lang", "chars", "features", "y", *names, *counts), "features")
-    kinds = [r[0] for r in seen.where("y is not null").select("y").distinct().collect()]  # two numbers at most
-    none = F.lit(None).cast("double")
-    if len(kinds) < 2:
-        return seen.select(F.col("id").alias(id_col), none.alias("text_margin"), none.alias("metadata_margin"), none.alias("quality_score"), F.lit(True).alias("kept"))
-    seen = seen.withColumn("text_view", array_to_vector("features"))
-    seen = FeatureHasher(inputCols=["source", "lang", *PAGE_NAMES], outputCol="hashed", numFeatures=HASHED).transform(seen)
-    seen = VectorAssembler(inputCols=["hashed", "chars", *PAGE_COUNTS], outputCol="metadata_view").transform(seen)
-    seen = seen.withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(10)) < CALIBRATION)
-    train = seen.where("y is not null and not held").select("text_view", "metadata_view", "y").withColumn("weight", F.lit(1.0))
-    tie = F.xxhash64("id", "features") / F.lit(2.0**63)
-    open_ = seen.where("y is null").select("text_view", "metadata_view", tie.alias("tie"))
-    views = ("text_view", "metadata_view")
-    models = {v: _classifier(v).fit(train) for v in views}
-    good = train.agg(F.avg("y")).first()[0] or 0.0
-    for _ in range(ROUNDS):
-        sure = {v: surest(_with_margin(models[v], open_, "m"), good).select(*views, "y", F.lit(PSEUDO_WEIGHT).alias("weight")) for v in views}
-        models = {v: _classifier(v).fit(train.unionByName(sure[other])) for v, other in (views, views[::-1])}
-    scored = _with_margin(models["metadata_view"], _with_margin(models["text_view"], seen, "text_margin"), "metadata_margin")
-    both = VectorAssembler(inputCols=["text_margin", "metadata_margin"], outputCol="both")
-    held = both.transform(scored.where("y is not null and held")).select("both", "y").withColumn("weight", F.lit(1.0))
-    if held.select("y").distinct().count() < 2:  # too few for a calibration of their own
-        held = both.transform(scored.where("y is not null")).select("both", "y").withColumn("weight", F.lit(1.0))
-    last = _classifier("both").fit(held)
-    out = last.transform(both.transform(scored.select("id", "text_margin", "metadata_margin")))
-    p = F.get(vector_to_array(F.col("prob")), 1)
-    return out.select(F.col("id").alias(id_col), "text_margin", "metadata_margin", p.alias("quality_score"), (p >= threshold).alias("kept"))
+    seen = materialise(seen.select("id", *carried, "source", "lang", "chars", "surface", "buckets", "y", *names, *counts), "views")
+
+    own = [F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)]]
+    found = {r["y"]: r["count"] for r in seen.groupBy("y").count().collect()}  # three rows at most
+    if not (found.get(0.0) and found.get(1.0)):
+        none = F.lit(None).cast("double")
+        return seen.select(*own, none.alias("text_margin"), none.alias("metadata_margin"), none.alias("quality_score"), F.lit(True).alias("kept"))
+    usual = min(1.0, FIT_ROWS / (found[0.0] + found[1.0]))
+    rate = {c: max(usual, min(1.0, LEAST_ROWS / found[c])) for c in (0.0, 1.0)}
+    wanted = F.when(F.col("y").isNull(), F.lit(POOL_ROWS / max(1, found.get(None, 0)))).when(F.col("y") == 0, F.lit(rate[0.0])).otherwise(F.lit(rate[1.0]))
+    draw = F.xxhash64("id", "buckets", F.lit("draw"))
+    sample = seen.where(F.abs(draw / F.lit(2.0**63)) < wanted)
+    held = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(10)) < CALIBRATION
+    # Rows in an order of their own, whatever order tasks end in: the same input gives the same models.
+    sample = sample.select("y", held.alias("held"), draw.alias("draw"), *NAMES, *COUNTS, "surface", "buckets").toArrow().sort_by("draw")
+    y = sample.column("y").to_numpy()
+    held, pool = sample.column("held").to_numpy(), np.isnan(y)
+    train = ~pool & ~held
+    if len(set(y[train])) < 2:  # too few labels to keep some of them for calibration
+        train = ~pool
+    check = ~pool & held if len(set(y[~pool & held])) == 2 else ~pool
+    weight = np.where(y == 0, usual / rate[0.0], usual / rate[1.0])
+    views = [v(sample) for v in VIEWS]
+    models = cotrain([x[train] for x in views], y[train], weight[train], [x[pool] for x in views])
+    each, both = calibrated([m.margin(x[check]) for m, x in zip(models, views, strict=True)], y[check], weight[check])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = [m.margin(v(batch)) for m, v in zip(models, VIEWS, strict=True)]
+            odds = np.stack([c.margin(m[:, None]) for c, m in zip(each, margins, strict=True)], axis=1)
+            p = 1 / (1 + np.exp(-both.margin(odds)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["id", *carried]), *map(pa.array, (*margins, p))], ["id", *carried, "text_margin", "metadata_margin", "quality_score"])
+
+    fields = ", ".join(f"`{c}` {seen.schema[c].dataType.simpleString()}" for c in ["id", *carried])
+    out = seen.select("id", *carried, *NAMES, *COUNTS, "surface", "buckets").mapInArrow(scored, f"{fields}, text_margin double, metadata_margin double, quality_score double")
+    return out.select(*own, "text_margin", "metadata_margin", "quality_score", (F.col("quality_score") >= threshold).alias("kept"))
