@@ -2,9 +2,13 @@
 
 Four kinds of evidence are multiplied: the likelihood of the text's letter trigrams, the declared markup language, the
 language that the address names (top-level domain or first part of the path), and a prior of the host, smoothed towards
-that of its domain, which is smoothed towards that of all rows. Trigram and prior counts are grouped aggregates over all
-rows, with the declared language as the label. That a text is in none of the languages has a likelihood of its own: that of
-its characters, counted over all rows, in any order.
+that of its domain, which is smoothed towards that of all rows.
+
+Trigram counts are grouped aggregates over all rows, with the declared language as the label, in folds: a text is scored by
+the counts of the other folds, so its own declaration, and that of its copies, never speaks twice. How often declarations
+and addresses are right is counted over all rows, against the languages that their texts are likeliest in; so are the
+languages of hosts, of which a row sees all but its own. That a text is in none of the languages has a likelihood of its own:
+that of its characters, counted over all rows, in any order.
 """
 
 from __future__ import annotations
@@ -23,14 +27,21 @@ BUCKETS = 1 << 15
 BLOCK = 1 << 20
 #: Trigrams beyond this many add no certainty: they are far from independent.
 EFFECTIVE = 60
-#: How often a declaration, and a language named in an address, is right.
-DECLARED_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
+#: Bounds of how often declarations, and languages named in addresses, are taken to be right; rows and share that the count begins with.
+RIGHT = (0.5, 0.98)
+RIGHT_ROWS, RIGHT_SHARE = 20.0, 0.85
+#: Letters from which a text counts for that.
+TELLING = 200
+#: What is added to each count.
+SPREAD = 0.5
+#: Parts of the rows whose trigrams are counted apart.
+FOLDS = 5
 #: Rows that the prior of the level above counts as.
 PRIOR_ROWS = 10.0
 #: Share of a text's trigrams that must be likelier than chance under its language: names and codes are not, foreign scripts aren't at all.
 LEAST_LIKELY = 0.25
-#: Log odds that a text has for its language beforehand: what unlike trigrams (a code, a notice) may cost a short text; a long one must be likelier than its characters.
-AGAINST_NONE = 100.0
+#: Trigrams that a text in its language may have that are unheard of there (a code, a notice), and share of them besides; one costs the more the larger the corpus is.
+UNHEARD, UNHEARD_SHARE = 36, 0.03
 #: Code points that are told apart; those beyond count as 0.
 CHARACTERS = 0x10000
 _letters = None
@@ -65,51 +76,63 @@ def trigrams(text: str) -> np.ndarray:
     return _buckets(_characters(text))
 
 
+def fold_of(text: Column) -> Column:
+    """The part of the rows that a text belongs to; copies belong together."""
+    return F.pmod(F.xxhash64(text, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def trigram_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(language, bucket, n) over all rows (text, declared) that declare one of the languages; with language -1, characters of all rows."""
+    """(fold, language, bucket, n) over all rows (text, declared) that declare one of the languages; with language -1, characters of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, all_ = np.zeros((len(languages), BUCKETS), np.int64), np.zeros(CHARACTERS, np.int64)
+        total, all_ = np.zeros((FOLDS, len(languages), BUCKETS), np.int64), np.zeros((1, CHARACTERS), np.int64)
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            for text, name in zip(batch.column("text").to_pylist(), batch.column("declared").to_pylist(), strict=True):
+            for text, name, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "declared", "fold")), strict=True):
                 c = _characters(text)
                 n = np.bincount(np.where(c < CHARACTERS, c, 0))
-                all_[: len(n)] += n
+                all_[0, : len(n)] += n
                 if name in place:
-                    total[place[name]] += np.bincount(_buckets(c), minlength=BUCKETS)
-        at, bucket = np.nonzero(total)
-        (seen,) = np.nonzero(all_)
-        columns = ((at, np.full(len(seen), -1)), (bucket, seen), (total[at, bucket], all_[seen]))
-        kinds = (np.int32, np.int32, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(columns, kinds, strict=True)], ["language", "bucket", "n"])
+                    total[fold, place[name]] += np.bincount(_buckets(c), minlength=BUCKETS)
+        fold, at, bucket = np.nonzero(total)
+        one, seen = np.nonzero(all_)
+        columns = ((fold, one), (at, one - 1), (bucket, seen), (total[fold, at, bucket], all_[one, seen]))
+        kinds = (np.int32, np.int32, np.int32, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(columns, kinds, strict=True)], ["fold", "language", "bucket", "n"])
 
-    return rows.select("text", "declared").mapInArrow(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "declared", fold_of(F.col("text")).alias("fold")).mapInArrow(run, "fold int, language int, bucket int, n long")
+    return counted.groupBy("fold", "language", "bucket").agg(F.sum("n").alias("n"))
 
 
 def text_model(counts: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihoods of each bucket under each language, and of each character; len(languages) x BUCKETS + CHARACTERS numbers at most come to the driver."""
-    n, characters = np.zeros((len(languages), BUCKETS)), np.zeros(CHARACTERS)
+    """Log-likelihoods of each bucket under each language, by the fold that is scored with them, and of each character; FOLDS x len(languages) x BUCKETS + CHARACTERS numbers at most come to the driver."""
+    n, characters = np.zeros((FOLDS, len(languages), BUCKETS)), np.zeros(CHARACTERS)
     found = counts.toArrow()
-    at, bucket, k = (found.column(c).to_numpy() for c in ("language", "bucket", "n"))
-    n[at[at >= 0], bucket[at >= 0]] = k[at >= 0]
+    fold, at, bucket, k = (found.column(c).to_numpy() for c in ("fold", "language", "bucket", "n"))
+    n[fold[at >= 0], at[at >= 0], bucket[at >= 0]] = k[at >= 0]
     characters[bucket[at < 0]] = k[at < 0]
-    spread = 0.5
-    logs = [np.log((x + spread) / (x.sum(axis=-1, keepdims=True) + spread * x.shape[-1])).astype(np.float32) for x in (n, characters)]
+    n = n.sum(axis=0) - n
+    # What is not seen is as likely as if all folds were counted.
+    logs = [np.log((x + spread) / (x.sum(axis=-1, keepdims=True) + spread * x.shape[-1])).astype(np.float32) for x, spread in ((n, SPREAD * (FOLDS - 1) / FOLDS), (characters, SPREAD))]
     return logs[0], logs[1]
 
 
+def unheard_costs(model: tuple[np.ndarray, np.ndarray]) -> list[float]:
+    """How much less likely than chance a trigram is that was never seen in each language."""
+    return np.maximum(0.0, -np.log(BUCKETS) - model[0].min(axis=2).mean(axis=0)).astype(float).tolist()
+
+
 def text_scores(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """keep, letters (trigrams seen), text_score (mean log-likelihood of a trigram by language), likely (share of them likelier than chance) and background (mean log-likelihood of a trigram's characters, chance at least) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (m, characters), chance = shared.value, -np.log(BUCKETS)
+        (models, characters), chance = shared.value, -np.log(BUCKETS)
         for batch in batches:
             seen, scores, likely, background = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                c = _characters(text)
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                c, m = _characters(text), models[fold]
                 t = _buckets(c)
                 seen.append(len(t))
                 each = [x[t] for x in m] if len(t) else [np.zeros(1)] * len(m)
@@ -122,7 +145,8 @@ def text_scores(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: lis
             columns = [*(batch.column(c) for c in keep), pa.array(seen, pa.int64()), *lists, pa.array(background, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "letters", "text_score", "likely", "background"])
 
-    return rows.select(*keep, "text").mapInArrow(run, f"{fields}, letters long, text_score array<double>, likely array<double>, background double")
+    rows = rows.select(*keep, "text", fold_of(F.col("text")).alias("fold"))
+    return rows.mapInArrow(run, f"{fields}, letters long, text_score array<double>, likely array<double>, background double")
 
 
 def domain_of(host: Column) -> Column:
@@ -130,21 +154,37 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def priors(rows: DataFrame, languages: list[str]) -> tuple[DataFrame, list[float]]:
-    """((host, prior: array<double> by language), the prior of all rows) from rows (host, domain, declared)."""
-    ones = [F.sum((F.col("declared") == x).cast("double")).alias(f"n{i}") for i, x in enumerate(languages)]
-    known = rows.where(F.col("declared").isin(languages))
-    hosts = known.where("host is not null").groupBy("host", "domain").agg(*ones)
-    totals = known.agg(*ones).first()
-    n = [float(x or 0) for x in totals]
-    everywhere = [(x + 1) / (sum(n) + len(n)) for x in n]
+def tally(rows: DataFrame, languages: list[str]) -> list[dict]:
+    """What rows (declared, address, k, telling) say in sum, one row: telling rows with a declared and with an address language, how many of them name language k, and rows of each language."""
+    names = F.array(*map(F.lit, languages))
+    sums = [F.sum((F.col("k") == i).cast("double")).alias(f"n{i}") for i in range(len(languages))]
+    for c in ("declared", "address"):
+        known = F.col("telling") & F.col(c).isin(languages)
+        sums += [F.sum(known.cast("double")).alias(c), F.sum((known & (F.col(c) == F.get(names, F.col("k")))).cast("double")).alias(f"{c}_right")]
+    return rows.agg(*sums).first().asDict()
+
+
+def _right(found: dict, column: str) -> float:
+    share = ((found[f"{column}_right"] or 0) + RIGHT_ROWS * RIGHT_SHARE) / ((found[column] or 0) + RIGHT_ROWS)
+    return min(max(share, RIGHT[0]), RIGHT[1])
+
+
+def host_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """(host, counts, above): rows of each language k on a host, and on its domain, as arrays."""
+    ones = [F.sum(F.coalesce((F.col("k") == i).cast("double"), F.lit(0.0))).alias(f"n{i}") for i in range(len(languages))]
+    hosts = rows.where("host is not null").groupBy("host", "domain").agg(*ones)
+    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))])
     counts = F.array(*[f"n{i}" for i in range(len(languages))])
+    return hosts.select("host", "domain", counts.alias("counts")).join(domains.select("domain", counts.alias("above")), "domain").drop("domain")
+
+
+def _prior(everywhere: list[float], k: Column) -> Column:
+    """The host's languages smoothed towards its domain's and those towards all rows', without the row's own."""
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    others = lambda c: F.transform(c, lambda x, i: x - (i == F.coalesce(k, F.lit(-1))).cast("double"))
     smooth = lambda c, up: F.zip_with(c, up, lambda x, p: (x + PRIOR_ROWS * p) / (total(c) + PRIOR_ROWS))
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))])
-    domains = domains.select("domain", smooth(counts, F.array(*map(F.lit, everywhere))).alias("above"))
-    hosts = hosts.select("host", "domain", counts.alias("counts")).join(domains, "domain")
-    return hosts.select("host", smooth(F.col("counts"), F.col("above")).alias("prior")), everywhere
+    base = F.array(*map(F.lit, everywhere))
+    return F.coalesce(smooth(others(F.col("counts")), smooth(others(F.col("above")), base)), base)
 
 
 def identify(
@@ -157,8 +197,9 @@ def identify(
     host_col: str = "host",
     least: float = 0.5,
     evidence: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of rows: id_col, language, confidence, text_language, letters, kept.
+    """One row per row of rows: id_col, keep, language, confidence, text_language, letters, kept.
 
     language is the one with the largest posterior (ties: the first of `languages`), confidence its probability, that of none
     of them included. A row is kept if its text has letters, LEAST_LIKELY of its trigrams are likelier than chance under that language, and confidence >= least.
@@ -169,47 +210,55 @@ def identify(
     evidence: (id_col, declared, address_language, host) of another table, one row per id; where not null it stands in
     for the row's own. It meets the rows when their texts are scored already, so texts are not shuffled.
     """
+    carried = [f"keep{i}" for i in range(len(keep))]
     base = rows.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.col(declared_col).cast("string").alias("declared"),
         F.col(address_col).cast("string").alias("address"),
         F.col(host_col).cast("string").alias("host"),
-    ).withColumn("domain", domain_of(F.col("host")))
+        *[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)],
+    )
     model = text_model(trigram_counts(base, languages), languages)
-    scored = materialise(text_scores(base, model, ["id", "declared", "address", "host", "domain"]), "scores")
+    seen = ["letters", "text_score", "likely", "background"]
+    scored = text_scores(base, model, ["id", *carried, "declared", "address", "host"])
     if evidence is not None:
         more = evidence.select(F.col(id_col).alias("e_id"), F.col("declared").alias("e_declared"), F.col("address_language").alias("e_address"), F.col("host").alias("e_host"))
-        own = {c: F.coalesce(f"e_{c}", c).alias(c) for c in ("declared", "address", "host")}
-        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", "letters", "text_score", "likely", "background", *own.values())
-        scored = materialise(scored.withColumn("domain", domain_of(F.col("host"))), "evidence")
-    by_host, everywhere = priors(scored, languages)
-    joined = scored.join(by_host.withColumnRenamed("host", "prior_host"), F.col("host") == F.col("prior_host"), "left")
-
-    def stated(column: str, right: float) -> list[Column]:
+        own = [F.coalesce(f"e_{c}", c).alias(c) for c in ("declared", "address", "host")]
+        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", *carried, *seen, *own)
+    place = lambda values, top: F.array_position(values, top).cast("int") - 1
+    text_k = F.when(F.col("letters") > 0, place(F.col("text_score"), F.array_max("text_score")))
+    scored = materialise(scored.withColumn("domain", domain_of(F.col("host"))).withColumn("k", text_k), "scores")
+    found = tally(scored.withColumn("telling", F.col("letters") >= TELLING), languages)
+    n = [found[f"n{i}"] or 0.0 for i in range(len(languages))]
+    prior = _prior([(x + 1) / (sum(n) + len(n)) for x in n], F.col("k"))
+    hosts = host_counts(scored, languages).withColumnRenamed("host", "counted_host")
+    joined = scored.join(hosts, F.col("host") == F.col("counted_host"), "left").withColumn("prior", prior)
+
+    def stated(column: str) -> list[Column]:
+        right = _right(found, column)
         wrong = (1 - right) / max(1, len(languages) - 1)
         known = F.col(column).isin(languages)
         return [F.when(known, F.when(F.col(column) == x, F.lit(right)).otherwise(F.lit(wrong))).otherwise(F.lit(1.0)) for x in languages]
 
     effective = F.least(F.col("letters"), F.lit(EFFECTIVE)).cast("double")
-    prior = F.coalesce("prior", F.array(*map(F.lit, everywhere)))
     logs = [
-        F.get("text_score", i) * effective + F.log(d) + F.log(a) + F.log(F.get(prior, i))
-        for i, (d, a) in enumerate(zip(stated("declared", DECLARED_RIGHT), stated("address", ADDRESS_RIGHT), strict=True))
+        F.get("text_score", i) * effective + F.log(d) + F.log(a) + F.log(F.get("prior", i))
+        for i, (d, a) in enumerate(zip(stated("declared"), stated("address"), strict=True))
     ]
-    fused = joined.select("id", "letters", "text_score", "likely", "background", F.array(*logs).alias("logs")).withColumn("best", F.array_max("logs"))
+    fused = joined.select("id", *carried, *seen, F.col("k").alias("text_k"), F.array(*logs).alias("logs")).withColumn("best", F.array_max("logs"))
     names = F.array(*map(F.lit, languages))
-    place = lambda values, top: F.array_position(values, top).cast("int") - 1
     k = place(F.col("logs"), F.col("best"))
-    none = F.exp((F.col("background") - F.get("text_score", k)) * F.col("letters") - AGAINST_NONE)
+    cost = F.get(F.array(*map(F.lit, unheard_costs(model))), k)
+    none = F.exp((F.col("background") - F.get("text_score", k)) * F.col("letters") - cost * (UNHEARD + UNHEARD_SHARE * F.col("letters")))
     confidence = 1 / F.aggregate("logs", none, lambda s, x: s + F.exp(x - F.col("best")))
-    out = fused.select("id", "letters", "text_score", "likely", k.alias("k"), confidence.alias("confidence"))
-    text_k = place(F.col("text_score"), F.array_max("text_score"))
+    out = fused.select("id", *carried, "letters", "likely", "text_k", k.alias("k"), confidence.alias("confidence"))
     return out.select(
         F.col("id").alias(id_col),
+        *[F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)],
         F.get(names, F.col("k")).alias("language"),
         "confidence",
-        F.when(F.col("letters") > 0, F.get(names, text_k)).alias("text_language"),
+        F.get(names, F.col("text_k")).alias("text_language"),
         "letters",
         ((F.col("letters") > 0) & (F.get("likely", F.col("k")) >= LEAST_LIKELY) & (F.col("confidence") >= least)).alias("kept"),
     )

@@ -2,7 +2,8 @@
 
 A text is cut into pieces, which are normalised; known licence sentences are found wherever they are one piece or several in
 a row, so also wrapped over lines, in comments and across paragraphs. The sequence of the identifiers found is then matched
-against licence rules, each an ordered run of identifiers. All of it is one projection over whole texts: no shuffle, no Python.
+against licence rules in order, each an ordered run of identifiers: what a rule has matched is taken out before the next one is
+tried. All of it is one projection over whole texts: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -17,22 +18,64 @@ from prismark.llm.common import ascii_lower
 
 # Normalised sentences of public licences and the notices that point to them, by identifier.
 SENTENCES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
     "apache-2.0-comply": "you may not use this file except in compliance with the license",
     "apache-2.0-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-2.0-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "mit-notice": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "mpl-2.0-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "gpl-2-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-3-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "cc-by-nc-4.0-notice": "licensed under cc by nc 4 0",
+    "lgpl-2.1-grant": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "unlicense": "this is free and unencumbered software released into the public domain",
     "rights-reserved": "all rights reserved",
 }
 # Other wordings of these sentences.
 WORDINGS = {"you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-2.0-copy"}
 
+# What notices call a licence, how far it restricts use (0 least), and the endings of its SPDX identifier.
+NAMES = {
+    "Apache-2.0": (0, ("the apache license version 2 0", "apache license 2 0"), ("",)),
+    "MIT": (0, ("the mit license", "mit"), ("",)),
+    "BSD-2-Clause": (0, ("the bsd 2 clause license", "the 2 clause bsd license"), ("",)),
+    "BSD-3-Clause": (0, ("the bsd 3 clause license", "the 3 clause bsd license"), ("",)),
+    "ISC": (0, ("the isc license",), ("",)),
+    "Unlicense": (0, ("the unlicense",), ("",)),
+    "CC0-1.0": (0, ("cc0 1 0", "the cc0 1 0 universal license"), ("",)),
+    "CC-BY-4.0": (0, ("cc by 4 0", "a creative commons attribution 4 0 international license"), ("",)),
+    "MPL-2.0": (1, ("the mozilla public license version 2 0",), ("",)),
+    "LGPL-2.1": (1, ("the gnu lesser general public license version 2 1",), ("", "-only", "-or-later")),
+    "LGPL-3.0": (1, ("the gnu lesser general public license version 3",), ("", "-only", "-or-later")),
+    "GPL-2.0": (1, ("the gnu general public license version 2",), ("", "-only", "-or-later")),
+    "GPL-3.0": (1, ("the gnu general public license version 3",), ("", "-only", "-or-later")),
+    "AGPL-3.0": (1, ("the gnu affero general public license version 3",), ("", "-only", "-or-later")),
+    "CC-BY-SA-4.0": (1, ("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license"), ("",)),
+    "CC-BY-NC-4.0": (2, ("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license"), ("",)),
+    "CC-BY-NC-SA-4.0": (2, ("cc by nc sa 4 0", "a creative commons attribution noncommercial sharealike 4 0 international license"), ("",)),
+    "CC-BY-NC-ND-4.0": (2, ("cc by nc nd 4 0", "a creative commons attribution noncommercial noderivatives 4 0 international license"), ("",)),
+}
+# How notices begin.
+NOTICES = ("licensed under", "released under", "distributed under", "this work is licensed under", "this project is licensed under", "this software is licensed under")
+
+
+def _known() -> dict[str, str]:
+    """Identifier by sentence: those above, notices, and SPDX identifiers."""
+    out = {s: name for name, s in SENTENCES.items()} | WORDINGS
+    for licence, (_, names, endings) in NAMES.items():
+        out |= {f"{begin} {name}": f"{licence.lower()}-notice" for begin in NOTICES for name in names}
+        out |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", f"{licence}{e}".lower()): f"{licence.lower()}-spdx" for e in endings}
+    return out
+
+
 #: Sentences of so many words are unmistakable: they may follow words that nothing cuts off, as a holder's name.
 LONG = 12
 #: A piece ends where white space follows a sentence end or its closing quotes, a list mark or an address, and at every newline.
@@ -48,18 +91,24 @@ class LicenceRule:
     sentences: tuple[str, ...]
 
 
-# The rules, in the order in which they are tried.
+# The rules of whole texts, in the order in which they are tried; those of notices and SPDX identifiers come behind.
 RULES = [
-    LicenceRule("Apache-2.0", 0, ("apache-2.0-notice",)),
     LicenceRule("Apache-2.0", 0, ("apache-2.0-comply", "apache-2.0-copy", "apache-2.0-basis")),
-    LicenceRule("MIT", 0, ("mit-notice",)),
     LicenceRule("MIT", 0, ("mit-grant", "as-is")),
-    LicenceRule("GPL-3.0", 1, ("gpl-3-notice",)),
+    LicenceRule("BSD-3-Clause", 0, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    LicenceRule("BSD-2-Clause", 0, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
+    LicenceRule("ISC", 0, ("isc-grant",)),
+    LicenceRule("Unlicense", 0, ("unlicense",)),
+    LicenceRule("MPL-2.0", 1, ("mpl-2.0-subject",)),
+    LicenceRule("LGPL-2.1", 1, ("lgpl-2.1-grant", "lgpl-hope")),
+    LicenceRule("AGPL-3.0", 1, ("agpl-3-grant", "gpl-hope")),
+    LicenceRule("GPL-2.0", 1, ("gpl-2-grant", "gpl-hope")),
     LicenceRule("GPL-3.0", 1, ("gpl-grant", "gpl-hope")),
-    LicenceRule("CC-BY-NC-4.0", 2, ("cc-by-nc-4.0-notice",)),
+    *(LicenceRule(licence, level, (f"{licence.lower()}-{kind}",)) for licence, (level, _, _) in NAMES.items() for kind in ("notice", "spdx")),
     LicenceRule("proprietary", 3, ("rights-reserved",)),
 ]
 CLASSES = ("permissive", "copyleft", "non-commercial", "proprietary")
+KNOWN = _known()
 
 
 def pieces_of(text: Column) -> Column:
@@ -69,32 +118,60 @@ def pieces_of(text: Column) -> Column:
     return F.regexp_replace(words, " ?\n[ \n]*(?:(?:rem|dnl)(?=[ \n]) ?)?", "|")
 
 
+def _one_of(sentences: list[str]) -> str:
+    """A pattern of any of the sentences, longest first, their words however apart; sentences of one first word share it."""
+    by: dict[str, list[str]] = {}
+    for x in sorted(sentences, key=len, reverse=True):
+        first, _, rest = x.partition(" ")
+        by.setdefault(first, []).append("[ |]+".join(map(re.escape, rest.split())))
+    return "(?:" + "|".join(f"{re.escape(w)}[ |]+(?:{'|'.join(rest)})" for w, rest in by.items()) + ")"
+
+
 def sentences_in(text: Column, known: list[str]) -> Column:
-    """The known sentences, in order, that begin and end where pieces of the text do, long ones also beginning within one; of several from one place the longest."""
-    longest = sorted(known, key=len, reverse=True)
-    of = lambda s: "[ |]+".join(map(re.escape, s.split()))
-    long, short = ([of(s) for s in longest if (len(s.split()) >= LONG) == x] for x in (True, False))
-    ways = [start + "(?:" + "|".join(x) + ")" for start, x in (("[ |]", long), (r"\|", short)) if x]
+    """The known sentences (two words or more), in order, that begin and end where pieces of the text do, long ones also beginning within one; of several from one place the longest."""
+    long, short = ([s for s in known if (len(s.split()) >= LONG) == x] for x in (True, False))
+    ways = [start + _one_of(x) for start, x in (("[ |]", long), (r"\|", short)) if x]
     found = F.regexp_extract_all(pieces_of(text), F.lit("(?:" + "|".join(ways) + r")(?=\|)"), 0)
     return F.transform(found, lambda s: F.trim(F.regexp_replace(s, "[ |]+", " ")))
 
 
+def run_of(names: tuple[str, ...]) -> str:
+    """A run of identifiers as text; each has a comma of its own on either side."""
+    return "".join(f",{n}," for n in names)
+
+
+def matched(names: Column, rules: list[LicenceRule]) -> Column:
+    """struct(licences, level): of each rule in order that matches what the rules before it have left."""
+    each = F.array(*[F.struct(F.lit(run_of(r.sentences)).alias("run"), F.lit(r.licence).alias("licence"), F.lit(r.restricts).alias("level")) for r in rules])
+    line = F.array_join(F.transform(names, lambda n: F.concat(F.lit(","), n, F.lit(","))), "")
+    start = F.struct(line.alias("line"), F.array().cast("array<string>").alias("licences"), F.lit(-1).alias("level"))
+
+    def step(s: Column, r: Column) -> Column:
+        hit = F.contains(s["line"], r["run"])
+        after = F.struct(F.replace(s["line"], r["run"], F.lit(",#,")).alias("line"), F.array_append(s["licences"], r["licence"]).alias("licences"), F.greatest(s["level"], r["level"]).alias("level"))
+        return F.when(hit, after).otherwise(s)
+
+    return F.aggregate(F.when(F.size(names) > 0, each).otherwise(F.slice(each, 1, 0)), start, step)
+
+
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[LicenceRule] | None = None) -> DataFrame:
     """One row per row of df: id_col, sentences (identifiers found, in order), licences (distinct, sorted, comma-joined), licence_class, n_sentences.
 
     The class is that of the most restricting licence, "none" without any. A null or empty text has none. Null ids stay,
     repeated rows give repeated results, an empty table gives none, other columns are not read.
+
+    sentences: other sentences, of two words or more, by identifier; rules: other rules.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    names_of = {s: name for s, name in WORDINGS.items() if name in sentences} | {s: name for name, s in sentences.items()}
+    names_of, rules = {s: n for n, s in sentences.items()} if sentences else KNOWN, rules or RULES
     known = F.create_map(*[F.lit(x) for pair in names_of.items() for x in pair])
     met = sentences_in(F.coalesce(F.col(text_col), F.lit("")), list(names_of))
-    names = F.transform(met, lambda s: F.element_at(known, s))
-    rows = df.select(F.col(id_col), names.alias("names"))
-    rows = rows.select(id_col, F.array_join("names", ",").alias("sentences"), F.size("names").cast("long").alias("n_sentences"))
-    line = F.concat(F.lit(","), "sentences", F.lit(","))
-    met = {r: F.contains(line, F.lit("," + ",".join(r.sentences) + ",")) for r in rules}
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(m, F.lit(r.licence)) for r, m in met.items()]))))
-    level = F.coalesce(F.greatest(F.lit(-1), *[F.when(m, F.lit(r.restricts)).otherwise(F.lit(-1)) for r, m in met.items()]), F.lit(-1))
-    kind = F.when(level < 0, F.lit("none")).otherwise(F.get(F.array(*map(F.lit, CLASSES)), level))
-    return rows.select(id_col, "sentences", F.array_join(licences, ",").alias("licences"), kind.alias("licence_class"), "n_sentences")
+    rows = df.select(F.col(id_col), F.transform(met, lambda s: F.element_at(known, s)).alias("names"))
+    rows = rows.select(id_col, "names", matched(F.col("names"), rules).alias("found"))
+    level = F.col("found.level")
+    return rows.select(
+        id_col,
+        F.array_join("names", ",").alias("sentences"),
+        F.array_join(F.array_sort(F.array_distinct("found.licences")), ",").alias("licences"),
+        F.when(level < 0, F.lit("none")).otherwise(F.get(F.array(*map(F.lit, CLASSES)), level)).alias("licence_class"),
+        F.size("names").cast("long").alias("n_sentences"),
+    )

@@ -11,7 +11,7 @@ from prismark.llm.tokenizing import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
-# The rules that the filter is asked to apply, and the words that put a host on its list.
+# The rules that the filter is asked to apply, and the words that put a host on the example list.
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
     url_filter.Rule("example.org/es/", "block"),
@@ -19,12 +19,17 @@ URL_RULES = [
     url_filter.Rule("com/fr/", "allow"),
     url_filter.Rule("com/de/", "block"),
 ]
-LISTED_HOSTS = "(^|[.-])(ads|adult|casino|spam)([.-]|$)"
+LISTED_HOSTS = "(^|[.-])(ads|adult|bets|casino|pills|porn|spam)([.-]|$)"
+
+
+def host_list(pages: DataFrame) -> DataFrame:
+    """The list of hosts to block, as a table. The given tables have none, so it is drawn from their hosts by word; any other table with a column host does."""
+    return pages.select(url_filter.host_of(F.col("url")).alias("host")).where(F.col("host").rlike(LISTED_HOSTS)).distinct()
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, URL_RULES, lambda host: host.rlike(LISTED_HOSTS)).drop("listed")
+    return url_filter.judge(pages, URL_RULES, materialise(host_list(pages), "host-list")).drop("listed")
 
 
 OP1_SQL = f"""
@@ -125,16 +130,21 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
-    rules = ", ".join(f"({i}, '{r.licence}', {r.restricts}, ',{','.join(r.sentences)},')" for i, r in enumerate(licences.RULES))
+    """Sentences on lines of their own, as the tables have them; rules are tried in order on what is left."""
+    known = ", ".join(f"('{name}', '{sentence}')" for sentence, name in licences.KNOWN.items())
+    rules = ", ".join(f"({i}, '{r.licence}', {r.restricts}, '{licences.run_of(r.sentences)}')" for i, r in enumerate(licences.RULES))
     return f"""
-with known(name, sentence) as (values {known}), rules(k, licence, restricts, run) as (values {rules}),
+with recursive known(name, sentence) as (values {known}), rules(k, licence, restricts, run) as (values {rules}),
 cut as (select doc_id, unnest(l) as s, generate_subscripts(l, 1) as i
-    from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1\n', 'g'), chr(10)) as l from documents)),
+    from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\\1\n', 'g'), chr(10)) as l from documents)),
 norm as (select doc_id, i, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as sentence from cut),
-found as (select doc_id, string_agg(name, ',' order by i) as sentences, count(*) as n_sentences from norm join known using (sentence) group by doc_id),
-met as (select distinct doc_id, licence, restricts from found, rules where contains(',' || sentences || ',', run)),
-named as (select doc_id, string_agg(distinct licence, ',' order by licence) as licences, max(restricts) as level from met group by doc_id)
+found as (select doc_id, string_agg(name, ',' order by i) as sentences, string_agg(',' || name || ',', '' order by i) as line, count(*) as n_sentences from norm join known using (sentence) group by doc_id),
+tried(doc_id, k, line, licences, level) as (
+    select doc_id, 0, line, []::varchar[], -1 from found
+    union all
+    select doc_id, t.k + 1, replace(line, run, ',#,'), case when contains(line, run) then list_append(licences, licence) else licences end, case when contains(line, run) then greatest(level, restricts) else level end
+    from tried t join rules r on r.k = t.k),
+named as (select doc_id, array_to_string(list_sort(list_distinct(licences)), ',') as licences, level from tried where k = {len(licences.RULES)})
 select doc_id, coalesce(sentences, '') as sentences, coalesce(licences, '') as licences,
     case level when 0 then 'permissive' when 1 then 'copyleft' when 2 then 'non-commercial' when 3 then 'proprietary' else 'none' end as licence_class,
     coalesce(n_sentences, 0) as n_sentences
@@ -146,16 +156,17 @@ from documents left join found using (doc_id) left join named using (doc_id)
 LANGUAGES = ["de", "en", "es", "fr"]
 
 
-def _of_documents(pages: DataFrame, *said: Column) -> DataFrame:
-    """doc_id and said of documents whose number ends a page's path; of several pages that with the smallest id."""
+def _of_documents(pages: DataFrame, *said: str) -> DataFrame:
+    """doc_id and said of documents whose number ends a page's path, as the tables' pages show documents; of several pages each field is that of the page with the smallest id that has it."""
     number = F.regexp_extract("url", r"://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:[./?#]|$)", 1)
-    pages = pages.select(F.when(number != "", number.cast("long")).alias("doc_id"), F.struct("page_id", *said).alias("e")).where("doc_id is not null")
-    return pages.groupBy("doc_id").agg(F.min("e").alias("e")).select("doc_id", "e.*").drop("page_id")
+    pages = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"), *said).where("doc_id is not null")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("page_id").isNull(), "page_id", c)))[c].alias(c)
+    return pages.groupBy("doc_id").agg(*map(first, said))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(doc_id, declared, address_language, host) of documents whose number ends a page's path; of several pages that with the smallest id."""
-    return _of_documents(pages, *_page_names())
+    """(doc_id, declared, address_language, host) of documents that pages show."""
+    return _of_documents(pages.select("page_id", "url", *_page_names()), "declared", "address_language", "host")
 
 
 def _page_names() -> list[Column]:
@@ -166,13 +177,18 @@ def _page_names() -> list[Column]:
 def page_metadata(pages: DataFrame) -> DataFrame:
     """page_evidence, and the tags, links and scripts in the page's markup."""
     times = lambda x, name: ((F.length("html") - F.length(F.replace("html", F.lit(x)))) / len(x)).alias(name)
-    return _of_documents(pages, *_page_names(), times("<", "tags"), times("<a ", "links"), times("<script", "scripts"))
+    seen = pages.select("page_id", "url", *_page_names(), times("<", "tags"), times("<a ", "links"), times("<script", "scripts"))
+    return _of_documents(seen, "declared", "address_language", "host", "tags", "links", "scripts")
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The languages of documents: `lang` is declared, `source` the host, unless a page that shows the document says otherwise."""
+    rows = docs.select("doc_id", *keep, "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.col("source").alias("host"))
+    return language_id.identify(rows, LANGUAGES, evidence=page_evidence(table(spark, sf_dir, "pages")), keep=keep)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(tuned(spark), sf_dir, "documents")
-    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address_language"), F.col("source").alias("host"))
-    return language_id.identify(rows, LANGUAGES, evidence=page_evidence(table(spark, sf_dir, "pages")))
+    return identified(spark, table(tuned(spark), sf_dir, "documents"), sf_dir)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

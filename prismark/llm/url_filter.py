@@ -4,11 +4,14 @@ A cascade answers exactly for every key of a known universe. Level 1 holds the l
 the universe that level 1 reports by mistake, level 3 the listed ones that level 2 reports by mistake, and so on until none
 is. A key's answer is the parity of the first level that does not report it. Tests are expressions over the levels' bits,
 which Spark fetches as scalar subqueries: no join, no Python.
+
+A list is dealt by the keys' hashes over as many cascades as keep each level's bits below a bound; rows ask the cascade of
+their key's shard, so a task holds the levels of one shard however long the list is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +22,10 @@ from prismark.llm.common import ascii_lower, materialise
 HASHES = 5
 #: Bits for each key of a level; 5 hashes then err on about one key in 40.
 BITS_PER_KEY = 8
-#: The most bits of a level, 16 MB; lists that need more are asked by a join instead.
-MAX_BITS = 1 << 27
+#: Listed keys of a shard, some: its first level then has 1 << 27 bits, 16 MB. The later ones, of keys reported by mistake, are smaller unless far fewer keys are listed than not; these are split as well.
+SHARD_KEYS = 1 << 23
+#: Other keys of a shard: one in 40 of them is reported by mistake and so in the second level.
+SHARD_OTHERS = 40 * SHARD_KEYS
 
 
 def host_of(url: Column) -> Column:
@@ -125,12 +130,10 @@ class Cascade:
         return F.coalesce(F.when(key.isNotNull(), answer), F.lit(False))
 
 
-def build_cascade(inside: DataFrame, outside: DataFrame, n: int, max_levels: int = 40) -> Cascade | None:
-    """The levels for n distinct listed keys and the universe's other keys (column key of each); None if a level would exceed MAX_BITS."""
+def build_cascade(inside: DataFrame, outside: DataFrame, n: int, max_levels: int = 40) -> Cascade:
+    """The levels for n distinct listed keys and the universe's other keys (column key of each)."""
     levels: list[Level] = []
     while n:
-        if _bits_for(n) > MAX_BITS:
-            return None
         if len(levels) == max_levels:
             raise ValueError(f"{n} keys are left after {max_levels} levels")
         levels.append(_level(inside, n, len(levels)))
@@ -139,29 +142,39 @@ def build_cascade(inside: DataFrame, outside: DataFrame, n: int, max_levels: int
     return Cascade(levels)
 
 
-def with_listed(rows: DataFrame, key: str, universe: DataFrame, name: str = "listed") -> DataFrame:
-    """rows with a boolean `name`: whether its key is listed. universe: (key, listed) with every key of rows.
+def _shard(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), F.coalesce(F.col(key), F.lit(""))), F.lit(shards))
 
-    A key counts as listed if any of its rows in universe does; null keys are not. Asked of a cascade, or of a join where
-    the list is too long for one.
-    """
-    keys = materialise(universe.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "universe")
-    inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
-    if (cascade := build_cascade(inside, outside, inside.count())) is not None:
-        return rows.withColumn(name, cascade.lists(F.col(key)))
-    listed = inside.select(F.col("key").alias("listed_key"))
-    return rows.join(listed, F.col(key) == F.col("listed_key"), "left").withColumn(name, F.col("listed_key").isNotNull()).drop("listed_key")
 
+def with_listed(rows: DataFrame, key: str, universe: DataFrame, listed: DataFrame, name: str = "listed") -> DataFrame:
+    """rows with a boolean `name`: whether its key is listed. universe: (key) with every key of rows; listed: (key), any keys.
 
-def judge(pages: DataFrame, rules: list[Rule], listed_host: Callable[[Column], Column], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    Null keys are not listed. The list is joined with the universe once, to build the cascades; rows are not joined. Each
+    shard reads the rows' keys once.
+    """
+    keys = universe.where("key is not null").select("key").distinct()
+    listed = listed.where("key is not null").select("key").distinct().withColumn("listed", F.lit(True))
+    keys = materialise(keys.join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+    n = {r["listed"]: r["count"] for r in keys.groupBy("listed").count().collect()}
+    shards = max(1, -(-n.get(True, 0) // SHARD_KEYS), -(-n.get(False, 0) // SHARD_OTHERS))
+    parts = []
+    for s in range(shards):
+        mine = keys.where(_shard("key", shards) == s) if shards > 1 else keys
+        inside, outside = mine.where("listed").select("key"), mine.where("not listed").select("key")
+        cascade = build_cascade(inside, outside, inside.count())
+        part = rows.where(_shard(key, shards) == s) if shards > 1 else rows
+        parts.append(part.withColumn(name, cascade.lists(F.col(key))))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, listed.
 
-    The longest rule that fits decides; without one, listed hosts are blocked and others allowed. listed_host tells of a host
-    column which hosts the list has; all hosts of pages are the cascade's universe. A null url or one without :// has empty
-    host and path, and so no rule. Null ids stay; repeated rows give repeated results; other columns are not read.
+    The longest rule that fits decides; without one, hosts among `listed` (column host, in lower case) are blocked and others
+    allowed; all hosts of pages are the cascade's universe. A null url or one without :// has empty host and path, and so no
+    rule. Null ids stay; repeated rows give repeated results; other columns are not read.
     """
     rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = rule_for(rules, F.col("host"), F.col("path"))
-    universe = rows.select(F.col("host").alias("key"), listed_host(F.col("host")).alias("listed"))
-    out = with_listed(rows, "host", universe).withColumn("rule", rule)
+    out = with_listed(rows, "host", rows.select(F.col("host").alias("key")), listed.select(F.col("host").alias("key"))).withColumn("rule", rule)
     return out.select(id_col, "host", "path", "rule", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
