@@ -1,8 +1,10 @@
 """WARC archives with revisit resolution.
 
-Writing: headers (payload digest, id, place) are shuffled by digest to find each payload's first record; rows join their
-digest's first record and are written as response or revisit, revisits without payload. Records are lines of Spark's text
-writer with the separator that ends a WARC record, so the archives go wherever Spark writes.
+Writing: headers (payload digest, id, place), never payloads, are shuffled by digest; each digest's first record is its
+response, the others are joined to it as revisits. Revisit records have no payload, so they are made from headers alone.
+Response records are the rows that are no revisit: most are told by a bitmap of the revisits' places, of a fixed size at most,
+and written as they are read; the others meet the revisits in a join. Records are lines of Spark's text writer with the
+separator that ends a WARC record, so the archives go wherever Spark writes.
 
 Reading: parts split at the same separator are put together again by Content-Length, so a payload may hold anything.
 Revisits are joined to the responses that they refer to.
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismark.llm.common import discard, materialise, without
+
 # Fixed values of the format.
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
@@ -34,7 +38,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def record_id(place: Column, page_id: Column) -> Column:
     """The same for each run over the same table: from the row's id and its place in the table."""
-    h = F.md5(F.concat_ws(":", F.lit("record"), F.coalesce(page_id.cast("string"), F.lit("null")), place.cast("string")))
+    h = F.md5(F.concat_ws(":", F.lit("record"), F.coalesce(page_id.cast("string"), F.lit("null")), place["file"], place["row"].cast("string")))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts]), F.lit(">"))
 
@@ -44,52 +48,59 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"\r\n{name}: "), F.translate(value, "\r\n", "  ")), F.lit(""))
 
 
-def resolved(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(place, page_id, url, html, digest, bytes, first_place, first_id, response) for each row of pages.
+def placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(place, page_id, url, html, digest, bytes) of each row; place is the row's file and number in it, the same in every scan."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = pages.select(place.alias("place"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    return rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
+
+
+def revisits_among(heads: DataFrame, min_bytes: int) -> DataFrame:
+    """Of headers (place, page_id, url, digest, bytes) those that revisit another one, with its first_place and first_id.
 
-    Of rows with equal payloads of min_bytes or more the one with the smallest id is the response (null ids come last, ties
-    go to the earlier row). `place` numbers the rows of the table, so pages must be a table or file, not a shuffle's result.
+    Of headers with equal digests and min_bytes or more the one with the smallest id is the response (null ids come last, ties
+    go to the earlier row); all others are responses.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
+    long = heads.where(F.col("bytes") >= min_bytes)
     head = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "place")
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(head).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = long.groupBy("digest").agg(F.min(head).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = first.select("digest", F.col("f.place").alias("first_place"), F.col("f.page_id").alias("first_id"))
-    joined = rows.join(first, "digest", "left")
-    alone = F.col("first_place").isNull() | (F.col("bytes") < min_bytes) | (F.col("first_place") == F.col("place"))
-    return joined.withColumn("response", alone)
+    return long.join(first, "digest").where("place != first_place")
+
+
+def _record(*parts: tuple[str, Column], block: Column | None = None) -> Column:
+    block = F.lit("") if block is None else block
+    return F.concat(F.lit(VERSION), *[_line(k, v) for k, v in parts], _line("Content-Length", F.octet_length(block).cast("string")), F.lit(END), block).alias("value")
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", **kw) -> None:
-    """One record per row of pages as WARC files below `path`, with fresh headers; see resolved() for what becomes a revisit.
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """One record per row of pages, a frame over Parquet files, as WARC files below `path`, with fresh headers, and one warcinfo record; see revisits_among() for what becomes a revisit.
 
-    A null html is an empty payload; a null url gives a record without WARC-Target-URI; a null id one without X-Page-Id.
-    An empty table writes no record. Other columns are not written.
+    A null html is an empty payload; a null url gives a record without WARC-Target-URI; a null id one without X-Page-Id. An
+    empty table gives the warcinfo record only. Other columns are not written. Each file is one gzip stream.
     """
-    rows = resolved(pages, **kw)
-    kind = F.when(F.col("response"), F.lit("response")).otherwise(F.lit("revisit"))
-    body = F.when(F.col("response"), F.col("html")).otherwise(F.lit(""))
-    revisit = ~F.col("response")
-    text = F.concat(
-        F.lit(VERSION),
-        _line("WARC-Type", kind),
-        _line("WARC-Record-ID", record_id(F.col("place"), F.col("page_id"))),
-        _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.col("url")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        _line("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
-        _line("WARC-Refers-To", F.when(revisit, record_id(F.col("first_place"), F.col("first_id")))),
-        _line("X-Page-Id", F.col("page_id").cast("string")),
-        _line("Content-Type", F.when(F.col("response"), F.lit("text/html; charset=utf-8"))),
-        _line("Content-Length", F.octet_length(body).cast("string")),
-        F.lit(END),
-        body,
-    )
-    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    rows = placed(pages, id_col, url_col, html_col)
+    heads = materialise(rows.drop("html"), "heads")
+    revisits = materialise(revisits_among(heads, min_bytes), "revisits")
+    own, of = record_id(F.col("place"), F.col("page_id")), record_id(F.col("first_place"), F.col("first_id"))
+    both = [
+        ("WARC-Record-ID", own),
+        ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", F.col("url")),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        ("X-Page-Id", F.col("page_id").cast("string")),
+    ]
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END), "html")
+    full = without(rows, revisits, ("place",)).select(_record(("WARC-Type", F.lit("response")), *both, ("Content-Type", F.lit("application/http; msgtype=response")), block=http))
+    again = revisits.select(_record(("WARC-Type", F.lit("revisit")), *both, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", of)))
+    one = pages.sparkSession.range(1)
+    info = one.select(_record(("WARC-Type", F.lit("warcinfo")), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))), ("WARC-Date", F.lit(date)), ("Content-Type", F.lit("application/warc-fields")), block=F.lit("format: WARC File Format 1.1\r\n")))
+    info.unionByName(full).unionByName(again).write.option("lineSep", END).option("compression", "gzip").text(path)
+    discard(heads, revisits)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records below `path` as (record_id, record_type, url, page_id, refers_to, stated_digest, payload, bytes, digest); the last two from the payload itself.
+    """The records of gzip files below `path` as (record_id, record_type, url, page_id, refers_to, stated_digest, payload, bytes, digest); the last two from the payload itself, that of an HTTP response being its body.
 
     A file is read by one task from its start, part by part; nothing but one record is held.
     """
@@ -153,10 +164,12 @@ class _Stream:
                 raise ValueError(f"{self.file}: {head.get('warc-record-id')} does not end after {size} bytes")
             del self.held[: size + len(end)]
             self.head = None
+            if head.get("content-type", "").startswith("application/http"):
+                payload = payload[payload.index(end) + len(end) :]
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             page = head.get("x-page-id")
             stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
-            yield head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), None if page is None else int(page), head.get("warc-refers-to"), stated, payload.decode("utf-8", "surrogatepass"), size, digest
+            yield head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), None if page is None else int(page), head.get("warc-refers-to"), stated, payload.decode("utf-8", "surrogatepass"), len(payload), digest
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -167,7 +180,7 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve_read(records: DataFrame) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id); revisits take what belongs to the payload from the response that they refer to."""
+    """One row per response or revisit: page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id); revisits take what belongs to the payload from the response that they refer to."""
     kept = records.select("record_id", "page_id", "bytes", "digest", "record_type", F.col("refers_to").alias("target"), "stated_digest")
     revisits = kept.where("record_type = 'revisit'")
     wanted = revisits.groupBy(F.col("target").alias("wanted")).agg(F.lit(1).alias("one")).select("wanted")
@@ -175,5 +188,5 @@ def resolve_read(records: DataFrame) -> DataFrame:
     originals = originals.select(F.col("record_id").alias("original"), F.col("page_id").alias("original_page"), F.col("bytes").alias("original_bytes"), F.col("digest").alias("original_digest"))
     found = revisits.join(originals, F.col("target") == F.col("original"), "left")
     found = found.select("page_id", F.col("original_bytes").alias("payload_bytes"), F.col("original_digest").alias("payload_digest"), "record_type", F.col("original_page").alias("refers_to"))
-    own = kept.where("record_type != 'revisit'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    own = kept.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(found)

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from prismark.llm import url_filter, warc
 from prismark.llm.common import tuned
-from prismark.llm.queries import LISTED_HOSTS, URL_RULES
+from prismark.llm.queries import URL_RULES, host_list
 
 
 def test_hosts_paths_rules(spark):
     urls = [None, "", "no scheme/x", "http://", "HTTP://A.B", "http://X.Example.ORG/es/a?q#f", "http://example.org/en/1", "http://example.org/en/2", "http://notexample.org/es/",
             "https://a.com/fr/x", "https://com/de/", "https://b.com/de", "ftp://h?x/y", "x://h#/y?z", "http://a/b://c/d", "http://spam-farm.net/x", "http://spamfarm.net/x", "http://w.ADS.net", "http://org"]
     df = tuned(spark).createDataFrame([(i, u, "z", True) for i, u in enumerate(urls)] + [(None, urls[5], None, None), (5, urls[5], None, None)], "page_id long, url string, host string, listed boolean")
-    got = url_filter.judge(df, URL_RULES, lambda h: h.rlike(LISTED_HOSTS)).collect()
+    got = url_filter.judge(df, URL_RULES, host_list(df)).collect()
     got = [(None if r.page_id is None else urls[r.page_id], r.host, r.path, r.rule, r.verdict) for r in got]
     assert len(got) == len(urls) + 2 and got.count((urls[5], "x.example.org", "/es/a", "example.org/es/", "block")) == 2
     by = {x[0]: x[1:] for x in got}
@@ -24,20 +24,22 @@ def test_hosts_paths_rules(spark):
     assert by["https://a.com/fr/x"][2:] == ("com/fr/", "allow") and by["https://com/de/"][2:] == ("com/de/", "block") and by["https://b.com/de"][2:] == (None, "allow")
     assert by["ftp://h?x/y"][:2] == ("h", "") and by["x://h#/y?z"][:2] == ("h", "") and by["http://a/b://c/d"][:2] == ("a", "/b://c/d")
     assert [by[u][3] for u in urls[-4:]] == ["block", "allow", "block", "allow"]
-    assert url_filter.judge(df.limit(0), URL_RULES, lambda h: h.rlike(LISTED_HOSTS)).count() == 0
+    assert url_filter.judge(df.limit(0), URL_RULES, host_list(df)).count() == 0
 
 
 def test_cascade_is_exact(spark, monkeypatch):
-    keys = spark.range(20_000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    got = url_filter.with_listed(keys.withColumnRenamed("listed", "want"), "key", keys)
+    keys = spark.range(20_000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("key"), (F.col("id") % 7 == 0).alias("want"))
+    listed = keys.where("want").select("key").unionByName(spark.createDataFrame([("elsewhere",), (None,), ("host7",)], "key string"))
+    got = url_filter.with_listed(keys, "key", keys, listed)
     assert got.where("listed != want").count() == 0 and got.where("listed").count() == 2858
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
-    inside, outside = keys.where("listed"), keys.where("not listed")
+    inside, outside = keys.where("want").select("key"), keys.where("not want").select("key")
     assert len(url_filter.build_cascade(inside, outside, 2858).levels) > 2
-    monkeypatch.setattr(url_filter, "MAX_BITS", 1024)
-    got = url_filter.with_listed(keys.withColumnRenamed("listed", "want"), "key", keys)
-    assert got.where("listed != want").count() == 0 and got.count() == 20_000
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 1000)
+    got = url_filter.with_listed(keys.unionByName(spark.createDataFrame([(None, False)], "key string, want boolean")), "key", keys, listed)
+    assert got.where("listed != want").count() == 0 and got.count() == 20_001
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_warc_round_trip(spark, tmp_path):
