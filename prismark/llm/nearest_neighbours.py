@@ -2,12 +2,16 @@
 
 Vectors become binary codes: directions are centred, rotated to principal axes and then by a learned rotation that brings
 them close to the corners of a cube (fitted on a bounded sample), and each axis gives its sign. Codes are split into
-substrings, each indexed by value. Two codes within a Hamming radius r have a substring within r // m (pigeonhole), so
+substrings, each an index of its own. Two codes within a Hamming radius r have a substring within r // m (pigeonhole), so
 probing all values that near in every substring's index retrieves every code within the radius; what is retrieved is
-ranked by the cosine of the original vectors.
-
-Index and queries are dealt in blocks: each task holds one block of the index with its substring tables and one block of
-queries. Blocks are dealt by hash of the row, so equal vectors spread, and all rows are in the index.
+ranked by the cosine of the original vectors. The radius is that within which a bounded number of queries have their true
+neighbours among all rows.
+
+An index is dealt by the leading bits of its substring's value, as many as make groups of some BLOCK rows, and a query goes
+to the groups with a value that near: the more rows, the more groups and the smaller the share that a query meets. Groups
+that are larger, of a dense cluster, are split, and copies of a vector beyond those that can be among the nearest are left
+out. Where neighbours are so far apart that a query would meet most groups of each index, one index is enough, in blocks that all
+queries meet; so also for the few queries that find less than they ask for. Codes, not vectors, decide what is compared.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +29,19 @@ from prismark.llm.common import materialise
 
 BITS, SUBSTRINGS = 64, 4
 PART = BITS // SUBSTRINGS
-#: Most rows that rotation and radius are fitted on, and most of these that serve as queries for the radius.
+#: Most rows that the rotation is fitted on, and most queries that the radius is fitted on.
 SAMPLE, SAMPLE_QUERIES = 8_192, 256
 #: Rows of a block of the index and of the queries.
 BLOCK, QUERY_BLOCK = 16_384, 4_096
-#: Share of the sample's true neighbours that the radius must reach. Neighbours in the whole table are nearer still.
+#: Share of the true neighbours that the radius must reach.
 REACH = 0.95
+RESULT = "query_id long, query_row long, vec_id long, row long, score double"
 
 
 @dataclass(frozen=True)
 class Coder:
     centre: np.ndarray
     rotation: np.ndarray
-    radius: int
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         x = x / np.sqrt((x * x).sum(axis=1))[:, None]
@@ -44,12 +49,27 @@ class Coder:
         return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)[:, 0]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, exactly, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def fit(sample: np.ndarray, neighbours: int, rounds: int = 30) -> Coder:
-    """Centre, rotation and radius from a sample of vectors (rows)."""
+def part(codes: np.ndarray, j: int) -> np.ndarray:
+    """The codes' substring j."""
+    return ((codes >> np.uint64(j * PART)) & np.uint64((1 << PART) - 1)).astype(np.uint16)
+
+
+def part_radius(radius: int, j: int) -> int:
+    """A code within the radius differs in so many bits of substring j at most, for one j: radius // m, or, behind the first radius % m + 1 substrings, one less."""
+    return radius // SUBSTRINGS - (j > radius % SUBSTRINGS)
+
+
+def fit(sample: np.ndarray, rounds: int = 30) -> Coder:
+    """Centre and rotation from a sample of vectors (rows)."""
     rng = np.random.default_rng(64)
     x = sample / np.sqrt((sample * sample).sum(axis=1))[:, None]
     centre = x.mean(axis=0)
@@ -64,55 +84,36 @@ def fit(sample: np.ndarray, neighbours: int, rounds: int = 30) -> Coder:
             u, _, v = np.linalg.svd(np.sign(projected @ r).T @ projected)
             r = (u @ v).T
         parts.append(axes @ r)
-    coder = Coder(centre, np.concatenate(parts, axis=1)[:, :BITS], BITS)
-    codes, q = coder.codes(sample), min(len(x), SAMPLE_QUERIES)
-    near = x[:q] @ x.T
-    near[np.arange(q), np.arange(q)] = -2
-    if len(x) <= neighbours:
-        return coder
-    best = np.argpartition(-near, neighbours, axis=1)[:, :neighbours]
-    far = hamming(codes[:q, None], codes[best])
-    return Coder(centre, coder.rotation, int(np.quantile(far, REACH, method="higher")))
+    return Coder(centre, np.concatenate(parts, axis=1)[:, :BITS])
 
 
 class Block:
-    """One block of the index: its codes, and for each substring the rows in order of its value."""
+    """Some rows of an index, which queries are held against."""
 
     def __init__(self, vectors: np.ndarray, codes: np.ndarray):
         self.vectors, self.codes = vectors, codes
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        self.tables = []
-        for j in range(SUBSTRINGS):
-            part = self.part(codes, j)
-            order = np.argsort(part, kind="stable")
-            values, counts = np.unique(part, return_counts=True)
-            self.tables.append((order, values, counts))
-
-    @staticmethod
-    def part(codes: np.ndarray, j: int) -> np.ndarray:
-        return ((codes >> np.uint64(j * PART)) & np.uint64((1 << PART) - 1)).astype(np.uint16)
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Rows whose code is within the radius: a substring differs in radius // m bits at most, or, behind the first radius % m + 1 substrings, in one less."""
-        found = np.zeros(len(self.codes), bool)
-        for j, (order, values, counts) in enumerate(self.tables):
-            near = hamming(values, self.part(code, j)) <= radius // SUBSTRINGS - (j > radius % SUBSTRINGS)
-            found[order[np.repeat(near, counts)]] = True
-        rows = np.flatnonzero(found)
-        return rows[hamming(self.codes[rows], code) <= radius]
-
-    def nearest(self, vector: np.ndarray, code: np.uint64, radius: int, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the best k candidates and their ties; the radius widens until k are found or the block has no more."""
+
+    def within(self, code: np.uint64, radius: int, index: int | None = None) -> np.ndarray:
+        """Rows whose code is within the radius; of those that several indexes retrieve each in the first of them only."""
+        rows = np.flatnonzero(hamming(self.codes, code) <= radius)
+        if index is not None:
+            near = [hamming(part(self.codes[rows], j), part(code, j)) <= part_radius(radius, j) for j in range(index + 1)]
+            rows = rows[near[-1] & ~np.any(near[:-1], axis=0)] if index else rows[near[0]]
+        return rows
+
+    def nearest(self, vector: np.ndarray, code: np.uint64, radius: int, k: int, own: int, index: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the best k candidates and their ties; for a block that all queries meet the radius widens until k are found or the block has no more."""
         while True:
-            rows = self.within(code, radius)
+            rows = self.within(code, radius, index)
             rows = rows[rows != own]
-            if len(rows) >= k or radius >= BITS:
+            if len(rows) >= k or radius >= BITS or index is not None:
                 break
             radius += 4
         rough = (self.vectors[rows] @ vector) / self.norms[rows]
         if len(rows) > k:  # sums in another order may differ in the last places; those within 1e-9 are summed anew
             least = np.partition(rough, len(rough) - k)[len(rough) - k]
-            rows = rows[rough >= least - 1e-9 * abs(least)]
+            rows = rows[rough >= least - 1e-9 * np.sqrt((vector * vector).sum())]
         score = (self.vectors[rows] * vector).sum(axis=1) / (self.norms[rows] * np.sqrt((vector * vector).sum()))
         return rows, score
 
@@ -129,19 +130,59 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def _lists(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
 def _coded(coder):
+    """Rows with a number of their own, code, and scaled vector as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            v = batch.column("v")
-            flat = np.asarray(v.flatten(), np.float64)
-            x = flat.reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-            codes = coder.value.codes(x).astype(np.int64) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("asks"), pa.array(codes), pa.array([r.tobytes() for r in x], pa.binary())], ["row", "id", "asks", "code", "vector"])
+            n = batch.num_rows
+            x = scaled(_lists(batch.column("v"))) if n else np.zeros((0, 1))
+            codes = coder.value.codes(x).astype(np.int64) if n else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column("id"), batch.column("asks"), pa.array(codes), pa.array([r.tobytes() for r in x], pa.binary())], ["row", "id", "asks", "code", "vector"])
+            row += n
 
     return run
 
 
-def _search(coder, k: int):
+def fitted_radius(coded: DataFrame, k: int) -> int:
+    """The radius within which SAMPLE_QUERIES rows at most, drawn by hash, have REACH of their true k nearest among all rows; one pass over these."""
+    asked = coded.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_QUERIES).select("row", "code", "vector").toArrow()
+    shared = coded.sparkSession.sparkContext.broadcast((asked.column("row").to_numpy(), asked.column("code").to_numpy().astype(np.uint64), _unit(_matrix(asked.column("vector")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, codes, x = shared.value
+        best, far = np.full((len(x), k), -np.inf), np.full((len(x), k), BITS)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cosine = x @ _unit(_matrix(batch.column("vector"))).T
+            rows = np.asarray(batch.column("row"))
+            cosine[own[:, None] == rows[None, :]] = -np.inf
+            distance = hamming(codes[:, None], np.asarray(batch.column("code")).astype(np.uint64)[None, :])
+            both, dist = np.hstack([best, cosine]), np.hstack([far, distance])
+            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            best, far = np.take_along_axis(both, top, axis=1), np.take_along_axis(dist, top, axis=1)
+        q = np.repeat(np.arange(len(x)), k)
+        seen = np.isfinite(best.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(q[seen]), pa.array(best.ravel()[seen]), pa.array(far.ravel()[seen].astype(np.int64))], ["q", "cosine", "far"])
+
+    near = coded.select("row", "code", "vector").mapInArrow(run, "q long, cosine double, far long")
+    order = Window.partitionBy("q").orderBy(F.desc("cosine"))
+    found = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("far").toArrow().column("far").to_numpy()
+    shared.unpersist()
+    return int(np.quantile(found, REACH, method="higher")) if len(found) else BITS
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _search(k: int, radius: int, indexed: bool):
     def run(key, index: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_qr, out_id, out_row, out_s = [], [], [], [], []
         if index.num_rows and queries.num_rows:
@@ -149,8 +190,9 @@ def _search(coder, k: int):
             block, rows, ids = Block(_matrix(index.column("vector")), codes(index)), index.column("row").to_numpy(), index.column("id").to_pylist()
             place = {r: i for i, r in enumerate(rows.tolist())}
             rank = np.argsort(np.argsort([(2**63 - 1 if i is None else i) for i in ids], kind="stable"), kind="stable")
+            j = key[0].as_py() if indexed else None
             for q, r, c, v in zip(queries.column("id").to_pylist(), queries.column("row").to_pylist(), codes(queries), _matrix(queries.column("vector")), strict=True):
-                at, score = block.nearest(v, c, coder.value.radius, k, place.get(r, -1))
+                at, score = block.nearest(v, c, radius, k, place.get(r, -1), j)
                 for i in np.lexsort((rank[at], -score))[:k]:
                     out_q.append(q)
                     out_qr.append(r)
@@ -162,6 +204,81 @@ def _search(coder, k: int):
     return run
 
 
+KEPT = ("row", "id", "code", "vector")
+
+
+def _own() -> list[Column]:
+    """KEPT as columns of their own, so that queries are not taken for the index that they come from."""
+    return [F.col(c).alias(c) for c in KEPT]
+
+
+def _numbers(upto: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), upto.cast("long") - 1))
+
+
+def _parts(n: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / size)).cast("long")
+
+
+def in_blocks(index: DataFrame, queries: DataFrame, n: int, q: int, k: int, radius: int) -> DataFrame:
+    """Every query against every block of n rows."""
+    blocks, query_blocks = -(-n // BLOCK), -(-q // QUERY_BLOCK)
+    block, query_block = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks))
+    index = index.select(block.cast("long").alias("b"), _numbers(F.lit(query_blocks)).alias("q"), *KEPT)
+    asking = queries.select(_numbers(F.lit(blocks)).alias("b"), query_block.cast("long").alias("q"), *_own())
+    return index.groupBy("b", "q").cogroup(asking.groupBy("b", "q")).applyInArrow(_search(k, radius, False), RESULT)
+
+
+def group_bits(n: int) -> int:
+    """Leading bits of a substring that make groups of some BLOCK of n rows."""
+    return min(PART, max(0, (-(-n // BLOCK) - 1).bit_length()))
+
+
+def probed(radius: int, j: int, bits: int) -> list[int]:
+    """What groups of index j a query meets: differences of the leading bits."""
+    return [m for m in range(1 << bits) if m.bit_count() <= part_radius(radius, j)]
+
+
+def in_groups(index: DataFrame, queries: DataFrame, n: int, k: int, radius: int) -> DataFrame:
+    """Every query against the groups of each index that it probes."""
+    bits = group_bits(n)
+    group = lambda j: F.shiftrightunsigned("code", (j + 1) * PART - bits).bitwiseAND(F.lit((1 << bits) - 1))
+    each = F.explode(F.array(*[F.struct(F.lit(j).cast("long").alias("j"), group(j).cast("long").alias("g")) for j in range(SUBSTRINGS)])).alias("e")
+    tables = F.array(*[F.lit(probed(radius, j, bits)).cast("array<long>") for j in range(SUBSTRINGS)])
+    index = index.select(*KEPT, each).select("e.j", "e.g", *KEPT)
+    asking = queries.select(*_own(), each).select("e.j", "e.g", *KEPT)
+    asking = asking.withColumn("m", F.explode(F.get(tables, F.col("j").cast("int")))).select("j", F.col("g").bitwiseXOR(F.col("m")).alias("g"), *KEPT)
+    # At most SUBSTRINGS << PART groups, with their numbers of rows and queries: those that are too large are split.
+    parts = index.groupBy("j", "g").agg(_parts(F.count("*"), BLOCK).alias("parts"))
+    query_parts = asking.groupBy("j", "g").agg(_parts(F.count("*"), QUERY_BLOCK).alias("query_parts"))
+    split = F.broadcast(materialise(parts.join(query_parts, ["j", "g"]), "groups"))
+    of = lambda by, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(by)).cast("long")
+    index = index.join(split, ["j", "g"]).select("j", "g", of("parts", 0).alias("p"), _numbers(F.col("query_parts")).alias("q"), *KEPT)
+    asking = asking.join(split, ["j", "g"]).select("j", "g", _numbers(F.col("parts")).alias("p"), of("query_parts", 1).alias("q"), *KEPT)
+    keys = ("j", "g", "p", "q")
+    return index.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_search(k, radius, True), RESULT)
+
+
+def without_surplus(coded: DataFrame, k: int) -> DataFrame:
+    """coded without copies of a vector that are never among the k nearest, as k + 1 copies with smaller ids are there."""
+    key = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")]
+    order = Window.partitionBy("h1", "h2", "code").orderBy(F.asc_nulls_last("id"), "row")
+    many = coded.select(*key, "code").groupBy("h1", "h2", "code").count().where(F.col("count") > k + 1).drop("count")
+    ranked = coded.select(*key, "code", "id", "row").join(many, ["h1", "h2", "code"], "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    many = materialise(many, "copied")
+    if many.isEmpty():
+        return coded
+    stays = materialise(ranked.select("row"), "staying")
+    keyed = coded.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
+    one = keyed.join(many, ["h1", "h2", "code"], "left_anti").select(*coded.columns)
+    return one.unionByName(coded.join(stays, "row", "left_semi").select(*coded.columns))
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds its k nearest other rows found, by cosine in double precision.
 
@@ -170,26 +287,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     candidates of each other. With k or fewer candidates all are returned. An empty table gives no rows; other columns are
     not read but for is_query.
     """
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("v")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark = vectors.sparkSession
     if sizes is None or not sizes["q"]:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == sizes["d"])
-    sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    sample = np.asarray(sample.flatten(), np.float64).reshape(-1, sizes["d"])
-    spark = vectors.sparkSession
-    coder = spark.sparkContext.broadcast(fit(sample, k))
-
-    coded = rows.select("row", "id", "asks", "v").mapInArrow(_coded(coder), "row long, id long, asks boolean, code long, vector binary")
-    coded = materialise(coded, "codes")
-    blocks, query_blocks = -(-sizes["n"] // BLOCK), -(-sizes["q"] // QUERY_BLOCK)
-    block, query_block = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = coded.select(block.alias("b"), each(query_blocks).alias("q"), "row", "id", "code", "vector")
-    asking = coded.where("asks").select(each(blocks).alias("b"), query_block.alias("q"), "row", "id", "code", "vector")
-    long_key = [F.col("b").cast("long").alias("b"), F.col("q").cast("long").alias("q")]
-    index, asking = (t.select(*long_key, "row", "id", "code", "vector") for t in (index, asking))
-    found = index.groupBy("b", "q").cogroup(asking.groupBy("b", "q")).applyInArrow(_search(coder, k), "query_id long, query_row long, vec_id long, row long, score double")
-    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    draw = F.xxhash64("id", "v")
+    sample = rows.where(F.abs(draw / F.lit(2.0**63)) <= SAMPLE / sizes["n"]).orderBy(draw).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    if not len(sample):
+        sample = rows.limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    coder = spark.sparkContext.broadcast(fit(scaled(np.asarray(sample.flatten(), np.float64).reshape(-1, sizes["d"]))))
+
+    coded = materialise(rows.select("id", "asks", "v").mapInArrow(_coded(coder), "row long, id long, asks boolean, code long, vector binary"), "codes")
+    coder.unpersist()
+    radius, n, q = fitted_radius(coded, k), sizes["n"], sizes["q"]
+    index, asking = without_surplus(coded, k), coded.where("asks")
+    bits = group_bits(n)
+    if sum(len(probed(radius, j, bits)) for j in range(SUBSTRINGS)) >= 1 << bits:
+        found = in_blocks(index, asking, n, q, k, radius)
+    else:
+        found = materialise(best_of(in_groups(index, asking, n, k, radius), k).drop("rank"), "found")
+        enough = found.groupBy(F.col("query_row").alias("row")).count().where(F.col("count") >= min(k, n - 1))
+        rest = materialise(asking.join(enough, "row", "left_anti").select(*coded.columns), "rest")
+        if left := rest.count():
+            found = found.join(rest.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(in_blocks(index, rest, n, left, k, radius))
+    return best_of(found, k).select("query_id", "rank", "vec_id", "score")
