@@ -1,7 +1,7 @@
 """Best-fit packing by hierarchical residual packing.
 
 Level 0: each input partition tokenises its documents, cuts those longer than a sequence and packs the pieces best fit,
-longest first. Full bins are done. Level 1 and up: the underfull bins of `fan_in` groups meet in one task, opened, so that
+longest first. Nearly full bins, with `slack` free places or fewer, are done. Level 1 and up: the underfull bins of `fan_in` groups meet in one task, opened, so that
 their pieces are the items of another round of best fit, until one group is left. Opened, because two bins over half full
 can't be merged: with whole bins as items many small partitions would keep a few per cent more sequences.
 Only (number, length) of pieces move between levels, never texts.
@@ -102,7 +102,7 @@ def _local(tokenizer: str, eos: int, capacity: int, id_type: pa.DataType):
     return run
 
 
-def _again(capacity: int, climb: int, last: bool):
+def _again(capacity: int, full: int, climb: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """One more round over the pieces of underfull bins; up: goes on to the next round."""
         pdf = pdf.sort_values("number", ignore_index=True)
@@ -114,7 +114,7 @@ def _again(capacity: int, climb: int, last: bool):
             taken = np.zeros(len(pdf), bool)
             taken[order[:climb]] = True
             whole = pd.Series(taken).groupby(owner).transform("all").to_numpy()
-            up = whole & (fill < capacity)
+            up = whole & (fill < full)
         return pd.DataFrame({"number": pdf["number"], "length": pdf["length"], "bin": owner, "offset": offset, "up": up})
 
     return run
@@ -129,6 +129,7 @@ def pack(
     text_col: str = "text",
     fan_in: int = 8,
     climb: int = 250_000,
+    slack: int = 2,
 ) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -136,7 +137,9 @@ def pack(
     documents longer than `capacity` are cut. Sequences are gapless from offset 0 and hold `capacity` at most. A null id
     stays null; repeated rows are packed each for itself; an empty table gives no rows; other columns are not read.
 
-    `climb` bounds the pieces that a task hands up, not what is packed: a bin that stays below is a finished sequence.
+    A bin with `slack` free places or fewer goes up no more. `climb` bounds the pieces that a task hands up, not what is
+    packed: a bin that stays below is a finished sequence. slack=0 with a climb beyond the table's pieces packs all
+    underfull bins again, in one task at last.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = rows.schema["id"]
@@ -145,14 +148,14 @@ def pack(
     from pyspark.sql.pandas.types import to_arrow_type
 
     pieces = materialise(rows.mapInArrow(_local(tokenizer, eos, capacity, to_arrow_type(key.dataType)), schema), "pieces")
-    items = pieces.where(F.col("fill") < capacity).select("number", "length")
+    items = pieces.where(F.col("fill") < capacity - slack).select("number", "length")
     groups = (pieces.agg(F.max(F.shiftright("number", SHIFT))).first()[0] or 0) + 1
     settled, last = [], groups == 1
     while not last:
         groups = -(-groups // fan_in)
         last = groups == 1
         group = (F.shiftright("number", SHIFT) % groups).alias("g")
-        step = items.groupBy(group).applyInPandas(_again(capacity, climb, last), "number long, length long, bin long, offset long, up boolean")
+        step = items.groupBy(group).applyInPandas(_again(capacity, capacity - slack, climb, last), "number long, length long, bin long, offset long, up boolean")
         step = materialise(step, "round")
         settled.append(step.where("not up").select("number", F.col("bin").alias("late_bin"), F.col("offset").alias("late_offset")))
         items = step.where("up").select("number", "length")
