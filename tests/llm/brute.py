@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -81,3 +82,38 @@ def nearest(vectors, queries, k=5):
             order = sorted((-round(float(v), 12), i) for i, v in zip(ids, s, strict=True) if i != q)[:k]
             out[q] = [(i, -v) for v, i in order]
     return out
+
+
+def languages(rows, names, buckets, size, right, prior_rows, spread):
+    """rows: (text, fold, declared, address, host) -> [(language, probability among the languages)]; buckets(text): the numbers of its trigrams; right: (declared, address) by what has been counted."""
+    text_of = [buckets(t or "") for t, *_ in rows]
+    models = []
+    for own in range(1 + max(r[1] for r in rows)):
+        counts = {x: [0] * size for x in names}
+        for t, (_, fold, said, *_) in zip(text_of, rows, strict=True):
+            if fold != own and said in counts:
+                for b in t:
+                    counts[said][b] += 1
+        models.append({x: [math.log((n + spread) / (sum(c) + spread * size)) for n in c] for x, c in counts.items()})
+    mean = [{x: sum(models[r[1]][x][b] for b in t) / len(t) if len(t) else 0.0 for x in names} for t, r in zip(text_of, rows, strict=True)]
+    likeliest = [max(names, key=lambda x: (m[x], -names.index(x))) if len(t) else None for m, t in zip(mean, text_of, strict=True)]
+    n = [sum(k == x for k in likeliest) for x in names]
+    everywhere = [(c + 1) / (sum(n) + len(n)) for c in n]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    out = []
+    for i, (t, (_, _, said, address, host)) in enumerate(zip(text_of, rows, strict=True)):
+        p = everywhere
+        if host is not None:
+            for same in (lambda h, host=host: domain(h) == domain(host), lambda h, host=host: h == host):
+                c = [sum(r[4] is not None and same(r[4]) and k == x for j, (r, k) in enumerate(zip(rows, likeliest, strict=True)) if j != i) for x in names]
+                p = [(a + prior_rows * b) / (sum(c) + prior_rows) for a, b in zip(c, p, strict=True)]
+        logs = []
+        for x, q in zip(names, p, strict=True):
+            v = mean[i][x] * min(len(t), 60) + math.log(q)
+            for stated, share in zip((said, address), right, strict=True):
+                if stated in names:
+                    v += math.log(share if stated == x else (1 - share) / (len(names) - 1))
+            logs.append(v)
+        best = max(logs)
+        out.append((names[logs.index(best)], 1 / sum(math.exp(v - best) for v in logs)))
+    return out
