@@ -315,7 +315,7 @@ def test_views_whole_and_rare_classes(spark, monkeypatch):
     hashes = quality.WordHashes()
     assert quality.word_buckets("", hashes).sum() == 0 and quality.word_buckets("a b", hashes).tolist() == quality.word_buckets(" a\n b ", hashes).tolist()
     long = quality.word_buckets("a " * 100_000 + "end", hashes)
-    assert (long != quality.word_buckets("a " * 100_000, hashes)).sum() == 0 and len(long) == quality.WORD_BUCKETS
+    assert (long != quality.word_buckets("a " * 100_000, hashes)).any() and len(long) == quality.WORD_BUCKETS  # its last word counts too
     monkeypatch.setattr(quality, "FIT_ROWS", 300)
     monkeypatch.setattr(quality, "LEAST_ROWS", 40)
     rng = random.Random(2)
