@@ -26,6 +26,12 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], group: str |
     try:
         ends = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
         wanted = {k: [s * (n - 1) for s in shares] for k, (n, _, _) in ends.items()}
+        if sum(n for n, _, _ in ends.values()) <= COLLECTED:  # all are few enough: no bounds are needed
+            t = rows.toArrow().sort_by([("g", "ascending"), ("v", "ascending")])
+            of: dict = {k: [] for k in ends}
+            for k, v in zip(t.column("g").to_pylist(), t.column("v").to_pylist(), strict=True):
+                of[k].append(v)
+            return {k: [_between(of[k][math.floor(h)], of[k][math.ceil(h)], h) for h in hs] for k, hs in wanted.items()}
         found: dict[tuple, float] = {}
         # (group, rank) -> lower and upper bound, values below the lower one, values between
         open_ = {(k, r): (lo, hi, 0, n) for k, (n, lo, hi) in ends.items() for h in wanted[k] for r in (math.floor(h), math.ceil(h))}
