@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismark.llm import decontamination, language_id, licences, near_duplicates, nearest_neighbours, packing, quality, token_counts, url_filter, warc
+from prismark.llm import decontamination, language_id, licences, line_dedup, near_duplicates, nearest_neighbours, packing, quality, spelling, token_counts, url_filter, warc, whitening
 from prismark.llm.common import materialise, scratch, table, tuned
 from prismark.llm.tokenizing import public_path
 
@@ -195,6 +195,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(tuned(spark), sf_dir, "documents"), public_path(TOKENIZER))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(tuned(spark), sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(tuned(spark), sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(tuned(spark), sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select *, translate(trim(line, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+s as (select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+j as (select doc_id, i, line, keeper is not null and keeper != doc_id as gone from k left join s using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from j group by doc_id
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -208,6 +231,9 @@ QUERIES = {
         op8_licences,
         op9_language_id,
         op10_token_counts,
+        op11_spelling_variants,
+        op12_embedding_whitening,
+        op13_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_warc": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op8_licences": _op8_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_warc": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op8_licences": _op8_sql(), "op13_line_dedup": OP13_SQL}

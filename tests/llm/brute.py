@@ -117,3 +117,61 @@ def languages(rows, names, buckets, size, right, prior_rows, spread):
         best = max(logs)
         out.append((names[logs.index(best)], 1 / sum(math.exp(v - best) for v in logs)))
     return out
+
+
+def spelling(docs):
+    """docs: (id, text) -> {word: (form, root, n, n_near, form_n)}"""
+    counts, by, near = defaultdict(int), defaultdict(set), defaultdict(set)
+    for i, text in docs:
+        for w in map(lower, re.findall("[A-Za-zÀ-ÿ]+", text or "")):
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 5 and k >= 3}
+    for w in n:
+        for p in range(len(w) + 1):
+            by[w[:p] + "*" + w[p:]].add(w)
+            if p < len(w):
+                by[w[:p] + "*" + w[p + 1 :]].add(w)
+    for group in by.values():
+        for w in group:
+            near[w] |= group - {w}
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: b for w, b in best.items() if n[b] >= 2 * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {w: (form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n}
+
+
+def whitened(rows, k=4):
+    """rows: (id, vector) -> (ids, n, deviations, whitened, explained) by LAPACK's eigenvectors of the covariance."""
+    rows = [(i, v) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    x = np.floor(256 * np.array([v for _, v in rows], float)).astype(np.int64)
+    fit = np.unique(x, axis=0)
+    n, s = len(fit), fit.sum(axis=0)
+    covariance = (fit - s / n).T @ (fit - s / n) / n
+    e, v = np.linalg.eigh(covariance)
+    e, v = e[::-1][:k], v[:, ::-1][:, :k]
+    deviations = [int(((n * r - s).astype(object) ** 2).sum()) for r in x]
+    return [i for i, _ in rows], n, deviations, (x - s / n) @ v / np.sqrt(e), e / np.trace(covariance)
+
+
+def lines_kept(docs, least=40, documents=5):
+    """docs: (id, text) -> [(id, n_lines, n_dropped, text)]"""
+    key = lambda line: lower(line.strip(" \t\n\v\f\r"))
+    holders = defaultdict(set)
+    for i, text in docs:
+        for k in map(key, (text or "").split("\n")):
+            if len(k) >= least:
+                holders[k].add(-math.inf if i is None else i)
+    out = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < documents or max(holders[key(x)]) == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
