@@ -50,7 +50,8 @@ def _line(name: str, value: Column) -> Column:
 
 def placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(place, page_id, url, html, digest, bytes) of each row; place is the row's file and number in it, the same in every scan."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    of = pages.metadataColumn("_metadata")  # also where the table has a column of that name
+    place = F.struct(of["file_path"].alias("file"), of["row_index"].alias("row"))
     rows = pages.select(place.alias("place"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
 

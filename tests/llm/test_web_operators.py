@@ -46,7 +46,8 @@ def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", None, "", "x\r\n\r\ny", "\r\n\r\n", "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "é汉🙂", "<p>a</p>", "z" * 200_000, "\r\n\r\n\r\n\r\n", "end\r\n"]
     rows = [(i + 10, f"http://h/{i}", t, "x") for i, t in enumerate(html)] + [(3, None, "z" * 200_000, None), (None, "http://n\r\n/", "<p>a</p>", None), (16, "http://h/6", "é汉🙂", "x"), (None, None, "only", None)]
     path = str(tmp_path / "rows")
-    spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3).write.parquet(path)
+    clashing = "page_id long, url string, html string, digest string, _metadata string, place int, bytes string"
+    spark.createDataFrame([(*r, "m", 1, None) for r in rows], clashing).repartition(3).write.parquet(path)
     for least in (0, 5):
         out = str(tmp_path / f"warc{least}")
         warc.write_archives(tuned(spark).read.parquet(path), out, min_bytes=least)
