@@ -4,6 +4,7 @@ Of a text's k-gram hashes those are its fingerprints that are the minimum of som
 texts that share k + w - 1 words share a fingerprint there, so with k + w - 1 = `words` no shared window of `words` words
 is missed. Fingerprints of documents and of benchmark items are joined, and each meeting is extended to the whole windows
 around it, which are compared as text. Items shorter than a window are one window; their runs are all fingerprints (w = 1).
+Windows that the same items hold are one class, and documents that meet the same classes one group, whose items are listed once.
 
 Before the join, documents' fingerprints pass a bitmap of the benchmark's: fixed size, so it can be sent to every task
 however large the benchmark is; what passes by chance goes in the join.
@@ -129,13 +130,15 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     keep: tuple[str, ...] = (),
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per document, spans, pairs).
-
-    Per row of docs: row (a number that spans and pairs refer to), id_col, keep, n_words; materialised. Spans: (row, first,
-    span) of every place where a window of an item occurs, distinct. Pairs: (row, item) distinct. A window is `words`
-    consecutive words of an item; an item of fewer words, but not none, is one window. Null or empty texts have no words and
-    match nothing. Rows are told apart whatever their ids.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(per document, spans, classes met, items of classes).
+
+    Per row of docs: row (a number that the others refer to), id_col, keep, n_words; materialised. Spans: (row, first, span) of
+    every place where a window of an item occurs, distinct. Windows that the same items hold are a class. Classes met: (row,
+    class) distinct. Items of classes: (class, item) distinct. So a passage that many items and many documents share is one row for
+    each document and one for each item, never one for each two. A window is `words` consecutive words of an item; an item of
+    fewer words, but not none, is one window. Null or empty texts have no words and match nothing. Rows are told apart
+    whatever their ids.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -156,11 +159,21 @@ def find_contamination(
     met = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(prints, ["span", "fp"], "left_semi")
     starts = F.expr("transform(sequence(0, size(around) - span), i -> struct(cast(first + i as int) as first, array_join(slice(around, i + 1, span), ' ') as window))")
     around = met.where("size(around) >= span").select("row", "span", F.explode(starts).alias("s")).select("row", "span", "s.first", "s.window").distinct()
-    listed = items.select(F.col("id").alias("item"), F.explode("windows").alias("window"))
+    listed = items.select(F.col("id").alias("item"), F.explode("windows").alias("window")).distinct()
     spans = materialise(around.join(listed.select("window").distinct(), "window", "left_semi"), "spans")
-    pairs = spans.select("row", "window").distinct().join(listed, "window").select("row", "item").distinct()
+    of, holders = classes(listed)
+    met = spans.select("row", "window").distinct().join(of, "window").select("row", "class").distinct()
     counted = scanned.select("row", *[F.col(k).alias(c) for c, k in zip((id_col, *keep), carried, strict=True)], "n_words")
-    return counted, spans.select("row", "first", "span").distinct(), pairs
+    return counted, spans.select("row", "first", "span").distinct(), met, holders
+
+
+def classes(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, class) and (class, item) of (item, window), distinct: windows with the same items have one class, which is known by their number and two sums of their hashes."""
+    text = F.coalesce(F.col("item").cast("string"), F.lit("")) if isinstance(listed.schema["item"].dataType, T.StringType) else F.col("item")
+    sums = [F.sum(F.xxhash64(F.lit(k), F.col("item").isNull(), text).cast("decimal(20,0)")).cast("string") for k in (0, 1)]
+    of = materialise(listed.groupBy("window").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("class")).select("window", "class"), "classes")
+    one = of.groupBy("class").agg(F.min("window").alias("window"))
+    return of, listed.join(one, "window").select("class", "item").distinct()
 
 
 def covered(spans: DataFrame) -> DataFrame:
@@ -177,9 +190,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     items_sha256: of the items' ids as strings, sorted and joined by commas (of the empty string if there are none).
     """
-    counted, spans, pairs = find_contamination(docs, benchmark, id_col=id_col, item_col=item_col, keep=keep, **kw)
-    names = pairs.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("names"))
-    found = covered(spans).join(names, "row", "left").withColumnRenamed("row", "found_row")
+    counted, spans, met, holders = find_contamination(docs, benchmark, id_col=id_col, item_col=item_col, keep=keep, **kw)
+    # Rows that meet the same classes have the same items, which are listed once.
+    met = materialise(met.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("class")), ";").alias("met")).withColumn("group", F.sha2("met", 256)), "met")
+    groups = met.groupBy("group").agg(F.first("met").alias("met")).select("group", F.explode(F.split("met", ";")).alias("class"))
+    names = groups.join(holders, "class").select("group", "item").distinct()
+    names = names.groupBy("group").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("names"))
+    names = names.select("group", "n_items", F.sha2("names", 256).alias("items_sha256"))
+    items = met.select(F.col("row").alias("met_row"), "group").join(names, "group").drop("group")
+    hit = covered(spans)
+    found = hit.join(items, F.col("row") == F.col("met_row"), "left").drop("met_row").withColumnRenamed("row", "found_row")
     out = counted.join(found, F.col("row") == F.col("found_row"), "left")
     return out.select(
         id_col,
@@ -187,6 +207,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
