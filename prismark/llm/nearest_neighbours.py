@@ -8,14 +8,16 @@ ranked by the cosine of the original vectors. The radius is that within which a
 neighbours among all rows.
 
 An index is dealt by the leading bits of its substring's value, as many as make groups of some BLOCK rows, and a query goes
-to the groups with a value that near: the more rows, the more groups and the smaller the share that a query meets. Groups
+to the groups with a value that near: the more rows, the more groups and the smaller the share that a query meets. In a group
+rows are listed by the whole value of the substring, and a query takes the lists of those values that are that near. Groups
 that are larger, of a dense cluster, are split, and copies of a vector beyond those that can be among the nearest are left
-out. Where neighbours are so far apart that a query would meet most groups of each index, one index is enough, in blocks that all
-queries meet; so also for the few queries that find less than they ask for. Codes, not vectors, decide what is compared.
+out. Queries that find less than they ask for are held against all rows, in blocks, with a radius that widens. Codes, not
+vectors, decide what is compared.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismark.functions.trees import levels, merged
 from prismark.llm.common import materialise
 
 BITS, SUBSTRINGS = 64, 4
@@ -87,19 +90,41 @@ def fit(sample: np.ndarray, rounds: int = 30) -> Coder:
     return Coder(centre, np.concatenate(parts, axis=1)[:, :BITS])
 
 
+class Postings:
+    """Rows by the value of one substring of their codes."""
+
+    def __init__(self, codes: np.ndarray, j: int):
+        values = part(codes, j)
+        self.rows = np.argsort(values, kind="stable")
+        self.values, starts = np.unique(values[self.rows], return_index=True)
+        self.starts, self.sizes = starts, np.diff(np.append(starts, len(values)))
+
+    def near(self, value: np.uint16, radius: int) -> np.ndarray:
+        """The rows with a value within the radius."""
+        lists = np.flatnonzero(hamming(self.values, value) <= radius)
+        sizes = self.sizes[lists]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[lists], sizes)
+        return self.rows[at]
+
+
 class Block:
     """Some rows of an index, which queries are held against."""
 
     def __init__(self, vectors: np.ndarray, codes: np.ndarray):
         self.vectors, self.codes = vectors, codes
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.postings: dict[int, Postings] = {}
 
     def within(self, code: np.uint64, radius: int, index: int | None = None) -> np.ndarray:
-        """Rows whose code is within the radius; of those that several indexes retrieve each in the first of them only."""
-        rows = np.flatnonzero(hamming(self.codes, code) <= radius)
-        if index is not None:
-            near = [hamming(part(self.codes[rows], j), part(code, j)) <= part_radius(radius, j) for j in range(index + 1)]
-            rows = rows[near[-1] & ~np.any(near[:-1], axis=0)] if index else rows[near[0]]
+        """Rows whose code is within the radius: those that an index retrieves, each in the first index that does, or without an index all."""
+        if index is None:
+            return np.flatnonzero(hamming(self.codes, code) <= radius)
+        if index not in self.postings:
+            self.postings[index] = Postings(self.codes, index)
+        rows = self.postings[index].near(part(code, index), part_radius(radius, index))
+        rows = np.sort(rows[hamming(self.codes[rows], code) <= radius])
+        for j in range(index):
+            rows = rows[hamming(part(self.codes[rows], j), part(code, j)) > part_radius(radius, j)]
         return rows
 
     def nearest(self, vector: np.ndarray, code: np.uint64, radius: int, k: int, own: int, index: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -167,15 +192,21 @@ def fitted_radius(coded: DataFrame, k: int) -> int:
             both, dist = np.hstack([best, cosine]), np.hstack([far, distance])
             top = np.argpartition(-both, k - 1, axis=1)[:, :k]
             best, far = np.take_along_axis(both, top, axis=1), np.take_along_axis(dist, top, axis=1)
-        q = np.repeat(np.arange(len(x)), k)
-        seen = np.isfinite(best.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(q[seen]), pa.array(best.ravel()[seen]), pa.array(far.ravel()[seen].astype(np.int64))], ["q", "cosine", "far"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.concatenate([best.ravel(), far.ravel()]).tobytes()], pa.binary())], ["part", "payload"])
 
-    near = coded.select("row", "code", "vector").mapInArrow(run, "q long, cosine double, far long")
-    order = Window.partitionBy("q").orderBy(F.desc("cosine"))
-    found = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("far").toArrow().column("far").to_numpy()
+    near = coded.select("row", "code", "vector")
+    found = merged(near.mapInArrow(run, "part long, payload binary"), functools.partial(_best_parts, k=k), height=levels(near)).collect()
     shared.unpersist()
-    return int(np.quantile(found, REACH, method="higher")) if len(found) else BITS
+    best, far = np.frombuffer(found[0]["payload"], np.float64).reshape(2, -1) if found else np.zeros((2, 0))
+    far = far[np.isfinite(best)]
+    return int(np.quantile(far, REACH, method="higher")) if len(far) else BITS
+
+
+def _best_parts(parts: list[np.ndarray], k: int) -> np.ndarray:
+    """The k best (cosine, distance) of each query of several tasks' best."""
+    both = np.concatenate([p.reshape(2, -1, k) for p in parts], axis=2)
+    top = np.lexsort((both[1], -both[0]), axis=-1)[:, :k]
+    return np.stack([np.take_along_axis(b, top, axis=1) for b in both]).ravel()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -296,20 +327,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     draw = F.xxhash64("id", "v")
     sample = rows.where(F.abs(draw / F.lit(2.0**63)) <= SAMPLE / sizes["n"]).orderBy(draw).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
-        sample = rows.limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+        sample = rows.orderBy(draw).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     coder = spark.sparkContext.broadcast(fit(scaled(np.asarray(sample.flatten(), np.float64).reshape(-1, sizes["d"]))))
 
     coded = materialise(rows.select("id", "asks", "v").mapInArrow(_coded(coder), "row long, id long, asks boolean, code long, vector binary"), "codes")
     coder.unpersist()
     radius, n, q = fitted_radius(coded, k), sizes["n"], sizes["q"]
     index, asking = without_surplus(coded, k), coded.where("asks")
-    bits = group_bits(n)
-    if sum(len(probed(radius, j, bits)) for j in range(SUBSTRINGS)) >= 1 << bits:
-        found = in_blocks(index, asking, n, q, k, radius)
-    else:
-        found = materialise(best_of(in_groups(index, asking, n, k, radius), k).drop("rank"), "found")
-        enough = found.groupBy(F.col("query_row").alias("row")).count().where(F.col("count") >= min(k, n - 1))
-        rest = materialise(asking.join(enough, "row", "left_anti").select(*coded.columns), "rest")
-        if left := rest.count():
-            found = found.join(rest.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(in_blocks(index, rest, n, left, k, radius))
+    found = materialise(best_of(in_groups(index, asking, n, k, radius), k).drop("rank"), "found")
+    enough = found.groupBy(F.col("query_row").alias("row")).count().where(F.col("count") >= min(k, n - 1))
+    rest = materialise(asking.join(enough, "row", "left_anti").select(*coded.columns), "rest")
+    if left := rest.count():
+        found = found.join(rest.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(in_blocks(index, rest, n, left, k, radius))
     return best_of(found, k).select("query_id", "rank", "vec_id", "score")

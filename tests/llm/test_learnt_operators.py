@@ -94,6 +94,38 @@ def clustered(spark, centres, each, noise=0.12, d=32):
     return spark.range(centres * each).mapInArrow(make, "vec_id long, embedding array<float>")
 
 
+def recall(df, n, got, some):
+    x = {r.vec_id: np.array(r.embedding, float) for r in df.where(F.col("vec_id").isin(some)).collect()}
+    every = df.toArrow()
+    all_ = np.asarray(every.column("embedding").combine_chunks().flatten(), float).reshape(n, -1)
+    ids = every.column("vec_id").to_numpy()
+    all_ /= np.sqrt((all_ * all_).sum(axis=1))[:, None]
+    right = 0
+    for i in some:
+        s = all_ @ x[i]
+        s[ids == i] = -9
+        right += len(set(ids[np.argsort(-s)[:5]].tolist()) & set(got[i]))
+    return right / (5 * len(some))
+
+
+def test_indexes_of_a_small_table(spark, monkeypatch):
+    """10,000 vectors in clusters: one group for each index, in which only lists of near values are taken."""
+    df = clustered(tuned(spark), 1000, 10)
+    asked, blocks = [], []
+    monkeypatch.setattr(nearest_neighbours, "in_groups", lambda *a, f=nearest_neighbours.in_groups: asked.append(a) or f(*a))
+    monkeypatch.setattr(nearest_neighbours, "in_blocks", lambda *a, f=nearest_neighbours.in_blocks: blocks.append(a[3]) or f(*a))
+    got = {}
+    for r in nearest_neighbours.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 200 and all(len(v) == 5 for v in got.values()) and len(asked) == 1 and sum(blocks) <= 20
+    index, queries, _, _, radius = asked[0]
+    codes, of = (np.array([r.code for r in x.select("code").collect()]).astype(np.uint64) for x in (index, queries))
+    posted = [nearest_neighbours.Postings(codes, j) for j in range(nearest_neighbours.SUBSTRINGS)]
+    met = np.mean([len(p.near(nearest_neighbours.part(q, j), nearest_neighbours.part_radius(radius, j))) for j, p in enumerate(posted) for q in of]) / len(codes)
+    assert met < 0.15
+    assert recall(df, 10_000, got, sorted(got)) >= 0.9
+
+
 def test_groups_of_a_large_table(spark, monkeypatch, tmp_path):
     clustered(tuned(spark), 20_000, 10).write.parquet(str(tmp_path / "v"))
     df = spark.read.parquet(str(tmp_path / "v"))
@@ -108,18 +140,7 @@ def test_groups_of_a_large_table(spark, monkeypatch, tmp_path):
     radius = used[0][1][4]
     met = sum(len(nearest_neighbours.probed(radius, j, nearest_neighbours.group_bits(200_000))) for j in range(4)) / 4 / (1 << nearest_neighbours.group_bits(200_000))
     assert met < 0.05 and sum(a[3] for n, a in used if n == "in_blocks") < 200
-    some = sorted(got)[::40]
-    x = {r.vec_id: np.array(r.embedding, float) for r in df.where(F.col("vec_id").isin(some)).collect()}
-    every = df.toArrow()
-    all_ = np.asarray(every.column("embedding").combine_chunks().flatten(), float).reshape(200_000, -1)
-    ids = every.column("vec_id").to_numpy()
-    all_ /= np.sqrt((all_ * all_).sum(axis=1))[:, None]
-    right = 0
-    for i in some:
-        s = all_ @ x[i]
-        s[ids == i] = -9
-        right += len(set(ids[np.argsort(-s)[:5]].tolist()) & set(got[i]))
-    assert right / (5 * len(some)) >= 0.9
+    assert recall(df, 200_000, got, sorted(got)[::40]) >= 0.9
 
 
 def test_huge_and_copied_vectors(spark, monkeypatch):

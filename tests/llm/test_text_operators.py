@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -42,6 +43,11 @@ def test_token_counts(spark, sf_dir, name):
         assert got == {i: plain(t or "") for i, t in documents(spark, sf_dir)}
 
 
+def test_token_counts_of_an_empty_table(spark):
+    got = token_counts.count_tokens(odd(tuned(spark))[0].limit(0), PATH)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and got.count() == 0
+
+
 def check_packed(rows, texts, capacity=1024):
     """rows of pack() against texts, a list of (id, text)."""
     want = sorted(((i, *p) for i, t in texts for p in brute.pieces([*library(PATH).encode(t or "", add_special_tokens=False).ids, 2], capacity)), key=str)
@@ -146,6 +152,25 @@ def test_decontamination_tells_rows_apart_whatever_their_ids(spark):
     assert rows == sorted([(1, 3, 0, 0, False), (1, 14, 12, 1, True), (None, 2, 0, 0, False), (None, 12, 12, 1, True), (2, 12, 12, 1, True), (2, 12, 12, 1, True)], key=str)
 
 
+def test_a_passage_of_many_items_in_many_documents(spark, tmp_path):
+    """Documents that meet the same items are one group: the work is some rows for each document and item, not for each two."""
+    hot, more = " ".join(f"h{i}" for i in range(10)), " ".join(f"m{i}" for i in range(12))
+    items = [(i, f"{hot} {i} " + " ".join(f"q{i}x{j}" for j in range(12))) for i in range(1000)] + [(1000, more)]
+    own = [f"q7x{j}" for j in range(12)]
+    docs = [(i, f"a{i} {hot} b{i}" + (f" {more}" if i % 3 == 0 else "") + (" c " + " ".join(own) if i % 5000 == 0 else "")) for i in range(10_000)]
+    tuned(spark).createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    frame, bench = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(items, "item_id long, text string")
+    counted, _, met, holders = decontamination.find_contamination(frame, bench)
+    assert met.count() < 2 * len(docs) and holders.count() < 15_000
+    names = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    got = contaminated(frame, bench)
+    assert len(got) == len(docs)
+    for i, (n_words, n_hit, n_items, sha, bad) in got.items():
+        extra = (12 if i % 3 == 0 else 0) + (12 if i % 5000 == 0 else 0)
+        assert (n_hit, n_items, bad) == (10 + extra, 1000 + (i % 3 == 0), True) and sha == names(range(1000 + (i % 3 == 0)))
+        assert n_words == len(docs[i][1].split())
+
+
 def _two_texts_of_one_id():
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     return [(5, a), (5, b), (6, a + " a60"), (7, b + " b60"), (8, a), (9, b), (None, a + " a61"), (None, None), (10, "")]
