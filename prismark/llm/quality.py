@@ -2,16 +2,18 @@
 
 Two views of a document are classified apart: its text (how its words, symbols and repetitions look, and which words and
 pairs of words occur) and its metadata (language, source, length, and what pages say of it). In each round each classifier
-labels for the other one the documents of a pool that it is sure of, and its surest of each class in any case, as a view may
+labels for the other one the documents of the pool that it is sure of, and its surest of each class in any case, as a view may
 be right more often than not and never sure. In the end each view's margin is calibrated on labelled documents that no round
 has seen, both are combined, and every document is scored.
 
-Views of all documents are made in one pass over the texts and scored in one pass over the views. The classifiers are fitted
-on samples of bounded size, on the driver: labelled rows (FIT_ROWS) and the pool of rows to be pseudo-labelled (POOL_ROWS).
+The pool is all documents without a label. A round takes some passes over their views: one counts margins, for what is surest;
+the others add up slope and bend of both classifiers' losses for a step of Newton's method, in tasks and up a tree, so that
+what comes to the driver is as large as a view is wide, squared. Labelled rows, of bounded number (FIT_ROWS), are at the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,22 +21,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismark.functions.trees import added, levels, merged
 from prismark.llm.common import materialise
 from prismark.llm.wordhash import WordHashes, mixed
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "bars", "capital_words", "distinct", "top_word", "lines", "repeated_lines", "stops", "ends", "longest")
 #: Buckets that words and pairs of words are hashed to, and those of metadata names.
 WORD_BUCKETS, NAME_BUCKETS = 128, 64
-#: About as many labelled rows the classifiers are fitted and calibrated on, and as many others are the pool, at most; of a
-#: rarer class more than its share are drawn, up to LEAST_ROWS, and weigh less.
-FIT_ROWS, POOL_ROWS, LEAST_ROWS = 20_000, 20_000, 1_000
-ROUNDS = 2
+#: About as many labelled rows the classifiers are fitted and calibrated on, at most; of a rarer class more than its share are
+#: drawn, up to LEAST_ROWS, and weigh less.
+FIT_ROWS, LEAST_ROWS = 20_000, 1_000
+#: Rounds of labelling, and passes of Newton's method in a round.
+ROUNDS, STEPS = 2, 5
 #: A view labels for the other one what it is at least this sure of, and at least this share of the pool, its surest of each
-#: class as the classes are among the labels; such labels weigh half.
-SURE, SHARE, PSEUDO_WEIGHT = 0.99, 0.1, 0.5
+#: class as the classes are among the labels. Such a label weighs half a given one, and all together a tenth of those at most,
+#: so that the many labels of a view that is little better than chance do not drown the given ones.
+SURE, SHARE, PSEUDO_WEIGHT, PSEUDO_SHARE = 0.99, 0.1, 0.5, 0.1
+#: Margins lie between -MARGIN and MARGIN and are told apart in steps of 1 / GRADES.
+MARGIN, GRADES = 30, 1000
 #: Of ten labelled documents so many are kept for calibration.
 CALIBRATION = 2
 #: What pages may say of a document: names, and counts in their markup.
@@ -128,59 +136,137 @@ class Linear:
     offset: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(x @ self.weights + self.offset, -30, 30)
+        return np.clip(x @ self.weights + self.offset, -MARGIN, MARGIN)
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2, steps: int = 40) -> Linear:
-    """Logistic regression by Newton's method; the offset isn't penalised."""
+def standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(means, standard deviations) of the columns; columns that do not vary are divided away."""
     centre, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread < 1e-9] = np.inf
-    z = np.hstack([(x - centre) / spread, np.ones((len(x), 1))])
-    w, total = np.zeros(z.shape[1]), weight.sum()
-    ridge = np.diag(np.r_[np.full(x.shape[1], penalty), 1e-6])
+    return centre, np.where(spread < 1e-9, np.inf, spread)
 
-    def loss(w: np.ndarray) -> float:
-        return float(weight @ np.logaddexp(0, -(2 * y - 1) * (z @ w)) / total + w @ ridge @ w / 2)
 
-    now = loss(w)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        slope = z.T @ (weight * (p - y)) / total + ridge @ w
-        bend = (z * (weight * p * (1 - p))[:, None]).T @ z / total + ridge
-        step, size = np.linalg.solve(bend, slope), 1.0
-        while (then := loss(w - size * step)) > now and size > 1e-3:
-            size /= 2
-        if then > now:
-            break
-        w, done, now = w - size * step, now - then < 1e-10, then
-        if done:
-            break
+def standardised(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.hstack([(x - centre) / spread, np.ones((len(x), 1))])
+
+
+def raw(w: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> Linear:
     weights = w[:-1] / spread
     return Linear(weights, float(w[-1] - weights @ centre))
 
 
-def surest(m: np.ndarray, good: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, y) that a view labels from the margins m: what it is SURE of, and SHARE of all at least, `good` of it good; equal margins go in the order of rows."""
-    n, edge = len(m), np.log(SURE / (1 - SURE))
-    order = np.argsort(m, kind="stable")
-    bad, fine = m <= -edge, m >= edge
-    bad[order[: round(n * SHARE * (1 - good))]] = True
-    fine[order[n - round(n * SHARE * good) :]] = True
-    rows = np.flatnonzero(bad != fine)
-    return rows, fine[rows].astype(float)
+def terms(z: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, slope and bend of weighted rows, summed, in one array."""
+    m = z @ w
+    p = 1 / (1 + np.exp(-np.clip(m, -35, 35)))
+    bend = (z * (weight * p * (1 - p))[:, None]).T @ z
+    return np.concatenate([[weight @ np.logaddexp(0, -(2 * y - 1) * m)], z.T @ (weight * (p - y)), bend.ravel()])
+
+
+class Newton:
+    """Newton's method for a logistic loss over all rows' weight and a penalty (not on the offset); steps that go up are halved."""
+
+    def __init__(self, w: np.ndarray, total: float, penalty: float):
+        self.w, self.at, self.total, self.least, self.done = w, w, total, np.inf, False
+        self.ridge = np.diag(np.r_[np.full(len(w) - 1, penalty), 1e-6])
+        self.step = np.zeros(len(w))
+
+    def move(self, found: np.ndarray) -> None:
+        """found: the terms at self.at."""
+        d = len(self.w)
+        loss = found[0] / self.total + self.at @ self.ridge @ self.at / 2
+        if loss > self.least:
+            self.step, self.at = self.step / 2, self.w - self.step / 2
+            self.done = np.abs(self.step).max() < 1e-9
+            return
+        self.done = self.least - loss < 1e-10
+        self.w, self.least = self.at, loss
+        slope = found[1 : 1 + d] / self.total + self.ridge @ self.w
+        self.step = np.linalg.solve(found[1 + d :].reshape(d, d) / self.total + self.ridge, slope)
+        self.at = self.w - self.step
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2, steps: int = 40) -> Linear:
+    """Logistic regression on rows that are at hand."""
+    by = standard(x)
+    z = standardised(x, *by)
+    method = Newton(np.zeros(z.shape[1]), weight.sum(), penalty)
+    for _ in range(steps):
+        method.move(terms(z, y, weight, method.at))
+        if method.done:
+            break
+    return raw(method.w, *by)
+
+
+def grades(m: np.ndarray) -> np.ndarray:
+    """Margins as whole numbers from 0."""
+    return np.floor((m + MARGIN) * GRADES).astype(np.int64)
+
+
+def surest(counts: np.ndarray, good: float) -> tuple[int, int]:
+    """(grade up to which rows are labelled bad, grade from which they are labelled good) for counts of grades: what a view is SURE of, and SHARE of all at least, `good` of it good; rows of one grade go together."""
+    n, edge = counts.sum(), np.log(SURE / (1 - SURE))
+    low = int(np.searchsorted(np.cumsum(counts), max(1, round(n * SHARE * (1 - good)))))
+    high = len(counts) - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), max(1, round(n * SHARE * good))))
+    return max(low, int(grades(np.array(-edge)))), min(high, int(grades(np.array(edge))))
+
+
+def given_labels(grade: np.ndarray, bounds: tuple[int, int]) -> np.ndarray:
+    """1, 0, or NaN where a row gets no label or both."""
+    bad, fine = grade <= bounds[0], grade >= bounds[1]
+    return np.where(bad == fine, np.nan, fine)
+
+
+def _over(pool: DataFrame, each) -> np.ndarray:
+    """The sum over all rows of pool of each(views of some rows), an array; added in tasks and up a tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = each([v(batch) for v in VIEWS])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "payload"])
+
+    rows = pool.select(*NAMES, *COUNTS, "surface", "buckets")
+    found = merged(rows.mapInArrow(run, "part long, payload binary"), added, height=levels(rows)).collect()
+    return np.frombuffer(found[0]["payload"], np.float64)
 
 
-def cotrain(train: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pool: list[np.ndarray]) -> list[Linear]:
-    """The classifiers of both views after ROUNDS of labelling the pool for each other."""
+def cotrain(train: list[np.ndarray], y: np.ndarray, weight: np.ndarray, over) -> list[Linear]:
+    """The classifiers of both views after ROUNDS of labelling the pool for each other; over(each): each's sum over the pool's views, None without a pool."""
     models = [fit(x, y, weight) for x in train]
+    if over is None:
+        return models
+    scales = [standard(x) for x in train]
+    z = [standardised(x, *s) for x, s in zip(train, scales, strict=True)]
+    good, total = np.average(y, weights=weight), weight.sum()
+    size = 2 * MARGIN * GRADES + 1
     for _ in range(ROUNDS):
-        given = [surest(m.margin(p), np.average(y, weights=weight)) for m, p in zip(models, pool, strict=True)]
-        now = []
-        for v in (0, 1):
-            rows, labels = given[1 - v]
-            x = np.vstack([train[v], pool[v][rows]])
-            now.append(fit(x, np.r_[y, labels], np.r_[weight, np.full(len(rows), PSEUDO_WEIGHT)]))
-        models = now
+        counts = over(lambda x, m=models: np.concatenate([np.bincount(grades(m[v].margin(x[v])), minlength=size) for v in (0, 1)]).astype(float)).reshape(2, size)
+        bounds = [surest(c, good) for c in counts]
+        # View v learns from what the other one labels.
+        n = [counts[1 - v][: bounds[1 - v][0] + 1].sum() + counts[1 - v][bounds[1 - v][1] :].sum() for v in (0, 1)]
+        each_weighs = [min(PSEUDO_WEIGHT, PSEUDO_SHARE * total / max(1.0, k)) for k in n]
+        start = [np.r_[m.weights * np.where(np.isinf(s[1]), 0.0, s[1]), m.offset + m.weights @ s[0]] for m, s in zip(models, scales, strict=True)]
+        methods = [Newton(w, total + k * e, 1e-2) for w, k, e in zip(start, n, each_weighs, strict=True)]
+
+        def pooled(x: list[np.ndarray], models=models, bounds=bounds, at=None, each_weighs=each_weighs) -> np.ndarray:
+            out = []
+            for v in (0, 1):
+                said = given_labels(grades(models[1 - v].margin(x[1 - v])), bounds[1 - v])
+                some = ~np.isnan(said)
+                out.append(terms(standardised(x[v][some], *scales[v]), said[some], np.full(some.sum(), each_weighs[v]), at[v]))
+            return np.concatenate(out)
+
+        for _ in range(STEPS):
+            found = over(functools.partial(pooled, at=[m.at for m in methods]))
+            split = 1 + z[0].shape[1] + z[0].shape[1] ** 2
+            for v, part in enumerate((found[:split], found[split:])):
+                methods[v].move(part + terms(z[v], y, weight, methods[v].at))
+            if all(m.done for m in methods):
+                break
+        models = [raw(m.w, *s) for m, s in zip(methods, scales, strict=True)]
     return models
 
 
@@ -240,21 +326,20 @@ def score(
         return seen.select(*own, none.alias("text_margin"), none.alias("metadata_margin"), none.alias("quality_score"), F.lit(True).alias("kept"))
     usual = min(1.0, FIT_ROWS / (found[0.0] + found[1.0]))
     rate = {c: max(usual, min(1.0, LEAST_ROWS / found[c])) for c in (0.0, 1.0)}
-    wanted = F.when(F.col("y").isNull(), F.lit(POOL_ROWS / max(1, found.get(None, 0)))).when(F.col("y") == 0, F.lit(rate[0.0])).otherwise(F.lit(rate[1.0]))
+    wanted = F.when(F.col("y") == 0, F.lit(rate[0.0])).otherwise(F.lit(rate[1.0]))
     draw = F.xxhash64("id", "buckets", F.lit("draw"))
-    sample = seen.where(F.abs(draw / F.lit(2.0**63)) < wanted)
+    sample = seen.where(F.col("y").isNotNull() & (F.abs(draw / F.lit(2.0**63)) < wanted))
     held = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(10)) < CALIBRATION
     # Rows in an order of their own, whatever order tasks end in: the same input gives the same models.
     sample = sample.select("y", held.alias("held"), draw.alias("draw"), *NAMES, *COUNTS, "surface", "buckets").toArrow().sort_by("draw")
     y = sample.column("y").to_numpy()
-    held, pool = sample.column("held").to_numpy(), np.isnan(y)
-    train = ~pool & ~held
-    if len(set(y[train])) < 2:  # too few labels to keep some of them for calibration
-        train = ~pool
-    check = ~pool & held if len(set(y[~pool & held])) == 2 else ~pool
+    held, every = sample.column("held").to_numpy(), np.ones(len(y), bool)
+    train = ~held if len(set(y[~held])) == 2 else every  # too few labels to keep some of them for calibration
+    check = held if len(set(y[held])) == 2 else every
     weight = np.where(y == 0, usual / rate[0.0], usual / rate[1.0])
     views = [v(sample) for v in VIEWS]
-    models = cotrain([x[train] for x in views], y[train], weight[train], [x[pool] for x in views])
+    pool = seen.where(F.col("y").isNull())
+    models = cotrain([x[train] for x in views], y[train], weight[train], functools.partial(_over, pool) if found.get(None) else None)
     each, both = calibrated([m.margin(x[check]) for m, x in zip(models, views, strict=True)], y[check], weight[check])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

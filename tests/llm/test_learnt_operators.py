@@ -273,23 +273,29 @@ def test_both_views_label_for_each_other(spark, monkeypatch):
     docs, labels, pages = (table(tuned(spark), d, t) for t in ("documents", "labels", "pages"))
     given, surest = [], quality.surest
 
-    def counted(m, good):
-        rows, y = surest(m, good)
-        given.append((len(m), len(rows), set(y)))
-        return rows, y
+    def counted(counts, good):
+        low, high = surest(counts, good)
+        given.append((counts.sum(), counts[: low + 1].sum(), counts[high:].sum()))
+        return low, high
 
     monkeypatch.setattr(quality, "surest", counted)
     assert quality.score(docs, labels, evidence=page_metadata(pages)).count() == docs.count()
     assert len(given) == 2 * quality.ROUNDS
-    for pool, n, kinds in given:
-        assert kinds == {0.0, 1.0} and n >= 0.9 * quality.SHARE * pool
+    unlabelled = docs.join(labels.where("quality is not null"), "doc_id", "left_anti").count()
+    for pool, bad, fine in given:  # the whole pool, both classes
+        assert pool == unlabelled and bad and fine and bad + fine >= 0.9 * quality.SHARE * pool
 
 
-def test_surest_with_equal_margins():
-    rows, y = quality.surest(np.full(1000, 0.5), 0.8)
-    assert (y.sum(), len(y)) == (80, 100) and len(set(rows.tolist())) == 100
-    assert len(quality.surest(np.zeros(0), 0.8)[0]) == 0
-    assert quality.surest(np.array([-9.0, 9.0, 0.0]), 0.5)[1].tolist() == [0.0, 1.0]
+def test_surest_of_counted_margins():
+    counts = np.zeros(2 * quality.MARGIN * quality.GRADES + 1)
+    counts[quality.grades(np.array([-9.0, -1.0, 0.0, 1.0, 9.0]))] = [1, 99, 800, 99, 1]
+    low, high = quality.surest(counts, 0.5)
+    assert (low, high) == tuple(quality.grades(np.array([-1.0, 1.0])))
+    said = quality.given_labels(quality.grades(np.array([-30.0, -1.0, 0.0, 0.9995, 1.0, 30.0])), (low, high))
+    assert said[[0, 1, 4, 5]].tolist() == [0, 0, 1, 1] and np.isnan(said[[2, 3]]).all()
+    counts[:] = 0
+    counts[30_000] = 1000  # all alike: no label is worth more than its opposite
+    assert np.isnan(quality.given_labels(np.array([30_000]), quality.surest(counts, 0.8))).all()
 
 
 def test_quality_against_plain_views_and_models(spark, sf_dir):
@@ -305,7 +311,7 @@ def test_quality_against_plain_views_and_models(spark, sf_dir):
     y = np.array([np.nan if r.quality is None else r.quality for r in rows], float)
     held = np.array([r.held for r in rows])
     train, check, pool = ~np.isnan(y) & ~held, ~np.isnan(y) & held, np.isnan(y)
-    models = quality.cotrain([text[train], metadata[train]], y[train], np.ones(train.sum()), [text[pool], metadata[pool]])
+    models = brute.cotrained([text[train], metadata[train]], y[train], [text[pool], metadata[pool]], quality)
     margins = [m.margin(x) for m, x in zip(models, (text, metadata), strict=True)]
     each, both = quality.calibrated([m[check] for m in margins], y[check], np.ones(check.sum()))
     odds = np.stack([c.margin(m[:, None]) for c, m in zip(each, margins, strict=True)], axis=1)
