@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ def added(arrays: list[np.ndarray]) -> np.ndarray:
     return np.sum(arrays, axis=0)
 
 
-def merged(parts: DataFrame, merge: Callable[[list[np.ndarray]], np.ndarray], by: tuple[str, ...] = (), height: int = 1, fan_in: int = FAN_IN) -> DataFrame:
-    """(by, payload), one row for each `by`: of parts (by, part, payload: the bytes of doubles) fan_in neighbours by the number `part`
+def merged(parts: DataFrame, merge: Callable[[list[np.ndarray]], np.ndarray], by: tuple[str, ...] = (), height: int = 1, fan_in: int = FAN_IN, kind: type = np.float64) -> DataFrame:
+    """(by, payload), one row for each `by`: of parts (by, part, payload: the bytes of doubles, or of another kind of number) fan_in neighbours by the number `part`
     are merged in a task, and what they give again, `height` times, the last time all that are left.
 
     Each level moves a fan_in-th of what the level below it did, and no task holds more than fan_in arrays, or, if the tree is
@@ -35,7 +36,7 @@ def merged(parts: DataFrame, merge: Callable[[list[np.ndarray]], np.ndarray], by
     schema = parts.schema
 
     def run(table: pa.Table) -> pa.Table:
-        whole = merge([np.frombuffer(b, np.float64) for b in table.column("payload").to_pylist()])
+        whole = merge([np.frombuffer(b, kind) for b in table.column("payload").to_pylist()])
         out = table.slice(0, 1)
         return out.set_column(out.schema.get_field_index("payload"), "payload", pa.array([np.ascontiguousarray(whole).tobytes()], pa.binary()))
 
@@ -43,3 +44,15 @@ def merged(parts: DataFrame, merge: Callable[[list[np.ndarray]], np.ndarray], by
         up = F.lit(0).cast("long") if k == height - 1 else F.floor(F.col("part") / fan_in).cast("long")
         parts = parts.withColumn("part", up).select(*schema.names).groupBy(*by, "part").applyInArrow(run, schema)
     return parts.select(*by, "payload")
+
+
+def of_tasks(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], merge: Callable[[list[np.ndarray]], np.ndarray], kind: type = np.float64) -> np.ndarray | None:
+    """What `each` makes of the rows of each task (an array, or None), merged up a tree; the last array comes to the driver. None if there were none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = each(b for b in batches if b.num_rows)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.ascontiguousarray(out, kind).tobytes()], pa.binary())], ["part", "payload"])
+
+    found = merged(df.mapInArrow(run, "part long, payload binary"), merge, height=levels(df), kind=kind).collect()
+    return np.frombuffer(found[0]["payload"], kind) if found else None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismark.functions.arrays import dot, ieee_div, let, mean, percentile, spread
-from prismark.functions.order_statistics import exact_quantiles
+from prismark.functions.order_statistics import array_quantiles
 from prismark.operators.base import FittedTransformer, SpectralEstimator, SpectralTransformer, by_batch
 
 
@@ -41,9 +41,9 @@ def column_centre(df: DataFrame, column: str, method: str) -> list[float]:
     """Mean or exact median of each feature over all rows; one number per feature comes to the driver."""
     if method not in ("mean", "median"):
         raise ValueError(f"method must be mean or median, not {method!r}")
-    long = df.select(F.posexplode(column).alias("pos", "v"))
     if method == "median":
-        return [m for _, (m,) in sorted(exact_quantiles(long, "v", [0.5], "pos").items())]
+        return [float("nan") if m is None else m[0] for m in array_quantiles(df, column, [0.5])]
+    long = df.select(F.posexplode(column).alias("pos", "v"))
     return [r[1] for r in long.groupBy("pos").agg(F.avg("v")).orderBy("pos").collect()]
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline
@@ -10,23 +12,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from prismark.functions.order_statistics import exact_quantiles
-from prismark.functions.random_draws import uniform
+from prismark.functions.order_statistics import exact_quantiles, whole_cuts
+from prismark.functions.selection import smallest, written as _written
 from prismark.operators.base import by_batch
 from prismark.operators.latent import moments, moments_by, pls_path, sum_of
 
 
-def split(df: DataFrame, test_share: float, seed: int = 42, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the id: the same on any partitioning."""
-    draw = uniform(F.lit(seed), F.col(id_col))
-    return df.where(draw >= test_share), df.where(draw < test_share)
+def draw_key(seed: int, id_col: str) -> Column:
+    """A draw for each id as a long of 60 bits."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
+
+
+def quotas(counts: DataFrame, total: int) -> DataFrame:
+    """(_c, quota) of (_c, n): total dealt in proportion to n, by largest remainder; of equal remainders the first class has it."""
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    share = F.lit(total).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
+    parts = counts.select("_c", "n", F.floor(F.col("n") * F.lit(total) / F.lit(max(n, 1))).cast("long").alias("rough"), share.alias("share"))
+    # Floors of exact products: the double above may be off by one.
+    exact = F.col("share") - F.col("rough") * F.lit(n).cast("decimal(18,0)")
+    fix = F.when(exact < 0, F.lit(-1)).when(exact >= n, F.lit(1)).otherwise(F.lit(0))
+    parts = parts.withColumn("floor", F.col("rough") + fix).withColumn("rest", F.col("share") - F.col("floor") * F.lit(n).cast("decimal(18,0)"))
+    left = total - (parts.agg(F.sum("floor")).first()[0] or 0)
+    more = parts.orderBy(F.desc("rest"), "_c").limit(int(left)).select(F.col("_c").alias("_more")) if left else None
+    if more is None:
+        return parts.select("_c", F.col("floor").alias("quota"))
+    met = parts.join(more, F.col("_c").eqNullSafe(F.col("_more")), "left")
+    # A null class is not told from no match by its name.
+    return met.join(more.where("_more is null").groupBy().agg(F.count("*").alias("_null")), how="cross").select("_c", (F.col("floor") + F.when(F.col("_more").isNotNull() | (F.col("_c").isNull() & (F.col("_null") > 0)), F.lit(1)).otherwise(F.lit(0))).alias("quota"))
+
+
+def split(df: DataFrame, test_share: float, seed: int = 42, id_col: str = "id", stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test): of n rows exactly ceil(test_share * n) are test rows, those with the smallest draws by seed and id, the same on any partitioning.
+
+    With `stratify`, a column, the classes have test rows in proportion, by largest remainder; a class of one row is an error, and so are
+    fewer test or train rows than classes. Equal draws are told apart by id, rows of one id by what they hold; null ids and classes are values like others.
+    """
+    if not 0 < test_share < 1:
+        raise ValueError("test_share must lie between 0 and 1")
+    rows = df.withColumn("_key", draw_key(seed, id_col)).withColumn("_class", F.lit(0) if stratify is None else F.col(stratify))
+    counts = rows.groupBy(F.col("_class").alias("_c")).agg(F.count("*").alias("n"))
+    counts = counts if stratify is None else _written(counts, "classes")
+    n, classes, least = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.min("n")).first()
+    total = math.ceil(Fraction(repr(test_share)) * n)
+    if stratify is not None and n:
+        if least < 2:
+            raise ValueError("a class of one row can't be in both parts")
+        if min(total, n - total) < classes:
+            raise ValueError(f"{classes} classes need as many test and train rows")
+    wanted = counts.select("_c", F.lit(total).alias("quota")) if stratify is None else quotas(counts, total)
+    tie = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    out = smallest(rows, wanted.withColumnRenamed("_c", "_class"), "_key", "_class", tie, "_test")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return out.where("not _test").select(*names), out.where("_test").select(*names)
 
 
 def label_codes(df: DataFrame, label: str, output: str = "code") -> DataFrame:
-    """Labels numbered in alphabetical order."""
-    names = df.where(F.col(label).isNotNull()).select(label).distinct()
-    ordered = names.agg(F.array_sort(F.collect_set(label)).alias("_all"))
-    return df.withColumn(output, F.array_position(ordered.select("_all").scalar(), F.col(label)) - 1)
+    """Labels numbered in alphabetical order; a null label has no number.
+
+    Distinct labels are sorted once, by ranges, and numbered by how many there are in the ranges before; they meet the rows in a
+    join, and Spark sends them to all tasks only if they are small.
+    """
+    names = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_name")).distinct().orderBy("_name")
+    names = _written(names.withColumn("_place", F.monotonically_increasing_id()), "labels")
+    part = F.shiftright("_place", 33)
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    ahead = names.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    coded = names.join(F.broadcast(ahead), part == F.col("part")).select("_name", (F.col("_ahead") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(output))
+    return df.drop(output).join(coded, F.col(label) == F.col("_name"), "left").drop("_name")
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -48,7 +100,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 
 def folds_of(df: DataFrame, folds: int, id_col: str = "id") -> Column:
     """The fold of each row: runs of ids of even size, in the order of ids."""
-    cuts = exact_quantiles(df, id_col, [k / folds for k in range(1, folds)]).get(0, [])
+    cuts = whole_cuts(df, id_col, [k / folds for k in range(1, folds)])
     return sum(((F.col(id_col) > c).cast("int") for c in cuts), F.lit(0))
 
 

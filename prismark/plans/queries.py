@@ -466,7 +466,26 @@ def train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.select("id", F.lit("train").alias("part")).unionByName(test.select("id", F.lit("test").alias("part")))
 
 
-add("train_test_split", train_test, f"select vec_id as id, case when {draw('42', 'vec_id')} < 0.2 then 'test' else 'train' end as part from embeddings")
+KEY = "('0x' || substr(md5('42:' || vec_id), 1, 15))::bigint"
+add("train_test_split", train_test, f"select vec_id as id, case when row_number() over (order by {KEY}, vec_id) <= ceil(count(*) over () / 5.0) then 'test' else 'train' end as part from embeddings")
+
+
+def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, by priority and status as classes."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat("o_orderpriority", "o_orderstatus").alias("label"))
+    train, test = evaluation.split(t, 0.2, id_col="o_orderkey", stratify="label")
+    return train.select("o_orderkey", "label", F.lit("train").alias("part")).unionByName(test.select("o_orderkey", "label", F.lit("test").alias("part")))
+
+
+add(
+    "train_test_split_stratified",
+    stratified,
+    """with t as (select o_orderkey, o_orderpriority || o_orderstatus as label from orders), c as (select label, count(*) as n from t group by 1), s as (select sum(n) as all_, ceil(sum(n) / 5.0)::bigint as total from c),
+f as (select label, (n * total // all_)::bigint as low, (n * total % all_)::bigint as rest from c, s),
+q as (select label, low + (row_number() over (order by rest desc, label) <= (select any_value(total) from s) - sum(low) over ())::bigint as quota from f)
+select o_orderkey, label, case when row_number() over (partition by label order by ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::bigint, o_orderkey) <= quota then 'test' else 'train' end as part
+from t join q using (label)""",
+)
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:

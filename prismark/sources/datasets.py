@@ -26,7 +26,8 @@ def numbered(rows: DataFrame) -> DataFrame:
 
     Rows are counted by split (a pair of numbers for each comes to the driver) and numbered on from what is before their split.
     """
-    file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    of = rows.metadataColumn("_metadata")  # also where the table has a column of that name
+    file, begin = of["file_path"], of["file_block_start"]
     placed = rows.select("*", file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_order"))
     counts = sorted(tuple(r) for r in placed.groupBy("_file", "_begin").count().collect())
     ahead, known = 0, []

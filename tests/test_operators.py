@@ -311,6 +311,21 @@ def test_exact_quantiles(spark, monkeypatch):
         for g, vs in groups.items():
             np.testing.assert_allclose(got[g], np.quantile(vs, shares), rtol=1e-12, atol=1e-300)
     assert order_statistics.exact_quantiles(df.where("g < 0"), "v", shares) == {}
+    import duckdb
+
+    inf = float("inf")
+    for few in (100_000, 10):
+        monkeypatch.setattr(order_statistics, "COLLECTED", few)
+        odd = [1.0, 2.0, 3.0] * 40 + [inf, -inf, inf, -0.0, 0.0, 5e-324, -1e308, 1e308]
+        got = order_statistics.exact_quantiles(spark.createDataFrame([(v,) for v in odd], "v double").repartition(3), "v", [0.0, 0.01, 0.3, 0.5, 0.99, 1.0])[0]
+        want = duckdb.sql(f"select quantile_cont(v, [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]) from (select unnest({[str(v) for v in odd]})::double as v)").fetchall()[0][0]
+        np.testing.assert_allclose(got, want, rtol=1e-12)
+        assert got[0] == -inf and got[-1] == inf
+        big = 2**62
+        ids = spark.createDataFrame([(big + i,) for i in range(101)] + [(-big,)], "v long").repartition(3)
+        assert order_statistics.whole_cuts(ids, "v", [0.0, 0.5, 1.0]) == [-big, big + 49, big + 100]
+        arrays = spark.createDataFrame([([float(i), inf if i % 2 else None, float("nan")],) for i in range(31)] + [(None,)], "x array<double>").repartition(4)
+        assert order_statistics.array_quantiles(arrays, "x", [0.5, 1.0]) == [[15.0, 30.0], [inf, inf], None]
     plan = scatter.MultiplicativeScatterCorrection(method="median").fit(table(spark, [1, 2, 4], [2, 4, 9], [3, 5, 7]))
     assert plan.value("reference") == [2, 4, 7]
 
@@ -341,3 +356,40 @@ def test_cross_validation_is_fit_by_fit(spark, training):
         rows = training.where(inside(training)).select("y", F.get(model.prediction(F.col("x")), 0).alias("p")).collect()
         by_hand.append(np.mean([abs(r.y - r.p) for r in rows]))
     assert abs(other[2] - np.mean(by_hand)) < 1e-9
+
+
+def test_splits_have_exact_sizes(spark, monkeypatch):
+    from prismark.functions import selection
+
+    rows = [(i, "abc"[i % 7 % 3], float(i)) for i in range(503)]
+    df = spark.createDataFrame(rows, "id long, label string, _test double")
+    for share, n in ((0.2, 101), (0.5, 252), (0.001, 1), (0.999, 503)):
+        train, test = evaluation.split(df, share)
+        a, b = ({r.id for r in x.collect()} for x in (train, test))
+        assert len(b) == n and not a & b and len(a | b) == 503
+    one = {r.id for r in evaluation.split(df, 0.2)[1].collect()}
+    assert one == {r.id for r in evaluation.split(df.repartition(7), 0.2)[1].collect()} and one != {r.id for r in evaluation.split(df, 0.2, seed=1)[1].collect()}
+    train, test = evaluation.split(df, 0.2, stratify="label")
+    counts = {k: sum(x[1] == k for x in rows) for k in "abc"}
+    found = {r.label: r.n for r in test.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert sum(found.values()) == 101 and all(abs(found[k] - 101 * counts[k] / 503) < 1 for k in "abc") and train.count() == 402
+    # Equal ids have equal keys; null classes and ids are values like others.
+    same = spark.createDataFrame([(7, None, float(i)) for i in range(50)] + [(None, "x", 0.0)] * 50, "id long, label string, v double")
+    for stratify in (None, "label"):
+        train, test = evaluation.split(same, 0.25, stratify=stratify)
+        assert (train.count(), test.count()) == (75, 25)
+    assert {r.label: r.n for r in test.groupBy("label").agg(F.count("*").alias("n")).collect()} in ({None: 13, "x": 12}, {None: 12, "x": 13})
+    assert [x.count() for x in evaluation.split(df.limit(0), 0.2)] == [0, 0]
+    for bad in ({"test_share": 0.0}, {"test_share": 1.5}, {"test_share": 0.001, "stratify": "label"}, {"test_share": 0.2, "stratify": "id"}):
+        with pytest.raises(ValueError):
+            evaluation.split(df, **bad)
+    monkeypatch.setattr(selection, "DIGIT", 1)  # as if the table were large: many passes
+    assert one == {r.id for r in evaluation.split(df.where("id >= 0"), 0.2)[1].collect()}
+
+
+def test_many_labels_are_numbered_in_order(spark):
+    names = [f"l{i * 7919 % 5000}" for i in range(5000)]
+    df = spark.createDataFrame([(n, 1) for n in names for _ in range(2)] + [(None, 1)], "label string, code int").repartition(6)
+    got = {(r.label, r.code) for r in evaluation.label_codes(df, "label").collect()}
+    assert got == {(n, i) for i, n in enumerate(sorted(set(names)))} | {(None, None)}
+    assert evaluation.label_codes(df.limit(0), "label").count() == 0
