@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegralType
 
 from prismark.functions.trees import added, of_tasks
-from prismark.sources.scratch import new_folder
+from prismark.sources.scratch import written
 
 #: Buckets that one pass counts in all, and values that are few enough to be looked at.
 BUCKETS, COLLECTED = 1 << 18, 100_000
@@ -214,13 +214,8 @@ def between_neighbours(df: DataFrame, value: str, shares: list[float], group: st
     if not groups:
         return {}
 
-    def again() -> DataFrame:
-        path = new_folder(df.sparkSession, "values")
-        rows.write.parquet(path)
-        return df.sparkSession.read.schema(rows.schema).parquet(path)
-
     rows = rows.where("v is not null")
-    found = ranked(rows, functools.partial(_of_groups, number={g: i for i, g in enumerate(groups)}), len(groups), shares, again)
+    found = ranked(rows, functools.partial(_of_groups, number={g: i for i, g in enumerate(groups)}), len(groups), shares, lambda: written(rows, "values"))
     return {groups[i]: [(value_of(a, whole), value_of(b, whole), f) for a, b, f in x] for i, x in found.items()}
 
 

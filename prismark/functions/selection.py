@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismark.sources.scratch import new_folder
+from prismark.sources.scratch import written
 
 #: Bits of keys, and bits of them that one pass looks at.
 KEY_BITS, DIGIT = 60, 12
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, cut off from how it was made; it survives the loss of executors."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def smallest(rows: DataFrame, wanted: DataFrame, key: str, by: str, tie: Column, output: str) -> DataFrame:
     """rows with a column `output`: whether a row is among the `quota` of its class `by` with the smallest keys.
 

@@ -1,17 +1,33 @@
-"""Centring, PCA and PLS, fitted by one distributed aggregate of cross products."""
+"""Centring, PCA and PLS, fitted by distributed sums.
+
+Spectra of up to GRAM_FEATURES values are summed up in one pass: the products of all pairs of features, pooled up a tree of
+tasks. Longer ones take passes of vectors instead, and no matrix of features squared exists anywhere: PCA some passes of a block
+Krylov method and one of a tree of QR factors, PLS one pass for each component.
+"""
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismark.functions.trees import added, levels, merged, of_tasks
 from prismark.operators.base import FittedTransformer, SpectralEstimator, by_batch
+from prismark.sources.scratch import written
+
+#: Features (and targets) whose products are summed in one pass; the driver holds their square, 32 MB.
+GRAM_FEATURES = 2048
+#: Numbers that one row of partial sums holds, and bytes of all sums that the driver takes at once.
+BLOCK, HELD_BYTES = 1 << 17, 64 << 20
+#: Vectors beyond the wanted ones in a block of PCA's passes, passes at most, and relative residual that ends them.
+BESIDE, PASSES, TOLERANCE = 8, 30, 1e-11
 
 
 @dataclass(frozen=True)
@@ -23,47 +39,103 @@ class Moments:
     products: np.ndarray
 
 
-def moments_by(df: DataFrame, column: str, targets: tuple[str, ...], by: str) -> dict[int, Moments]:
-    """Moments of the rows of each value of `by` (whole numbers): each partition adds up its cross products, about the values of one row against cancellation; Spark sums them by place.
-
-    To the driver come (features + targets + 1) squared numbers for each value, whatever the number of rows.
-    """
-    z = F.concat(F.col(column), F.array(*[F.col(t).cast("double") for t in targets])) if targets else F.col(column)
-    rows = df.select(z.alias("z"), F.col(by).cast("long").alias("g"))
-    first = rows.first()
+def _with_targets(df: DataFrame, column: str, targets: tuple[str, ...]) -> Column:
+    return F.concat(F.col(column), F.array(*[F.col(t).cast("double") for t in targets])) if targets else F.col(column)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows; null ones are left out."""
+    lists = lists.drop_null()
+    flat = np.asarray(lists.flatten(), np.float64)
+    if len(lists) and len(flat) % len(lists):
+        raise ValueError("spectra that are learnt from must have one length")
+    return flat.reshape(len(lists), -1)
+
+
+def _pooled(parts: list[np.ndarray]) -> np.ndarray:
+    """Of parts [rows, first line, length, means, some lines of the products about them] those of their rows together."""
+    first, size = int(parts[0][1]), int(parts[0][2])
+    n = np.array([x[0] for x in parts])
+    means = np.stack([x[3 : 3 + size] for x in parts])
+    mean = n @ means / n.sum()
+    lines = np.sum([x[3 + size :] for x in parts], axis=0).reshape(-1, size)
+    off = means - mean
+    lines = lines + (off[:, first : first + len(lines)] * n[:, None]).T @ off
+    return np.concatenate([[n.sum(), first, size], mean, lines.ravel()])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Moments of a task's rows (z, g) for each g, in blocks of lines."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        g = np.asarray(batch.column(1).fill_null(-1))
+        for k in np.unique(g).tolist():
+            x = _matrix(batch.column(0).filter(pa.array(g == k)))
+            if len(x):
+                mean = x.mean(axis=0)
+                part = np.concatenate([[len(x), 0, len(mean)], mean, ((x - mean).T @ (x - mean)).ravel()])
+                total[k] = _pooled([total[k], part]) if k in total else part
+    for k, t in total.items():
+        size = int(t[2])
+        lines, step = t[3 + size :].reshape(size, size), max(1, BLOCK // size)
+        starts = range(0, size, step)
+        blocks = [np.concatenate([[t[0], i, size], t[3 : 3 + size], lines[i : i + step].ravel()]).tobytes() for i in starts]
+        m = len(blocks)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * m, pa.int64()), pa.array(list(starts), pa.int64()), pa.array([TaskContext.get().partitionId()] * m, pa.int64()), pa.array(blocks, pa.binary())], ["g", "line", "part", "payload"])
+
+
+def _assembled(rows: list) -> Moments:
+    parts = [np.frombuffer(r["payload"], np.float64) for r in sorted(rows, key=lambda r: r["line"])]
+    size = int(parts[0][2])
+    return Moments(int(parts[0][0]), parts[0][3 : 3 + size], np.concatenate([x[3 + size :] for x in parts]).reshape(size, size))
+
+
+class MomentsBy:
+    """Moments of the rows of each value of a column; one at a time is read where all together are large."""
+
+    def __init__(self, sums: DataFrame, size: int, groups: int):
+        self._sums, self._held = sums, None
+        if size * size * 8 * groups <= HELD_BYTES:
+            self._held = {}
+            for r in sums.collect():
+                self._held.setdefault(r["g"], []).append(r)
+            self.keys = sorted(self._held)
+        else:
+            self._sums = written(sums, "moments")
+            self.keys = sorted(r["g"] for r in self._sums.select("g").distinct().collect())
+
+    def __getitem__(self, k: int) -> Moments:
+        return _assembled(self._held[k] if self._held is not None else self._sums.where(F.col("g") == k).collect())
+
+    def but(self, keys: set[int]) -> Moments | None:
+        """The moments of the rows of all other values."""
+        total = None
+        for k in self.keys:
+            if k not in keys:
+                total = self[k] if total is None else sum_of([total, self[k]])
+        return total
+
+
+def length_of(df: DataFrame, column: str) -> int:
+    """Of the spectra; from one of them."""
+    first = df.where(F.col(column).isNotNull()).select(F.size(column)).first()
     if first is None:
         raise ValueError("there are no spectra to learn from")
-    about = np.array(first[0], float)
-    size = len(about) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, -1)
-            g = np.asarray(batch.column(1))
-            for k in np.unique(g).tolist():
-                part = x[g == k]
-                one = np.column_stack([np.ones(len(part)), part - about])
-                total[k] = total.get(k, 0.0) + one.T @ one
-        for k, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k)), pa.array(np.arange(size, dtype=np.int32)), pa.array(list(t), pa.list_(pa.float64()))], ["g", "i", "row"])
-
-    parts = rows.mapInArrow(run, "g long, i int, row array<double>").select("g", "i", F.posexplode("row").alias("j", "v"))
-    sums = parts.groupBy("g", "i", "j").agg(F.sum("v").alias("v")).toArrow()
-    group, i, j, v = (sums.column(c).to_numpy() for c in ("g", "i", "j", "v"))
-    out = {}
-    for k in np.unique(group).tolist():
-        g = np.zeros((size, size))
-        mine = group == k
-        g[i[mine], j[mine]] = v[mine]
-        n, s = g[0, 0], g[0, 1:]
-        out[k] = Moments(int(n), about + s / n, g[1:, 1:] - np.outer(s, s) / n)
-    return out
+    return first[0]
+
+
+def moments_by(df: DataFrame, column: str, targets: tuple[str, ...], by: str, groups: int) -> MomentsBy:
+    """Moments of the rows of each value of `by` (whole numbers from 0, some `groups` of them): each task sums products about its own
+    means, and tasks' sums are pooled up a tree, in blocks of lines. Groups may have spectra of lengths of their own.
+    """
+    rows = df.select(_with_targets(df, column, targets).alias("z"), F.col(by).cast("long").alias("g"))
+    parts = rows.mapInArrow(_sums, "g long, line long, part long, payload binary")
+    return MomentsBy(merged(parts, _pooled, by=("g", "line"), height=levels(rows)), length_of(df, column) + len(targets), groups)
 
 
 def moments(df: DataFrame, column: str, targets: tuple[str, ...] = ()) -> Moments:
     """Moments of all rows."""
-    return moments_by(df.withColumn("_all", F.lit(0)), column, targets, "_all")[0]
+    return moments_by(df.withColumn("_all", F.lit(0)), column, targets, "_all", 1)[0]
 
 
 def sum_of(parts: list[Moments]) -> Moments:
@@ -73,27 +145,168 @@ def sum_of(parts: list[Moments]) -> Moments:
     return Moments(n, mean, sum(m.products + m.n * np.outer(m.mean - mean, m.mean - mean) for m in parts))
 
 
-def pls(m: Moments, q: int, a: int, scale: bool) -> dict[str, np.ndarray]:
-    """Partial least squares of the last q columns on the others, from cross products (kernel algorithm): spread, weights, loadings, rotations, inner coefficients and sizes of a components."""
-    p = len(m.mean) - q
-    if not 0 < a <= p:
-        raise ValueError(f"n_components must be 1 to {p}")
-    spread = np.sqrt(np.diag(m.products) / max(m.n - 1, 1))
-    spread[spread == 0] = 1.0
-    if not scale:
-        spread = np.ones(p + q)
-    g = m.products / np.outer(spread, spread)
-    xx, xy = g[:p, :p], g[:p, p:].copy()
+# --- passes of vectors -------------------------------------------------------------------------------------------------
+def _outlined(parts: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Of parts [rows, means, squares about them, products of features and targets] those of their rows together."""
+    n = np.array([x[0] for x in parts])
+    means = np.stack([x[1 : 1 + p + q] for x in parts])
+    mean = n @ means / n.sum()
+    off = means - mean
+    both = np.sum([x[1 + p + q :] for x in parts], axis=0)
+    both[: p + q] += n @ (off * off)
+    both[p + q :] += ((off[:, :p] * n[:, None]).T @ off[:, p:]).ravel()
+    return np.concatenate([[n.sum()], mean, both])
+
+
+def _outline(batches: Iterator[pa.RecordBatch], p: int, q: int) -> np.ndarray | None:
+    total = None
+    for batch in batches:
+        x = _matrix(batch.column(0))
+        if len(x):
+            mean = x.mean(axis=0)
+            c = x - mean
+            part = np.concatenate([[len(x)], mean, (c * c).sum(axis=0), (c[:, :p].T @ c[:, p:]).ravel()])
+            total = part if total is None else _outlined([total, part], p, q)
+    return total
+
+
+def _products(batches: Iterator[pa.RecordBatch], mean: np.ndarray, spread: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    total = None
+    for batch in batches:
+        x = (_matrix(batch.column(0)) - mean) / spread
+        part = x.T @ (x @ b)
+        total = part if total is None else total + part
+    return None if total is None else total.ravel()
+
+
+def _factors(batches: Iterator[pa.RecordBatch], mean: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    r = None
+    for batch in batches:
+        t = (_matrix(batch.column(0)) - mean) @ b
+        r = _triangle([t] if r is None else [r, t])
+    return None if r is None else r.ravel()
+
+
+def _triangle(parts: list[np.ndarray]) -> np.ndarray:
+    """The square triangular factor of rows put one below the other."""
+    k = parts[0].shape[1]
+    r = np.linalg.qr(np.vstack([*parts, np.zeros((k, k))]), mode="r")
+    return r[:k]
+
+
+def _triangles(flat: list[np.ndarray]) -> np.ndarray:
+    k = math.isqrt(len(flat[0]))
+    return _triangle([x.reshape(k, k) for x in flat]).ravel()
+
+
+@dataclass(frozen=True)
+class Outline:
+    """Rows, means, squares about them of features and targets, products of features (lines) and targets."""
+
+    n: int
+    mean: np.ndarray
+    squares: np.ndarray
+    cross: np.ndarray
+
+
+class Passes:
+    """Products of a table of spectra with vectors, each a pass over its rows."""
+
+    def __init__(self, df: DataFrame, column: str, targets: tuple[str, ...] = ()):
+        self.rows = df.select(F.col(column).alias("x"))
+        self.p, q = length_of(df, column), len(targets)
+        z = df.select(_with_targets(df, column, targets).alias("z"))
+        flat = of_tasks(z, functools.partial(_outline, p=self.p, q=q), functools.partial(_outlined, p=self.p, q=q))
+        size = self.p + q
+        self.outline = Outline(int(flat[0]), flat[1 : 1 + size], flat[1 + size : 1 + 2 * size], flat[1 + 2 * size :].reshape(self.p, q))
+        self.mean, self.spread = self.outline.mean[: self.p], np.ones(self.p)
+
+    def times(self, b: np.ndarray) -> np.ndarray:
+        """X'(X b) for the centred and scaled spectra X and a vector or some columns b."""
+        found = of_tasks(self.rows, functools.partial(_products, mean=self.mean, spread=self.spread, b=b), added)
+        return found.reshape(b.shape)
+
+    def triangle(self, b: np.ndarray) -> np.ndarray:
+        """The triangular factor of X b for centred spectra X."""
+        return of_tasks(self.rows, functools.partial(_factors, mean=self.mean, b=b), _triangles).reshape(b.shape[1], b.shape[1])
+
+
+def principal(passes: Passes, a: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of squares along the first a principal directions, these as columns), by a block Krylov method.
+
+    A block of vectors is multiplied in each pass, and what is new in it joins the basis; the best directions within the basis are
+    taken until they are the table's own. A last pass factors the scores, so small variances keep their digits.
+    """
+    p, width = passes.p, min(passes.p, a + BESIDE)
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(p, width)))[0]
+    basis, images = np.zeros((p, 0)), np.zeros((p, 0))
+    for _ in range(PASSES):
+        image = passes.times(block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        inner = basis.T @ images
+        values, y = np.linalg.eigh((inner + inner.T) / 2)
+        values, y = values[::-1][:a], y[:, ::-1][:, :a]
+        directions = basis @ y
+        if np.linalg.norm(images @ y - directions * values) <= TOLERANCE * max(values[0], 0.0):
+            break
+        scale = np.linalg.norm(image)
+        for _ in range(2):
+            image = image - basis @ (basis.T @ image)
+        u, s, _ = np.linalg.svd(image, full_matrices=False)
+        block = u[:, (s > 1e-13 * scale)][:, : p - basis.shape[1]]
+        if not block.shape[1]:
+            break
+        block = block - basis @ (basis.T @ block)
+        block = np.linalg.qr(block)[0]
+    _, s, v = np.linalg.svd(passes.triangle(np.linalg.qr(directions)[0]))
+    return s * s, np.linalg.qr(directions)[0] @ v.T
+
+
+# --- partial least squares -----------------------------------------------------------------------------------------------
+def deflated(xy: np.ndarray, times: Callable[[np.ndarray], np.ndarray], a: int) -> dict[str, np.ndarray]:
+    """a components of partial least squares from the products of features and targets, X'Y, and r -> X'X r: weights, loadings, rotations, inner coefficients and sizes."""
+    (p, q), xy = xy.shape, xy.copy()
     weights, loadings, rotations, inner, size = (np.zeros((k, a)) for k in (p, p, p, q, 1))
     for k in range(a):
         u, _, _ = np.linalg.svd(xy, full_matrices=False)
         w = u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0])
         r = w - rotations[:, :k] @ (loadings[:, :k].T @ w)
-        tt = r @ xx @ r
+        image = times(r)
+        tt = r @ image
         weights[:, k], rotations[:, k] = w, r
-        loadings[:, k], inner[:, k], size[0, k] = xx @ r / tt, xy.T @ r / tt, tt
+        loadings[:, k], inner[:, k], size[0, k] = image / tt, xy.T @ r / tt, tt
         xy -= tt * np.outer(loadings[:, k], inner[:, k])
-    return {"spread": spread, "weights": weights, "loadings": loadings, "rotations": rotations, "inner": inner, "size": size[0]}
+    return {"weights": weights, "loadings": loadings, "rotations": rotations, "inner": inner, "size": size[0]}
+
+
+def spreads(squares: np.ndarray, n: int, scale: bool) -> np.ndarray:
+    """Sample standard deviations, 1 for columns that do not vary, or all 1."""
+    spread = np.sqrt(squares / max(n - 1, 1)) if scale else np.ones(len(squares))
+    return np.where(spread == 0, 1.0, spread)
+
+
+def checked_components(a: int, most: int) -> int:
+    if not 0 < a <= most:
+        raise ValueError(f"n_components must be 1 to {most}")
+    return a
+
+
+def pls(m: Moments, q: int, a: int, scale: bool) -> dict[str, np.ndarray]:
+    """Partial least squares of the last q columns on the others, from products; see deflated(), and spread."""
+    p = len(m.mean) - q
+    checked_components(a, p)
+    spread = spreads(np.diag(m.products), m.n, scale)
+    g = m.products / np.outer(spread, spread)
+    return {"spread": spread} | deflated(g[:p, p:], lambda r: g[:p, :p] @ r, a)
+
+
+def pls_by_passes(passes: Passes, a: int, scale: bool) -> dict[str, np.ndarray]:
+    """The same by one pass for each component."""
+    o, p = passes.outline, passes.p
+    checked_components(a, p)
+    spread = spreads(o.squares, o.n, scale)
+    passes.spread = spread[:p]
+    return {"spread": spread} | deflated(o.cross / np.outer(spread[:p], spread[p:]), passes.times, a)
 
 
 def pls_path(m: Moments, q: int, a: int, scale: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -163,31 +376,40 @@ class PCA(SpectralEstimator):
     params_ = {"n_components": 2}
 
     def _fit(self, df: DataFrame) -> LatentModel:
-        m, a = moments(df, self.value("inputCol")), int(self.value("n_components"))
-        p = len(m.mean)
-        if not 0 < a <= min(m.n, p):
-            raise ValueError(f"n_components must be 1 to {min(m.n, p)}")
-        values, vectors = np.linalg.eigh(m.products / max(m.n - 1, 1))
-        values, vectors = values[::-1][:a], vectors[:, ::-1][:, :a]
+        column, a = self.value("inputCol"), int(self.value("n_components"))
+        if length_of(df, column) <= GRAM_FEATURES:
+            m = moments(df, column)
+            n, mean = m.n, m.mean
+            checked_components(a, min(n, len(mean)))
+            values, vectors = np.linalg.eigh(m.products)
+            values, vectors = values[::-1][:a], vectors[:, ::-1][:, :a]
+        else:
+            passes = Passes(df, column)
+            n, mean = passes.outline.n, passes.mean
+            checked_components(a, min(n, len(mean)))
+            values, vectors = principal(passes, a)
         vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(a)])
-        return LatentModel(mean=m.mean, scale=np.ones(p), rotations=vectors, loadings=vectors, variances=values, n_samples=m.n, inputCol=self.value("inputCol"), outputCol=_scores_col(self))
+        return LatentModel(mean=mean, scale=np.ones(len(mean)), rotations=vectors, loadings=vectors, variances=values / max(n - 1, 1), n_samples=n, inputCol=column, outputCol=_scores_col(self))
 
 
 class PLSRegression(SpectralEstimator):
-    """Partial least squares on one or more target columns, from cross products (kernel algorithm); score variances are population variances."""
+    """Partial least squares on one or more target columns (kernel algorithm); score variances are population variances."""
 
     params_ = {"n_components": 2, "scale": True, "targets": ["y"]}
 
     def _fit(self, df: DataFrame) -> LatentModel:
-        targets = tuple(self.value("targets"))
-        m, a = moments(df, self.value("inputCol"), targets), int(self.value("n_components"))
-        q = len(targets)
-        p = len(m.mean) - q
-        f = pls(m, q, a, bool(self.value("scale")))
+        targets, column, a = tuple(self.value("targets")), self.value("inputCol"), int(self.value("n_components"))
+        scale, p = bool(self.value("scale")), length_of(df, column)
+        if p + len(targets) <= GRAM_FEATURES:
+            m = moments(df, column, targets)
+            n, mean, f = m.n, m.mean, pls(m, len(targets), a, scale)
+        else:
+            passes = Passes(df, column, targets)
+            n, mean, f = passes.outline.n, passes.outline.mean, pls_by_passes(passes, a, scale)
         coefficients = f["rotations"] @ f["inner"].T * f["spread"][p:] / f["spread"][:p, None]
         return LatentModel(
-            mean=m.mean[:p], scale=f["spread"][:p], rotations=f["rotations"], loadings=f["loadings"], variances=f["size"] / m.n, n_samples=m.n,
-            coefficients=coefficients, target_mean=m.mean[p:], inputCol=self.value("inputCol"), outputCol=_scores_col(self),
+            mean=mean[:p], scale=f["spread"][:p], rotations=f["rotations"], loadings=f["loadings"], variances=f["size"] / n, n_samples=n,
+            coefficients=coefficients, target_mean=mean[p:], inputCol=column, outputCol=_scores_col(self),
         )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from prismark.functions import linear
 from prismark.functions.order_statistics import exact_quantiles
 from prismark.operators.base import FittedTransformer, SpectralEstimator, by_batch
-from prismark.operators.latent import LatentModel, moments
+from prismark.operators.latent import LatentModel, Passes
 
 
 def split_model(model: LatentModel | PipelineModel) -> tuple[list, LatentModel]:
@@ -165,8 +165,8 @@ class QResiduals(_Detector):
         if method not in ("chi-square", "jackson-mudholkar"):
             raise ValueError("method must be percentile, chi-square or jackson-mudholkar")
         left = df.select(residual_spectra(F.col(model.value("inputCol")), model.latent).alias("r"))
-        m = moments(left, "r")
-        trace = float(np.trace(m.products)) / (m.n - 1)
+        o = Passes(left, "r").outline
+        trace = float(o.squares.sum()) / (o.n - 1)
         if method == "chi-square":
             return trace * linear.chi2_two_quantile(c)
         return trace * (7 / 9 + math.sqrt(2 * linear.normal_quantile(c)) / 3) ** 3

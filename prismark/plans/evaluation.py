@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from prismark.functions.order_statistics import exact_quantiles, whole_cuts
-from prismark.functions.selection import smallest, written as _written
+from prismark.functions.selection import smallest
 from prismark.operators.base import by_batch
-from prismark.operators.latent import moments, moments_by, pls_path, sum_of
+from prismark.operators.latent import moments, moments_by, pls_path
+from prismark.sources.scratch import written
 
 
 def draw_key(seed: int, id_col: str) -> Column:
@@ -51,7 +52,7 @@ def split(df: DataFrame, test_share: float, seed: int = 42, id_col: str = "id",
         raise ValueError("test_share must lie between 0 and 1")
     rows = df.withColumn("_key", draw_key(seed, id_col)).withColumn("_class", F.lit(0) if stratify is None else F.col(stratify))
     counts = rows.groupBy(F.col("_class").alias("_c")).agg(F.count("*").alias("n"))
-    counts = counts if stratify is None else _written(counts, "classes")
+    counts = counts if stratify is None else written(counts, "classes")
     n, classes, least = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.min("n")).first()
     total = math.ceil(Fraction(repr(test_share)) * n)
     if stratify is not None and n:
@@ -73,7 +74,7 @@ def label_codes(df: DataFrame, label: str, output: str = "code") -> DataFrame:
     join, and Spark sends them to all tasks only if they are small.
     """
     names = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_name")).distinct().orderBy("_name")
-    names = _written(names.withColumn("_place", F.monotonically_increasing_id()), "labels")
+    names = written(names.withColumn("_place", F.monotonically_increasing_id()), "labels")
     part = F.shiftright("_place", 33)
     ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
     ahead = names.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
@@ -127,8 +128,8 @@ def cross_validated_error(df: DataFrame, stages: list, components: list[int], ta
         ready = numbered
         for s in stages:
             ready = s.transform(ready)
-        parts = moments_by(ready, "x", (target,), "_fold")
-        models = {k: pls_path(sum_of([m for f, m in parts.items() if f != k]), 1, most, scale) for k in parts if len(parts) > 1}
+        parts = moments_by(ready, "x", (target,), "_fold", folds)
+        models = {k: pls_path(parts.but({k}), 1, most, scale) for k in parts.keys if len(parts.keys) > 1}
         judge(ready, models)
     else:
         for k in range(folds):

@@ -117,3 +117,32 @@ def deflated(count: int, by: str = "") -> str:
             f"x{k + 1} as materialized (select {key}, pos, v - t * p as v from x{k} join t{k} using ({key}) join p{k} using ({by}pos))",
         ]
     return ", ".join(parts)
+
+
+def deflated_many(count: int, squarings: int = 13) -> str:
+    """CTEs up to t{count}, q{count}: from x0(id, pos, v) and y0(id, j, y), several targets j, both centred, the scores and the inner coefficients of `count` components.
+
+    A component's weights go by the first eigenvector of the targets' products through the features, a small matrix squared again and again.
+    """
+    parts = []
+    for k in range(count):
+        parts += [
+            f"g{k} as materialized (select pos, j, sum(v * y) as w from x{k} join y0 using (id) group by pos, j)",
+            f"r{k}_0 as materialized (select a.j as i, b.j as j, sum(a.w * b.w) as c from g{k} a join g{k} b using (pos) group by 1, 2)",
+            f"m{k}_0 as materialized (select i, j, c / (select sum(c) from r{k}_0 where i = j) as c from r{k}_0)",
+        ]
+        for t in range(1, squarings + 1):
+            parts.append(f"r{k}_{t} as materialized (select a.i, b.j, sum(a.c * b.c) as c from m{k}_{t - 1} a join m{k}_{t - 1} b on a.j = b.i group by 1, 2)")
+            parts.append(f"m{k}_{t} as materialized (select i, j, c / (select sum(c) from r{k}_{t} where i = j) as c from r{k}_{t})")
+        last = f"m{k}_{squarings}"
+        parts += [
+            f"e{k} as materialized (select i as j, c from {last} where j = (select arg_max(j, c) from {last} where i = j))",
+            f"u{k} as materialized (select pos, sum(w * c) as w from g{k} join e{k} using (j) group by pos)",
+            f"w{k} as materialized (select pos, w / sqrt(sum(w * w) over ()) as w from u{k})",
+            f"t{k} as materialized (select id, sum(v * w) as t from x{k} join w{k} using (pos) group by id)",
+            f"n{k} as materialized (select sum(t * t) as tt from t{k})",
+            f"q{k} as materialized (select j, sum(t * y) / any_value(tt) as q from t{k} join y0 using (id), n{k} group by j)",
+            f"p{k} as materialized (select pos, sum(v * t) / any_value(tt) as p from x{k} join t{k} using (id), n{k} group by pos)",
+            f"x{k + 1} as materialized (select id, pos, v - t * p as v from x{k} join t{k} using (id) join p{k} using (pos))",
+        ]
+    return ", ".join(parts)

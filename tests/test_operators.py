@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
@@ -393,3 +394,79 @@ def test_many_labels_are_numbered_in_order(spark):
     got = {(r.label, r.code) for r in evaluation.label_codes(df, "label").collect()}
     assert got == {(n, i) for i, n in enumerate(sorted(set(names)))} | {(None, None)}
     assert evaluation.label_codes(df.limit(0), "label").count() == 0
+
+
+def _wide(spark, rows, p, seed=3):
+    """Spectra of a few strong directions and noise, made in tasks."""
+
+    def make(batches):
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                rng = np.random.default_rng(seed * 10**6 + i)
+                s = rng.normal(size=4) * [9, 5, 3, 2]
+                at = np.arange(p) / p
+                out.append(3 + sum(s[k] * np.cos(np.pi * (k + 1) * at) for k in range(4)) + 0.05 * rng.normal(size=p))
+            y = [float(x[: p // 2].mean() + 0.3 * x[-1]) for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64())), pa.array(y), pa.array([float(v > 3) for v in y])], ["id", "x", "y", "z"])
+
+    return spark.range(rows, numPartitions=5).mapInArrow(make, "id long, x array<double>, y double, z double")
+
+
+def test_passes_give_what_products_give(spark, monkeypatch):
+    df = _wide(spark, 80, 40)
+    for fit in (latent.PCA(3), latent.PCA(40), latent.PLSRegression(3), latent.PLSRegression(4, False, ["y", "z"])):
+        monkeypatch.setattr(latent, "GRAM_FEATURES", 2048)
+        one = fit.fit(df)
+        monkeypatch.setattr(latent, "GRAM_FEATURES", 0)
+        other = fit.fit(df)
+        for k in ("mean", "scale", "variances"):
+            np.testing.assert_allclose(other.value(k), one.value(k), rtol=1e-8, atol=1e-10)
+        np.testing.assert_allclose(np.abs(other.matrix("rotations")[:, :3]), np.abs(one.matrix("rotations")[:, :3]), atol=1e-7)
+        if one.value("coefficients") is not None:
+            np.testing.assert_allclose(other.matrix("coefficients"), one.matrix("coefficients"), rtol=1e-6, atol=1e-9)
+    assert other.matrix("coefficients").shape == (40, 2)
+
+
+def test_twenty_thousand_features(spark):
+    """No matrix of features squared: that would take 3.2 GB."""
+    import resource
+
+    df = _wide(spark, 60, 20_000).cache()
+    df.count()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pca = latent.PCA(4).fit(df)
+    pls = latent.PLSRegression(2, targets=["y", "z"]).fit(df)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+    x = np.array([r.x for r in df.orderBy("id").collect()])
+    c = x - x.mean(axis=0)
+    u, s, v = np.linalg.svd(c, full_matrices=False)
+    np.testing.assert_allclose(pca.value("variances"), s[:4] ** 2 / 59, rtol=1e-10)
+    spe = outliers.QResiduals(pca, method="chi-square").fit(df).transform(df).orderBy("id").collect()
+    np.testing.assert_allclose([r.residual for r in spe], ((c - u[:, :4] * s[:4] @ v[:4]) ** 2).sum(axis=1), rtol=1e-6)
+    p = [r.p for r in df.orderBy("id").select(F.get(pls.prediction(F.col("x")), 0).alias("p")).collect()]
+    assert np.corrcoef(p, [r.y for r in df.orderBy("id").collect()])[0, 1] > 0.9
+    df.unpersist()
+
+
+def test_moments_meet_up_a_tree(spark, monkeypatch):
+    """Sums are arrays, pooled a few at a time: what each level takes in is what its parts hold, and many splits give the same."""
+    from prismark.functions import trees
+
+    df = _wide(spark, 90, 12).withColumn("g", F.col("id") % 3)
+    monkeypatch.setattr(trees, "levels", lambda d: 2)
+    monkeypatch.setattr(latent, "levels", lambda d: 2)
+    monkeypatch.setattr(latent, "BLOCK", 30)
+    many = latent.moments_by(df.repartition(40), "x", ("y",), "g", 3)
+    monkeypatch.setattr(latent, "HELD_BYTES", 0)
+    other = latent.moments_by(df.coalesce(1), "x", ("y",), "g", 3)
+    rows = df.collect()
+    assert many.keys == other.keys == [0, 1, 2]
+    for k in range(3):
+        z = np.array([[*r.x, r.y] for r in rows if r.g == k])
+        for m in (many[k], other[k]):
+            assert m.n == 30
+            np.testing.assert_allclose(m.mean, z.mean(axis=0))
+            np.testing.assert_allclose(m.products, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-9)
+    z = np.array([[*r.x, r.y] for r in rows if r.g != 1])
+    np.testing.assert_allclose(other.but({1}).products, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-9)
