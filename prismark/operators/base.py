@@ -60,6 +60,10 @@ class SpectralTransformer(_WithParams, Transformer):
     def column(self, x: Column) -> Column:
         raise NotImplementedError
 
+    def kernel(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """The same for the rows of a matrix, where each result is a fixed weighted sum of the row's values, and perhaps a constant; else None."""
+        return None
+
     def feature_names_out(self, names: list[str]) -> list[str]:
         """What the features are called that come of features with these names."""
         return list(names)

@@ -19,16 +19,29 @@ class ConstantBaselineCorrection(SpectralTransformer):
 
     params_ = {"start": 0, "end": 1, "wavenumbers": None}
 
-    def column(self, x: Column) -> Column:
+    def bounds(self) -> tuple[int, int]:
         start, end, axis = self.value("start"), self.value("end"), self.value("wavenumbers")
-        start, end = (nearest_index(axis, start), nearest_index(axis, end)) if axis else (int(start), int(end))
+        return (nearest_index(axis, start), nearest_index(axis, end)) if axis else (int(start), int(end))
+
+    def kernel(self):
+        return functools.partial(_less_level, bounds=self.bounds())
+
+    def column(self, x: Column) -> Column:
+        start, end = self.bounds()
         part = F.slice(x, start + 1, end - start + 1)
         return let(F.struct(x.alias("x"), mean(part).alias("m")), lambda s: F.transform(s["x"], lambda v: v - s["m"]))
 
 
+def _less_level(x: np.ndarray, bounds: tuple[int, int]) -> np.ndarray:
+    return x - x[:, bounds[0] : bounds[1] + 1].mean(axis=1, keepdims=True)
+
+
 class LinearCorrection(SpectralTransformer):
     """x less the line through its first and last point."""
 
+    def kernel(self):
+        return _less_line
+
     def column(self, x: Column) -> Column:
         def line(s: Column) -> Column:
             first, last, n = F.get(s["x"], 0), F.element_at(s["x"], -1), F.size(s["x"])
@@ -38,6 +51,11 @@ class LinearCorrection(SpectralTransformer):
         return F.when(F.size(x) > 0, let(F.struct(x.alias("x")), line)).otherwise(x)
 
 
+def _less_line(x: np.ndarray) -> np.ndarray:
+    n = x.shape[1]
+    return x - (x[:, :1] + (x[:, -1:] - x[:, :1]) * (np.arange(n) / max(n - 1, 1)))
+
+
 class NonNegative(SpectralTransformer):
     """Negative values become zero (`zero`) or positive (`abs`)."""
 
@@ -55,6 +73,10 @@ class SubtractReference(SpectralTransformer):
 
     params_ = {"reference": None}
 
+    def kernel(self):
+        r = self.value("reference")
+        return functools.partial(_less, reference=0.0 if r is None else np.ravel(np.array(r, float)))
+
     def column(self, x: Column) -> Column:
         r = self.value("reference")
         if r is None:
@@ -63,13 +85,20 @@ class SubtractReference(SpectralTransformer):
         return F.zip_with(x, F.lit(r).cast("array<double>"), lambda a, b: a - b)
 
 
+def _less(x: np.ndarray, reference: np.ndarray | float) -> np.ndarray:
+    return x - reference
+
+
 class PolynomialCorrection(SpectralTransformer):
     """x less the least-squares polynomial through x[indices] (all places without them)."""
 
     params_ = {"order": 1, "indices": None}
 
+    def kernel(self):
+        return functools.partial(_less_polynomial, order=int(self.value("order")), indices=tuple(self.value("indices") or ()))
+
     def column(self, x: Column) -> Column:
-        return by_batch(functools.partial(_less_polynomial, order=int(self.value("order")), indices=tuple(self.value("indices") or ())), x)
+        return by_batch(self.kernel(), x)
 
 
 def _less_polynomial(x: np.ndarray, order: int, indices: tuple[int, ...]) -> np.ndarray:
@@ -81,8 +110,11 @@ class CubicSplineCorrection(SpectralTransformer):
 
     params_ = {"indices": None}
 
+    def kernel(self):
+        return functools.partial(_less_spline, indices=tuple(self.value("indices") or ()))
+
     def column(self, x: Column) -> Column:
-        return by_batch(functools.partial(_less_spline, indices=tuple(self.value("indices") or ())), x)
+        return by_batch(self.kernel(), x)
 
 
 def _less_spline(x: np.ndarray, indices: tuple[int, ...]) -> np.ndarray:

@@ -17,9 +17,12 @@ class SavitzkyGolay(SpectralTransformer):
 
     params_ = {"window_size": 3, "polynomial_order": 1, "derivate_order": 1, "mode": "nearest"}
 
-    def column(self, x: Column) -> Column:
+    def kernel(self):
         mode = _known(self.value("mode"), "interp")
-        return by_batch(functools.partial(linear.savgol, window=int(self.value("window_size")), order=int(self.value("polynomial_order")), deriv=int(self.value("derivate_order")), mode=mode), x)
+        return functools.partial(linear.savgol, window=int(self.value("window_size")), order=int(self.value("polynomial_order")), deriv=int(self.value("derivate_order")), mode=mode)
+
+    def column(self, x: Column) -> Column:
+        return by_batch(self.kernel(), x)
 
 
 class NorrisWilliams(SpectralTransformer):
@@ -27,11 +30,14 @@ class NorrisWilliams(SpectralTransformer):
 
     params_ = {"window_size": 5, "gap_size": 3, "derivative_order": 1, "mode": "nearest"}
 
-    def column(self, x: Column) -> Column:
+    def kernel(self):
         order = self.value("derivative_order")
         if order not in (1, 2):
             raise ValueError("derivative_order must be 1 or 2")
-        return by_batch(functools.partial(_gap, window=int(self.value("window_size")), gap=int(self.value("gap_size")), order=order, mode=_known(self.value("mode"))), x)
+        return functools.partial(_gap, window=int(self.value("window_size")), gap=int(self.value("gap_size")), order=order, mode=_known(self.value("mode")))
+
+    def column(self, x: Column) -> Column:
+        return by_batch(self.kernel(), x)
 
 
 def _gap(x: np.ndarray, window: int, gap: int, order: int, mode: str) -> np.ndarray:

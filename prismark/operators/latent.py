@@ -336,6 +336,13 @@ class StandardScalerModel(FittedTransformer):
         mean, scale = (F.lit(self.value(k)).cast("array<double>") for k in ("mean", "scale"))
         return F.zip_with(F.zip_with(x, mean, lambda v, m: v - m), scale, lambda v, s: v / s)
 
+    def kernel(self):
+        return functools.partial(_standardised, mean=np.array(self.value("mean"), float), scale=np.array(self.value("scale"), float))
+
+
+def _standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return (x - mean) / scale
+
 
 class LatentModel(FittedTransformer):
     """Scores of spectra: (x - mean) / scale @ rotations; outputCol is scores unless set otherwise."""
@@ -349,8 +356,11 @@ class LatentModel(FittedTransformer):
     def matrix(self, name: str) -> np.ndarray:
         return np.array(self.value(name), float)
 
+    def kernel(self):
+        return functools.partial(_scores, mean=self.matrix("mean"), scale=self.matrix("scale"), rotations=self.matrix("rotations"))
+
     def column(self, x: Column) -> Column:
-        return by_batch(functools.partial(_scores, mean=self.matrix("mean"), scale=self.matrix("scale"), rotations=self.matrix("rotations")), x)
+        return by_batch(self.kernel(), x)
 
     def feature_names_out(self, names: list[str]) -> list[str]:
         return [f"component{i}" for i in range(self.n_components)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +33,13 @@ class IndexSelector(SpectralTransformer):
         real = F.array_sort(F.array_distinct(F.array(*[F.lit(i) if i >= 0 else F.size(x) + i for i in at]).cast("array<int>")))
         return F.transform(real, lambda i: F.element_at(x, i + 1))
 
+    def kernel(self):
+        return functools.partial(_kept, stage=self.copy())
+
     def selected_wavenumbers(self) -> list[float] | None:
         axis, at = self.value("wavenumbers"), self.places()
         return axis if axis is None or at is None else [axis[i] for i in at]
 
-
     def feature_names_out(self, names: list[str]) -> list[str]:
         return [n for n, kept in zip(names, support(len(names), self), strict=True) if kept]
 
@@ -53,6 +58,9 @@ class RangeCut(SpectralTransformer):
         start, end = (F.least(n, F.lit(b)) if b >= 0 else F.greatest(F.lit(0), n + b) for b in self.bounds())
         return F.slice(x, start + 1, F.greatest(F.lit(0), end - start))
 
+    def kernel(self):
+        return functools.partial(_kept, stage=self.copy())
+
     def selected_wavenumbers(self) -> list[float] | None:
         axis = self.value("wavenumbers")
         return axis and axis[slice(*self.bounds())]
@@ -71,6 +79,10 @@ def support(n: int, stage: IndexSelector | RangeCut) -> list[bool]:
     return [i in kept for i in range(n)]
 
 
+def _kept(x: np.ndarray, stage: IndexSelector | RangeCut) -> np.ndarray:
+    return x[:, np.flatnonzero(support(x.shape[1], stage))]
+
+
 def restored(x: Column, mask: list[bool]) -> Column:
     """The selected features at their old places and zeros elsewhere."""
     at, k = [], 0

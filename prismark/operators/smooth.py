@@ -18,10 +18,13 @@ class MeanFilter(SpectralTransformer):
 
     params_ = {"window_size": 3, "mode": "nearest"}
 
-    def column(self, x: Column) -> Column:
+    def kernel(self):
         w = int(self.value("window_size"))
         weights = np.full(w, 1.0 / w)
-        return by_batch(functools.partial(linear.correlate, weights=weights, left=w // 2, mode=_known(self.value("mode"))), x)
+        return functools.partial(linear.correlate, weights=weights, left=w // 2, mode=_known(self.value("mode")))
+
+    def column(self, x: Column) -> Column:
+        return by_batch(self.kernel(), x)
 
 
 class MedianFilter(SpectralTransformer):
@@ -39,9 +42,12 @@ class SavitzkyGolayFilter(SpectralTransformer):
 
     params_ = {"window_size": 3, "polynomial_order": 1, "mode": "nearest"}
 
-    def column(self, x: Column) -> Column:
+    def kernel(self):
         mode = _known(self.value("mode"), "interp")
-        return by_batch(functools.partial(linear.savgol, window=int(self.value("window_size")), order=int(self.value("polynomial_order")), deriv=0, mode=mode), x)
+        return functools.partial(linear.savgol, window=int(self.value("window_size")), order=int(self.value("polynomial_order")), deriv=0, mode=mode)
+
+    def column(self, x: Column) -> Column:
+        return by_batch(self.kernel(), x)
 
 
 class WhittakerSmooth(SpectralTransformer):
@@ -49,8 +55,11 @@ class WhittakerSmooth(SpectralTransformer):
 
     params_ = {"lam": 1e2, "differences": 1}
 
+    def kernel(self):
+        return functools.partial(linear.whittaker, lam=float(self.value("lam")), order=int(self.value("differences")))
+
     def column(self, x: Column) -> Column:
-        return by_batch(functools.partial(linear.whittaker, lam=float(self.value("lam")), order=int(self.value("differences"))), x)
+        return by_batch(self.kernel(), x)
 
 
 def _known(mode: str, *more: str) -> str:

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from prismark.functions import linear
-from prismark.operators import augment, baseline, derivative, latent, outliers, scale, scatter, select, smooth
+from prismark.functions import linear, sql_functions
+from prismark.operators import augment, baseline, derivative, latent, linear_maps, outliers, scale, scatter, select, smooth
 from prismark.operators.base import SpectralEstimator, SpectralTransformer, feature_names_out
-from prismark.plans import evaluation, iterated_sql
+from prismark.plans import evaluation, grid, iterated_sql
 from prismark.sources import datasets, frames
 from prismark.sources.scratch import new_folder
 
@@ -449,6 +449,34 @@ select id, round(level + spread * ({PLS4}), 6) + 0.0 as prediction from y0 {" ".
 )
 add("pls_one_component", pls_one_component, _pls1_sql())
 
+CLASSES = 3
+
+
+def pls_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discriminant analysis: an indicator of each of three classes as targets of one model; predictions and the class with the largest one."""
+    df = spectra(spark, sf_dir)
+    names = [f"is{k}" for k in range(CLASSES)]
+    df = df.withColumns({c: (F.col("y") % CLASSES == k).cast("double") for k, c in enumerate(names)})
+    model = latent.PLSRegression(3, scale=False, targets=names).fit(df)
+    found = df.withColumn("p", model.prediction(F.col("x"))).select("id", *[rounded(F.get("p", k)).alias(c) for k, c in enumerate(names)])
+    best = F.greatest(*names)
+    return found.withColumn("class", F.coalesce(*[F.when(F.col(c) == best, F.lit(k)) for k, c in enumerate(names)]).cast("long"))
+
+
+def _pls_classes_sql() -> str:
+    said = ", ".join(f"round(any_value(level{k}) + sum(t * q) filter (j = {k}), 6) + 0.0 as is{k}" for k in range(CLASSES))
+    levels = ", ".join(f"avg((label % {CLASSES} = {k})::int) as level{k}" for k in range(CLASSES))
+    terms = " union all ".join(f"select id, j, t, q from t{k}, q{k}" for k in range(3))
+    best = " ".join(f"when is{k} = greatest({', '.join(f'is{i}' for i in range(CLASSES))}) then {k}" for k in range(CLASSES))
+    return f"""{E_CTE}, x0 as materialized (select id, pos, v - avg(v) over (partition by pos) as v from e),
+y0 as materialized (select vec_id as id, j, (label % {CLASSES} = j)::int - avg((label % {CLASSES} = j)::int) over (partition by j) as y from embeddings, (select unnest(range({CLASSES})) as j)),
+l as (select {levels} from embeddings), {iterated_sql.deflated_many(3)},
+f as (select id, {said} from ({terms}), l group by id)
+select *, (case {best} end)::bigint as class from f"""
+
+
+add("pls_classes", pls_classes, _pls_classes_sql())
+
 # --- workflows -----------------------------------------------------------------------------------------------------
 
 
@@ -541,6 +569,67 @@ select components, round(error, 6) as error, error = min(error) over () as best
 add("cross_validation", cross_validation, _cross_validation_sql())
 
 
+def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derivative, a cut, centring and scores as one map: how far out each spectrum lies within the model, and along its first direction."""
+    df = spectra(spark, sf_dir)
+    fitted = screening_pipeline().fit(df)
+    for s in linear_maps.fused(fitted, N):
+        df = s.transform(df)
+    squares = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v * v)
+    return df.select("id", rounded(squares).alias("inside"), rounded(F.abs(F.get("scores", 0))).alias("first"))
+
+
+def sql_functions_snv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard normal variates by a function of SQL."""
+    sql_functions.register(spark)
+    spectra(spark, sf_dir).createOrReplaceTempView("prismark_spectra")
+    return long(spark.sql("select id, snv(x) as x from prismark_spectra"))
+
+
+def wide_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut of a wide Parquet table: only its columns are read."""
+    names, folder = [f"w{i}" for i in range(N)], new_folder(spark, "wide")
+    frames.to_wide(spectra(spark, sf_dir).drop("y"), names).write.parquet(folder)
+    return long(frames.transformed_wide(spark.read.parquet(folder), names, [select.RangeCut(10, 22), scale.MinMaxScaler()]))
+
+
+add("sql_function_snv", sql_functions_snv, ORACLE_SQL["snv"])
+add("wide_selection", wide_selection, f"{E_CTE}, c as (select id, pos - 10 as pos, v from e where pos >= 10 and pos < 22) select id, pos::bigint as pos, {V.format(f'(v - min(v) {W}) / (max(v) {W} - min(v) {W})')} from c")
+WINDOWS, FEW, PARTS = [5, 9, 13], 4, 5
+
+
+def grid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a derivative by numbers of components, and which point is best."""
+    stages = {"snv": scatter.StandardNormalVariate(), "slope": derivative.SavitzkyGolay(5, 2, 1), "pls": latent.PLSRegression(2, scale=False)}
+    found = grid.grid_search(spectra(spark, sf_dir), stages, {"slope__window_size": WINDOWS, "pls__n_components": list(range(1, FEW + 1))}, folds=PARTS)
+    rows = [(p["slope__window_size"], p["pls__n_components"], round(e, 6), p == found.best) for p, e in found.errors]
+    return spark.createDataFrame(rows, "width long, components long, error double, best boolean")
+
+
+def _grid_sql() -> str:
+    # The slope of a least-squares parabola over a window: places over their sum of squares.
+    stencils = ", ".join(f"({w}, {o}, {o / sum(i * i for i in range(-(w // 2), w // 2 + 1))!r})" for w in WINDOWS for o in range(-(w // 2), w // 2 + 1))
+    cuts = ", ".join(f"quantile_cont(vec_id, {k / PARTS!r}) as c{k}" for k in range(1, PARTS))
+    fold = " + ".join(f"(vec_id > c{k})::int" for k in range(1, PARTS))
+    errors = " union all ".join(
+        f"select leaf::bigint as width, {a}::bigint as components, avg(e) as error from (select y0.leaf, y0.fold, avg(abs(y - ({' + '.join(f't{k}.t * n{k}.q' for k in range(a))}))) as e from y0 "
+        + " ".join(f"join t{k} on t{k}.leaf = y0.leaf and t{k}.fold = y0.fold and t{k}.id = y0.id join n{k} on n{k}.leaf = y0.leaf and n{k}.fold = y0.fold" for k in range(a))
+        + " where not train group by y0.leaf, y0.fold) group by leaf"
+        for a in range(1, FEW + 1)
+    )
+    return f"""{E_CTE}, z as materialized (select id, pos, (v - avg(v) over (partition by id)) / stddev_pop(v) over (partition by id) as v from e), k(leaf, o, c) as (values {stencils}),
+d as materialized (select leaf, a.id, a.pos, sum(b.v * c) as v from z a cross join k join z b on b.id = a.id and b.pos = greatest(0, least({N - 1}, a.pos + o)) group by leaf, a.id, a.pos),
+cuts as (select {cuts} from embeddings), f as (select vec_id as id, label, {fold} as own from embeddings, cuts),
+y1 as (select leaf, fold, id, label, own != fold as train from f, (select unnest(range({PARTS})) as fold), (select distinct leaf from k)),
+y0 as materialized (select leaf, fold, id, label - avg(label) filter (train) over (partition by leaf, fold) as y, train from y1),
+x0 as materialized (select leaf, fold, id, pos, v - avg(v) filter (train) over (partition by leaf, fold, pos) as v from d join y1 using (leaf, id)),
+{iterated_sql.deflated(FEW, "leaf, fold, ")}, errors as ({errors})
+select width, components, round(error, 6) as error, error = min(error) over () as best from errors"""
+
+
+add("grid_search", grid_windows, _grid_sql())
+
+
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each click of a user with the value of the user's last purchase."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -664,13 +753,14 @@ def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SG = "k(o, c) as (values (-3, -3), (-2, -2), (-1, -1), (0, 0), (1, 1), (2, 2), (3, 3))"
+SCREENED = f"""{E_CTE}, z as (select id, pos, (v - avg(v) over (partition by id)) / stddev_pop(v) over (partition by id) as v from e), {_SG},
+d as (select a.id, a.pos - 3 as pos, sum(b.v * c / 28.0) as v from z a cross join k join z b on b.id = a.id and b.pos = a.pos + o where a.pos between 3 and {N - 4} group by a.id, a.pos),
+x as materialized (select id, pos, v - avg(v) over (partition by pos) as v from d), {iterated_sql.components("x", N - 6, 4)}, {SCORES}"""
 add(
     "outlier_screening",
     screening,
-    f"""{E_CTE}, z as (select id, pos, (v - avg(v) over (partition by id)) / stddev_pop(v) over (partition by id) as v from e), {_SG},
-d as (select a.id, a.pos - 3 as pos, sum(b.v * c / 28.0) as v from z a cross join k join z b on b.id = a.id and b.pos = a.pos + o where a.pos between 3 and {N - 4} group by a.id, a.pos),
-x as materialized (select id, pos, v - avg(v) over (partition by pos) as v from d), {iterated_sql.components("x", N - 6, 4)}, {SCORES},
-whole as (select id, sum(v * v) as s from x group by id), q as (select id, any_value(s) - sum(t * t) as q from t join whole using (id) group by id),
+    f"""{SCREENED}, whole as (select id, sum(v * v) as s from x group by id), q as (select id, any_value(s) - sum(t * t) as q from t join whole using (id) group by id),
 lim as (select quantile_cont(q, 0.95) as c from q)
 select id, {V.format("q")}, (case when q > c then -1 else 1 end)::bigint as outlier from q, lim""",
 )
+add("fused_scores", fused_scores, f"{SCREENED} select id, round(sum(t * t), 6) + 0.0 as inside, round(max(abs(t)) filter (k = 0), 6) + 0.0 as first from t group by id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismark.operators.select import IndexSelector, RangeCut
+
 
 def checked(x: Column, n: int | None = None) -> Column:
     """x, or an error when Spark meets a null array, a value that is null or not finite, or another length than n."""
@@ -20,6 +22,21 @@ def from_wide(df: DataFrame, columns: list[str], id_col: str = "id", name: str =
     return df.select(*rest, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias(name))
 
 
+def transformed_wide(df: DataFrame, columns: list[str], stages: list, name: str = "x") -> DataFrame:
+    """The stages over spectra that are `columns` of a wide table, as one array.
+
+    Selectors in front choose among the columns before there is an array, so a scan reads only the chosen ones.
+    """
+    stages = list(stages)
+    rest = [c for c in df.columns if c not in set(columns)]
+    while stages and isinstance(stages[0], IndexSelector | RangeCut):
+        columns = stages.pop(0).feature_names_out(columns)
+    out = from_wide(df.select(*rest, *[F.col(f"`{c}`") for c in columns]), columns, name=name)
+    for stage in stages:
+        out = stage.transform(out)
+    return out
+
+
 def to_wide(df: DataFrame, names: list[str], name: str = "x") -> DataFrame:
     """One column per feature."""
     rest = [c for c in df.columns if c != name]
