@@ -116,6 +116,14 @@ b as (select id, pos, sum(a * c) as b from ek join p using (k) group by id, pos)
 
 stage("emsc", scatter.ExtendedMultiplicativeScatterCorrection(), _emsc2_sql())
 
+# Weights multiply both sides: a regression with their squares as weights.
+WEIGHTS = [round(0.5 + (i * 7 % N) / N, 6) for i in range(N)]
+WEIGHTED = f"""w(pos, q) as (values {", ".join(f"({i}, {w * w!r})" for i, w in enumerate(WEIGHTS))}), r as (select pos, avg(v) as r from e group by pos),
+a as (select id, sum(q * v) / sum(q) as mv, sum(q * r) / sum(q) as mr from e join r using (pos) join w using (pos) group by id),
+f as (select id, sum(q * (v - mv) * (r - mr)) / sum(q * (r - mr) * (r - mr)) as m, any_value(mv) as mv, any_value(mr) as mr from e join r using (pos) join w using (pos) join a using (id) group by id)"""
+stage("msc_weighted", scatter.MultiplicativeScatterCorrection(weights=WEIGHTS), each("(v - (mv - m * mr)) / m", WEIGHTED, source="e join f using (id)"))
+stage("emsc_weighted", scatter.ExtendedMultiplicativeScatterCorrection(order=0, weights=WEIGHTS), each("(v - (mv - m * mr)) / m", WEIGHTED, source="e join f using (id)"))
+
 # --- baselines -----------------------------------------------------------------------------------------------------
 stage("constant_baseline", baseline.ConstantBaselineCorrection(7, 12), each("v - m", "m as (select id, avg(v) as m from e where pos between 7 and 12 group by id)", source="e join m using (id)"))
 ENDS = "g as (select id, max(pos) as n, arg_min(v, pos) as a, arg_max(v, pos) as b from e group by id)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismark.sources.frames import from_wide
@@ -49,6 +49,27 @@ def read_spectra(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return from_wide(numbered(wide), names), names
 
 
+def _numbers(text: Column) -> Column:
+    parts = F.filter(F.split(text, r"[,;\s]+"), lambda v: v != "")
+    return F.transform(parts, lambda v: v.cast("double"))
+
+
+def read_spectrum_files(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = 1000) -> DataFrame:
+    """(name, x) of text files that hold one spectrum each, one value a line or all in lines of commas; name is the file's. A file without
+    values is an empty spectrum, a value that is no number an error. As a stream, files are read as they come.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+    rows = reader.text(path, wholetext=True)
+    return rows.select(F.element_at(F.split(rows.metadataColumn("_metadata")["file_path"], "/"), -1).alias("name"), _numbers(F.col("value")).alias("x"))
+
+
+def stream_spectra(spark: SparkSession, path: str, names: list[str], ts: str = "ts", files_per_trigger: int = 1) -> DataFrame:
+    """(ts, x) of CSV files as they come, each with a header of a time and of axis positions `names`: spectra of a running process."""
+    schema = ", ".join([f"`{ts}` timestamp", *(f"`{n}` double" for n in names)])
+    rows = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path)
+    return from_wide(rows, names)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return numbered(spark.read.csv(path, header=True, schema=schema))
 

@@ -470,3 +470,32 @@ def test_moments_meet_up_a_tree(spark, monkeypatch):
             np.testing.assert_allclose(m.products, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-9)
     z = np.array([[*r.x, r.y] for r in rows if r.g != 1])
     np.testing.assert_allclose(other.but({1}).products, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-9)
+
+
+def test_spectrum_files_of_both_layouts(spark, tmp_path):
+    x = [round(math.sin(i) * 3, 6) for i in range(1047)]
+    folder = tmp_path / "golden"
+    folder.mkdir()
+    (folder / "lines.csv").write_text("\n".join(map(str, x)) + "\n")
+    (folder / "commas.csv").write_text(",".join(map(str, x)))
+    (folder / "spaces.txt").write_text(" ".join(map(str, x)) + "\r\n")
+    (folder / "empty.csv").write_text("\n")
+    got = {r.name: r.x for r in datasets.read_spectrum_files(spark, str(folder)).collect()}
+    assert got == {"lines.csv": x, "commas.csv": x, "spaces.txt": x, "empty.csv": []}
+    query = datasets.read_spectrum_files(spark, str(folder), stream=True, files_per_trigger=1).writeStream.format("memory").queryName("golden").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.name: r.x for r in spark.table("golden").collect()} == got
+    (folder / "bad.csv").write_text("1,x,2")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        datasets.read_spectrum_files(spark, str(folder)).collect()
+
+
+def test_a_running_process_is_read_as_it_comes(spark, tmp_path):
+    names = ["400.5", "401", "a b"]
+    for i in range(3):
+        rows = "".join(f"2024-01-01 00:0{i}:{k:02d},{i},{k},{i * k}\n" for k in range(4))
+        (tmp_path / f"{i}.csv").write_text(f"ts,{','.join(names)}\n{rows}")
+    stream = datasets.stream_spectra(spark, str(tmp_path), names)
+    stream.writeStream.format("memory").queryName("running").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.ts, r.x) for r in spark.table("running").collect())
+    assert [x for _, x in got] == [[float(i), float(k), float(i * k)] for i in range(3) for k in range(4)]
