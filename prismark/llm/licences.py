@@ -3,7 +3,8 @@
 A text is cut into pieces, which are normalised; known licence sentences are found wherever they are one piece or several in
 a row, so also wrapped over lines, in comments and across paragraphs. The sequence of the identifiers found is then matched
 against licence rules in order, each an ordered run of identifiers: what a rule has matched is taken out before the next one is
-tried. All of it is one projection over whole texts: no shuffle, no Python.
+tried. SPDX expressions and notices that name several licences count as one line for each. All of it is one projection over
+whole texts: no shuffle, no Python; texts without a word that all sentences share are passed by.
 """
 
 from __future__ import annotations
@@ -42,40 +43,80 @@ SENTENCES = {
 # Other wordings of these sentences.
 WORDINGS = {"you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-2.0-copy"}
 
-# What notices call a licence, how far it restricts use (0 least), and the endings of its SPDX identifier.
-NAMES = {
-    "Apache-2.0": (0, ("the apache license version 2 0", "apache license 2 0"), ("",)),
-    "MIT": (0, ("the mit license", "mit"), ("",)),
-    "BSD-2-Clause": (0, ("the bsd 2 clause license", "the 2 clause bsd license"), ("",)),
-    "BSD-3-Clause": (0, ("the bsd 3 clause license", "the 3 clause bsd license"), ("",)),
-    "ISC": (0, ("the isc license",), ("",)),
-    "Unlicense": (0, ("the unlicense",), ("",)),
-    "CC0-1.0": (0, ("cc0 1 0", "the cc0 1 0 universal license"), ("",)),
-    "CC-BY-4.0": (0, ("cc by 4 0", "a creative commons attribution 4 0 international license"), ("",)),
-    "MPL-2.0": (1, ("the mozilla public license version 2 0",), ("",)),
-    "LGPL-2.1": (1, ("the gnu lesser general public license version 2 1",), ("", "-only", "-or-later")),
-    "LGPL-3.0": (1, ("the gnu lesser general public license version 3",), ("", "-only", "-or-later")),
-    "GPL-2.0": (1, ("the gnu general public license version 2",), ("", "-only", "-or-later")),
-    "GPL-3.0": (1, ("the gnu general public license version 3",), ("", "-only", "-or-later")),
-    "AGPL-3.0": (1, ("the gnu affero general public license version 3",), ("", "-only", "-or-later")),
-    "CC-BY-SA-4.0": (1, ("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license"), ("",)),
-    "CC-BY-NC-4.0": (2, ("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license"), ("",)),
-    "CC-BY-NC-SA-4.0": (2, ("cc by nc sa 4 0", "a creative commons attribution noncommercial sharealike 4 0 international license"), ("",)),
-    "CC-BY-NC-ND-4.0": (2, ("cc by nc nd 4 0", "a creative commons attribution noncommercial noderivatives 4 0 international license"), ("",)),
-}
+# Licences by family: how identifiers begin, the full name, versions, how far it restricts use (0 least), and
+# the endings of SPDX identifiers. An empty version is none.
+FAMILIES = [
+    ("0BSD", "zero clause bsd license", "", 0), ("AFL", "academic free license", "1.1 1.2 2.0 2.1 3.0", 0), ("AGPL", "gnu affero general public license", "1.0 3.0", 1, ("", "-only", "-or-later")),
+    ("Apache", "apache license", "1.0 1.1 2.0", 0), ("APSL", "apple public source license", "1.0 1.1 1.2 2.0", 1), ("Artistic", "artistic license", "1.0 2.0", 0),
+    ("BSD-2-Clause", "bsd 2 clause license", "", 0), ("BSD-3-Clause", "bsd 3 clause license", "", 0), ("BSD-4-Clause", "bsd 4 clause license", "", 0), ("BSL", "boost software license", "1.0", 0),
+    ("BUSL", "business source license", "1.1", 2), ("CC0", "cc0 universal license", "1.0", 0), ("CDDL", "common development and distribution license", "1.0 1.1", 1), ("CECILL", "cecill license", "1.0 2.0 2.1", 1),
+    ("CPL", "common public license", "1.0", 1), ("ECL", "educational community license", "1.0 2.0", 0), ("Elastic", "elastic license", "2.0", 3), ("EPL", "eclipse public license", "1.0 2.0", 1),
+    ("EUPL", "european union public license", "1.0 1.1 1.2", 1), ("GFDL", "gnu free documentation license", "1.1 1.2 1.3", 1, ("", "-only", "-or-later")), ("GPL", "gnu general public license", "1.0 2.0 3.0", 1, ("", "-only", "-or-later")),
+    ("IPL", "ibm public license", "1.0", 1), ("ISC", "isc license", "", 0), ("LGPL", "gnu lesser general public license", "2.0 2.1 3.0", 1, ("", "-only", "-or-later")), ("LPPL", "latex project public license", "1.0 1.1 1.2 1.3a 1.3c", 0),
+    ("MIT", "mit license", "", 0), ("MIT-0", "mit no attribution license", "", 0), ("MPL", "mozilla public license", "1.0 1.1 2.0", 1), ("MS-PL", "microsoft public license", "", 0), ("MS-RL", "microsoft reciprocal license", "", 1),
+    ("MulanPSL", "mulan permissive software license", "1.0 2.0", 0), ("NCSA", "university of illinois ncsa open source license", "", 0), ("NPL", "netscape public license", "1.0 1.1", 1), ("ODbL", "open data commons open database license", "1.0", 1),
+    ("ODC-By", "open data commons attribution license", "1.0", 0), ("OFL", "sil open font license", "1.0 1.1", 0), ("OSL", "open software license", "1.0 1.1 2.0 2.1 3.0", 1), ("PDDL", "open data commons public domain dedication license", "1.0", 0),
+    ("PHP", "php license", "3.0 3.01", 0), ("PostgreSQL", "postgresql license", "", 0), ("PSF", "python software foundation license", "2.0", 0), ("QPL", "q public license", "1.0", 1), ("RPL", "reciprocal public license", "1.1 1.5", 1),
+    ("RPSL", "realnetworks public source license", "1.0", 1), ("SISSL", "sun industry standards source license", "", 1), ("SPL", "sun public license", "1.0", 1), ("SSPL", "server side public license", "1.0", 2), ("Unlicense", "unlicense", "", 0),
+    ("UPL", "universal permissive license", "1.0", 0), ("Vim", "vim license", "", 0), ("W3C", "w3c software notice license", "", 0), ("X11", "x11 license", "", 0), ("Zend", "zend license", "2.0", 0), ("Zlib", "zlib license", "", 0), ("ZPL", "zope public license", "1.1 2.0 2.1", 0),
+]
+# Of Creative Commons the conditions, their words and how far they restrict use; versions and what notices add to them.
+COMMONS = [("BY", "attribution", 0), ("BY-SA", "attribution sharealike", 1), ("BY-ND", "attribution noderivatives", 1), ("BY-NC", "attribution noncommercial", 2), ("BY-NC-SA", "attribution noncommercial sharealike", 2), ("BY-NC-ND", "attribution noncommercial noderivatives", 2)]
+COMMONS_VERSIONS = {"1.0": "generic", "2.0": "generic", "2.5": "generic", "3.0": "unported", "4.0": "international"}
 # How notices begin.
 NOTICES = ("licensed under", "released under", "distributed under", "this work is licensed under", "this project is licensed under", "this software is licensed under")
 
 
-def _known() -> dict[str, str]:
-    """Identifier by sentence: those above, notices, and SPDX identifiers."""
-    out = {s: name for name, s in SENTENCES.items()} | WORDINGS
-    for licence, (_, names, endings) in NAMES.items():
-        out |= {f"{begin} {name}": f"{licence.lower()}-notice" for begin in NOTICES for name in names}
-        out |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", f"{licence}{e}".lower()): f"{licence.lower()}-spdx" for e in endings}
+def _plain(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+@dataclass(frozen=True)
+class Licence:
+    """What notices call a licence (normalised), how far it restricts use, and its SPDX identifiers."""
+
+    names: tuple[str, ...]
+    restricts: int
+    identifiers: tuple[str, ...]
+
+
+def _licences() -> dict[str, Licence]:
+    """By identifier. Names by rule: with and without an article, `license` and the words `version` or `v` before a version, 2.0 also as 2; short identifiers."""
+    out = {}
+    for stem, full, versions, level, *endings in FAMILIES:
+        for v in versions.split() or [""]:
+            name = f"{stem}-{v}" if v else stem
+            said = [v, v.removesuffix(".0")] if v.endswith(".0") else [v]
+            short = full.removesuffix(" license")
+            ways = {f"{full} {by}{x}" for x in said for by in ("", "version ", "v")} | {f"{short} {by}{x}{tail}" for x in said for by in ("", "v") for tail in ("", " license")} if v else {full, short}
+            if stem.startswith("BSD-"):
+                n = stem[4]
+                ways |= {f"{n} clause bsd license", f"{n} clause bsd"}
+            if stem == "CC0":
+                ways |= {"cc0 1.0 universal", "cc0 1.0 universal license", "creative commons zero v1.0 universal"}
+            ways = {_plain(w) for w in (*ways, name)} - {"vim", "elastic", "artistic", "q", "x11", "unlicense" if v else ""}
+            out[name] = Licence(tuple(sorted({f"{a}{w}" for w in ways for a in ("", "the ")})), level, tuple(f"{name}{e}" for e in (endings[0] if endings else ("",))))
+    for conditions, words, level in COMMONS:
+        for v, more in COMMONS_VERSIONS.items():
+            name = f"CC-{conditions}-{v}"
+            ways = {_plain(w) for w in (name, f"creative commons {words} {v} {more} license", f"creative commons {words} {v} license", f"creative commons {words} {v}", f"cc {conditions} {v} license")}
+            out[name] = Licence(tuple(sorted({f"{a}{w}" for w in ways for a in ("", "the ", "a ")})), level, (name,))
     return out
 
 
+LICENCES = _licences()
+#: Identifier of a notice by the licence's name, and of sentences and SPDX lines by sentence.
+NAMED = {name: f"{k.lower()}-notice" for k, x in LICENCES.items() for name in x.names}
+WHOLE = {s: name for name, s in SENTENCES.items()} | WORDINGS | {f"spdx license identifier {_plain(i)}": f"{k.lower()}-spdx" for k, x in LICENCES.items() for i in x.identifiers}
+#: All sentences that are one piece, notices of one licence among them.
+KNOWN = WHOLE | {f"{begin} {name}": notice for begin in NOTICES for name, notice in NAMED.items()}
+#: Each sentence holds one of these; texts without any are not looked at further.
+ANCHORS = "(?i)licen[sc]|releas|distribut|reserved|permi|software|spdx|mozilla"
+# What joins licences, and names exceptions, in SPDX expressions; and what joins them in notices.
+_SPDX_LINE = r"(?i)(?<=spdx-license-identifier:[^\n]{0,300})"
+_JOINED = "[ |]+(?:and[ |]+or|and|or)[ |]+"
+
+
 #: Sentences of so many words are unmistakable: they may follow words that nothing cuts off, as a holder's name.
 LONG = 12
 #: A piece ends where white space follows a sentence end or its closing quotes, a list mark or an address, and at every newline.
@@ -104,11 +145,17 @@ RULES = [
     LicenceRule("AGPL-3.0", 1, ("agpl-3-grant", "gpl-hope")),
     LicenceRule("GPL-2.0", 1, ("gpl-2-grant", "gpl-hope")),
     LicenceRule("GPL-3.0", 1, ("gpl-grant", "gpl-hope")),
-    *(LicenceRule(licence, level, (f"{licence.lower()}-{kind}",)) for licence, (level, _, _) in NAMES.items() for kind in ("notice", "spdx")),
+    *(LicenceRule(k, x.restricts, (f"{k.lower()}-{kind}",)) for k, x in LICENCES.items() for kind in ("notice", "spdx")),
     LicenceRule("proprietary", 3, ("rights-reserved",)),
 ]
 CLASSES = ("permissive", "copyleft", "non-commercial", "proprietary")
-KNOWN = _known()
+
+
+def spdx_lines(text: Column) -> Column:
+    """The text with each SPDX expression as a line for each licence: AND and OR end one, WITH and its exception are left out."""
+    plain = F.regexp_replace(text, _SPDX_LINE + r"[ \t]+with[ \t]+[A-Za-z0-9.+-]+", "")
+    plain = F.regexp_replace(plain, _SPDX_LINE + r"[ \t)]+(?:and|or)[ \t(]+", "\nSPDX-License-Identifier: ")
+    return F.when(text.rlike("(?i)spdx-license-identifier"), plain).otherwise(text)
 
 
 def pieces_of(text: Column) -> Column:
@@ -124,13 +171,18 @@ def _one_of(sentences: list[str]) -> str:
     for x in sorted(sentences, key=len, reverse=True):
         first, _, rest = x.partition(" ")
         by.setdefault(first, []).append("[ |]+".join(map(re.escape, rest.split())))
-    return "(?:" + "|".join(f"{re.escape(w)}[ |]+(?:{'|'.join(rest)})" for w, rest in by.items()) + ")"
+    return "(?:" + "|".join(f"{re.escape(w)}(?:[ |]+(?:{'|'.join(filter(None, rest))})){'?' * ('' in rest)}" if any(rest) else re.escape(w) for w, rest in by.items()) + ")"
 
 
-def sentences_in(text: Column, known: list[str]) -> Column:
-    """The known sentences (two words or more), in order, that begin and end where pieces of the text do, long ones also beginning within one; of several from one place the longest."""
+def sentences_in(text: Column, known: list[str], notices: tuple[str, ...] = (), names: list[str] | None = None) -> Column:
+    """The known sentences (two words or more), in order, that begin and end where pieces of the text do, long ones also beginning within one; of several from one place the longest.
+
+    With notices and names a notice, followed by names joined by and, or, is a sentence too.
+    """
     long, short = ([s for s in known if (len(s.split()) >= LONG) == x] for x in (True, False))
     ways = [start + _one_of(x) for start, x in (("[ |]", long), (r"\|", short)) if x]
+    if notices:
+        ways.append(rf"\|{_one_of(list(notices))}[ |]+{_one_of(names)}(?:{_JOINED}{_one_of(names)})*")
     found = F.regexp_extract_all(pieces_of(text), F.lit("(?:" + "|".join(ways) + r")(?=\|)"), 0)
     return F.transform(found, lambda s: F.trim(F.regexp_replace(s, "[ |]+", " ")))
 
@@ -140,9 +192,18 @@ def run_of(names: tuple[str, ...]) -> str:
     return "".join(f",{n}," for n in names)
 
 
+def _constants(values: list[str]) -> Column:
+    """An array of strings, as one literal that Spark splits when it plans; | is in none of them."""
+    return F.split(F.lit("|".join(values)), "[|]")
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    return F.map_from_arrays(_constants(list(pairs)), _constants(list(pairs.values())))
+
+
 def matched(names: Column, rules: list[LicenceRule]) -> Column:
     """struct(licences, level): of each rule in order that matches what the rules before it have left."""
-    each = F.array(*[F.struct(F.lit(run_of(r.sentences)).alias("run"), F.lit(r.licence).alias("licence"), F.lit(r.restricts).alias("level")) for r in rules])
+    each = F.arrays_zip(_constants([run_of(r.sentences) for r in rules]).alias("run"), _constants([r.licence for r in rules]).alias("licence"), _constants([str(r.restricts) for r in rules]).cast("array<int>").alias("level"))
     line = F.array_join(F.transform(names, lambda n: F.concat(F.lit(","), n, F.lit(","))), "")
     start = F.struct(line.alias("line"), F.array().cast("array<string>").alias("licences"), F.lit(-1).alias("level"))
 
@@ -162,10 +223,20 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sentences: other sentences, of two words or more, by identifier; rules: other rules.
     """
-    names_of, rules = {s: n for n, s in sentences.items()} if sentences else KNOWN, rules or RULES
-    known = F.create_map(*[F.lit(x) for pair in names_of.items() for x in pair])
-    met = sentences_in(F.coalesce(F.col(text_col), F.lit("")), list(names_of))
-    rows = df.select(F.col(id_col), F.transform(met, lambda s: F.element_at(known, s)).alias("names"))
+    own, rules = sentences is not None, rules or RULES
+    whole = {s: n for n, s in sentences.items()} if own else WHOLE
+    known = _table(whole)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if own:
+        names = F.transform(sentences_in(text, list(whole)), lambda s: F.element_at(known, s))
+    else:
+        named = _table(NAMED)
+        each = F.lit(rf"(?<=(?:under|and|or) ){_one_of(list(NAMED))}(?= (?:and|or) |$)")
+        listed = lambda s: F.transform(F.regexp_extract_all(s, each, 0), lambda n: F.element_at(named, n))
+        met = sentences_in(spdx_lines(text), list(WHOLE), NOTICES, list(NAMED))
+        found = F.flatten(F.transform(met, lambda s: F.coalesce(F.nullif(F.array(F.element_at(known, s)), F.array(F.lit(None).cast("string"))), listed(s))))
+        names = F.when(text.rlike(ANCHORS), found).otherwise(F.array().cast("array<string>"))
+    rows = df.select(F.col(id_col), names.alias("names"))
     rows = rows.select(id_col, "names", matched(F.col("names"), rules).alias("found"))
     level = F.col("found.level")
     return rows.select(

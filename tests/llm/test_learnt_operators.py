@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -486,3 +487,25 @@ def test_notices_identifiers_and_rules_in_order(spark):
     rows = spark.createDataFrame([(1, "first words.\nsecond words."), (2, "first words.\nfirst words.\nsecond words."), (3, "second words.")], "doc_id long, text string")
     found = licences.scan_licences(rows, sentences={"a": "first words", "b": "second words"}, rules=rules).collect()
     assert {r.doc_id: (r.licences, r.licence_class) for r in found} == {1: ("both", "copyleft"), 2: ("both,one", "copyleft"), 3: ("", "none")}
+
+
+def test_expressions_and_licences_of_the_list(spark):
+    texts = {
+        "Apache-2.0,MIT": "# SPDX-License-Identifier: Apache-2.0 OR MIT",
+        "GPL-2.0": "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) */\nint x;",
+        "BSD-3-Clause,GPL-2.0,MIT": "// SPDX-License-Identifier: ((GPL-2.0+ WITH Linux-syscall-note) OR BSD-3-Clause) AND MIT\nint y;",
+        "EPL-2.0": "This project is licensed under the Eclipse Public License 2.0.",
+        "Zlib": "Released under the zlib license.",
+        "CC0-1.0": "This work is licensed under CC0 1.0 Universal.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+        "Artistic-2.0": "Licensed under the Artistic License 2.0.",
+        "Apache-2.0,MIT ": "This project is licensed under MIT and Apache 2.0.",
+        "CDDL-1.0,GPL-2.0": "Licensed under the Common Development and Distribution License v1.0 or the GNU General Public License, version 2.",
+        "CC-BY-NC-3.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
+        "LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "": "SPDX-License-Identifier: Nothing-1.0 OR Other",
+        " ": "Released under the vim of the moment and the mit of the day.",
+    }
+    got = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert got == {k: k.strip() for k in texts}
+    assert len(licences.LICENCES) > 120 and all(re.search(licences.ANCHORS, s) for s in licences.KNOWN)
