@@ -90,7 +90,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(tuned(spark), "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = materialise(warc.read_archives(spark, path).drop("payload"), "records")
+    records = materialise(warc.read_archives(spark, path, payloads=False).drop("payload"), "records")
     return warc.resolve_read(records)
 
 

@@ -100,10 +100,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     discard(heads, revisits)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of gzip files below `path` as (record_id, record_type, url, page_id, refers_to, stated_digest, payload, bytes, digest); the last two from the payload itself, that of an HTTP response being its body.
 
-    A file is read by one task from its start, part by part; nothing but one record is held.
+    Without payloads that column is null: they are hashed where they are read, and stay there. A file is read by one task from
+    its start, part by part; nothing but one record is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if source != file:
                     if stream is not None:
                         out += stream.close()
-                    stream, file = _Stream(source), source
+                    stream, file = _Stream(source, payloads), source
                 out += stream.feed(part)
             yield _records(out)
         if stream is not None:
@@ -127,8 +128,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 class _Stream:
     """The records of one file, given part by part; parts were split at END wherever it stood, also across a payload's end."""
 
-    def __init__(self, file: str):
-        self.file, self.held, self.head, self.begun = file, bytearray(), None, False
+    def __init__(self, file: str, payloads: bool = True):
+        self.file, self.payloads, self.held, self.head, self.begun = file, payloads, bytearray(), None, False
 
     def feed(self, part: str) -> list[tuple]:
         if self.begun:
@@ -170,7 +171,7 @@ class _Stream:
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             page = head.get("x-page-id")
             stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
-            yield head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), None if page is None else int(page), head.get("warc-refers-to"), stated, payload.decode("utf-8", "surrogatepass"), len(payload), digest
+            yield head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), None if page is None else int(page), head.get("warc-refers-to"), stated, payload.decode("utf-8", "surrogatepass") if self.payloads else None, len(payload), digest
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
