@@ -94,6 +94,11 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def on_known(key: Column, other: Column, by: Column) -> Column:
+    """key == other for a left join where many rows may have no key: these match nothing, and are dealt by `by` instead of to one task."""
+    return (key == other) & (F.when(key.isNull(), F.pmod(F.xxhash64(by), F.lit(1 << 16))).otherwise(F.lit(0)) == F.when(other.isNull(), F.lit(-1)).otherwise(F.lit(0)))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismark.llm.common import materialise
+from prismark.llm.common import materialise, on_known
 
 BUCKETS = 1 << 15
 #: Letters of a text that are looked at together.
@@ -225,7 +225,7 @@ def identify(
     if evidence is not None:
         more = evidence.select(F.col(id_col).alias("e_id"), F.col("declared").alias("e_declared"), F.col("address_language").alias("e_address"), F.col("host").alias("e_host"))
         own = [F.coalesce(f"e_{c}", c).alias(c) for c in ("declared", "address", "host")]
-        scored = scored.join(more, F.col("id") == F.col("e_id"), "left").select("id", *carried, *seen, *own)
+        scored = scored.join(more, on_known(F.col("id"), F.col("e_id"), F.col("text_score")), "left").select("id", *carried, *seen, *own)
     place = lambda values, top: F.array_position(values, top).cast("int") - 1
     text_k = F.when(F.col("letters") > 0, place(F.col("text_score"), F.array_max("text_score")))
     scored = materialise(scored.withColumn("domain", domain_of(F.col("host"))).withColumn("k", text_k), "scores")
@@ -233,7 +233,7 @@ def identify(
     n = [found[f"n{i}"] or 0.0 for i in range(len(languages))]
     prior = _prior([(x + 1) / (sum(n) + len(n)) for x in n], F.col("k"))
     hosts = host_counts(scored, languages).withColumnRenamed("host", "counted_host")
-    joined = scored.join(hosts, F.col("host") == F.col("counted_host"), "left").withColumn("prior", prior)
+    joined = scored.join(hosts, on_known(F.col("host"), F.col("counted_host"), F.col("text_score")), "left").withColumn("prior", prior)
 
     def stated(column: str) -> list[Column]:
         right = _right(found, column)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismark.functions.trees import added, levels, merged
-from prismark.llm.common import materialise
+from prismark.llm.common import materialise, on_known
 from prismark.llm.wordhash import WordHashes, mixed
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "bars", "capital_words", "distinct", "top_word", "lines", "repeated_lines", "stops", "ends", "longest")
@@ -311,10 +311,10 @@ def score(
     seen = text_view(base, ["id", "source", "lang", "chars", *carried])
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
     known = known.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("y"))
-    seen = seen.join(known, F.col("id") == F.col("label_id"), "left").drop("label_id")
+    seen = seen.join(known, on_known(F.col("id"), F.col("label_id"), F.col("buckets")), "left").drop("label_id")
     if evidence is not None:
         more = evidence.select(F.col(id_col).alias("page_of"), *PAGE_NAMES, *PAGE_COUNTS)
-        seen = seen.join(more, F.col("id") == F.col("page_of"), "left").drop("page_of")
+        seen = seen.join(more, on_known(F.col("id"), F.col("page_of"), F.col("buckets")), "left").drop("page_of")
     names = [F.coalesce(F.col(c).cast("string") if evidence is not None else F.lit(None), F.lit("?")).alias(c) for c in PAGE_NAMES]
     counts = [F.log1p(F.coalesce(F.col(c).cast("double") if evidence is not None else F.lit(None), F.lit(0.0))).alias(c) for c in PAGE_COUNTS]
     seen = materialise(seen.select("id", *carried, "source", "lang", "chars", "surface", "buckets", "y", *names, *counts), "views")
