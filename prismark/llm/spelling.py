@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismark.llm.common import MAX_BITS, discard, materialise
+from prismark.llm.wordhash import mixed
 
 #: Symbols of the reduced alphabet.
 SYMBOLS = 4
@@ -30,9 +30,14 @@ SYMBOLS = 4
 HELD = 200_000
 #: A-Z in lower case, other bytes of Latin-1 that are no letters of a run become spaces.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
-#: The symbol of each Latin-1 letter, by hash.
-_SYMBOL = bytes(48 + zlib.crc32(bytes([c])) % SYMBOLS for c in range(256))
-_ALL = bytes(range(48, 48 + SYMBOLS))
+#: The symbol of each Latin-1 letter, from 1, by hash.
+_SYMBOL = np.array([1 + zlib.crc32(bytes([c])) % SYMBOLS for c in range(256)], np.uint64)
+#: Base of polynomial hashes modulo 2^64, and its inverse; hashes only bring words together, which are then compared.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_ONE, _STEP = np.uint64(1), 0xD6E8FEB86659FD93
+#: Where a key's bits in the bitmap are read off.
+PLACES = (0, 18, 36)
 DELETION, REPLACEMENT, INSERTION = 0, 1, 2
 
 
@@ -80,76 +85,112 @@ def vocabulary(docs: DataFrame, min_length: int, min_count: int, every: int, id_
     return rows.mapInArrow(_counted(min_length, every), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
-def _key(reduced: bytes, kept: bytes, side: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(reduced + side + kept)
+def _powers(n: int, of: int) -> np.ndarray:
+    out = np.full(n + 1, of, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def own_keys(word: bytes) -> set[int]:
-    """A word's reduced form with each half that a partner may share with it: the shorter of two words is cut in the middle."""
-    r, n = word.translate(_SYMBOL), len(word)
-    out = set()
-    for short in (n, n - 1):
-        half = short // 2
-        out |= {_key(r, word[:half], b"<"), _key(r, word[n - (short - half) :], b">")}
-    return out
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Of each row of numbers the polynomial hashes of all its beginnings, the empty one first."""
+    terms = values * _powers(values.shape[1], BASE)[:-1]
+    return np.concatenate([np.zeros((len(values), 1), np.uint64), np.cumsum(terms, axis=1, dtype=np.uint64)], axis=1)
 
 
-def neighbour_keys(word: bytes) -> Iterator[tuple[int, int, int]]:
-    """(key, place, edit) of every reduced form one edit away from the word's."""
-    r, n = word.translate(_SYMBOL), len(word)
-    first_half, first_less = n // 2, (n - 1) // 2
-    last_half, last_less = n - first_half, n - 1 - first_less
-    for p in range(n + 1):
-        before, behind = r[:p], r[p:]
-        kept, side = (word[:first_half], b"<") if p >= first_half else (word[n - last_half :], b">")
-        for c in _ALL:
-            yield _key(before + bytes([c]) + behind, kept, side), p, INSERTION
-        if p == n:
-            break
-        rest = behind[1:]
-        # A replaced letter inside the second half leaves the first one, one before it the second.
-        for c in _ALL:
-            yield _key(before + bytes([c]) + rest, kept, side), p, REPLACEMENT
-        if p + 1 == n or word[p] != word[p + 1]:  # of equal letters in a row the last stands for all
-            less, side = (word[:first_less], b"<") if p >= first_less else (word[n - last_less :], b">")
-            yield _key(before + rest, less, side), p, DELETION
+def _times(n: int) -> np.uint64:
+    return np.uint64(n * _STEP % (1 << 64))
 
 
-def _signed(keys: list[int]) -> np.ndarray:
-    return np.array(keys, np.uint64).view(np.int64)
+def _halves(words: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and the last letters of words (rows of bytes) that a partner shares, if the shorter of both has `short`."""
+    n, half = words.shape[1], short // 2
+    sums, at = _sums(words.astype(np.uint64) + _ONE), n - (short - half)
+    last = (sums[:, n] - sums[:, at]) * _powers(at, INVERSE)[at]
+    return tuple(mixed(h + _times(2 * size + side)) for h, size, side in ((sums[:, half], half, 0), (last, short - half, 1)))
 
 
-def _latin(word: str) -> bytes:
-    return word.encode("latin-1")
+def _reduced(words: np.ndarray) -> np.ndarray:
+    return _SYMBOL[words]
+
+
+def _keyed(form: np.ndarray, length: int, half: np.ndarray) -> np.ndarray:
+    return mixed(form + _times(length) + half)
+
+
+def own_keys(words: np.ndarray) -> np.ndarray:
+    """Three keys of each word (rows of bytes): its reduced form with each half that a partner may share with it. The shorter of two words is cut in the middle."""
+    n = words.shape[1]
+    form = _sums(_reduced(words))[:, n]
+    left, right = _halves(words, n)
+    # The shorter partner's cut moves one of the halves only.
+    other = _halves(words, n - 1)[n % 2]
+    return np.stack([_keyed(form, n, h) for h in (left, right, other)], axis=1)
+
+
+def neighbour_keys(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(edit, keys by word and place, which of them are needed) of every reduced form one edit away from words of one length (rows of bytes)."""
+    n = words.shape[1]
+    r, power = _reduced(words), _powers(n + 1, BASE)
+    sums = _sums(r)
+    whole, places = sums[:, n:], np.arange(n + 1)
+    halves, less = _halves(words, n), _halves(words, n - 1)
+    # An edit in the second half leaves the first one, an edit before it the second.
+    kept = lambda h, short, upto: np.where(places[:upto] >= short // 2, h[0][:, None], h[1][:, None])
+    every = np.ones((len(words), n + 1), bool)
+    for c in range(1, SYMBOLS + 1):
+        symbol = np.uint64(c)
+        yield INSERTION, _keyed(sums + symbol * power[: n + 1] + (whole - sums) * np.uint64(BASE), n + 1, kept(halves, n, n + 1)), every
+        yield REPLACEMENT, _keyed(whole + (symbol - r) * power[:n], n, kept(halves, n, n)), every[:, :n]
+    last = np.concatenate([words[:, 1:] != words[:, :-1], every[:, :1]], axis=1)  # of equal letters in a row the last stands for all
+    yield DELETION, _keyed(sums[:, :n] + (whole - sums[:, 1:]) * np.uint64(INVERSE), n - 1, kept(less, n - 1, n)), last
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their words as rows of bytes) for each length."""
+    sizes = np.array([len(w) for w in words])
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        yield rows, np.frombuffer("".join(words[i] for i in rows).encode("latin-1"), np.uint8).reshape(len(rows), n)
 
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [sorted(own_keys(_latin(w))) for w in batch.column("word").to_pylist()]
-        of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-        yield pa.RecordBatch.from_arrays([pa.array(_signed([x for k in keys for x in k])), batch.column("word").take(of), batch.column("n").take(of)], ["key", "near", "near_n"])
+        for rows, words in _by_length(batch.column("word").to_pylist()):
+            keys = own_keys(words)
+            of = pa.array(np.repeat(rows, keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column("word").take(of), batch.column("n").take(of)], ["key", "near", "near_n"])
 
 
 def _generating(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint64)
+        mask = np.uint64(len(bits) * 64 - 1)
+
+        def listed(key: np.ndarray) -> np.ndarray:
+            found = np.ones(len(key), bool)
+            for shift in PLACES:
+                at = (key >> np.uint64(shift)) & mask
+                found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & _ONE != 0
+            return found
+
         for batch in batches:
-            found = [(i, *x) for i, w in enumerate(batch.column("word").to_pylist()) for x in neighbour_keys(_latin(w))]
-            of, place, edit = (np.array([x[i] for x in found], np.int64) for i in (0, 2, 3))
-            key = np.array([x[1] for x in found], np.uint64)
-            at = key % np.uint64(len(bits) * 64)
-            there = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-            rows = pa.array(of[there])
-            yield pa.RecordBatch.from_arrays([pa.array(key[there].view(np.int64)), batch.column("word").take(rows), batch.column("n").take(rows), pa.array((place[there] * 4 + edit[there]).astype(np.int32))], ["key", "word", "n", "edit"])
+            for rows, words in _by_length(batch.column("word").to_pylist()):
+                for edit, keys, needed in neighbour_keys(words):
+                    of, place = np.nonzero(needed)
+                    key = keys[of, place]
+                    there = listed(key)
+                    if there.any():
+                        at = pa.array(rows[of[there]])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[there].view(np.int64)), batch.column("word").take(at), batch.column("n").take(at), pa.array((place[there] * 4 + edit).astype(np.int32))], ["key", "word", "n", "edit"])
 
     return run
 
 
 def _bitmap(keys: DataFrame, n: int) -> bytes:
-    """A bit for each key, 16 a key and MAX_BITS at most: at most MAX_BITS / 64 rows come to the driver, whatever the vocabulary."""
+    """Some bits for each key, of 16 a key and MAX_BITS at most: at most MAX_BITS / 64 rows come to the driver, whatever the vocabulary."""
     size = min(MAX_BITS, max(64, 1 << (16 * n - 1).bit_length() if n else 64))
-    bit = F.col("key").bitwiseAND(F.lit(size - 1))
-    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+    at = F.explode(F.array(*[F.shiftrightunsigned("key", k).bitwiseAND(F.lit(size - 1)) for k in PLACES])).alias("at")
+    words = keys.select(at).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63L as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("x").to_numpy()
     return bits.tobytes()
@@ -170,7 +211,7 @@ def _one_edit() -> Column:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n) of words (word, n: materialised, distinct, Latin-1) one edit apart, each pair both ways, once."""
     listed = words.select("word", "n").mapInArrow(_listing, "key long, near string, near_n long")
-    bitmap = words.sparkSession.sparkContext.broadcast(_bitmap(listed, 4 * words.count()))
+    bitmap = words.sparkSession.sparkContext.broadcast(_bitmap(listed, 3 * words.count()))
     asked = words.select("word", "n").mapInArrow(_generating(bitmap), "key long, word string, n long, edit int")
     # Neither side is small, and both grow with the vocabulary.
     return asked.hint("merge").join(listed, (asked["key"] == listed["key"]) & _one_edit()).select("word", "n", "near", "near_n")

@@ -46,14 +46,24 @@ def test_spelling_of_odd_and_repeated_texts(spark, monkeypatch):
     assert variants(frame(spark, [(1, "one two"), (2, None)])) == {}
 
 
-def test_each_pair_is_found_by_one_edit():
+def test_each_pair_meets_once():
     rng = random.Random(3)
-    words = {bytes(rng.choices(b"ab\xe9", k=rng.randrange(5, 9))) for _ in range(400)}
-    for w in list(words)[:60]:
-        keys = {k for k, _, _ in spelling.neighbour_keys(w)}
+    words = sorted({bytes(rng.choices(b"ab\xe9", k=rng.randrange(5, 9))) for _ in range(500)})
+    row = lambda w: np.frombuffer(w, np.uint8)[None]
+    own = {w: spelling.own_keys(row(w))[0].tolist() for w in words}
+    assert all(len(set(k)) == 3 for k in own.values())
+    for w in words[::7]:
+        keys = {int(k) for _, keys, needed in spelling.neighbour_keys(row(w)) for k in keys[needed]}
         for v in words:
             near = v != w and abs(len(v) - len(w)) <= 1 and any(v[:p] + v[p + (len(v) >= len(w)) :] == w[:p] + w[p + (len(w) >= len(v)) :] for p in range(max(len(v), len(w))))
-            assert not near or keys & spelling.own_keys(v)
+            assert not near or keys & set(own[v])
+
+
+def test_very_long_words(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh", k=5_000))
+    docs = [(i, t) for i, t in enumerate([long, long, long, long, "x" + long, "x" + long, "x" + long, long[:3000] + long[3001:]] + [long[:3000] + "y" + long[3001:]] * 9)]
+    assert variants(tuned(spark).createDataFrame(docs, "doc_id long, text string")) == brute.spelling(docs)
 
 
 # --- whitening -----------------------------------------------------------------------------------------------------
