@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FAN_IN = 16
+#: Tasks for each core that make an array: one takes several splits where there are more, so what is shuffled does not grow with the splits.
+TASKS_PER_CORE = 8
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df in a bounded number of tasks, without a shuffle."""
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def levels(df: DataFrame, fan_in: int = FAN_IN) -> int:
@@ -18,7 +25,7 @@ def levels(df: DataFrame, fan_in: int = FAN_IN) -> int:
     spark = df.sparkSession
     conf = lambda key, least: int(spark.conf.get(key, str(least)).rstrip("bkmgB") or least)
     size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = max(conf("spark.sql.shuffle.partitions", 200), size / (64 << 20))
+    tasks = min(max(conf("spark.sql.shuffle.partitions", 200), size / (64 << 20)), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return next((k for k in (1, 2, 3) if fan_in**k >= tasks), 4)
 
 
@@ -54,5 +61,5 @@ def of_tasks(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.ascontiguousarray(out, kind).tobytes()], pa.binary())], ["part", "payload"])
 
-    found = merged(df.mapInArrow(run, "part long, payload binary"), merge, height=levels(df), kind=kind).collect()
+    found = merged(few_tasks(df).mapInArrow(run, "part long, payload binary"), merge, height=levels(df), kind=kind).collect()
     return np.frombuffer(found[0]["payload"], kind) if found else None

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismark.functions.trees import added, levels, merged, of_tasks
+from prismark.functions.trees import added, few_tasks, levels, merged, of_tasks
 from prismark.operators.base import FittedTransformer, SpectralEstimator, by_batch
 from prismark.sources.scratch import written
 
@@ -124,18 +124,19 @@ def length_of(df: DataFrame, column: str) -> int:
     return first[0]
 
 
-def moments_by(df: DataFrame, column: str, targets: tuple[str, ...], by: str, groups: int) -> MomentsBy:
+def moments_by(df: DataFrame, column: str, targets: tuple[str, ...], by: str, groups: int, length: int | None = None) -> MomentsBy:
     """Moments of the rows of each value of `by` (whole numbers from 0, some `groups` of them): each task sums products about its own
-    means, and tasks' sums are pooled up a tree, in blocks of lines. Groups may have spectra of lengths of their own.
+    means, and tasks' sums are pooled up a tree, in blocks of lines. Groups may have spectra of lengths of their own; `length` is
+    that of the longest, looked up if it isn't given.
     """
     rows = df.select(_with_targets(df, column, targets).alias("z"), F.col(by).cast("long").alias("g"))
-    parts = rows.mapInArrow(_sums, "g long, line long, part long, payload binary")
-    return MomentsBy(merged(parts, _pooled, by=("g", "line"), height=levels(rows)), length_of(df, column) + len(targets), groups)
+    parts = few_tasks(rows).mapInArrow(_sums, "g long, line long, part long, payload binary")
+    return MomentsBy(merged(parts, _pooled, by=("g", "line"), height=levels(rows)), (length or length_of(df, column)) + len(targets), groups)
 
 
-def moments(df: DataFrame, column: str, targets: tuple[str, ...] = ()) -> Moments:
+def moments(df: DataFrame, column: str, targets: tuple[str, ...] = (), length: int | None = None) -> Moments:
     """Moments of all rows."""
-    return moments_by(df.withColumn("_all", F.lit(0)), column, targets, "_all", 1)[0]
+    return moments_by(df.withColumn("_all", F.lit(0)), column, targets, "_all", 1, length)[0]
 
 
 def sum_of(parts: list[Moments]) -> Moments:
@@ -212,9 +213,9 @@ class Outline:
 class Passes:
     """Products of a table of spectra with vectors, each a pass over its rows."""
 
-    def __init__(self, df: DataFrame, column: str, targets: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, column: str, targets: tuple[str, ...] = (), length: int | None = None):
         self.rows = df.select(F.col(column).alias("x"))
-        self.p, q = length_of(df, column), len(targets)
+        self.p, q = length or length_of(df, column), len(targets)
         z = df.select(_with_targets(df, column, targets).alias("z"))
         flat = of_tasks(z, functools.partial(_outline, p=self.p, q=q), functools.partial(_outlined, p=self.p, q=q))
         size = self.p + q
@@ -279,10 +280,14 @@ def deflated(xy: np.ndarray, times: Callable[[np.ndarray], np.ndarray], a: int)
     return {"weights": weights, "loadings": loadings, "rotations": rotations, "inner": inner, "size": size[0]}
 
 
-def spreads(squares: np.ndarray, n: int, scale: bool) -> np.ndarray:
+def varying(spread: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Standard deviations, 1 for columns that vary by no more than rounding."""
+    return np.where(spread <= 10 * np.finfo(float).eps * np.abs(mean), 1.0, spread)
+
+
+def spreads(squares: np.ndarray, mean: np.ndarray, n: int, scale: bool) -> np.ndarray:
     """Sample standard deviations, 1 for columns that do not vary, or all 1."""
-    spread = np.sqrt(squares / max(n - 1, 1)) if scale else np.ones(len(squares))
-    return np.where(spread == 0, 1.0, spread)
+    return varying(np.sqrt(squares / max(n - 1, 1)), mean) if scale else np.ones(len(squares))
 
 
 def checked_components(a: int, most: int) -> int:
@@ -295,7 +300,7 @@ def pls(m: Moments, q: int, a: int, scale: bool) -> dict[str, np.ndarray]:
     """Partial least squares of the last q columns on the others, from products; see deflated(), and spread."""
     p = len(m.mean) - q
     checked_components(a, p)
-    spread = spreads(np.diag(m.products), m.n, scale)
+    spread = spreads(np.diag(m.products), m.mean, m.n, scale)
     g = m.products / np.outer(spread, spread)
     return {"spread": spread} | deflated(g[:p, p:], lambda r: g[:p, :p] @ r, a)
 
@@ -304,7 +309,7 @@ def pls_by_passes(passes: Passes, a: int, scale: bool) -> dict[str, np.ndarray]:
     """The same by one pass for each component."""
     o, p = passes.outline, passes.p
     checked_components(a, p)
-    spread = spreads(o.squares, o.n, scale)
+    spread = spreads(o.squares, o.mean, o.n, scale)
     passes.spread = spread[:p]
     return {"spread": spread} | deflated(o.cross / np.outer(spread[:p], spread[p:]), passes.times, a)
 
@@ -323,9 +328,9 @@ class StandardScaler(SpectralEstimator):
 
     def _fit(self, df: DataFrame) -> StandardScalerModel:
         column = self.value("inputCol")
-        long = df.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("pos").collect()
-        mean = [r["m"] if self.value("with_mean") else 0.0 for r in long]
-        scale = [(r["s"] or 1.0) if self.value("with_std") else 1.0 for r in long]
+        o = Passes(df, column).outline
+        mean = o.mean if self.value("with_mean") else np.zeros(len(o.mean))
+        scale = varying(np.sqrt(o.squares / o.n), o.mean) if self.value("with_std") else np.ones(len(o.mean))
         return StandardScalerModel(mean=mean, scale=scale, inputCol=column, outputCol=self.value("outputCol"))
 
 
@@ -387,14 +392,14 @@ class PCA(SpectralEstimator):
 
     def _fit(self, df: DataFrame) -> LatentModel:
         column, a = self.value("inputCol"), int(self.value("n_components"))
-        if length_of(df, column) <= GRAM_FEATURES:
-            m = moments(df, column)
+        if (p := length_of(df, column)) <= GRAM_FEATURES:
+            m = moments(df, column, length=p)
             n, mean = m.n, m.mean
             checked_components(a, min(n, len(mean)))
             values, vectors = np.linalg.eigh(m.products)
             values, vectors = values[::-1][:a], vectors[:, ::-1][:, :a]
         else:
-            passes = Passes(df, column)
+            passes = Passes(df, column, length=p)
             n, mean = passes.outline.n, passes.mean
             checked_components(a, min(n, len(mean)))
             values, vectors = principal(passes, a)
@@ -411,10 +416,10 @@ class PLSRegression(SpectralEstimator):
         targets, column, a = tuple(self.value("targets")), self.value("inputCol"), int(self.value("n_components"))
         scale, p = bool(self.value("scale")), length_of(df, column)
         if p + len(targets) <= GRAM_FEATURES:
-            m = moments(df, column, targets)
+            m = moments(df, column, targets, p)
             n, mean, f = m.n, m.mean, pls(m, len(targets), a, scale)
         else:
-            passes = Passes(df, column, targets)
+            passes = Passes(df, column, targets, p)
             n, mean, f = passes.outline.n, passes.outline.mean, pls_by_passes(passes, a, scale)
         coefficients = f["rotations"] @ f["inner"].T * f["spread"][p:] / f["spread"][:p, None]
         return LatentModel(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prismark.functions.arrays import dot, ieee_div, let, mean, percentile, spread
 from prismark.functions.order_statistics import array_quantiles
 from prismark.operators.base import FittedTransformer, SpectralEstimator, SpectralTransformer, by_batch
+from prismark.operators.latent import Passes
 
 
 class StandardNormalVariate(SpectralTransformer):
@@ -43,8 +44,7 @@ def column_centre(df: DataFrame, column: str, method: str) -> list[float]:
         raise ValueError(f"method must be mean or median, not {method!r}")
     if method == "median":
         return [float("nan") if m is None else m[0] for m in array_quantiles(df, column, [0.5])]
-    long = df.select(F.posexplode(column).alias("pos", "v"))
-    return [r[1] for r in long.groupBy("pos").agg(F.avg("v")).orderBy("pos").collect()]
+    return [] if df.where(F.col(column).isNotNull()).isEmpty() else Passes(df, column).outline.mean.tolist()
 
 
 def _reference(stage: SpectralEstimator, df: DataFrame) -> list[float]:

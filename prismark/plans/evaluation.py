@@ -26,13 +26,10 @@ def draw_key(seed: int, id_col: str) -> Column:
 
 def quotas(counts: DataFrame, total: int) -> DataFrame:
     """(_c, quota) of (_c, n): total dealt in proportion to n, by largest remainder; of equal remainders the first class has it."""
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    share = F.lit(total).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
-    parts = counts.select("_c", "n", F.floor(F.col("n") * F.lit(total) / F.lit(max(n, 1))).cast("long").alias("rough"), share.alias("share"))
-    # Floors of exact products: the double above may be off by one.
-    exact = F.col("share") - F.col("rough") * F.lit(n).cast("decimal(18,0)")
-    fix = F.when(exact < 0, F.lit(-1)).when(exact >= n, F.lit(1)).otherwise(F.lit(0))
-    parts = parts.withColumn("floor", F.col("rough") + fix).withColumn("rest", F.col("share") - F.col("floor") * F.lit(n).cast("decimal(18,0)"))
+    n = counts.agg(F.sum("n")).first()[0] or 1
+    share = F.col("n").cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    parts = counts.select("_c", share.alias("share")).withColumn("floor", F.expr(f"share div cast({n} as decimal(19,0))"))
+    parts = parts.withColumn("rest", F.col("share") - F.col("floor").cast("decimal(19,0)") * F.lit(n).cast("decimal(19,0)"))
     left = total - (parts.agg(F.sum("floor")).first()[0] or 0)
     more = parts.orderBy(F.desc("rest"), "_c").limit(int(left)).select(F.col("_c").alias("_more")) if left else None
     if more is None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismark.operators.base import by_batch
-from prismark.operators.latent import Moments, PLSRegression, StandardScaler, moments_by, pls_path
+from prismark.operators.latent import Moments, PLSRegression, StandardScaler, moments_by, pls_path, varying
 from prismark.plans.evaluation import folds_of
 from prismark.sources.scratch import written
 
@@ -102,8 +102,7 @@ def _rows(df: DataFrame, leaves: list[str], targets: list[str], folds: int) -> D
 def _scaled(m: Moments, q: int) -> tuple[Moments, np.ndarray]:
     """m as if the features had been divided by their population standard deviations, and these."""
     p = len(m.mean) - q
-    by = np.sqrt(np.diag(m.products)[:p] / m.n)
-    by = np.r_[np.where(by == 0, 1.0, by), np.ones(q)]
+    by = np.r_[varying(np.sqrt(np.diag(m.products)[:p] / m.n), m.mean[:p]), np.ones(q)]
     return Moments(m.n, m.mean / by, m.products / np.outer(by, by)), by[:p]
 
 

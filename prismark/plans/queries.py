@@ -745,7 +745,8 @@ RUNS = f"""with e as (select l_suppkey * 10000 + k // {WIDE} as id, k % {WIDE} a
 from (select l_suppkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice / 100) - 1 as k, l_extendedprice / 100 as v from lineitem) qualify size >= 8)"""
 stage("whittaker_239", smooth.WhittakerSmooth(), iterated_sql.whittaker(RUNS, 100.0, 4), source=price_runs, digits=4)
 stage("airpls_239", baseline.AirPls(), iterated_sql.airpls(RUNS, 100.0, 15, 4), source=price_runs, digits=4)
-stage("arpls_239", baseline.ArPls(), iterated_sql.arpls(RUNS, 1e4, 0.01, 100, 2), source=price_runs, digits=2)
+# Both agree to 2e-9 of the values; of more decimals some of the many values would be rounded to either side.
+stage("arpls_239", baseline.ArPls(), iterated_sql.arpls(RUNS, 1e4, 0.01, 100, 3), source=price_runs, digits=3)
 
 
 def screening_pipeline() -> Pipeline:

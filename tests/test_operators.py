@@ -468,6 +468,9 @@ def test_moments_meet_up_a_tree(spark, monkeypatch):
             assert m.n == 30
             np.testing.assert_allclose(m.mean, z.mean(axis=0))
             np.testing.assert_allclose(m.products, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-9)
+    # Not more arrays than a number for each core, however many splits.
+    cores = spark.sparkContext.defaultParallelism
+    assert trees.few_tasks(df.repartition(400)).rdd.getNumPartitions() == trees.TASKS_PER_CORE * cores and trees.few_tasks(spark.range(9, numPartitions=2).toDF("id")).rdd.getNumPartitions() == 2
     z = np.array([[*r.x, r.y] for r in rows if r.g != 1])
     np.testing.assert_allclose(other.but({1}).products, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-9)
 
@@ -499,3 +502,14 @@ def test_a_running_process_is_read_as_it_comes(spark, tmp_path):
     stream.writeStream.format("memory").queryName("running").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.ts, r.x) for r in spark.table("running").collect())
     assert [x for _, x in got] == [[float(i), float(k), float(i * k)] for i in range(3) for k in range(4)]
+
+
+def test_columns_that_do_not_vary_are_not_blown_up(spark):
+    rows = [(i, [0.1, 1e9 + 0.1, float(i % 7)], float(i % 7 * 2)) for i in range(1003)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double").repartition(7)
+    model = latent.StandardScaler().fit(df)
+    assert model.value("scale")[:2] == [1.0, 1.0] and abs(model.transform(df).agg(F.max(F.abs(F.get("x", 1)))).first()[0]) < 1e-5
+    pls = latent.PLSRegression(1).fit(df)
+    assert pls.value("scale")[:2] == [1.0, 1.0]
+    for r in df.limit(9).select("y", F.get(pls.prediction(F.col("x")), 0).alias("p")).collect():
+        assert abs(r.y - r.p) < 1e-4
