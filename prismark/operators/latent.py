@@ -52,12 +52,23 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(means, rows less them), about the first row: columns that do not vary are exactly zero."""
+    c = x - x[:1]
+    m = c.mean(axis=0)
+    return x[0] + m, c - m
+
+
+def _mean_of(n: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return means[0] + n @ (means - means[0]) / n.sum()
+
+
 def _pooled(parts: list[np.ndarray]) -> np.ndarray:
     """Of parts [rows, first line, length, means, some lines of the products about them] those of their rows together."""
     first, size = int(parts[0][1]), int(parts[0][2])
     n = np.array([x[0] for x in parts])
     means = np.stack([x[3 : 3 + size] for x in parts])
-    mean = n @ means / n.sum()
+    mean = _mean_of(n, means)
     lines = np.sum([x[3 + size :] for x in parts], axis=0).reshape(-1, size)
     off = means - mean
     lines = lines + (off[:, first : first + len(lines)] * n[:, None]).T @ off
@@ -72,8 +83,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.unique(g).tolist():
             x = _matrix(batch.column(0).filter(pa.array(g == k)))
             if len(x):
-                mean = x.mean(axis=0)
-                part = np.concatenate([[len(x), 0, len(mean)], mean, ((x - mean).T @ (x - mean)).ravel()])
+                mean, c = _centred(x)
+                part = np.concatenate([[len(x), 0, len(mean)], mean, (c.T @ c).ravel()])
                 total[k] = _pooled([total[k], part]) if k in total else part
     for k, t in total.items():
         size = int(t[2])
@@ -151,7 +162,7 @@ def _outlined(parts: list[np.ndarray], p: int, q: int) -> np.ndarray:
     """Of parts [rows, means, squares about them, products of features and targets] those of their rows together."""
     n = np.array([x[0] for x in parts])
     means = np.stack([x[1 : 1 + p + q] for x in parts])
-    mean = n @ means / n.sum()
+    mean = _mean_of(n, means)
     off = means - mean
     both = np.sum([x[1 + p + q :] for x in parts], axis=0)
     both[: p + q] += n @ (off * off)
@@ -164,8 +175,7 @@ def _outline(batches: Iterator[pa.RecordBatch], p: int, q: int) -> np.ndarray |
     for batch in batches:
         x = _matrix(batch.column(0))
         if len(x):
-            mean = x.mean(axis=0)
-            c = x - mean
+            mean, c = _centred(x)
             part = np.concatenate([[len(x)], mean, (c * c).sum(axis=0), (c[:, :p].T @ c[:, p:]).ravel()])
             total = part if total is None else _outlined([total, part], p, q)
     return total
