@@ -6,10 +6,10 @@ signature of 2p values costs p hash evaluations. Bands of four values (two permu
 1. Documents with the same set of shingles are one class; from here on a class is one node with a number of its own.
 2. Classes that share a bucket of a band are candidates. Buckets are never expanded into all pairs: their members are held
    against a hub, the one with the fewest shingles of its own, and what is confirmed is joined to components.
-3. Only buckets whose members still lie in several components are looked at again, with other hubs, and at last pair by
-   pair across components. Two members share at most the smaller of what each shares with the hub, and the smaller of
-   what each shares with others besides; in a group of edited copies that alone, exactly, rules out nearly all pairs.
-   Sizes and one-bit sketches rule out more.
+3. Only buckets whose members still lie in several components are looked at again, with two other hubs at once, and at last
+   pair by pair across components; what is confirmed there links components, not classes. Two members share at most the
+   smaller of what each shares with the hub, and the smaller of what each shares with others besides; in a group of edited
+   copies that alone, exactly, rules out nearly all pairs. Sizes and one-bit sketches rule out more.
 4. Every link is confirmed on the full sets of shingles.
 """
 
@@ -33,8 +33,8 @@ from prismark.llm.wordhash import WordHashes, runs
 
 PERMUTATIONS, BAND_VALUES = 48, 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
-#: Rounds with hubs before the pairs that are left are compared one by one.
-HUB_ROUNDS = 3
+#: Other hubs of a bucket that members of other components are held against before the pairs that are left are compared one by one.
+MORE_HUBS = 2
 #: Shingles that are hashed at once.
 BLOCK = 65_536
 
@@ -92,8 +92,9 @@ def signatures(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     return docs.select("id", *keep, "text").mapInArrow(run, f"row long, id long, {fields}n long, set_key binary, sig binary, s1 long, s2 long")
 
 
-def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, both) for pairs (a, b): sizes of the full sets and of their intersection."""
+def _counted(pairs: DataFrame, sets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, keep, n_a, n_b, both) for pairs (a, b): sizes of the full sets and of their intersection; keep: further longs of the pairs."""
+    own = ["a", "b", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +103,14 @@ def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
             n = np.array(sizes, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(n[:, i]) for i in range(3))], ["a", "b", "n_a", "n_b", "both"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(n[:, i]) for i in range(3))], [*own, "n_a", "n_b", "both"])
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, both long")
+    return full.select(*own, "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in [*own, "n_a", "n_b", "both"]))
 
 
-def _links(counted: DataFrame, percent: int) -> DataFrame:
-    return counted.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+def _links(counted: DataFrame, percent: int, a: str = "a", b: str = "b") -> DataFrame:
+    return counted.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select(a, b)
 
 
 @functools.lru_cache
@@ -169,7 +170,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     labels = components(links if by_row else links.unionByName(_of_one_id(named, classes)))
     met = counted.select(F.col("a").alias("id"), F.col("b").alias("hub"), "both")
     members = members.join(met, ["id", "hub"], "left").withColumn("met", F.coalesce("both", "n")).drop("both", "hub")
-    members = materialise(members.withColumn("apart", F.greatest(F.lit(0), F.col("common") - F.col("met"))), "members")
+    members = members.withColumn("apart", F.greatest(F.lit(0), F.col("common") - F.col("met")))
+    # c: the component so far; a class without a link is one of its own.
+    members = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    members = materialise(members, "members")
+    ends = labels.select("id", F.col("component").alias("c")).unionByName(members.select("id", "c")).distinct()
 
     def possible(x: str, y: str) -> Column:
         """Whether a link between two members of a bucket is possible."""
@@ -180,31 +185,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
+    def moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+        """rows with the component that moves, of components by number, have for c."""
+        to = moves.select(F.col("id").alias("c"), F.col("component").alias("to"))
+        return rows.join(to, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+
     known_of = ("n", "common", "met", "apart")
-    for turn in range(1, HUB_ROUNDS + 1):
-        inside = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        hub = F.struct(F.xxhash64("id", F.lit(turn)).alias("_"), F.col("id").alias("hub"), F.col("c").alias("c_y"), *[F.col(k).alias(f"{k}_y") for k in known_of])
-        several = inside.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(hub).alias("h")).where("c0 != c1")
-        if turn < HUB_ROUNDS:  # another hub of each bucket against the members of other components
-            several = several.select("bucket", "h.hub", "h.c_y", *[f"h.{k}_y" for k in known_of])
-            faced = inside.select("bucket", "id", "c", *[F.col(k).alias(f"{k}_x") for k in known_of]).join(several, "bucket")
-            pairs = faced.where((F.col("c") != F.col("c_y")) & possible("x", "y")).select(*pair("id", "hub")).distinct()
+    both_of = [F.least("c_x", "c_y").alias("c_a"), F.greatest("c_x", "c_y").alias("c_b")]
+    for last in (False, True):
+        several = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *([] if last else [_hub(turn, known_of) for turn in range(MORE_HUBS)])).where("c0 != c1")
+        if not last:  # other hubs of each bucket against the members of other components
+            hubs = several.select("bucket", F.explode(F.array(*[f"hub{turn}" for turn in range(MORE_HUBS)])).alias("h"))
+            hubs = hubs.select("bucket", F.col("h.id").alias("id_y"), "h.c_y", *[f"h.{k}_y" for k in known_of])
+            faced = members.select("bucket", F.col("id").alias("id_x"), F.col("c").alias("c_x"), *[F.col(k).alias(f"{k}_x") for k in known_of]).join(hubs, "bucket")
+            pairs = faced.where((F.col("c_x") != F.col("c_y")) & possible("x", "y"))
         else:  # whatever is left, pair by pair across components; a pair in the first bucket that it shares
-            left = inside.join(several.select("bucket"), "bucket", "left_semi").join(sizes.select("id", "s1", "s2", "bands"), "id")
+            left = members.join(several.select("bucket"), "bucket", "left_semi").join(sizes.select("id", "s1", "s2", "bands"), "id")
             left = materialise(left, "left")
             x, y = (left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "s1", "s2", "bands", *known_of)]) for s in "xy")
             bits = F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1_y"))) + F.bit_count(F.col("s2_x").bitwiseXOR(F.col("s2_y")))
             first = F.get(F.array_compact(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p))), 0)
             near = (x["bucket"] == y["bucket"]) & F.expr("c_x < c_y") & possible("x", "y") & (bits <= sketch_limit(percent)) & (first == x["bucket"])
-            pairs = x.join(y, near).select(*pair("id_x", "id_y")).distinct()
+            pairs = x.join(y, near)
+        pairs = pairs.select(*pair("id_x", "id_y"), *both_of).groupBy("a", "b").agg(F.min("c_a").alias("c_a"), F.min("c_b").alias("c_b"))
         old = functools.reduce(DataFrame.unionByName, [t.select(*pair("a", "b")) for t in tested])
         pairs = materialise(pairs.join(old, ["a", "b"], "left_anti"), "tested")
         if pairs.isEmpty():
             continue
         tested.append(pairs)
-        found = materialise(_links(_counted(pairs, sets), percent), "links")
+        found = materialise(_links(_counted(pairs, sets, ("c_a", "c_b")), percent, "c_a", "c_b"), "links")
         if not found.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+            moves = components(found, "c_a", "c_b")
+            members, ends = members if last else materialise(moved(members, moves), "members"), moved(ends, moves)
+    labels = ends.withColumnRenamed("c", "component")
 
     # What a class has in common with its component: the first row of all.
     head = F.struct(F.col("first_id").alias("component_id"), F.col("row").alias("first_row"))
@@ -223,6 +236,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     )
 
 
+def _hub(turn: int, known_of: tuple[str, ...]) -> Column:
+    """Any member of a bucket, another one in each turn, with all that is known of it."""
+    fields = [F.xxhash64("id", F.lit(turn + 1)).alias("_"), "id", F.col("c").alias("c_y"), *[F.col(k).alias(f"{k}_y") for k in known_of]]
+    return F.min(F.struct(*fields)).alias(f"hub{turn}")
+
+
 def _of_one_id(named: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): links between the classes of rows that share an id."""
     several = named.groupBy("id").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 != k1").select("id")

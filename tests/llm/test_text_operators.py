@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm import decontamination, near_duplicates, packing, token_counts
+from prismark.llm import components, decontamination, near_duplicates, packing, token_counts
 from prismark.llm.common import table, tuned
 from prismark.llm.tokenizing import id_coder, library, public_path, whole_tokens
 from tests.llm import brute
@@ -119,6 +119,47 @@ def test_near_duplicates_groups(spark):
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_components_stop_as_soon_as_they_are_stars(spark, monkeypatch):
+    """Edges that are stars take no step, and the last step is not made again to see that it changes nothing."""
+    written, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: written.append(label) or write(df, label))
+
+    def found(edges):
+        written.clear()
+        df = spark.createDataFrame(edges, "a long, b long")
+        return {r.id: r.component for r in components.components(df).collect()}, len(written)
+
+    assert found([(5, 1), (1, 6), (7, 2), (3, 3), (None, 4)]) == ({1: 1, 5: 1, 6: 1, 2: 2, 7: 2}, 1)
+    assert found([(1, 5), (5, 9), (7, 8)]) == ({1: 1, 5: 1, 9: 1, 7: 7, 8: 7}, 2)
+    assert found([]) == ({}, 1)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(400, 300 + i) for i in range(40)]
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert found(edges)[0] == {i: root[i] for a, b in edges if a != b for i in (a, b)}
+
+
+def test_near_duplicates_of_a_chain_of_groups_in_few_steps(spark, monkeypatch):
+    """Groups that later rounds link are linked as components, whatever their numbers of members."""
+    written, write = [], near_duplicates.materialise
+    for module in (components, near_duplicates):
+        monkeypatch.setattr(module, "materialise", lambda df, label: written.append(label) or write(df, label))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    docs, chain = [], rng.choices(words, k=120)
+    for g in range(12):
+        chain = chain[3:] + rng.choices(words, k=3)
+        for _ in range(8):
+            w = list(chain)
+            w[rng.randrange(len(w))] = rng.choice(words)
+            docs.append((len(docs), " ".join(w)))
+    df = tuned(spark).createDataFrame([(i, t, "1", "2") for i, t in docs], DOC)
+    assert near(df, percent=85) == brute.near_duplicates(docs, 85)
+    assert len(written) < 30  # 34 with a round for each hub and edges of classes in each
+
+
 def contaminated(docs, items):
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.decontaminate(docs, items).collect()}
 
