@@ -38,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the co-trained classifier scores as bad."""
     docs = _keyed(docs)
-    return _without(docs, quality.score(docs, table(tuned(spark), sf_dir, "labels"), evidence=page_metadata(table(spark, sf_dir, "pages")), keep=KEY))
+    return _without(docs, quality.score(docs, table(tuned(spark), sf_dir, "labels"), evidence=page_metadata(table(spark, sf_dir, "pages")), keep=KEY, few_rows=quality.FEW_ROWS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Two views of a document are classified apart: its text (how its words, symbols a
 pairs of words occur) and its metadata (language, source, length, and what pages say of it). In each round each classifier
 labels for the other one the documents of the pool that it is sure of, and its surest of each class in any case, as a view may
 be right more often than not and never sure. In the end each view's margin is calibrated on labelled documents that no round
-has seen, both are combined, and every document is scored.
+has seen, both are combined, and every document is scored. (Few labels are all used for both, by folds.)
 
 The pool is all documents without a label. A round takes some passes over their views: one counts margins, for what is surest;
 the others add up slope and bend of both classifiers' losses for a step of Newton's method, in tasks and up a tree, so that
@@ -45,6 +45,8 @@ SURE, SHARE, PSEUDO_WEIGHT, PSEUDO_SHARE = 0.99, 0.1, 0.5, 0.1
 MARGIN, GRADES = 30, 1000
 #: Of ten labelled documents so many are kept for calibration.
 CALIBRATION = 2
+#: What score's few_rows is in the queries, and the folds that fewer labelled rows are dealt over.
+FEW_ROWS, FOLDS = 1_000, 5
 #: What pages may say of a document: names, and counts in their markup.
 PAGE_NAMES, PAGE_COUNTS = ("host", "declared", "address_language"), ("tags", "links", "scripts")
 NAMES, COUNTS = ("source", "lang", *PAGE_NAMES), ("chars", *PAGE_COUNTS)
@@ -270,6 +272,18 @@ def cotrain(train: list[np.ndarray], y: np.ndarray, weight: np.ndarray, over) ->
     return models
 
 
+def out_of_fold(views: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(each view's margins of rows by a classifier of the other folds' rows, which rows have some); fold: a whole number of each row."""
+    margins, some = [np.zeros(len(y)) for _ in views], np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        here = fold % FOLDS == k
+        if len(set(y[~here])) == 2:
+            some |= here
+            for m, x in zip(margins, views, strict=True):
+                m[here] = fit(x[~here], y[~here], weight[~here]).margin(x[here])
+    return margins, some
+
+
 def calibrated(margins: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[list[Linear], Linear]:
     """Each view's margin to its log odds, and both log odds to those of the document."""
     each = [fit(m[:, None], y, weight, 1e-3) for m in margins]
@@ -289,6 +303,7 @@ def score(
     threshold: float = 0.5,
     evidence: DataFrame | None = None,
     keep: tuple[str, ...] = (),
+    few_rows: int = 0,
 ) -> DataFrame:
     """One row per row of docs: id_col, keep, text_margin, metadata_margin, quality_score (probability of good), kept (score >= threshold).
 
@@ -298,6 +313,9 @@ def score(
     results; an empty table gives none; other columns are not read.
 
     evidence: (id_col, PAGE_NAMES, PAGE_COUNTS) of another table, one row per id; it meets the documents without their texts.
+
+    few_rows: of fewer labelled rows than this, those held out are too few to calibrate on. All are fitted on then, and all
+    calibrate, with margins of classifiers fitted on the other folds' labels.
     """
     carried = [f"keep{i}" for i in range(len(keep))]
     base = docs.select(
@@ -329,18 +347,23 @@ def score(
     wanted = F.when(F.col("y") == 0, F.lit(rate[0.0])).otherwise(F.lit(rate[1.0]))
     draw = F.xxhash64("id", "buckets", F.lit("draw"))
     sample = seen.where(F.col("y").isNotNull() & (F.abs(draw / F.lit(2.0**63)) < wanted))
-    held = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(10)) < CALIBRATION
+    fold = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(10))
     # Rows in an order of their own, whatever order tasks end in: the same input gives the same models.
-    sample = sample.select("y", held.alias("held"), draw.alias("draw"), *NAMES, *COUNTS, "surface", "buckets").toArrow().sort_by("draw")
+    sample = sample.select("y", fold.alias("fold"), draw.alias("draw"), *NAMES, *COUNTS, "surface", "buckets").toArrow().sort_by("draw")
     y = sample.column("y").to_numpy()
-    held, every = sample.column("held").to_numpy(), np.ones(len(y), bool)
+    fold, every = sample.column("fold").to_numpy(), np.ones(len(y), bool)
+    held = (fold < CALIBRATION) & (len(y) >= few_rows)
     train = ~held if len(set(y[~held])) == 2 else every  # too few labels to keep some of them for calibration
     check = held if len(set(y[held])) == 2 else every
     weight = np.where(y == 0, usual / rate[0.0], usual / rate[1.0])
     views = [v(sample) for v in VIEWS]
     pool = seen.where(F.col("y").isNull())
     models = cotrain([x[train] for x in views], y[train], weight[train], functools.partial(_over, pool) if found.get(None) else None)
-    each, both = calibrated([m.margin(x[check]) for m, x in zip(models, views, strict=True)], y[check], weight[check])
+    margins = [m.margin(x) for m, x in zip(models, views, strict=True)]
+    if len(y) < few_rows:
+        apart, some = out_of_fold(views, y, weight, fold)
+        margins, check = (apart, some) if len(set(y[some])) == 2 else (margins, every)
+    each, both = calibrated([m[check] for m in margins], y[check], weight[check])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

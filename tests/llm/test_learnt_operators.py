@@ -299,6 +299,24 @@ def test_surest_of_counted_margins():
     assert np.isnan(quality.given_labels(np.array([30_000]), quality.surest(counts, 0.8))).all()
 
 
+def test_few_labels_are_fitted_on_and_calibrate_by_folds(spark):
+    """Rows that no classifier of theirs was fitted on, and a good text whose metadata are unusual stays."""
+    rng = np.random.default_rng(4)
+    y = (np.arange(40) % 4 > 0).astype(float)
+    x, fold = rng.normal(0, 0.1, (40, 2)) + y[:, None], np.arange(40) % 10
+    (m, _), some = quality.out_of_fold([x, x], y, np.ones(40), fold)
+    part = fold % quality.FOLDS == 3
+    assert some.all() and np.allclose(m[part], quality.fit(x[~part], y[~part], np.ones((~part).sum())).margin(x[part]))
+    assert not quality.out_of_fold([x, x], np.r_[1.0, np.zeros(39)], np.ones(40), np.r_[0, np.full(39, 1)])[1].all()
+    docs, labels, pages = (table(tuned(spark), "/root/testdata/sf0.001", t) for t in ("documents", "labels", "pages"))
+    odd = spark.createDataFrame([(None, docs.orderBy("doc_id").first().text + " tail", "en", "s", 3)], docs.schema)
+    got = quality.score(docs.unionByName(odd), labels, evidence=page_metadata(pages), few_rows=quality.FEW_ROWS).collect()
+    said = {r.doc_id: r.quality for r in labels.collect()}
+    assert [r.kept for r in got if r.doc_id is None] == [True]
+    known = [r.kept == bool(said[r.doc_id]) for r in got if r.doc_id in said]
+    assert sum(known) / len(known) > 0.97
+
+
 def test_quality_against_plain_views_and_models(spark, sf_dir):
     docs, labels, pages = (table(tuned(spark), sf_dir, t) for t in ("documents", "labels", "pages"))
     evidence = page_metadata(pages)
